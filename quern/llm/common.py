@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_BYTES
         if not batch.num_rows:
             continue
         size = np.zeros(batch.num_rows + 1, np.int64)
-        lengths = pa.compute.binary_length(batch.column(text)).fill_null(0)
+        lengths = pc.binary_length(batch.column(text)).fill_null(0)
         np.cumsum(lengths.to_numpy(zero_copy_only=False), out=size[1:])
         at = 0
         while at < batch.num_rows:
@@ -66,6 +67,12 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def tokenised(texts: list[bytes], pattern) -> list[list[bytes]]:
+    """The pattern's tokens of each text; equal tokens are one object, so that a sample's lists stay small."""
+    pool: dict[bytes, bytes] = {}
+    return [[pool.setdefault(w, w) for w in pattern.findall(t)] for t in texts]
+
+
 def coded(docs: list[list[bytes]]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words, a code for each occurrence, and where each document's occurrences start (and the end)."""
     words = [w for d in docs for w in d]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import labelled
-from quern.llm.common import byte_texts, fold, slices
+from quern.llm.common import byte_texts, fold, slices, tokenised
 
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\s]+")
 DIM, NONZERO, VOCABULARY, HIDDEN, WINDOW = 64, 6, 20_000, 24, 2
@@ -138,7 +138,7 @@ def _train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 600, r
 
 def fit(texts: list[bytes], ys: list[int], hashes: list[int], weights: list[float]) -> Model:
     """Without both classes the score is the share of 1 (or 0.5 without labels)."""
-    tokens = [TOKEN.findall(t) for t in texts]
+    tokens = tokenised(texts, TOKEN)
     vocabulary, vectors = word_vectors(tokens)
     y, weight = np.array(ys, float), np.array(weights, float)
     model = Model(vocabulary, vectors, np.zeros(1), np.ones(1), (), 1.0)
