@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -56,10 +57,27 @@ def beyond_chance(hits: int, n: int, share: float) -> float:
     return min(1.0, total)
 
 
+def first_of_copies(docs: list[set[bytes]]) -> list[bool]:
+    """False for a document that shares six minima of hashes of its words with an earlier one: its words are no new
+    evidence."""
+    a = np.random.default_rng(3).integers(1, 2**63, 48, dtype=np.uint64) | np.uint64(1)
+    seen: set[tuple] = set()
+    out = []
+    for words in docs:
+        h = np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) + np.uint64(1)
+        low = (h[:, None] * a >> np.uint64(20)).min(0).reshape(8, 6) if len(h) else np.zeros((8, 6))
+        keys = {(i, *row) for i, row in enumerate(low.tolist())}
+        out.append(not keys & seen)
+        seen |= keys
+    return out
+
+
 def toxic_features(docs: list[set[bytes]], ys: list[int], risk: float = 0.01, precision: float = 0.9) -> set[bytes]:
-    """Features whose documents are toxic beyond chance, and nearly always."""
+    """Features whose documents are toxic beyond chance, and nearly always; near copies count once."""
     toxic, every = Counter(), Counter()
-    for words, y in zip(docs, ys, strict=True):
+    new = first_of_copies(docs)
+    ys = [y for y, n in zip(ys, new, strict=True) if n]
+    for words, y in zip((d for d, n in zip(docs, new, strict=True) if n), ys, strict=True):
         own = {f for w in words for f in features(w)}
         every.update(own)
         if y:
