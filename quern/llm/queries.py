@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import line_dedup, quality, rules, toxicity
+from quern.llm import line_dedup, packing, quality, rules, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(_docs(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_line_dedup, op8_quality, op10_toxicity, op5_quality_rules)}
+    return {f.__name__: f for f in (op7_line_dedup, op8_quality, op10_toxicity, op5_quality_rules, op6_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
