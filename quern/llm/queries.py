@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import kneser_ney, line_dedup, near_dedup, packing, quality, rules, toxicity
+from quern.llm import kneser_ney, line_dedup, near_dedup, packing, quality, rules, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +45,12 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.report(_docs(spark, sf_dir))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(_docs(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_line_dedup, op8_quality, op10_toxicity, op5_quality_rules, op6_best_fit_packing, op4_near_dedup, op1_kneser_ney)}
+    return {f.__name__: f for f in (op7_line_dedup, op8_quality, op10_toxicity, op5_quality_rules, op6_best_fit_packing, op4_near_dedup, op1_kneser_ney, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
