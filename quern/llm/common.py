@@ -41,6 +41,19 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores as long as it clashes with one of ``taken``."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def ddl(df: DataFrame) -> str:
+    """The schema as text, for functions that add columns to it."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def fold(id_col: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``."""
     text = F.coalesce(id_col.cast("string"), F.lit(""))

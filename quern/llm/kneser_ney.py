@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_texts, coded, fold, per_doc, shared_dir, slices, written
+from quern.llm.common import byte_texts, coded, ddl, fold, per_doc, shared_dir, slices, written
 
 END = b"\n"
 #: Words in a shard of the vocabulary and bigrams in a shard of the pairs, on average.
@@ -372,7 +372,7 @@ def scored(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     A null or empty text is its end token. A model of no text scores 0. Rows are scored one by one: repeated rows, ties
     and other columns don't matter. Perplexity is ``10 ** (-_score / _n_tokens)``.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = ddl(docs)
     return docs.mapInArrow(_score(model, docs.columns.index(text_col)), f"{schema}, _n_tokens long, _n_known long, _base double, _score double")
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_texts, slices, written
+from quern.llm.common import byte_texts, ddl, fresh, slices, written
 
 STRIP = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 250_000
@@ -154,15 +154,15 @@ class _Probe:
         return out
 
 
-def _pass(held, shards: int, min_docs: int, at: int, last: bool, stats: bool):
-    """Adds what these shards mark to the column ``_cut`` (positions of cut lines); the last pass cuts them."""
+def _pass(held, shards: int, min_docs: int, at: int, last: bool, stats: bool, own: str):
+    """Adds what these shards mark to the column ``own`` (positions of cut lines); the last pass cuts them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = _Probe(held.value, shards)
         for batch in slices(batches, at):
             names = batch.schema.names
             texts = byte_texts(batch.column(at))
-            found = [set(x or ()) for x in batch.column(names.index("_cut")).to_pylist()]
+            found = [set(x or ()) for x in batch.column(names.index(own)).to_pylist()]
             lines = [line_keys(t) for t in texts]
             size = np.cumsum([0, *map(len, lines)])
             n = probe.counts(_halves([k for x in lines for k in x]))
@@ -170,10 +170,10 @@ def _pass(held, shards: int, min_docs: int, at: int, last: bool, stats: bool):
                 found[d].add(pos - int(size[d]))
             columns = dict(zip(names, batch.columns, strict=True))
             if not last:
-                columns["_cut"] = pa.array([sorted(x) for x in found], pa.list_(pa.int32()))
+                columns[own] = pa.array([sorted(x) for x in found], pa.list_(pa.int32()))
                 yield pa.record_batch(list(columns.values()), list(columns))
                 continue
-            del columns["_cut"]
+            del columns[own]
             kept = [b"\n".join(x for i, x in enumerate(t.split(b"\n")) if i not in cut) if cut else t for t, cut in zip(texts, found, strict=True)]
             if stats:
                 columns |= {"_n_lines": pa.array([len(x) for x in lines], pa.int64()), "_n_dropped": pa.array([len(x) for x in found], pa.int64()), "_sha": pa.array([hashlib.sha256(x).hexdigest() for x in kept])}
@@ -187,8 +187,7 @@ def _pass(held, shards: int, min_docs: int, at: int, last: bool, stats: bool):
 def drop_common_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, group_mb: int = 64, stats: bool = False) -> DataFrame:
     """``docs`` without the lines whose key is found in at least ``min_docs`` documents, in every document.
 
-    Other columns stay as they are, whatever their names (but ``_cut``, ``_n_lines``, ``_n_dropped`` and ``_sha`` are
-    this operator's own). A null text stays null and counts as one empty line; a line whose key has fewer than
+    Other columns stay as they are, whatever their names. A null text stays null and counts as one empty line; a line whose key has fewer than
     ``min_chars`` code points is never cut; repeated rows are documents of their own; an empty table gives an empty
     table. With ``stats`` the columns ``_n_lines``, ``_n_dropped`` and ``_sha`` (SHA-256 of the kept text) follow.
     """
@@ -203,14 +202,15 @@ def drop_common_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 1
             room = group_mb << 20
         groups[-1].append(r.shard)
         room -= r.n
-    out = docs.withColumn("_cut", F.lit(None).cast("array<int>"))
+    own = fresh("_cut", docs.columns)
+    out = docs.withColumn(own, F.lit(None).cast("array<int>"))
     at = docs.columns.index(text_col)
     for k, group in enumerate(groups):
         last = k == len(groups) - 1
         held = spark.sparkContext.broadcast([(r[0], *map(bytes, r[1:])) for r in index.filter(F.col("shard").isin(group)).collect()] if group else [])
         extra = ", _n_lines long, _n_dropped long, _sha string" if stats and last else ""
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + (extra if last else ", _cut array<int>")
-        out = out.mapInArrow(_pass(held, shards, min_docs, at, last, stats), schema)
+        schema = ddl(docs) + (extra if last else f", `{own}` array<int>")
+        out = out.mapInArrow(_pass(held, shards, min_docs, at, last, stats, own), schema)
         if not last:
             out = written(out, "pass")
     return out

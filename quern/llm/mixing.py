@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, UPPER, written
+from quern.llm.common import LOWER, UPPER, fresh, written
 
 SAMPLE, VOCABULARY, EVIDENCE = 10_000, 4096, 20
 STEP, ITERATIONS, TOLERANCE = 1.6, 40, 1e-4
@@ -119,11 +119,11 @@ def copies(rate: Column, id_col: Column) -> Column:
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, most: float = 1e9) -> DataFrame:
     """``docs`` with each row as often as its document's rate says. Rows with a null id stay as they are."""
-    rate = rates(docs, labelled, targets, least=least, most=most).select("_id", "rate")
-    times = F.coalesce(copies(F.col("rate"), F.col("doc_id")), F.lit(1))
     names = docs.columns
-    joined = docs.join(rate, F.col("doc_id") == F.col("_id"), "left").withColumn("_times", times).filter("_times > 0")
-    return joined.select(*names, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select(*names)
+    key, times = fresh("_key", names), fresh("_times", names)
+    rate = rates(docs, labelled, targets, least=least, most=most).select(F.col("_id").alias(key), copies(F.col("rate"), F.col("_id")).alias(times))
+    joined = docs.join(rate, F.col("doc_id") == F.col(key), "left").withColumn(times, F.coalesce(times, F.lit(1))).filter(F.col(times) > 0)
+    return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*names)
 
 
 def report(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain_col: str = "lang") -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_texts, coded, slices, written
+from quern.llm.common import byte_texts, coded, fresh, slices, written
 
 POSITIONS, BITS, CHUNKS, DISTANCE = 64, 16, 12, 23
 #: Pairs that share a key go on to the full sets up to this distance: at similarity 0.8 a larger one has a chance of 1e-5.
@@ -239,3 +239,10 @@ def report(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "do
     out = placed.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
     component = F.coalesce("root", "rep")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` without the documents of a component other than its smallest id. Rows with a null id stay."""
+    key = fresh("_key", docs.columns)
+    gone = report(docs, width, percent).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_texts, slices, written
+from quern.llm.common import byte_texts, ddl, slices, written
 
 CAPACITY, END_ID = 4096, 1
 CACHE = 150_000
@@ -231,7 +231,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = cut.sparkSession
     # the numbering refers to the rows of each written part
     names = cut.columns
-    numbered = written(cut.withColumn("_part", F.spark_partition_id()).mapInArrow(_number(names.index("length")), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", _part int, _row long"), "pieces")
+    numbered = written(cut.withColumn("_part", F.spark_partition_id()).mapInArrow(_number(names.index("length")), ddl(cut) + ", _part int, _row long"), "pieces")
     counts = numbered.groupBy("_part", "length").agg(F.count("*").alias("_n"))
     before = written(counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).na.fill(0, ["_before"]).withColumnRenamed("length", "_length").withColumnRenamed("_part", "_p"), "counts")
     # at most ``capacity`` rows
@@ -241,7 +241,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # the runs are bounded by the capacity, not by the corpus
     held = spark.sparkContext.broadcast((table, base))
     ranked = numbered.join(before.drop("_n"), (F.col("_part") == F.col("_p")) & (F.col("length") == F.col("_length"))).select(*names, (F.col("_row") + F.col("_before")).alias("_rank"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", _rank long, sequence_id long, offset long"
+    schema = ddl(cut) + ", _rank long, sequence_id long, offset long"
     return ranked.mapInArrow(_place(held, names.index("length"), len(names)), schema).drop("_rank")
 
 

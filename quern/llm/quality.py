@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import labelled
-from quern.llm.common import byte_texts, fold, slices, tokenised
+from quern.llm.common import byte_texts, ddl, fold, slices, tokenised
 
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\s]+")
 DIM, NONZERO, VOCABULARY, HIDDEN, WINDOW = 64, 6, 20_000, 24, 2
@@ -167,24 +167,23 @@ def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", **bounds
     return fit(*labelled.sample(docs, labels, label, **bounds))
 
 
-def _score(held, at: int):
+def _score(held, at: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         code = model.codes()
         for batch in slices(batches, at):
             got = model.scores([TOKEN.findall(t) for t in byte_texts(batch.column(at))], code)
-            yield pa.record_batch([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, "_score"])
+            yield pa.record_batch([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, name])
 
     return run
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with a column ``_score``: 0 to 1, higher where label 1 is likelier. Null and empty texts get the score
+def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_score") -> DataFrame:
+    """``docs`` with a column ``name``: 0 to 1, higher where label 1 is likelier. Null and empty texts get the score
     of a text without tokens; rows are scored one by one, so repeated rows, ties and other columns don't matter."""
     # the model's size is bounded by VOCABULARY, not by the corpus
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_score(held, docs.columns.index(text_col)), f"{schema}, _score double")
+    return docs.mapInArrow(_score(held, docs.columns.index(text_col), name), f"{ddl(docs)}, `{name}` double")
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import labelled
-from quern.llm.common import byte_texts, fold, slices, tokenised
+from quern.llm.common import byte_texts, ddl, fold, slices, tokenised
 
 TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[.!?\n]+")
 CACHE = 200_000
@@ -325,7 +325,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", least: float =
     one, so repeated rows, ties and other columns don't matter."""
     # the model's size is bounded by the sample, not by the corpus
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = ddl(docs)
     return docs.mapInArrow(_score(held, docs.columns.index(text_col), least), f"{schema}, _score double, _spans array<struct<start:int,end:int,score:double>>")
 
 
