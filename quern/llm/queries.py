@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import kneser_ney, line_dedup, mixing, near_dedup, packing, quality, rules, substring_dedup, toxicity
+from quern.llm import chroma, kneser_ney, line_dedup, mixing, near_dedup, packing, quality, rules, substring_dedup, toxicity
 
 
 #: Target weights of the mixing query, by language.
@@ -57,8 +57,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(_docs(spark, sf_dir), _table(spark, sf_dir, "labels"), TARGETS)
 
 
+def op2_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.report(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_line_dedup, op8_quality, op10_toxicity, op5_quality_rules, op6_best_fit_packing, op4_near_dedup, op1_kneser_ney, op9_substring_dedup, op3_mixing)}
+    return {f.__name__: f for f in (op7_line_dedup, op8_quality, op10_toxicity, op5_quality_rules, op6_best_fit_packing, op4_near_dedup, op1_kneser_ney, op9_substring_dedup, op3_mixing, op2_chroma)}
 
 
 def oracle_sql() -> dict[str, str]:
