@@ -7,11 +7,14 @@
 3. Positions are split into ``CHUNKS`` chunks. Two signatures that differ in at most ``DISTANCE`` < 2 * ``CHUNKS``
    positions have, by the pigeonhole principle, a chunk with at most one difference. So each chunk gives one key for
    every position that may be wrong: the chunk without that position. Such pairs share a key - none is missed.
-4. Pairs of a key are not listed. Every member meets the smallest member (a star), if their signatures are near
-   enough; stars whose member and centre aren't yet connected are confirmed on the full sets, nearest first. Where
-   members of one key are in different components after that, the components meet each other in further rounds, until
-   no key holds a near pair that is neither confirmed, refuted nor connected.
-5. Components come from iterated minima over confirmed links with pointer jumping; each iteration is written.
+4. Pairs of a key are not listed. Every member meets the key's centre (a star; the centre is the class of most
+   documents), if their signatures are near enough; of its centres each member meets the nearest on the full sets.
+   Members that are still apart from others of a key meet one more centre of each key.
+5. What is left is exact. Keys of at most ``SMALL`` members list their pairs across components. Larger keys that hold
+   several components form groups; the members outside a group's largest component are its queries and meet all its
+   members in blocks - a block of queries against a chunk of members is a task, which counts intersections of full sets
+   as a matrix product and returns only links that join components.
+6. Components come from iterated minima over confirmed links with pointer jumping; each iteration is written.
 """
 
 from __future__ import annotations
@@ -30,8 +33,8 @@ from quern.llm.common import byte_texts, coded, fresh, slices, written
 POSITIONS, BITS, CHUNKS, DISTANCE = 64, 16, 12, 23
 #: Pairs that share a key go on to the full sets up to this distance: at similarity 0.8 a larger one has a chance of 1e-5.
 ADMIT = 27
-#: Rounds in which the members of a key meet one centre each; after that all remaining pairs of a key meet.
-STAR_ROUNDS = 3
+#: Members of a key up to which its pairs are listed; queries and members of a group that meet in one task.
+SMALL, BLOCK = 12, 256
 _MULTIPLY = np.random.default_rng(20240817).integers(0, 2**64, POSITIONS, dtype=np.uint64) | np.uint64(1)
 
 
@@ -111,7 +114,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 4096)
             keys = index_keys(np.frombuffer(b"".join(part.column(1).to_pylist()), "<u2").reshape(-1, POSITIONS))
             flat = pa.array(keys.ravel().view(np.int64))
-            yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, POSITIONS, dtype=np.int32), flat)], ["id", "keys"])
+            yield pa.record_batch([part.column(0), part.column(2), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, POSITIONS, dtype=np.int32), flat)], ["id", "size", "keys"])
 
 
 def _near(pairs: DataFrame, signatures: DataFrame, most: int) -> DataFrame:
@@ -177,8 +180,74 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(sign: DataFrame) -> DataFrame:
-    """(d0, d1, id, sig) of each distinct set that isn't empty: the smallest id stands for it."""
-    return sign.filter("sig IS NOT NULL AND id IS NOT NULL").groupBy("d0", "d1").agg(F.min(F.struct("id", "sig")).alias("s")).select("d0", "d1", "s.id", "s.sig")
+    """(d0, d1, id, sig, size) of each distinct set that isn't empty: the smallest id stands for it."""
+    return sign.filter("sig IS NOT NULL AND id IS NOT NULL").groupBy("d0", "d1").agg(F.min(F.struct("id", "sig")).alias("s"), F.count("*").alias("size")).select("d0", "d1", "s.id", "s.sig", "size")
+
+
+def _matrix(width: int, percent: int):
+    """Links across components between a block of queries (``role``) and a chunk of members."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        sets = _sets([(x.encode() if isinstance(x, str) else b"").lower().split() for x in group["text"]], width)
+        role, ids, roots = group["role"].to_numpy(bool), group["id"].tolist(), group["root"].tolist()
+        us, vs = np.flatnonzero(role), np.flatnonzero(~role)
+        parent = {r: r for r in roots}
+
+        def find(r):
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        rows = []
+        if len(us) and len(vs):
+            flat = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            code = np.unique(flat, return_inverse=True)[1]
+            met = np.zeros((2, int(code.max()) + 1), bool)
+            met[0, code[role[owner]]] = True
+            met[1, code[~role[owner]]] = True
+            common = met.all(0)
+            column = np.cumsum(common) - 1
+            keep = common[code]
+            at, who = column[code[keep]], owner[keep]
+            order = np.argsort(at, kind="stable")
+            at, who = at[order], who[order]
+            both = np.zeros((len(us), len(vs)), np.float32)
+            place = np.empty(len(sets), np.int64)
+            place[us], place[vs] = np.arange(len(us)), np.arange(len(vs))
+            for low in range(0, int(common.sum()), 4096):
+                i, j = np.searchsorted(at, [low, low + 4096])
+                left, right = np.zeros((len(us), 4096), np.float32), np.zeros((len(vs), 4096), np.float32)
+                q = role[who[i:j]]
+                left[place[who[i:j][q]], at[i:j][q] - low] = 1
+                right[place[who[i:j][~q]], at[i:j][~q] - low] = 1
+                both += left @ right.T
+            size = np.array([len(x) for x in sets], np.float64)
+            linked = 100.0 * both >= percent * (size[us][:, None] + size[vs][None, :] - both)
+            for u, v in zip(*np.nonzero(linked), strict=True):
+                a, b = find(roots[us[u]]), find(roots[vs[v]])
+                if a != b:
+                    parent[b] = a
+                    rows.append((ids[us[u]], ids[vs[v]]))
+        return pd.DataFrame(rows, columns=["a", "b"]).astype({"a": group["id"].dtype, "b": group["id"].dtype})
+
+    return run
+
+
+def _group_links(at: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links across the components of each group of large keys. ``at``: (any, id, root), ``any`` being a key's member."""
+    kind = docs.schema["id"].dataType.simpleString()
+    stars = at.select(F.col("any").alias("a"), F.col("id").alias("b")).distinct()
+    group = components(stars).withColumnRenamed("root", "grp")
+    members = group.join(at.select("id", "root").distinct(), "id")
+    sizes = members.groupBy("grp", "root").agg(F.count("*").alias("n")).groupBy("grp").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top"))
+    sizes = sizes.select("grp", F.col("top.root").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("blocks"), F.ceil(F.col("all") / BLOCK).alias("chunks")).filter("blocks > 0")
+    placed = members.join(sizes, "grp").join(docs, "id").withColumn("h", F.xxhash64("id"))
+    to_all = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    queries = placed.filter("root != top").select("grp", F.pmod("h", "blocks").alias("block"), to_all("chunks").alias("chunk"), F.lit(True).alias("role"), "id", "root", "text")
+    others = placed.select("grp", to_all("blocks").alias("block"), F.pmod("h", "chunks").alias("chunk"), F.lit(False).alias("role"), "id", "root", "text")
+    return queries.unionByName(others).groupBy("grp", "block", "chunk").applyInPandas(_matrix(width, percent), f"a {kind}, b {kind}")
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -187,41 +256,41 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
     reps = written(classes(sign), "classes")
     signatures = reps.select("id", "sig")
     kind = docs.schema[0].dataType.simpleString()
-    keys = signatures.mapInArrow(_keyed, f"id {kind}, keys array<long>").select("id", F.explode("keys").alias("key"))
-    stars = keys.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    # members of keys that several classes share, with the key's centre; the rest of the rounds starts from here
-    shared = written(keys.join(stars, "key").select("key", "id", "centre"), "shared")
-    pairs = shared.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    tried = links = None
-    roots = None
-    for turn in range(STAR_ROUNDS + 100):
-        near = _near(pairs, signatures, ADMIT)
-        if turn == 0:  # of its centres, each member meets the nearest first
-            near = near.groupBy("b").agg(F.min(F.struct("far", "a")).alias("s")).select("s.a", "b")
-        result = written(confirmed(near.select("a", "b"), docs, width, percent), "confirmed")
-        tried = result if tried is None else tried.unionByName(result)
-        good = result.filter("linked").select("a", "b")
-        if turn and good.isEmpty():
-            if turn >= STAR_ROUNDS:
-                break
-        else:
-            links = good if links is None else links.unionByName(good)
-            roots = components(links)
-        at = shared.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        open_keys = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
-        left = at.join(open_keys, "key")
-        if turn < STAR_ROUNDS:
-            centre = left.groupBy("key").agg(F.min(F.when(F.col("root") == F.col("low"), F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id"))).alias("c"))
-            pairs = left.filter("root != low").join(centre, "key").select(F.col("c.id").alias("a"), F.col("id").alias("b"))
-        else:
-            other = left.select("key", F.col("id").alias("b"), F.col("root").alias("other"))
-            pairs = left.join(other, "key").filter("id < b AND root != other").select(F.col("id").alias("a"), "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = written(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-    return sign, roots
+    keys = reps.select("id", "sig", "size").mapInArrow(_keyed, f"id {kind}, size long, keys array<long>").select("id", "size", F.explode("keys").alias("key"))
+    stars = keys.groupBy("key").agg(F.min(F.struct(-F.col("size"), "id")).alias("s"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("s.id").alias("centre"), "n")
+    # members of keys that several classes share, with the key's centre; the later steps start from here
+    shared = written(keys.select("id", "key").join(stars, "key").select("key", "id", "centre", "n"), "shared")
+
+    def joined(links: DataFrame | None) -> DataFrame:
+        """Members of shared keys with their component, of keys that hold several; and the components."""
+        at = shared if links is None else shared.join(roots, "id", "left")
+        at = at.withColumn("root", F.coalesce("root", "id") if links is not None else F.col("id"))
+        still = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("id").alias("any")).filter("low != high").drop("high")
+        return written(at.join(still, "key").select("key", "id", "root", "low", "any", "n"), "open")
+
+    def link(pairs: DataFrame) -> DataFrame:
+        result = confirmed(pairs.select("a", "b"), docs, width, percent)
+        return written(result.filter("linked").select("a", "b"), "links")
+
+    first = shared.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    # of its centres, each member meets the nearest first
+    nearest = _near(first, signatures, ADMIT).groupBy("b").agg(F.min(F.struct("far", "a")).alias("s")).select("s.a", "b")
+    links = link(nearest)
+    roots = components(links)
+    at = joined(links)
+    centre = at.groupBy("key").agg(F.min(F.when(F.col("root") == F.col("low"), F.struct(F.xxhash64("id"), "id"))).alias("c"))
+    second = at.filter("root != low").join(centre, "key").select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
+    links = links.unionByName(link(_near(second.join(nearest, ["a", "b"], "left_anti"), signatures, ADMIT)))
+    roots = components(links)
+    at = joined(links)
+    few = at.filter(F.col("n") <= SMALL)
+    pairs = few.join(few.select("key", F.col("id").alias("b"), F.col("root").alias("other")), "key").filter("id < b AND root != other").select(F.col("id").alias("a"), "b").distinct()
+    tried = nearest.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = links.unionByName(link(_near(pairs.join(tried, ["a", "b"], "left_anti"), signatures, ADMIT)))
+    large = at.filter(F.col("n") > SMALL)
+    if not large.isEmpty():
+        links = links.unionByName(_group_links(large, docs, width, percent))
+    return sign, components(links)
 
 
 def report(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
