@@ -19,8 +19,9 @@ from __future__ import annotations
 import bisect
 import math
 import os
-import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import byte_texts, ddl, slices, written
 
 CAPACITY, END_ID = 4096, 1
-CACHE = 150_000
+CACHE = 250_000
 
 
 def runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -93,48 +94,68 @@ def runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return out
 
 
-#: A part of letters and then punctuation is two matches of the tokenizer's pattern, whatever stands before or after.
-TAIL = re.compile(rb"([a-z\x80-\xff]*[a-z])([.,!?;:|*$%&#]+)")
+#: Punctuation that may follow a part's letters: the tokenizer's pattern parts the two, whatever stands around.
+TAIL, LETTERS = b".,!?;:|*$%&#", bytes([*range(97, 123), *range(128, 256)])
 
 
 class _Ids:
-    """Token ids of white-space-free parts of texts, in two generations of bounded memory."""
+    """Token ids, as little-endian 32-bit bytes, of white-space-free parts of texts; two generations of bounded memory."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def of(self, parts: list[bytes]) -> dict[bytes, bytes]:
-        """Ids, as little-endian 32-bit bytes, of each of these parts."""
-        out: dict[bytes, bytes] = {}
+    def _encode(self, parts: list[bytes]) -> None:
+        words, others = [], []
+        for w in parts:
+            text = w.decode("utf-8", "replace")
+            one = text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())
+            (words if one else others).append((w, text))
+        for at in range(0, len(others), 20_000):
+            some = others[at : at + 20_000]
+            for (w, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False), strict=True):
+                self.new[w] = array("I", e.ids).tobytes()
+        # a part of letters only is one match of the pattern, so one token of it, its last, ends a word
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            encoded = self.tokenizer.encode_batch_fast([" ".join(t for _, t in some[k : k + 200]) for k in range(0, len(some), 200)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in encoded])
+            raw, start = ids.tobytes(), 0
+            for (w, _), end in zip(some, (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
+                self.new[w] = raw[start:end]
+                start = end
+
+    def of(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of each part."""
         if len(self.new) > CACHE:
             self.new, self.old = {}, self.new
-        missing = []
-        for w in dict.fromkeys(parts):
-            v = self.new.get(w)
-            if v is None:
+        out = list(map(self.new.get, parts))
+        gaps = [i for i, v in enumerate(out) if v is None]
+        if gaps:
+            plain, split = set(), []
+            for w in {parts[i] for i in gaps}:
                 v = self.old.get(w)
-                if v is None:
-                    missing.append(w)
+                if v is not None:
+                    self.new[w] = v
                     continue
-                self.new[w] = v
-            out[w] = v
-        if missing:
-            cut = [(w, TAIL.fullmatch(w)) for w in missing]
-            plain = [w for w, m in cut if not m]
-            for at in range(0, len(plain), 20_000):
-                some = plain[at : at + 20_000]
-                for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                    out[w] = self.new[w] = np.array(e.ids, "<u4").tobytes()
-            if len(plain) < len(missing):
-                split = [(w, m[1], m[2]) for w, m in cut if m]
-                own = self.of([x for _, head, tail in split for x in (head, tail)])
-                for w, head, tail in split:
-                    out[w] = own[head] + own[tail]
+                head = w.rstrip(TAIL)
+                if len(head) < len(w) and head[-1:].isalpha() and not head.translate(None, LETTERS):
+                    split.append((w, head, tail := w[len(head) :]))
+                    plain.add(head)
+                    plain.add(tail)
+                else:
+                    plain.add(w)
+            self._encode([w for w in plain if w not in self.new])
+            for w, head, tail in split:
+                self.new[w] = self.new[head] + self.new[tail]
+            for i in gaps:
+                out[i] = self.new[parts[i]]
         return out
 
 
@@ -163,8 +184,10 @@ def _pieces(path: str, capacity: int, keep_ids: bool):
             # a text with "<|" may hold a special token's string, whose case tells
             parts = [(t if b"<|" in t else t.lower()).split() for t in byte_texts(batch.column(1))]
             ids = known.of([w for p in parts for w in p])
+            upto = 0
             for d, p in enumerate(parts):
-                whole = b"".join(map(ids.__getitem__, p)) + end
+                whole = b"".join(ids[upto : upto + len(p)]) + end
+                upto += len(p)
                 for k in range(0, math.ceil(len(whole) / 4 / capacity)):
                     own = whole[4 * capacity * k : 4 * capacity * (k + 1)]
                     docs.append(d)
