@@ -8,37 +8,24 @@ Definitions used throughout:
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.storage import shared_dir, written
+
+__all__ = ["byte_texts", "coded", "ddl", "fold", "fresh", "per_doc", "shared_dir", "slices", "tokenised", "written"]
+
 #: ASCII white space, the only separators of words.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text that a Python worker handles at once; a longer text is handled alone, and whole.
-SLICE_BYTES = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; where that is unset (tests), a temporary folder is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/quern-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written to the shared folder and read back: later jobs, and lost executors, start from there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+SLICE_BYTES = 2 << 20
 
 
 def fresh(name: str, taken: list[str]) -> str:
@@ -60,8 +47,22 @@ def fold(id_col: Column, modulus: int) -> Column:
     return F.crc32(F.encode(text, "UTF-8")) % modulus
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker process stays for later stages, beside other workers."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds at most ``most`` bytes of column ``text``, or one row."""
+    yield from _cut(batches, text, most)
+    give_back()
+
+
+def _cut(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_texts, ddl, slices, written
+from quern.llm.common import byte_texts, ddl, give_back, slices, written
 
 CAPACITY, END_ID = 4096, 1
-CACHE = 250_000
+CACHE = 150_000
 
 
 def runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -163,7 +163,7 @@ _LOADED: dict[str, _Ids] = {}
 
 
 def _ids(path: str) -> _Ids:
-    """One for each worker process, which runs many tasks."""
+    """One tokenizer for each worker process, which runs many tasks."""
     if path not in _LOADED:
         _LOADED[path] = _Ids(path)
     return _LOADED[path]
@@ -203,6 +203,8 @@ def _pieces(path: str, capacity: int, keep_ids: bool):
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.record_batch(columns, names)
+        known.new, known.old = {}, {}
+        give_back()
 
     return run
 
