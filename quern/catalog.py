@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.queries import etl, evaluation, search, text  # noqa: F401  they register themselves
+from quern.queries.base import ORACLES, QUERIES
+
 FLAGSHIP = "hybrid_retrieve"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

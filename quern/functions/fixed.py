@@ -113,3 +113,11 @@ QUERY_PLANS = {
 
 # Order in which a reply is searched for the kinds of questions.
 QUERY_KINDS = ["yes_no", "factual", "multi_article", "interpretation", "procedure", "comparison", "condition", "scenario"]
+
+# Forms of references that lead to further retrieval; group 1 is the query.
+CROSS_REFERENCES = [
+    r"(?:theo|tại|quy định tại|căn cứ)\s+(Điều\s+\d+[^.]*?)(?:\s+của|\s+Luật|\s+Nghị|\s+Thông|$)",
+    r"(Nghị định\s+\d+/\d+/NĐ-\w+[^.]*?Điều\s+\d+)",
+    r"(Thông tư\s+\d+/\d+/TT-\w+[^.]*?Điều\s+\d+)",
+    r"(Luật\s+\d+/\d+/QH\d+[^.]*?Điều\s+\d+)",
+]

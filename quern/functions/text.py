@@ -34,7 +34,7 @@ def clean_text(c: Column) -> Column:
     return strip(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode NFKC form."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -99,13 +99,17 @@ def doc_code(c: Column) -> Column:
 REFERENCE = "array<struct<type:string,value:string,match:string>>"
 
 
+def _reference(kind: str):
+    return lambda m, v: F.struct(F.lit(kind).alias("type"), strip(v).alias("value"), m.alias("match"))
+
+
 def references(c: Column) -> Column:
     """T10. References (type, value, match), by type and then position."""
     parts = []
     for kind, pattern in fixed.REFERENCES.items():
         p = f"(?U){_java(pattern)}"
         whole, value = (F.regexp_extract_all(c, F.lit(p), F.lit(g)) for g in (0, 1))
-        parts.append(F.zip_with(whole, value, lambda m, v, k=kind: F.struct(F.lit(k).alias("type"), strip(v).alias("value"), m.alias("match"))))
+        parts.append(F.zip_with(whole, value, _reference(kind)))
     return F.coalesce(F.concat(*parts), F.array().cast(REFERENCE))
 
 

@@ -2,33 +2,42 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quern.functions import text as t
 from quern.operators.bm25 import ranked
 
 #: Queries that are sent to the workers at once.
 BLOCK = 1000
 
 
-def normalise(c: Column) -> Column:
-    """A vector of unit length (a zero vector stays)."""
-    norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.transform(c, lambda x: F.when(norm > 0, x / norm).otherwise(x))
-
-
 def hashed_vector(c: Column, dim: int = 64) -> Column:
     """A stand-in for an embedding model: counts of terms by the first 16 bits of their md5, modulo ``dim``, of unit
-    length."""
-    slots = F.transform(t.terms(c), lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dim)
-    zero = F.array_repeat(F.lit(0.0), dim)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return normalise(F.when(F.size(slots) > 0, counts).otherwise(zero))
+    length (without any term: zeros). A vectorised UDF: as nested lambdas it would hash each term once a dimension."""
+    pattern = re.compile(r"\w{2,}")
+
+    def run(texts: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+        out = []
+        for text in texts:
+            v = np.zeros(dim)
+            for w in pattern.findall((text or "").lower()):
+                slot = known.get(w)
+                if slot is None:
+                    slot = known[w] = int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % dim
+                v[slot] += 1
+            out.append(v / (np.linalg.norm(v) or 1.0))
+        return pd.Series(out)
+
+    return F.pandas_udf(run, T.ArrayType(T.DoubleType()))(c)
 
 
 def embed(df: DataFrame, text_col: str, model: Callable[[list[str]], np.ndarray], out: str = "embedding") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import fixed
 from quern.functions import text as t
 
 ARTICLE_START, CHAPTER_START = r"(?U)Điều\s+\d+[.\s]", r"(?U)Chương\s+\w+[.\s]"
@@ -103,9 +104,8 @@ def tiered_chunks(docs: DataFrame) -> DataFrame:
 def cross_references(chunks_: DataFrame, most_chunks: int = 20, most: int = 10) -> DataFrame:
     """E7. ``chunks_``: (query_id, rank, content). Up to ``most`` distinct references per query in the first 2000
     characters of the first ``most_chunks`` chunks, in the order of the text."""
-    patterns = [r"Điều\s+\d+[^.;\n]{0,100}", r"Nghị định\s+\d+/\d+/[\w-]+", r"Thông tư\s+\d+/\d+/[\w-]+", r"Luật\s+[^,.;\n]{3,60}"]
     head = F.substring("content", 1, 2000)
-    found = F.concat(*(F.regexp_extract_all(head, F.lit(f"(?U)({p})"), F.lit(1)) for p in patterns))
+    found = F.concat(*(F.regexp_extract_all(head, F.lit(f"(?U){p}"), F.lit(1)) for p in fixed.CROSS_REFERENCES))
     tall = chunks_.filter(F.col("rank") <= most_chunks).select("query_id", "rank", F.posexplode(found).alias("pos", "ref")).withColumn("ref", t.strip(F.col("ref")))
     first = tall.filter((F.length("ref") > 5) & (F.length("ref") < 200)).groupBy("query_id", "ref").agg(F.min(F.struct("rank", "pos")).alias("at"))
     return first.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "ref"))).filter(F.col("n") <= most).select("query_id", "ref", "n")
