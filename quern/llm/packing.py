@@ -23,6 +23,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -183,7 +184,7 @@ def _pieces(path: str, capacity: int, keep_ids: bool):
             docs, piece, start, length, crc, kept = [], [], [], [], [], []
             # a text with "<|" may hold a special token's string, whose case tells
             parts = [(t if b"<|" in t else t.lower()).split() for t in byte_texts(batch.column(1))]
-            ids = known.of([w for p in parts for w in p])
+            ids = known.of(list(chain.from_iterable(parts)))
             upto = 0
             for d, p in enumerate(parts):
                 whole = b"".join(ids[upto : upto + len(p)]) + end
