@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import fold
 
 #: At most so many labelled documents of each class train a classifier.
-SAMPLE_PER_CLASS = 2500
+SAMPLE_PER_CLASS = 2000
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMPLE_PER_CLASS, modulus: int = 5, held_out: int = 0) -> tuple[list[bytes], list[int], list[int], list[float]]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import LOWER, UPPER, fresh, written
 
 SAMPLE, VOCABULARY, EVIDENCE = 10_000, 4096, 20
-STEP, ITERATIONS, TOLERANCE = 1.6, 40, 1e-4
+STEP, ITERATIONS, TOLERANCE = 1.6, 40, 2e-4
 
 
 def _words(text: str) -> Column:
@@ -105,9 +105,11 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_co
         fit = [F.coalesce(F.sum(F.col("n_tokens") * F.col(f"p{k}") * F.col("rate")), F.lit(0.0)) for k in range(len(s))]
         got = list(table.withColumn("rate", _rate(residuals, least, most)).agg(*fit).first())
         gap = [g - tokens * x for g, x in zip(got, share, strict=True)]
-        if max(map(abs, gap), default=0.0) <= TOLERANCE * tokens:
-            break
-        residuals.append([g / x if x > 0 else 0.0 for g, x in zip(gap, s, strict=True)])
+        rho = [g / x if x > 0 else 0.0 for g, x in zip(gap, s, strict=True)]
+        still = residuals and max(abs(a - b) for a, b in zip(rho, residuals[-1], strict=True)) <= TOLERANCE
+        if max(map(abs, gap), default=0.0) <= TOLERANCE * tokens or still:
+            break  # the targets are met, or as near as the bounds of the rates allow
+        residuals.append(rho)
     return table.withColumn("rate", _rate(residuals, least, most))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import labelled
-from quern.llm.common import byte_texts, ddl, fold, slices, tokenised
+from quern.llm.common import byte_texts, ddl, fold, give_back, slices, tokenised
 
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\s]+")
 DIM, NONZERO, VOCABULARY, HIDDEN, WINDOW = 64, 6, 20_000, 24, 2
@@ -164,7 +164,9 @@ def fit(texts: list[bytes], ys: list[int], hashes: list[int], weights: list[floa
 
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", **bounds: int) -> Model:
-    return fit(*labelled.sample(docs, labels, label, **bounds))
+    model = fit(*labelled.sample(docs, labels, label, **bounds))
+    give_back()  # the driver keeps no trace of the sample
+    return model
 
 
 def _score(held, at: int, name: str):
