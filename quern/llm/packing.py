@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import byte_texts, ddl, give_back, slices, written
 
 CAPACITY, END_ID = 4096, 1
-CACHE = 150_000
+CACHE = 200_000
 
 
 def runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -113,24 +113,24 @@ class _Ids:
         self.old: dict[bytes, bytes] = {}
 
     def _encode(self, parts: list[bytes]) -> None:
+        ascii_words = [w for w in parts if w.isalpha()]
         words, others = [], []
-        for w in parts:
-            text = w.decode("utf-8", "replace")
-            one = text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())
-            (words if one else others).append((w, text))
+        for w in parts if len(ascii_words) < len(parts) else ():
+            if not w.isalpha():
+                text = w.decode("utf-8", "replace")
+                (words if text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha() else others).append(w)
         for at in range(0, len(others), 20_000):
             some = others[at : at + 20_000]
-            for (w, _), e in zip(some, self.tokenizer.encode_batch_fast([t for _, t in some], add_special_tokens=False), strict=True):
+            for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
                 self.new[w] = array("I", e.ids).tobytes()
         # a part of letters only is one match of the pattern, so one token of it, its last, ends a word
+        words = ascii_words + words
         for at in range(0, len(words), 20_000):
             some = words[at : at + 20_000]
-            encoded = self.tokenizer.encode_batch_fast([" ".join(t for _, t in some[k : k + 200]) for k in range(0, len(some), 200)], add_special_tokens=False)
+            encoded = self.tokenizer.encode_batch_fast([b" ".join(some[k : k + 500]).decode() for k in range(0, len(some), 500)], add_special_tokens=False)
             ids = np.concatenate([np.array(e.ids, "<u4") for e in encoded])
-            raw, start = ids.tobytes(), 0
-            for (w, _), end in zip(some, (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
-                self.new[w] = raw[start:end]
-                start = end
+            raw, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            self.new.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
 
     def of(self, parts: list[bytes]) -> list[bytes]:
         """The ids of each part."""
@@ -139,24 +139,25 @@ class _Ids:
         out = list(map(self.new.get, parts))
         gaps = [i for i, v in enumerate(out) if v is None]
         if gaps:
+            missing = {parts[i] for i in gaps}
+            again = self.old.keys() & missing
+            self.new.update((w, self.old[w]) for w in again)
             plain, split = set(), []
-            for w in {parts[i] for i in gaps}:
-                v = self.old.get(w)
-                if v is not None:
-                    self.new[w] = v
-                    continue
+            for w in missing - again:
                 head = w.rstrip(TAIL)
                 if len(head) < len(w) and head[-1:].isalpha() and not head.translate(None, LETTERS):
-                    split.append((w, head, tail := w[len(head) :]))
+                    tail = w[len(head) :]
+                    split.append((w, head, tail))
                     plain.add(head)
                     plain.add(tail)
                 else:
                     plain.add(w)
-            self._encode([w for w in plain if w not in self.new])
+            self._encode(list(plain - self.new.keys()))
+            new = self.new
             for w, head, tail in split:
-                self.new[w] = self.new[head] + self.new[tail]
+                new[w] = new[head] + new[tail]
             for i in gaps:
-                out[i] = self.new[parts[i]]
+                out[i] = new[parts[i]]
         return out
 
 
