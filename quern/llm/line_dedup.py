@@ -178,7 +178,7 @@ def _pass(held, shards: int, min_docs: int, at: int, last: bool, stats: bool, ow
             if stats:
                 columns |= {"_n_lines": pa.array([len(x) for x in lines], pa.int64()), "_n_dropped": pa.array([len(x) for x in found], pa.int64()), "_sha": pa.array([hashlib.sha256(x).hexdigest() for x in kept])}
             whole = batch.column(at)
-            columns[names[at]] = pa.array([None if x is None else k.decode("utf-8", "replace") for k, x in zip(kept, whole, strict=True)] if whole.null_count else [k.decode("utf-8", "replace") for k in kept], pa.string())
+            columns[names[at]] = pa.array([k.decode("utf-8", "replace") if ok else None for k, ok in zip(kept, whole.is_valid().to_pylist(), strict=True)] if whole.null_count else [k.decode("utf-8", "replace") for k in kept], pa.string())
             yield pa.record_batch(list(columns.values()), list(columns))
 
     return run

@@ -1,0 +1,34 @@
+import os
+
+import pytest
+
+import corpus_pipeline
+from quern.llm import near_dedup, packing, queries
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+
+
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality", "line_dedup", "near_dedup", "mixing", "packing"]
+    before, kept = docs, {}
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, before, SF).persist()
+        kept[name] = after.count()
+        if name != "packing":
+            assert after.columns == docs.columns and after.dtypes == docs.dtypes
+            assert {r.doc_id for r in after.collect()} <= {r.doc_id for r in before.collect()}
+        if name == "near_dedup":
+            assert near_dedup.report(after).filter("NOT kept").count() == 0
+        if name == "mixing":
+            assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()}
+        before = after if name != "packing" else before
+    assert kept["line_dedup"] == kept["quality"] and kept["near_dedup"] < kept["line_dedup"]
+    whole = corpus_pipeline.run(spark, SF)
+    assert whole.count() == kept["packing"] == packing.pieces(before).count()
+
+
+def test_queries_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
