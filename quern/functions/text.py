@@ -144,7 +144,7 @@ def structured_references(texts: pd.Series) -> pd.Series:
 def html_text(c: Column) -> Column:
     """T12. Text of HTML: scripts, styles and comments go, tags end lines, entities are decoded, blank lines shrink."""
     t = F.regexp_replace(c, r"(?is)<(script|style)\b.*?</(script|style)\s*>", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", ""), r"(?s)<[^>]*>", "\n")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", ""), r"(?s)(?:<[^>]*>)+", "\n")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(char))
     t = F.regexp_replace(F.replace(t, F.lit(" "), F.lit(" ")), r"(Điều[ \t]+\d+)[ \t]*\n\s*([.:])", "$1$2")

@@ -62,8 +62,8 @@ def _cut(source: str, most: int) -> str:
 
 
 def _rrf(near: str, sparse: str, wd: float, ws: float, k: int) -> str:
-    return f"""(SELECT query_id, idx, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, at) AS rank FROM (
-  SELECT query_id, idx, sum(s) AS score, min(at) AS at FROM (SELECT query_id, idx, {wd}::DOUBLE / (60 + rank) AS s, rank AS at FROM {near} UNION ALL SELECT query_id, idx, {ws}::DOUBLE / (60 + rank), 1000000 + rank FROM {sparse})
+    return f"""(SELECT query_id, idx, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, place) AS rank FROM (
+  SELECT query_id, idx, sum(s) AS score, min(place) AS place FROM (SELECT query_id, idx, {wd}::DOUBLE / (60 + rank) AS s, rank AS place FROM {near} UNION ALL SELECT query_id, idx, {ws}::DOUBLE / (60 + rank), 1000000 + rank FROM {sparse})
   GROUP BY query_id, idx) QUALIFY rank <= {k})"""
 
 

@@ -58,7 +58,7 @@ def structured_refs(spark, sf_dir):
 
 
 @query(r"""
-WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', chr(10), 'g') AS t FROM pages),
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)(?:<[^>]*>)+', chr(10), 'g') AS t FROM pages),
 b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), chr(160), ' ') AS t FROM a),
 c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(Điều[ \t]+\d+)[ \t]*\n\s*([.:])', '\1\2', 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g') AS t FROM b)
 SELECT page_id, md5(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS body FROM c""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -22,3 +23,10 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps whose results are written: its cleaner follows the driver's garbage
+    collection, which on an idle driver may be half an hour away."""
+    gc.collect()
+    spark._jvm.System.gc()
