@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_texts, coded, fresh, slices, written
+from quern.llm.common import byte_texts, coded, fresh, release, slices, written
 
 POSITIONS, BITS, CHUNKS, DISTANCE = 64, 16, 12, 23
 #: Pairs that share a key go on to the full sets up to this distance: at similarity 0.8 a larger one has a chance of 1e-5.
@@ -261,6 +261,8 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
     # members of keys that several classes share, with the key's centre; the later steps start from here
     shared = written(keys.select("id", "key").join(stars, "key").select("key", "id", "centre", "n"), "shared")
 
+    release(docs.sparkSession)
+
     def joined(links: DataFrame | None) -> DataFrame:
         """Members of shared keys with their component, of keys that hold several; and the components."""
         at = shared if links is None else shared.join(roots, "id", "left")
@@ -270,7 +272,9 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
 
     def link(pairs: DataFrame) -> DataFrame:
         result = confirmed(pairs.select("a", "b"), docs, width, percent)
-        return written(result.filter("linked").select("a", "b"), "links")
+        out = written(result.filter("linked").select("a", "b"), "links")
+        release(docs.sparkSession)
+        return out
 
     first = shared.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
     # of its centres, each member meets the nearest first
