@@ -7,9 +7,9 @@
 3. Positions are split into ``CHUNKS`` chunks. Two signatures that differ in at most ``DISTANCE`` < 2 * ``CHUNKS``
    positions have, by the pigeonhole principle, a chunk with at most one difference. So each chunk gives one key for
    every position that may be wrong: the chunk without that position. Such pairs share a key - none is missed.
-4. Pairs of a key are not listed. Every member meets the key's centre (a star; the centre is the class of most
-   documents), if their signatures are near enough; of its centres each member meets the nearest on the full sets.
-   Members that are still apart from others of a key meet one more centre of each key.
+4. Pairs of a key are not listed. A key's centre is its class of most documents; of the centres of its keys every member
+   meets the one that it shares most keys with, on the full sets if their signatures are near enough. Members that are
+   still apart from others of a key meet one member of each component they share keys with.
 5. What is left is exact. Keys of at most ``SMALL`` members list their pairs across components. Larger keys that hold
    several components form groups; the members outside a group's largest component are its queries and meet all its
    members in blocks - a block of queries against a chunk of members is a task, which counts intersections of full sets
@@ -276,14 +276,18 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
         release(docs.sparkSession)
         return out
 
-    first = shared.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    # of its centres, each member meets the nearest first
-    nearest = _near(first, signatures, ADMIT).groupBy("b").agg(F.min(F.struct("far", "a")).alias("s")).select("s.a", "b")
+    def favourite(pairs: DataFrame, *by: str) -> DataFrame:
+        """Of the pairs (a, b), one row for each key that they share, the centre a of most keys for each b (and ``by``)."""
+        votes = pairs.groupBy("a", "b", *by).agg(F.count("*").alias("votes"))
+        return votes.groupBy("b", *by).agg(F.min(F.struct(-F.col("votes"), "a")).alias("s")).select("s.a", "b").distinct()
+
+    first = favourite(shared.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")))
+    nearest = written(_near(first, signatures, ADMIT).select("a", "b"), "nearest")
     links = link(nearest)
     roots = components(links)
     at = joined(links)
     centre = at.groupBy("key").agg(F.min(F.when(F.col("root") == F.col("low"), F.struct(F.xxhash64("id"), "id"))).alias("c"))
-    second = at.filter("root != low").join(centre, "key").select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
+    second = written(favourite(at.filter("root != low").join(centre, "key").select(F.col("c.id").alias("a"), F.col("id").alias("b"), "low"), "low"), "second")
     links = links.unionByName(link(_near(second.join(nearest, ["a", "b"], "left_anti"), signatures, ADMIT)))
     roots = components(links)
     at = joined(links)
