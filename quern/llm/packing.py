@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import byte_texts, ddl, give_back, slices, written
 
 CAPACITY, END_ID = 4096, 1
-CACHE = 200_000
+CACHE = 350_000
 
 
 def runs(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
