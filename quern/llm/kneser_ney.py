@@ -96,6 +96,14 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(np.bincount(codes, minlength=len(hashes)).astype(np.int64))], ["h", "n"])
 
 
+def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that occurs, with the places where it does, in order; the work doesn't grow with the number of shards."""
+    order = np.argsort(shard, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0, [True]])) if len(shard) else [0]
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        yield int(shard[order[a]]), order[a:b]
+
+
 class Vocabulary:
     """Word ids: the rank of the hash among the sorted hashes. Unknown words have id -1."""
 
@@ -110,10 +118,8 @@ class Vocabulary:
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         out = np.full(len(hashes), -1, np.int64)
         order = np.argsort(hashes)
-        shard = self.shard(hashes[order])
-        for k in np.unique(shard):
-            at = order[shard == k]
-            table = self.hashes[k]
+        for k, place in by_shard(self.shard(hashes[order])):
+            at, table = order[place], self.hashes[k]
             if len(table):
                 place = np.minimum(np.searchsorted(table, hashes[at]), len(table) - 1)
                 out[at] = np.where(table[place] == hashes[at], place + self.first[k], -1)
@@ -122,9 +128,7 @@ class Vocabulary:
     def values(self, ids: np.ndarray, key: str) -> np.ndarray:
         """Of known ids."""
         out = np.zeros(len(ids))
-        shard = np.searchsorted(self.first, ids, side="right") - 1
-        for k in np.unique(shard):
-            at = np.flatnonzero(shard == k)
+        for k, at in by_shard(np.searchsorted(self.first, ids, side="right") - 1):
             out[at] = load(self.folder, f"words-{k}", key)[ids[at] - self.first[k]]
         return out
 
@@ -315,10 +319,8 @@ class Scorer:
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts of sorted distinct keys."""
         out = np.zeros(len(keys), np.int64)
-        shard = pair_shard(keys, self.hot, self.m["pair_shards"])
-        for k in np.unique(shard):
-            at = np.flatnonzero(shard == k)
-            table = self._pairs(int(k))
+        for k, at in by_shard(pair_shard(keys, self.hot, self.m["pair_shards"])):
+            table = self._pairs(k)
             if table is not None:
                 place = np.minimum(np.searchsorted(table[0], keys[at]), len(table[0]) - 1)
                 out[at] = np.where(table[0][place] == keys[at], table[1][place], 0)
