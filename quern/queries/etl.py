@@ -8,8 +8,9 @@ from quern.functions import fixed
 from quern.functions import text as t
 from quern.operators import corpus as c
 from quern.operators import extract as x
-from quern.queries.base import STRIP, STRUCTURED, WORDS, documents, query, structured, table
+from quern.queries.base import STRIP, STRUCTURED, WORDS, documents, fixture, query, structured, table, values
 from quern.schema import conform
+from quern.sources import readers
 
 _KEPT = ", ".join(f"'{k}'" for k in fixed.KEPT_TYPES)
 _TYPE = "CASE WHEN quality = 0 THEN 'Quyết định' WHEN toxic = 1 THEN 'Công văn' ELSE 'Luật' END"
@@ -70,7 +71,16 @@ def window_chunks(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.posexplode(x.windows(F.col("text"), 512, 128)).alias("j", "p")).select("doc_id", F.col("j").cast("long").alias("j"), F.md5("p").alias("piece"))
 
 
-@query()
+def _windows(tier: str, size: int, overlap: int) -> str:
+    step = size - overlap
+    return f"""SELECT '{tier}' AS tier, doc_id || '_chunk' || (s // {step}) AS chunk_id, '' AS article_id, '' AS section, md5(array_to_string(w[s + 1:s + {size}], ' ')) AS text FROM (SELECT doc_id, w, unnest(generate_series(0, ceil((len(w) - {size}) / {step}.0)::BIGINT * {step}, {step})) AS s FROM wd WHERE len(w) > {size})
+UNION ALL SELECT '{tier}', doc_id || '_chunk0', '', '', md5(text) FROM wd WHERE len(w) <= {size}"""
+
+
+@query(f"""WITH {STRUCTURED}, {_SECTIONS}, wd AS (SELECT doc_id, text, {WORDS.format('text')} AS w FROM s)
+SELECT 'article' AS tier, doc_id || '_art' || CASE WHEN article_id <> '' THEN article_id ELSE '0' END AS chunk_id, article_id, title AS section, md5(content) AS text FROM sections WHERE n > 1
+UNION ALL SELECT 'article', doc_id || '_chunk0', '', '', md5(text) FROM s WHERE doc_id IN (SELECT doc_id FROM e WHERE n = 1)
+UNION ALL {_windows('semantic', 512, 128)} UNION ALL {_windows('long', 2048, 256)}""")
 def tiered_chunks(spark, sf_dir):
     docs = structured(spark, sf_dir).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("source").alias("title"), "text")
     return x.tiered_chunks(docs).select("tier", "chunk_id", "article_id", "section", F.md5("text").alias("text"))
@@ -139,3 +149,13 @@ def stream_dedup(spark, sf_dir):
     rows = conform(stream.select(F.concat(F.lit("doc_"), "doc_id").alias("doc_id"), F.col("source").alias("so_ky_hieu"), F.md5("text").alias("article_id"), "text", "source", F.col("doc_id").alias("seq")), "seq")
     dedup_stream(rows).select("seq", "so_ky_hieu", "article_id").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out").select(F.col("seq").alias("doc_id"), "so_ky_hieu", "article_id")
+
+
+PHAPDIEN = [("Điều 1.2.LQ.5", "Điều 5. Tên. Rõ", "nội dung dài hơn hai mươi ký tự", "r", "Luật số 45/2019/QH14", "s"), ("Điều 3", "", "ngắn", "r2", "", "s2"), ("2.7", "Tên gọi", "một nội dung khác cũng đủ dài", "r3", "", "")]
+_CODIFIED = [("phapdien_s", "5", "45/2019/QH14", "Luật 45/2019/QH14"), ("phapdien_r3", "7", "2", "2")]
+
+
+@query(f"SELECT doc_id, article_id, so_ky_hieu, title FROM {values(_CODIFIED, 'doc_id, article_id, so_ky_hieu, title')}")
+def source_phapdien(spark, sf_dir):
+    raw = fixture(spark, PHAPDIEN, "article_id string, article_title string, content_text string, record_id string, source_note_text string, subject_id string")
+    return readers.phapdien(raw).select("doc_id", "article_id", "so_ky_hieu", "title")

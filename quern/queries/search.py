@@ -169,6 +169,18 @@ def used_chunks(spark, sf_dir):
     return a.used(reconstruct(_reranked(spark, sf_dir, 20)), answers).select("query_id", "rank", "article_id")
 
 
+@query(f"WITH {_HYBRID}, {_RERANK}, {_MERGED} SELECT query_id, array_to_string(list_sort(list(DISTINCT doc_title || '/' || article_id || '|' || doc_title)), ',') AS docs, array_to_string(list_sort(list(DISTINCT doc_title || '/' || article_id || '|' || doc_title || '|Điều ' || article_id)), ',') AS articles FROM rc GROUP BY query_id")
+def relevant_keys(spark, sf_dir):
+    keys = a.relevant(reconstruct(_reranked(spark, sf_dir, 20)))
+    return keys.select("query_id", F.array_join("relevant_docs", ",").alias("docs"), F.array_join("relevant_articles", ",").alias("articles"))
+
+
+@query(f"WITH {_HYBRID}, {_RERANK}, {_MERGED} SELECT query_id, string_agg(doc_title || '/' || article_id || '#' || article_id, ',' ORDER BY rank) AS predicted FROM rc GROUP BY query_id")
+def predictions(spark, sf_dir):
+    rows = a.predictions(reconstruct(_reranked(spark, sf_dir, 20)))
+    return rows.select("query_id", F.array_join("predicted_articles", ",").alias("predicted"))
+
+
 TITLES = [(0, "Luật Doanh nghiệp năm 2014", ""), (1, "Luật Doanh nghiệp năm 2020", ""), (2, "Nghị định về doanh nghiệp nhỏ", ""), (3, "Luật Bảo hiểm xã hội 58/2014/QH13 - Điều 3", "58/2014/QH13")]
 NAMES = [(1, "Luật Doanh nghiệp 2020", "Luật Doanh nghiệp năm 2020"), (2, "Luật Doanh nghiệp", "Luật Doanh nghiệp năm 2014"), (3, "Thông tư Doanh nghiệp", None), (4, "58/2014/QH13", "Luật Bảo hiểm xã hội 58/2014/QH13"), (5, "xx", None)]
 

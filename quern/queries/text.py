@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import fixed
 from quern.functions import text as t
+from quern.operators import answer as assembly
 from quern.plans import retrieval as plans
 from quern.queries.base import STRIP, STRUCTURED, WORD, WORDS, documents, fixture, query, structured, table, values
 
@@ -100,3 +101,20 @@ _PLAN = values([(k, *(int(x) if isinstance(x, bool) else x for x in p)) for k, p
 @query(f"SELECT query_id, p.kind, top_k_retrieval, top_k_rerank, top_k_final, num_query_variations, hyde = 1 AS use_hyde, dense_weight::DOUBLE AS dense_weight, sparse_weight::DOUBLE AS sparse_weight FROM (SELECT query_id, {_CASE} AS kind FROM {values(KINDS, 'query_id, reply')}) q JOIN (SELECT * FROM {_PLAN}) p ON q.kind = p.kind")
 def adaptive_plan(spark, sf_dir):
     return plans.query_plan(fixture(spark, KINDS, "query_id int, reply string").select("query_id", plans.query_kind(F.col("reply")).alias("kind")))
+
+
+LAWS = [(1, "luật doanh nghiệp năm 2020", "luật", "doanh nghiệp năm", "2020"), (2, "bộ luật lao động 45/2019/qh14", "bộ luật", "lao động 45 qh14", "2019"), (3, "hướng dẫn thuế-gtgt", "", "hướng dẫn thuế gtgt", "")]
+
+
+@query(f"SELECT id, kind, core, year FROM {values(LAWS, 'id, name, kind, core, year')}")
+def law_forms(spark, sf_dir):
+    name = F.col("name")
+    return fixture(spark, LAWS, "id int, name string, k string, c string, y string").select("id", t.law_kind(name).alias("kind"), t.core_name(name).alias("core"), t.year(name).alias("year"))
+
+
+ANSWERS = [(1, "theo Điều 12 và Điều 12, Khoản 3", "Điều 12|Khoản 3"), (2, "không có", "")]
+
+
+@query(f"SELECT id, cited FROM {values(ANSWERS, 'id, answer, cited')}")
+def citations(spark, sf_dir):
+    return fixture(spark, ANSWERS, "id int, answer string, want string").select("id", F.array_join(assembly.citations(F.col("answer")), "|").alias("cited"))
