@@ -84,25 +84,29 @@ def chunked(docs: DataFrame) -> DataFrame:
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
-        rows = []
-        for chars, sizes, cut in zip(batch.column("chars").to_pylist(), batch.column("bytes").to_pylist(), batch.column("cut").to_pylist(), strict=True):
-            spans, n, dropped = [], 0, 0
+        rows, owners = [], []
+        for own, chars, sizes, cut in zip(*(batch.column(c).to_pylist() for c in ("id", "chars", "bytes", "cut")), strict=True):
+            spans, n, dropped, first = [], 0, 0, set()
             if cut:
-                at, repeated = np.cumsum([0, *chars]).tolist(), sorted(set(cut))
-                groups = np.split(repeated, np.flatnonzero(np.diff(repeated) != 1) + 1)
-                for g in groups:
+                at, owner = np.cumsum([0, *chars]).tolist(), {c["at"]: c["first"] for c in cut}
+                repeated = sorted(owner)
+                for g in np.split(repeated, np.flatnonzero(np.diff(repeated) != 1) + 1):
                     a, b = int(g[0]), int(g[-1]) + 1
                     if sum(sizes[a:b]) >= RUN or b - a == len(sizes):
                         spans.append({"start": at[a], "end": at[b]})
                         n += b - a
                         dropped += at[b] - at[a]
+                        first.update(owner[k] for k in range(a, b))
             rows.append((len(sizes), n, dropped, sum(chars) - dropped, spans))
+            owners.append(sorted(first - {own}))
         columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-        yield pa.record_batch([batch.column("id"), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], kind)], ["id", "n_chunks", "n_dropped", "dropped_chars", "kept_chars", "spans"])
+        ids = batch.column("id")
+        yield pa.record_batch([ids, *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], kind), pa.array(owners, pa.list_(ids.type))], ["id", "n_chunks", "n_dropped", "dropped_chars", "kept_chars", "spans", "first_ids"])
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_chunks, n_dropped, dropped_chars, kept_chars, spans (code point ranges to cut).
+    """Per document: id, n_chunks, n_dropped, dropped_chars, kept_chars, spans (code point ranges to cut), first_ids (the
+    other documents that keep what is cut here).
 
     A null or empty text has no chunks. Rows that repeat an id are one document. Rows with a null id are never cut and
     never make others cut. An empty table gives an empty table; other columns are not read.
@@ -113,8 +117,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     tall = chunks.filter("id IS NOT NULL").select("id", F.posexplode(F.arrays_zip("d0", "d1")).alias("at", "d")).select("id", "at", "d.d0", "d.d1")
     first = tall.groupBy("d0", "d1").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     repeated = tall.join(first, ["d0", "d1"]).filter((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")))
-    cut = repeated.groupBy("id").agg(F.collect_list("at").alias("cut"))
-    return chunks.select("id", "chars", "bytes").join(cut, "id", "left").mapInArrow(_spans, f"id {kind}, n_chunks long, n_dropped long, dropped_chars long, kept_chars long, spans array<struct<start:int,end:int>>")
+    cut = repeated.groupBy("id").agg(F.collect_list(F.struct("at", F.col("first.id").alias("first"))).alias("cut"))
+    return chunks.select("id", "chars", "bytes").join(cut, "id", "left").mapInArrow(_spans, f"id {kind}, n_chunks long, n_dropped long, dropped_chars long, kept_chars long, spans array<struct<start:int,end:int>>, first_ids array<{kind}>")
 
 
 def cut_spans(docs: DataFrame, planned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -129,5 +133,5 @@ def cut_spans(docs: DataFrame, planned: DataFrame, id_col: str = "doc_id", text_
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """:func:`plan` under the name doc_id."""
-    return plan(docs).withColumnRenamed("id", "doc_id")
+    """:func:`plan` of the documents that lose a passage which another document keeps, under the name doc_id."""
+    return plan(docs).filter(F.size("first_ids") > 0).withColumnRenamed("id", "doc_id")

@@ -347,7 +347,8 @@ def test_substring_dedup(spark, corpus):
             assert sum(s.end - s.start for s in got[i].spans) > len(passage) // 2
             assert all(t[s.start : s.end] in passage for s in got[i].spans)
     odd, _ = corpus
-    assert substring_dedup.report(odd).count() == odd.count() and substring_dedup.report(empty(spark)).count() == 0
+    assert {r.doc_id: set(r.first_ids) for r in substring_dedup.report(df).collect()} == {i: {0} for i in range(1, 6)}
+    assert substring_dedup.plan(odd).count() == odd.count() and substring_dedup.report(empty(spark)).count() == 0
 
 
 def test_chunks_cover_and_resist_shifts():
