@@ -238,7 +238,9 @@ def _matrix(width: int, percent: int):
 def _group_links(at: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Links across the components of each group of large keys. ``at``: (any, id, root), ``any`` being a key's member."""
     kind = docs.schema["id"].dataType.simpleString()
-    stars = at.select(F.col("any").alias("a"), F.col("id").alias("b")).distinct()
+    # a member joins the smallest of its keys' members to itself and to the others: the last are the same for many
+    own = at.groupBy("id").agg(F.collect_set("any").alias("of")).withColumn("a", F.array_min("of"))
+    stars = own.select("a", F.col("id").alias("b")).unionByName(own.select("a", F.explode("of").alias("b"))).distinct()
     group = components(stars).withColumnRenamed("root", "grp")
     members = group.join(at.select("id", "root").distinct(), "id")
     sizes = members.groupBy("grp", "root").agg(F.count("*").alias("n")).groupBy("grp").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("top"))
