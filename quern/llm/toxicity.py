@@ -29,7 +29,7 @@ from quern.llm import labelled
 from quern.llm.common import byte_texts, ddl, fold, give_back, slices, tokenised
 
 TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[.!?\n]+")
-CACHE = 200_000
+CACHE = 100_000
 #: Steps of training; sentences without a toxic token that train the field, per sentence with one.
 STEPS, PLAIN = 80, 3
 
