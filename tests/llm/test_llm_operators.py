@@ -351,6 +351,18 @@ def test_substring_dedup(spark, corpus):
     assert substring_dedup.plan(odd).count() == odd.count() and substring_dedup.report(empty(spark)).count() == 0
 
 
+def test_substring_dedup_finds_short_passages(spark):
+    rng = random.Random(12)
+    lexicon = ["".join(rng.choice("aeinorstl") for _ in range(rng.randint(2, 8))) for _ in range(2000)]
+    prose = lambda n: " ".join(rng.choice(lexicon) for _ in range(n))
+    passages = [prose(51) for _ in range(150)]
+    texts = [f"{prose(40)} {p} {prose(40)}" for p in passages for _ in range(2)]
+    for r in substring_dedup.plan(frame(spark, texts)).collect():
+        a = texts[r.id].index(passages[r.id // 2])
+        shared = [min(s.end, a + len(passages[r.id // 2])) - max(s.start, a) for s in r.spans]
+        assert not shared if r.id % 2 == 0 else sum(shared) > 0.9 * len(passages[r.id // 2]) and r.first_ids == [r.id - 1]
+
+
 def test_chunks_cover_and_resist_shifts():
     rng = random.Random(1)
     text = " ".join(f"t{rng.randrange(10**6)}" for _ in range(3000)).encode()
