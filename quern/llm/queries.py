@@ -50,7 +50,8 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.report(_docs(spark, sf_dir))
+    """One row a document: what is cut, also for repeats inside its own text, and the other documents that keep it."""
+    return substring_dedup.plan(_docs(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

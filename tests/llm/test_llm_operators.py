@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import chroma, kneser_ney, line_dedup, mixing, near_dedup, packing, quality, rules, substring_dedup, toxicity
+from quern.llm import chroma, kneser_ney, line_dedup, mixing, near_dedup, packing, quality, queries, rules, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = "id long, key string, _score double, n int, _cut int, a string"
@@ -363,6 +363,16 @@ def test_substring_dedup_finds_short_passages(spark):
         assert not shared if r.id % 2 == 0 else sum(shared) > 0.9 * len(passages[r.id // 2]) and r.first_ids == [r.id - 1]
 
 
+def test_substring_dedup_query_has_every_document(spark, tmp_path):
+    rng = random.Random(13)
+    fresh = lambda n: " ".join(f"q{rng.randrange(10**6)}" for _ in range(n))
+    own, shared = fresh(60), fresh(60)
+    frame(spark, [f"{own} {fresh(40)} {own}", shared + " " + fresh(40), fresh(40) + " " + shared, fresh(30), None]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op9_substring_dedup(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4] and [i for i in got if got[i].spans] in ([0, 2], [2, 0])
+    assert got[0].first_ids == [] and got[2].first_ids == [1]
+
+
 def test_chunks_cover_and_resist_shifts():
     rng = random.Random(1)
     text = " ".join(f"t{rng.randrange(10**6)}" for _ in range(3000)).encode()
