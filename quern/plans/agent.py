@@ -9,7 +9,9 @@ from __future__ import annotations
 import json
 import re
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 from typing import Protocol
 
 from pyspark.sql import DataFrame, Window
@@ -85,12 +87,6 @@ class Engine:
         self.spark = retriever.corpus.sparkSession
         self.titles = lawmatch.title_index(retriever.corpus) if "title" in retriever.corpus.columns else None
 
-    def _queries(self, query: str, more: list[str]) -> DataFrame:
-        return self.spark.createDataFrame([(0, query, more)], "query_id long, query string, expansions array<string>")
-
-    def _found(self, query: str, more: list[str], top_k: int, titles: DataFrame | None, seen: DataFrame | None) -> DataFrame:
-        return plans.multi_query(self.retriever, self._queries(query, more), top_k, self.embed, titles, seen)
-
     def _ordered(self, chunks: DataFrame, query: str) -> DataFrame:
         """One list in the order of (query, rank), for the reranker."""
         w = Window.partitionBy("query_id").orderBy(*(c for c in ("turn", "query_order", "rank") if c in chunks.columns))
@@ -108,7 +104,13 @@ class Engine:
 
         A reply counts as useless if it contains NOT_USEFUL.
         """
-        context = next((r.context for r in assembly.context(assembly.context_gate(chunks, threshold, final=self.config.final_top_k)).collect()), "")
+        context = next((r.context for r in self._contexts(chunks, threshold).collect()), "")
+        return self._replied(query, context, self_correct, rounds)
+
+    def _contexts(self, chunks: DataFrame, threshold: float) -> DataFrame:
+        return assembly.context(assembly.context_gate(chunks, threshold, final=self.config.final_top_k))
+
+    def _replied(self, query: str, context: str, self_correct: bool, rounds: int = 2) -> tuple[str, int]:
         prompt = f"ANSWER\n{context}\n\nQUESTION\n{query}"
         out = self.model.generate(prompt)
         if len(out) < 30 or "NOT_USEFUL" in self.model.generate(f"USEFUL?\n{query}\n{out[:500]}", 0.0).upper():
@@ -123,49 +125,85 @@ class Engine:
 
     def _finish(self, result: Result, chunks: DataFrame) -> Result:
         """R8, R9, A5 for one query."""
-        answers = self.spark.createDataFrame([(0, result.answer)], "query_id long, answer string")
-        used = assembly.used(chunks, answers, self.config.final_top_k)
-        result.citations = answers.select(assembly.citations(F.col("answer")).alias("c")).first().c
-        keys = assembly.relevant(used).first()
-        if keys:
-            result.relevant_docs, result.relevant_articles = keys.relevant_docs, keys.relevant_articles
-        result.chunks = [r.asDict() for r in assembly.api_rows(used).orderBy("rank").collect()]
-        top = assembly.confidence(chunks).first()
-        result.confidence = float(top.confidence) if top else 0.0
+        self._finished({0: result}, chunks, "long")
         return result
 
+    def _finished(self, results: dict[int, Result], chunks: DataFrame, kind: str) -> None:
+        """R8, R9, A5 for the results of a block, by query id."""
+        answers = self.spark.createDataFrame([(i, r.answer) for i, r in results.items()], f"query_id {kind}, answer string")
+        used = assembly.used(chunks, answers, self.config.final_top_k)
+        for r in answers.select("query_id", assembly.citations(F.col("answer")).alias("c")).collect():
+            results[r.query_id].citations = r.c
+        for r in assembly.relevant(used).collect():
+            results[r.query_id].relevant_docs, results[r.query_id].relevant_articles = r.relevant_docs, r.relevant_articles
+        for r in assembly.api_rows(used).orderBy("query_id", "rank").collect():
+            results[r.query_id].chunks.append(r.asDict())
+        for r in assembly.confidence(chunks).collect():
+            results[r.query_id].confidence = float(r.confidence)
+
     def agent(self, query: str, most_turns: int = 0, self_correct: bool = True) -> Result:
-        """G4. Retrieve (query, hypothetical answer, the model's own queries), then rerank and assess in turns, each of which
-        may retrieve what is missing; then rerank, reconstruct, generate."""
-        c, began = self.config, time.time()
-        analysis = parsed(self.model.generate(f"ANALYSE\n{query}", 0.1))
-        asks = self.spark.createDataFrame([(query,)], "q string").select(fusion.situational_query(F.col("q")).alias("s")).first().s
-        hypothetical = self.model.generate(f"HYPOTHETICAL\n{query}", 0.7).strip() if asks else ""
-        laws = self.laws(list(analysis.get("laws") or []))
-        titles = self.spark.createDataFrame([(0, x) for x in laws], "query_id long, title string") if laws else None
-        more = [hypothetical, *(analysis.get("search_queries") or [])]
-        found = self._found(query, more, c.retrieval_top_k * (4 if laws else 1), titles, None)
-        if titles is not None:
-            found = fusion.only_matched(found, titles)
-        every = written(self._ordered(found, query).filter(F.col("rank") <= 2 * c.retrieval_top_k).withColumn("turn", F.lit(0)))
+        """G4 for one question."""
+        asked = self.spark.createDataFrame([(0, query)], "query_id long, query string")
+        return next(self.agents(asked, most_turns, self_correct))[1]
+
+    def agents(self, queries: DataFrame, most_turns: int = 0, self_correct: bool = True, block: int = 20) -> Iterator[tuple[int, Result]]:
+        """G4. ``queries``: (query_id, query), ids distinct. Retrieve (query, hypothetical answer, the model's own queries),
+        then rerank and assess in turns, each of which may retrieve what is missing; then rerank, reconstruct, generate.
+        Questions go through the plans in blocks; results come in the order of the rows."""
+        rows = queries.select("query_id", "query").toLocalIterator()
+        while asked := {r.query_id: r.query for r in islice(rows, block)}:
+            yield from self._block(asked, queries.schema["query_id"].dataType.simpleString(), most_turns, self_correct)
+
+    def _block(self, asked: dict, kind: str, most_turns: int, self_correct: bool) -> Iterator[tuple[int, Result]]:
+        c, began, frame = self.config, time.time(), self.spark.createDataFrame
+        own = F.broadcast(frame(list(asked.items()), f"query_id {kind}, query string"))  # at most a block
+        ordered = lambda chunks: self._ordered(chunks, "").drop("query").join(own, "query_id")
+        found = lambda more, top_k, titles, seen: plans.multi_query(self.retriever, frame([(i, *m) for i, m in more.items()], f"query_id {kind}, query string, expansions array<string>"), top_k, self.embed, titles, seen)
+        asks = {r.query_id: r.s for r in own.select("query_id", fusion.situational_query(F.col("query")).alias("s")).collect()}
+        more, laws = {}, {}
+        for i, query in asked.items():
+            analysis = parsed(self.model.generate(f"ANALYSE\n{query}", 0.1))
+            hypothetical = self.model.generate(f"HYPOTHETICAL\n{query}", 0.7).strip() if asks[i] else ""
+            laws[i] = self.laws(list(analysis.get("laws") or []))
+            more[i] = [hypothetical, *(analysis.get("search_queries") or [])]
+        named = [(i, x) for i in asked for x in laws[i]]
+        titles = frame(named, f"query_id {kind}, title string") if named else None
+        parts = []
+        for with_laws in (False, True):
+            if some := {i: (asked[i], more[i]) for i in asked if bool(laws[i]) == with_laws}:
+                got = found(some, c.retrieval_top_k * (4 if with_laws else 1), titles if with_laws else None, None)
+                parts.append(fusion.only_matched(got, titles) if with_laws else got)
+        got = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        every = written(ordered(got).filter(F.col("rank") <= 2 * c.retrieval_top_k).withColumn("turn", F.lit(0)))
+        going = list(asked)
         for turn in range(1, (most_turns or c.agentic_max_iterations) + 1):
-            best = rerank(self._ordered(every, query), c.rerank_top_k, self.scorer)
-            summary = next((r.summary for r in assembly.summary(best).collect()), "")
-            assessed = parsed(self.model.generate(f"ASSESS\n{query}\n{summary}", 0.0))
-            follow = assessed.get("follow_up_queries") or []
-            if assessed.get("is_complete", True) or not follow:
+            best = rerank(ordered(every.filter(F.col("query_id").isin(going))), c.rerank_top_k, self.scorer)
+            summaries = {r.query_id: r.summary for r in assembly.summary(best).collect()}
+            follow = {}
+            for i in going:
+                assessed = parsed(self.model.generate(f"ASSESS\n{asked[i]}\n{summaries.get(i, '')}", 0.0))
+                next_queries = assessed.get("follow_up_queries") or []
+                if not assessed.get("is_complete", True) and next_queries:
+                    follow[i] = (next_queries[0], list(next_queries[1:]))
+            if not follow:
                 break
-            new = self._found(follow[0], list(follow[1:]), c.retrieval_top_k // 2, titles, every)
-            new = written(self._ordered(new, query).withColumns({"turn": F.lit(turn), "source": F.lit(f"agent_iter_{turn}")}))
-            if new.isEmpty():
+            new = found(follow, c.retrieval_top_k // 2, titles, every)
+            new = written(ordered(new).withColumns({"turn": F.lit(turn), "source": F.lit(f"agent_iter_{turn}")}))
+            going = [r.query_id for r in new.select("query_id").distinct().collect()]
+            if not going:
                 break
+            going = [i for i in asked if i in going]
             every = every.unionByName(new, allowMissingColumns=True)
         retrieved = time.time()
-        final = written(reconstruct(rerank(self._ordered(every, query), c.rerank_top_k, self.scorer)))
+        final = written(reconstruct(rerank(ordered(every), c.rerank_top_k, self.scorer)))
         ranked = time.time()
-        text, corrections = self.generate(query, final.filter(F.col("rank") <= 2 * c.agentic_top_k), self_correct, threshold=c.score_threshold)
-        result = Result(query, "agentic", text, corrections=corrections, expanded_queries=[q for q in more if q], retrieval_time=retrieved - began, rerank_time=ranked - retrieved, generation_time=time.time() - ranked)
-        return self._finish(result, final)
+        contexts = {r.query_id: r.context for r in self._contexts(final.filter(F.col("rank") <= 2 * c.agentic_top_k), c.score_threshold).collect()}
+        results = {}
+        for i, query in asked.items():
+            text, corrections = self._replied(query, contexts.get(i, ""), self_correct)
+            results[i] = Result(query, "agentic", text, corrections=corrections, expanded_queries=[q for q in more[i] if q], retrieval_time=retrieved - began, rerank_time=ranked - retrieved, generation_time=time.time() - ranked)
+        self._finished(results, final, kind)
+        yield from results.items()
 
     def classic(self, query: str, self_correct: bool = True) -> Result:
         """G5, G6, P10. Classify, prepare, decompose, expand, retrieve, hypothetical answer, hops, rerank, reconstruct, and

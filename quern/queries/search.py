@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 from pyspark.sql import functions as F
 
 from quern.operators import answer as a
@@ -9,6 +11,7 @@ from quern.operators import bm25, dense, fusion, lawmatch
 from quern.operators.rerank import reconstruct, rerank
 from quern.plans import retrieval as plans
 from quern.queries.base import documents, fixture, query, table, terms, values
+from quern.storage import shared_dir
 
 
 def _corpus(spark, sf_dir):
@@ -200,9 +203,15 @@ def multi_hop(spark, sf_dir):
 
 @query()
 def agent_answer(spark, sf_dir):
-    """The agent with the rule model over the first question of the benchmark."""
+    """The agent with the rule model over every question of the benchmark; results are written as they come."""
     from quern.plans.agent import Engine
 
-    first = _queries(spark, sf_dir).orderBy("query_id").first()
-    out = Engine(_retriever(spark, sf_dir), embed=dense.hashed_vector).agent(first.query)
-    return spark.createDataFrame([(out.query, out.query_type, out.answer, out.relevant_docs, float(out.confidence), len(out.chunks))], "query string, query_type string, answer string, relevant_docs array<string>, confidence double, n_chunks int")
+    schema = "query_id long, query string, query_type string, answer string, relevant_docs array<string>, confidence double, n_chunks int"
+    path = f"{shared_dir(spark)}/answers"
+    spark.createDataFrame([], schema).write.parquet(path)
+    engine = Engine(_retriever(spark, sf_dir), embed=dense.hashed_vector)
+    results = engine.agents(_queries(spark, sf_dir).select(F.col("query_id").cast("long").alias("query_id"), "query"))
+    while some := list(islice(results, 20)):
+        rows = [(i, r.query, r.query_type, r.answer, r.relevant_docs, r.confidence, len(r.chunks)) for i, r in some]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)

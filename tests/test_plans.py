@@ -45,6 +45,23 @@ def test_agent_and_classic(engine):
     assert out.query_type == "multi_article" and out.citations == ["Điều 1", "Điều 2"]
 
 
+def test_agent_answers_every_question(spark, engine, tmp_path):
+    from quern.queries import search
+
+    rows = [(i, f"alpha{i} beta gamma word{i} of this text", "en", "s", 30) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    questions = [(i, f"word{i} beta") for i in range(3, 26)]
+    spark.createDataFrame(questions, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.query_id: r.query for r in search.agent_answer(spark, str(tmp_path)).collect()}
+    assert got == dict(questions)
+    asked = [(4, "vốn điều lệ"), (9, "bảo hiểm xã hội")]
+    rules = Engine(engine.retriever, RuleModel(), hashed_vector)
+    both = dict(rules.agents(spark.createDataFrame(asked, "query_id long, query string")))
+    for i, query in asked:
+        alone = rules.agent(query)
+        assert (both[i].answer, both[i].relevant_docs, both[i].confidence) == (alone.answer, alone.relevant_docs, alone.confidence)
+
+
 def test_service(engine):
     service = Service(engine)
     assert service.health()["corpus_docs"] == 13
