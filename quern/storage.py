@@ -3,26 +3,51 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: While it holds, Spark removes a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under ``spark.checkpoint.dir``; where that is unset (tests), a temporary folder is set."""
+    """A new folder name under ``spark.checkpoint.dir``; where that is unset and one machine does all (tests), a temporary
+    folder is set. A cluster has to name its shared folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "local")
+        if not re.match(r"local($|\[)", master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quern-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/quern-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written to the shared folder and read back: later jobs, and lost executors, start from there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read back: later jobs, and lost executors, start from there. The shuffle
+    files of the query go as soon as the table is there."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`written` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
 def release(spark: SparkSession) -> None:
