@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.storage import release, shared_dir, written
+from quern.storage import discard, release, shared_dir, written
 
-__all__ = ["byte_texts", "coded", "ddl", "fold", "fresh", "per_doc", "release", "shared_dir", "slices", "tokenised", "written"]
+__all__ = ["byte_texts", "coded", "ddl", "discard", "fold", "fresh", "per_doc", "release", "shared_dir", "slices", "tokenised", "written"]
 
 #: ASCII white space, the only separators of words.
 SPACE = " \t\n\x0b\x0c\r"

@@ -7,11 +7,12 @@ surroundings. A passage of at least ``2 * SPAN + WINDOW - 1`` bytes (223) that t
 digest in both, whatever surrounds it. Where hashes repeat within ``SPAN`` bytes (runs of one short pattern), ends are
 thinned out, and chunks may be longer, to ``MOST`` bytes.
 
-Of equal chunks (128-bit digests) the first one stays, in the order of document ids and positions. A run of repeated
+Of equal chunks (96-bit digests) the first one stays, in the order of document ids and positions. A run of repeated
 chunks whose first copies are neighbours too is extended byte by byte over what surrounds those (up to ``REACH`` bytes
 on either side). What such runs cover is narrowed to whole words, and cut if it has at least ``RUN`` bytes or is the whole
-text. Digests are counted with partial aggregation and joined back by key, which Spark splits where a chunk is very
-common; nothing is collected.
+text. Digests are counted with partial aggregation; the repeated ones are written and joined back by key, a join of two
+shuffles, which Spark splits where a chunk is very common. Nothing is collected, and a step's tables go when the next is
+written.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_texts, give_back, release, slices, written
+from quern.llm.common import byte_texts, discard, give_back, slices, written
 
 SPAN, MOST, RUN = 96, 256, 120
 WINDOW = 32
@@ -104,6 +105,15 @@ def chunk_ends(texts: list[bytes]) -> list[list[int]]:
     return out
 
 
+def _digest(text: bytes, a: int, b: int) -> bytes:
+    """Of the chunk text[a:b] and what stands before it: twelve bytes."""
+    before = text[max(0, a - WINDOW) : a]
+    return xxhash.xxh3_128_digest(b"\0" * (WINDOW - len(before)) + before + text[a:b])[:12]
+
+
+_DIGEST = np.dtype([("d0", "<i8"), ("d1", "<i4")])
+
+
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     gap = b"\0" * WINDOW
     for batch in slices(batches, 1, BLOCK):
@@ -111,17 +121,17 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digests, counts = [], []
         for text, ends in zip(texts, chunk_ends(texts), strict=True):
             padded = gap + text
-            digests.append(np.frombuffer(b"".join([xxhash.xxh3_128_digest(padded[a : b + WINDOW]) for a, b in zip([0, *ends[:-1]], ends, strict=False)]), "<i8").reshape(-1, 2))
+            digests += [xxhash.xxh3_128_digest(padded[a : b + WINDOW])[:12] for a, b in zip([0, *ends[:-1]], ends, strict=False)]
             counts.append(len(ends))
         edges = pa.array(np.cumsum([0, *counts]).astype(np.int32))
-        both = np.concatenate(digests) if digests else np.zeros((0, 2), np.int64)
-        flat = [pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)]
+        both = np.frombuffer(b"".join(digests), _DIGEST)
+        flat = [pa.array(np.ascontiguousarray(both[k])) for k in ("d0", "d1")]
         yield pa.record_batch([batch.column(0), *(pa.ListArray.from_arrays(edges, f) for f in flat)], ["id", "d0", "d1"])
 
 
 def chunked(docs: DataFrame) -> DataFrame:
     """``docs``: (id, text). Per document the digests of its chunks."""
-    return docs.mapInArrow(_chunk, f"id {docs.schema[0].dataType.simpleString()}, d0 array<long>, d1 array<long>")
+    return docs.mapInArrow(_chunk, f"id {docs.schema[0].dataType.simpleString()}, d0 array<long>, d1 array<int>")
 
 
 def _runs(cut: list[dict]) -> list[list[dict]]:
@@ -138,17 +148,23 @@ def _few_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["id", "at", "after", "first_id", "first_at"]
+    names = ["id", "at", "after", "first_id", "first_at", "d0"]
     for batch in _few_rows(batches):
         rows = []
         for own, cut in zip(batch.column("id").to_pylist(), batch.column("cut").to_pylist(), strict=True):
             for run in _runs(cut):
-                rows += [(own, c["at"], after, c["first"], c["first_at"]) for c, after in ((run[0], False), (run[-1], True))]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-        kinds = [batch.column("id").type, pa.int32(), pa.bool_(), batch.column("id").type, pa.int32()]
+                rows += [(own, c["at"], after, c["first"], c["first_at"], c["d0"]) for c, after in ((run[0], False), (run[-1], True))]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+        kinds = [batch.column("id").type, pa.int32(), pa.bool_(), batch.column("id").type, pa.int32(), pa.int64()]
         yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
+def _is_chunk(text: bytes, at: list[int], asked: dict) -> bool:
+    """Whether the text's chunk of that number has that digest: rows that repeat an id may hold other texts."""
+    k = asked["at"]
+    return k + 1 < len(at) and int.from_bytes(_digest(text, at[k], at[k + 1])[:8], "little", signed=True) == asked["d0"]
+
+
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The size of each document, the text of those with repeats, and the bytes asked for beside chunks."""
     piece = pa.list_(pa.struct([("at", pa.int32()), ("after", pa.bool_()), ("piece", pa.binary())]))
@@ -159,8 +175,7 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = chunk_ends(texts)
         for text, own, asks in zip(texts, ends, asked, strict=True):
             at = [0, *own]
-            # rows that repeat an id may differ in length
-            pieces.append([{**a, "piece": text[at[a["at"] + 1] : at[a["at"] + 1] + REACH] if a["after"] else text[max(0, at[a["at"]] - REACH) : at[a["at"]]]} for a in asks or () if a["at"] + 1 < len(at)])
+            pieces.append([{"at": a["at"], "after": a["after"], "piece": text[at[a["at"] + 1] : at[a["at"] + 1] + REACH] if a["after"] else text[max(0, at[a["at"]] - REACH) : at[a["at"]]]} for a in asks or () if _is_chunk(text, at, a)])
         kept = pa.array([t if c else None for t, c in zip(texts, batch.column("cut").to_pylist(), strict=True)], pa.binary())
         chars = pa.array([len(t.decode()) for t in texts], pa.int64())
         yield pa.record_batch([batch.column("id"), pa.array(map(len, ends), pa.int64()), chars, kept, pa.array(pieces, piece)], ["id", "n_chunks", "n_chars", "text", "pieces"])
@@ -202,7 +217,7 @@ def _spans_of(text: bytes, cut: list[dict], pieces: list[dict]) -> list[tuple[in
     for p in pieces:
         beside.setdefault((p["at"], p["after"]), []).append(p["piece"])
     runs = []
-    for run in _runs([c for c in cut if c["at"] + 1 < len(at)]):
+    for run in _runs([c for c in cut if _is_chunk(text, at, c)]):
         if not run:
             continue
         a, b = at[run[0]["at"]], at[run[-1]["at"] + 1]
@@ -247,24 +262,26 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Per document: id, n_chunks, n_dropped (repeated chunks of what is cut), dropped_chars, kept_chars, spans (code point
     ranges to cut), first_ids (the other documents that keep what is cut here).
 
-    A null or empty text has no chunks. Rows that repeat an id are one document. Rows with a null id are never cut and
-    never make others cut. An empty table gives an empty table; other columns are not read.
+    A null or empty text has no chunks. Rows that repeat an id with the same text are one document; where rows of one id
+    hold different texts, each keeps a chunk that is the first at its place, and loses what other rows hold earlier. Rows
+    with a null id are never cut and never make others cut. An empty table gives an empty table; other columns are not
+    read.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    spark, kind = docs.sparkSession, own.schema[0].dataType.simpleString()
+    kind = own.schema[0].dataType.simpleString()
     chunks = written(chunked(own), "chunks")
     tall = chunks.filter("id IS NOT NULL").select("id", F.posexplode(F.arrays_zip("d0", "d1")).alias("at", "d")).select("id", "at", "d.d0", "d.d1")
-    first = tall.groupBy("d0", "d1").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = written(tall.groupBy("d0", "d1").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first")
     repeated = tall.join(first, ["d0", "d1"]).filter((F.col("id") != F.col("first.id")) | (F.col("at") != F.col("first.at")))
-    cut = written(repeated.groupBy("id").agg(F.collect_list(F.struct("at", F.col("first.id").alias("first"), F.col("first.at").alias("first_at"))).alias("cut")), "cut")
-    release(spark)
-    edges = written(cut.mapInArrow(_edges, f"id {kind}, at int, after boolean, first_id {kind}, first_at int"), "edges")
-    asked = edges.select("first_id", "first_at", "after").distinct().groupBy("first_id").agg(F.collect_list(F.struct(F.col("first_at").alias("at"), "after")).alias("asked"))
+    cut = written(repeated.groupBy("id").agg(F.collect_list(F.struct("at", "d0", F.col("first.id").alias("first"), F.col("first.at").alias("first_at"))).alias("cut")), "cut")
+    discard(chunks, first)
+    edges = written(cut.mapInArrow(_edges, f"id {kind}, at int, after boolean, first_id {kind}, first_at int, d0 long"), "edges")
+    asked = edges.select("first_id", "first_at", "after", "d0").distinct().groupBy("first_id").agg(F.collect_list(F.struct(F.col("first_at").alias("at"), "after", "d0")).alias("asked"))
     want = cut.select("id", F.lit(True).alias("cut")).join(asked.withColumnRenamed("first_id", "id"), "id", "full")
     looked = written(own.join(want, "id", "left").mapInArrow(_looked_up, f"id {kind}, n_chunks long, n_chars long, text binary, pieces array<struct<at:int,after:boolean,piece:binary>>"), "looked")
     answers = looked.filter("size(pieces) > 0").select(F.col("id").alias("first_id"), F.explode("pieces").alias("p")).select("first_id", F.col("p.at").alias("first_at"), "p.after", "p.piece").distinct()
-    pieces = edges.join(answers, ["first_id", "first_at", "after"]).groupBy("id").agg(F.collect_list(F.struct("at", "after", "piece")).alias("pieces"))
-    release(spark)
+    pieces = written(edges.join(answers, ["first_id", "first_at", "after"]).groupBy("id").agg(F.collect_list(F.struct("at", "after", "piece")).alias("pieces")), "pieces")
+    discard(edges)
     return looked.drop("pieces").join(cut, "id", "left").join(pieces, "id", "left").mapInArrow(_spans, f"id {kind}, n_chunks long, n_dropped long, dropped_chars long, kept_chars long, spans array<struct<start:int,end:int>>, first_ids array<{kind}>")
 
 
