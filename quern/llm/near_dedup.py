@@ -1,15 +1,18 @@
 """Operator 4, MinHash near-dedup: a multi-index Hamming join on b-bit signatures, confirmed on full shingle sets.
 
 1. A document's set holds the 64-bit hashes of its distinct shingles of ``width`` words (one shingle of all words, if
-   there are fewer). Equal sets form a class; its smallest id stands for it.
+   there are fewer). Equal sets form a class, which gets a number; its row of the smallest id stands for it, told from
+   other rows of that id by the hash of its text.
 2. The signature has ``POSITIONS`` minima of ``BITS`` bits. Two sets of similarity 0.8 differ in about a fifth of the
    positions; ``DISTANCE`` is the threshold under which all pairs are found.
 3. Positions are split into ``CHUNKS`` chunks. Two signatures that differ in at most ``DISTANCE`` < 2 * ``CHUNKS``
    positions have, by the pigeonhole principle, a chunk with at most one difference. So each chunk gives one key for
-   every position that may be wrong: the chunk without that position. Such pairs share a key - none is missed.
+   every position that may be wrong: the chunk without that position. Such pairs share a key - none is missed. Every
+   pair that shares a key is a candidate, whatever the distance of the whole signatures: full sets decide. The texts of
+   the classes that share keys are written once, by class number; later steps read nothing else of the documents.
 4. Pairs of a key are not listed. A key's centre is its class of most documents; of the centres of its keys every member
-   meets the one that it shares most keys with, on the full sets if their signatures are near enough. Members that are
-   still apart from others of a key meet one member of each component they share keys with.
+   meets the one that it shares most keys with. Members that are still apart from others of a key meet one member of
+   each component they share keys with.
 5. What is left is exact. Keys of at most ``SMALL`` members list their pairs across components. Larger keys that hold
    several components form groups; the members outside a group's largest component are its queries and meet all its
    members in blocks - a block of queries against a chunk of members is a task, which counts intersections of full sets
@@ -28,11 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_texts, coded, fresh, release, slices, written
+from quern.llm.common import byte_texts, coded, discard, fresh, slices, written
 
 POSITIONS, BITS, CHUNKS, DISTANCE = 64, 16, 12, 23
-#: Pairs that share a key go on to the full sets up to this distance: at similarity 0.8 a larger one has a chance of 1e-5.
-ADMIT = 27
 #: Members of a key up to which its pairs are listed; queries and members of a group that meet in one task.
 SMALL, BLOCK = 12, 256
 _MULTIPLY = np.random.default_rng(20240817).integers(0, 2**64, POSITIONS, dtype=np.uint64) | np.uint64(1)
@@ -78,14 +79,15 @@ def _sign(width: int):
         for batch in slices(batches, 1):
             sets = _sets([t.lower().split() for t in byte_texts(batch.column(1))], width)
             digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-            yield pa.record_batch([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([signature(s).astype("<u2").tobytes() if len(s) else None for s in sets], pa.binary())], ["id", "n", "d0", "d1", "sig"])
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([signature(s).astype("<u2").tobytes() if len(s) else None for s in sets], pa.binary())], ["id", "hash", "n", "d0", "d1", "sig"])
 
     return run
 
 
 def signed(docs: DataFrame, width: int) -> DataFrame:
-    """Per document: id, n (shingles), the set's digest (d0, d1), sig (null for an empty set)."""
-    return docs.mapInArrow(_sign(width), f"id {docs.schema[0].dataType.simpleString()}, n long, d0 long, d1 long, sig binary")
+    """``docs``: (id, text). Per document: id, hash (of its text), n (shingles), the set's digest (d0, d1), sig (null for
+    an empty set)."""
+    return docs.select("id", "text", F.xxhash64("text").alias("hash")).mapInArrow(_sign(width), f"id {docs.schema[0].dataType.simpleString()}, hash long, n long, d0 long, d1 long, sig binary")
 
 
 def _chunks() -> list[range]:
@@ -117,24 +119,6 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([part.column(0), part.column(2), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, POSITIONS, dtype=np.int32), flat)], ["id", "size", "keys"])
 
 
-def _near(pairs: DataFrame, signatures: DataFrame, most: int) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most ``most`` positions, with the distance ``far``."""
-    both = pairs.join(signatures.select(F.col("id").alias("a"), F.col("sig").alias("_a")), "a").join(signatures.select(F.col("id").alias("b"), F.col("sig").alias("_b")), "b")
-    kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "_a", "_b").mapInArrow(_distance(most), f"a {kind}, b {kind}, far int")
-
-
-def _distance(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, POSITIONS) for k in (2, 3))
-            far = (x != y).sum(1).astype(np.int32)
-            ok = pa.array(far <= most)
-            yield pa.record_batch([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(far[far <= most])], ["a", "b", "far"])
-
-    return run
-
-
 def _confirm(width: int, percent: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         sets = dict(zip(group["id"], _sets([(t or b"").lower().split() for t in (x.encode() if isinstance(x, str) else b"" for x in group["text"])], width), strict=True))
@@ -168,20 +152,23 @@ def components(links: DataFrame) -> DataFrame:
     """(id, root) for every id of the links (a, b): the smallest id reachable."""
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = written(both, "links")
-    labels = written(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")), "roots")
-    while True:
+    new = written(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root"), F.lit(True).alias("moved")), "roots")
+    while not new.filter("moved").isEmpty():
+        old, labels = new, new.select("id", "root")
         met = edges.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("m"))
         lower = labels.join(met, "id").select("id", F.least("root", "m").alias("low"), "root")
         jump = labels.select(F.col("id").alias("low"), F.col("root").alias("far"))
         new = written(lower.join(jump, "low").select("id", F.least("low", "far").alias("root"), (F.least("low", "far") != F.col("root")).alias("moved")), "roots")
-        labels = new.select("id", "root")
-        if new.filter("moved").isEmpty():
-            return labels
+        discard(old)
+    discard(edges)
+    return new.select("id", "root")
 
 
 def classes(sign: DataFrame) -> DataFrame:
-    """(d0, d1, id, sig, size) of each distinct set that isn't empty: the smallest id stands for it."""
-    return sign.filter("sig IS NOT NULL AND id IS NOT NULL").groupBy("d0", "d1").agg(F.min(F.struct("id", "sig")).alias("s"), F.count("*").alias("size")).select("d0", "d1", "s.id", "s.sig", "size")
+    """(d0, d1, doc, hash, sig, size, id) of each distinct set that isn't empty: the document of the smallest id stands for
+    it; ``id`` is a number of the class, which holds once the table is written."""
+    found = sign.filter("sig IS NOT NULL AND id IS NOT NULL").groupBy("d0", "d1").agg(F.min(F.struct("id", "hash")).alias("s"), F.first("sig").alias("sig"), F.count("*").alias("size"))
+    return found.select("d0", "d1", F.col("s.id").alias("doc"), "s.hash", "sig", "size", F.monotonically_increasing_id().alias("id"))
 
 
 def _matrix(width: int, percent: int):
@@ -253,75 +240,82 @@ def _group_links(at: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """``docs``: (id, text). The signed documents, and (id, root) of every class representative that has a link."""
+    """``docs``: (id, text). The signed documents, and their classes (d0, d1, doc, component): ``doc`` stands for the class,
+    ``component`` is the smallest id that it is linked with, itself included."""
     sign = written(signed(docs, width), "signed")
     reps = written(classes(sign), "classes")
-    signatures = reps.select("id", "sig")
-    kind = docs.schema[0].dataType.simpleString()
-    keys = reps.select("id", "sig", "size").mapInArrow(_keyed, f"id {kind}, size long, keys array<long>").select("id", "size", F.explode("keys").alias("key"))
+    keys = reps.select("id", "sig", "size").mapInArrow(_keyed, "id long, size long, keys array<long>").select("id", "size", F.explode("keys").alias("key"))
     stars = keys.groupBy("key").agg(F.min(F.struct(-F.col("size"), "id")).alias("s"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("s.id").alias("centre"), "n")
     # members of keys that several classes share, with the key's centre; the later steps start from here
     shared = written(keys.select("id", "key").join(stars, "key").select("key", "id", "centre", "n"), "shared")
+    met = reps.join(shared.select("id").distinct(), "id", "left_semi").select("id", F.col("doc").alias("_doc"), F.col("hash").alias("_hash"))
+    # a document may be repeated: one row of it
+    found = docs.select(F.col("id").alias("_doc"), "text", F.xxhash64("text").alias("_hash")).join(met, ["_doc", "_hash"])
+    texts = written(found.groupBy("_doc", "_hash").agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "text"), "texts")
 
-    release(docs.sparkSession)
-
-    def joined(links: DataFrame | None) -> DataFrame:
-        """Members of shared keys with their component, of keys that hold several; and the components."""
-        at = shared if links is None else shared.join(roots, "id", "left")
-        at = at.withColumn("root", F.coalesce("root", "id") if links is not None else F.col("id"))
-        still = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("id").alias("any")).filter("low != high").drop("high")
-        return written(at.join(still, "key").select("key", "id", "root", "low", "any", "n"), "open")
+    def still_open(roots: DataFrame) -> DataFrame:
+        """Members with their component, of the shared keys that hold several."""
+        at = shared.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        several = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("id").alias("any")).filter("low != high").drop("high")
+        return written(at.join(several, "key").select("key", "id", "root", "low", "any", "n"), "open")
 
     def link(pairs: DataFrame) -> DataFrame:
-        result = confirmed(pairs.select("a", "b"), docs, width, percent)
-        out = written(result.filter("linked").select("a", "b"), "links")
-        release(docs.sparkSession)
-        return out
+        return written(confirmed(pairs.select("a", "b"), texts, width, percent).filter("linked").select("a", "b"), "links")
 
     def favourite(pairs: DataFrame, *by: str) -> DataFrame:
         """Of the pairs (a, b), one row for each key that they share, the centre a of most keys for each b (and ``by``)."""
         votes = pairs.groupBy("a", "b", *by).agg(F.count("*").alias("votes"))
         return votes.groupBy("b", *by).agg(F.min(F.struct(-F.col("votes"), "a")).alias("s")).select("s.a", "b").distinct()
 
-    first = favourite(shared.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b")))
-    nearest = written(_near(first, signatures, ADMIT).select("a", "b"), "nearest")
+    nearest = written(favourite(shared.filter("id != centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))), "nearest")
     links = link(nearest)
-    roots = components(links)
-    at = joined(links)
+    at = still_open(components(links))
     centre = at.groupBy("key").agg(F.min(F.when(F.col("root") == F.col("low"), F.struct(F.xxhash64("id"), "id"))).alias("c"))
     second = written(favourite(at.filter("root != low").join(centre, "key").select(F.col("c.id").alias("a"), F.col("id").alias("b"), "low"), "low"), "second")
-    links = links.unionByName(link(_near(second.join(nearest, ["a", "b"], "left_anti"), signatures, ADMIT)))
-    roots = components(links)
-    at = joined(links)
+    links = links.unionByName(link(second.join(nearest, ["a", "b"], "left_anti")))
+    discard(at)
+    at = still_open(components(links))
     few = at.filter(F.col("n") <= SMALL)
     pairs = few.join(few.select("key", F.col("id").alias("b"), F.col("root").alias("other")), "key").filter("id < b AND root != other").select(F.col("id").alias("a"), "b").distinct()
     tried = nearest.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = links.unionByName(link(_near(pairs.join(tried, ["a", "b"], "left_anti"), signatures, ADMIT)))
+    links = links.unionByName(link(pairs.join(tried, ["a", "b"], "left_anti")))
     large = at.filter(F.col("n") > SMALL)
     if not large.isEmpty():
-        links = links.unionByName(_group_links(large, docs, width, percent))
-    return sign, components(links)
+        links = links.unionByName(written(_group_links(large, texts, width, percent), "links"))
+    roots = components(links)
+    discard(at, shared, texts, nearest, second)
+    named = roots.join(reps.select("id", "doc"), "id")
+    lowest = named.groupBy("root").agg(F.min("doc").alias("component"))
+    linked = named.join(lowest, "root").select("id", "component")
+    return sign, reps.join(linked, "id", "left").select("d0", "d1", "doc", F.coalesce("component", "doc").alias("component"))
+
+
+def placed(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs``: (id, text). Per row: id, hash (of its text), n, component, kept."""
+    sign, named = near_components(docs, width, percent)
+    # two shuffled sides: Spark splits the rows of a class of very many equal documents over tasks
+    stands = named.select(F.col("d0").alias("_0"), F.col("d1").alias("_1"), F.col("component").alias("_c"))
+    joined = sign.join(stands, (F.col("d0") == F.col("_0")) & (F.col("d1") == F.col("_1")) & F.col("sig").isNotNull(), "left")
+    component = F.coalesce("_c", "id")
+    return joined.select("id", "hash", "n", component.alias("component"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 
 
 def report(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept.
 
     Documents without words (null and empty texts) are linked with nothing. Repeated rows are documents of equal sets;
-    rows that repeat an id too stay as many rows. A row without an id takes the component of its equals (none: null, and
-    it is kept). Ties go to the smallest id. An empty table gives an empty table. Other
-    columns are not read.
+    rows that repeat an id stay as many rows, and if their texts differ, each has the component of its own text, named by
+    the smallest id there. A row without an id takes the component of its equals (none: null, and it is kept). Ties go to
+    the smallest id. An empty table gives an empty table. Other columns are not read.
     """
-    cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sign, roots = near_components(cut, width, percent)
-    stands = classes(sign).select(F.col("d0").alias("_0"), F.col("d1").alias("_1"), F.col("id").alias("rep"))
-    placed = sign.join(stands, (F.col("d0") == F.col("_0")) & (F.col("d1") == F.col("_1")) & F.col("sig").isNotNull(), "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
-    out = placed.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left")
-    component = F.coalesce("root", "rep")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+    out = placed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), width, percent)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents of a component other than its smallest id. Rows with a null id stay."""
-    key = fresh("_key", docs.columns)
-    gone = report(docs, width, percent).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
+    """``docs`` without the documents of a component other than its smallest id. Rows with a null id stay; so do rows that
+    repeat a kept row's id and text."""
+    key, own = fresh("_key", docs.columns), fresh("_hash", docs.columns)
+    found = placed(docs.select(F.col("doc_id").alias("id"), "text"), width, percent)
+    gone = found.filter("NOT kept AND id IS NOT NULL").select(F.col("id").alias(key), F.col("hash").alias(own)).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col(key)) & (F.xxhash64("text") == F.col(own)), "left_anti")
