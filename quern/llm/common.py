@@ -9,6 +9,10 @@ Definitions used throughout:
 from __future__ import annotations
 
 import ctypes
+import io
+import os
+import tempfile
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +21,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.storage import discard, release, shared_dir, written
+from quern.storage import discard, shared_dir, written
 
-__all__ = ["byte_texts", "coded", "ddl", "discard", "fold", "fresh", "per_doc", "release", "shared_dir", "slices", "tokenised", "written"]
+__all__ = ["byte_texts", "by_shard", "coded", "ddl", "discard", "fold", "fresh", "load", "per_doc", "save", "shared_dir", "slices", "tokenised", "written"]
 
 #: ASCII white space, the only separators of words.
 SPACE = " \t\n\x0b\x0c\r"
@@ -102,3 +106,59 @@ def per_doc(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.float64)
     np.cumsum(values, out=total[1:])
     return total[starts[1:]] - total[starts[:-1]]
+
+
+def opened(uri: str):
+    """The file system of a folder (None: files of this machine's tree) and the path in it."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    return (None if isinstance(system, fs.LocalFileSystem) else system), path
+
+
+def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """One ``.npy`` file an array, whole or not at all: a retried task writes the same bytes again."""
+    system, path = opened(folder)
+    for key, a in arrays.items():
+        out = io.BytesIO()
+        np.save(out, a)
+        if system is None:
+            os.makedirs(path, exist_ok=True)
+            handle, part = tempfile.mkstemp(dir=path)
+            with os.fdopen(handle, "wb") as f:
+                f.write(out.getbuffer())
+            os.replace(part, f"{path}/{name}.{key}.npy")
+        else:
+            system.create_dir(path, recursive=True)
+            with system.open_output_stream(f"{path}/{name}.{key}.npy") as f:
+                f.write(out.getbuffer())
+
+
+#: Bytes of arrays that a worker holds of a store which can't be mapped into memory.
+HELD = 256 << 20
+_held: OrderedDict[str, np.ndarray] = OrderedDict()
+
+
+def load(folder: str, name: str, key: str) -> np.ndarray:
+    """An array of :func:`save`, mapped into memory; from a store that is no file system it is read, and the arrays that
+    were asked for longest ago go."""
+    system, path = opened(folder)
+    file = f"{path}/{name}.{key}.npy"
+    if system is None:
+        return np.load(file, mmap_mode="r")
+    where = f"{folder}/{name}.{key}"
+    if where not in _held:
+        with system.open_input_stream(file) as f:
+            _held[where] = np.load(io.BytesIO(f.read()))
+        while len(_held) > 1 and sum(a.nbytes for a in _held.values()) > HELD:
+            _held.popitem(last=False)
+    _held.move_to_end(where)
+    return _held[where]
+
+
+def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard that occurs, with the places where it does, in order; the work doesn't grow with the number of shards."""
+    order = np.argsort(shard, kind="stable")
+    cut = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0, [True]])) if len(shard) else [0]
+    for a, b in zip(cut[:-1], cut[1:], strict=True):
+        yield int(shard[order[a]]), order[a:b]

@@ -8,8 +8,8 @@ delta-coded arrays with counts. The model is a folder of sorted arrays under the
   number of distinct predecessors, the total of the word as a context and its interpolation weight;
 * ``pairs-*``: a shard of the sorted bigram keys (word id << 32 | word id) and their counts.
 
-Workers map the arrays from there into memory (from a store that is no file system, a worker copies them once to its
-temporary folder), so a worker's own memory holds only the batch that it scores.
+Workers map the arrays from there into memory (from a store that is no file system, a worker reads them and holds a
+bounded number), so a worker's own memory holds only the batch that it scores.
 
 P(w | v) = max(c(vw) - D(c(vw)), 0) / c(v.) + g(v) * P1(w)
 P1(w) = max(N1+(.w) - E(N1+(.w)), 0) / N1+(..) + h / (V + 1)
@@ -19,11 +19,8 @@ to one over the V known tokens and one unknown token. A context that was never s
 
 from __future__ import annotations
 
-import io
 import json
 import math
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,57 +30,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_texts, coded, ddl, fold, per_doc, shared_dir, slices, written
+from quern.llm.common import by_shard, byte_texts, coded, ddl, fold, load, opened, per_doc, save, shared_dir, slices, written
 
 END = b"\n"
 #: Words in a shard of the vocabulary and bigrams in a shard of the pairs, on average.
 SHARD_WORDS, SHARD_PAIRS = 1_000_000, 2_000_000
 #: Bytes of text that are counted at once before the sorted counts go out.
 COUNT_BYTES = 6 << 20
+#: Ids of words take 32 bits of a bigram's key.
+MOST_WORDS = 2**32 - 1
 #: A word with more than this share of a pair shard's bigrams as a context is spread over all shards.
 HOT_SHARE = 0.125
 
 
-def _open(uri: str):
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri)
-    return (None if isinstance(system, fs.LocalFileSystem) else system), path
-
-
-def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    """One ``.npy`` file an array, whole or not at all: a retried task writes the same bytes again."""
-    system, path = _open(folder)
-    for key, a in arrays.items():
-        out = io.BytesIO()
-        np.save(out, a)
-        if system is None:
-            os.makedirs(path, exist_ok=True)
-            handle, temporary = tempfile.mkstemp(dir=path)
-            with os.fdopen(handle, "wb") as f:
-                f.write(out.getbuffer())
-            os.replace(temporary, f"{path}/{name}.{key}.npy")
-        else:
-            system.create_dir(path, recursive=True)
-            with system.open_output_stream(f"{path}/{name}.{key}.npy") as f:
-                f.write(out.getbuffer())
-
-
-def load(folder: str, name: str, key: str) -> np.ndarray:
-    """Memory-mapped."""
-    system, path = _open(folder)
-    file = f"{path}/{name}.{key}.npy"
-    if system is not None:
-        local = os.path.join(tempfile.gettempdir(), xxhash.xxh64_hexdigest(f"{folder}/{name}.{key}"))
-        if not os.path.exists(local):
-            with system.open_input_stream(file) as f, open(part := f"{local}.{os.getpid()}", "wb") as out:
-                while block := f.read(1 << 24):
-                    out.write(block)
-            os.replace(part, local)
-        file = local
-    return np.load(file, mmap_mode="r")
-
-
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the distinct tokens, codes of the occurrences, starts of the texts."""
     known, codes, starts = coded([[*t.lower().split(), END] for t in texts])
@@ -96,14 +55,6 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(np.bincount(codes, minlength=len(hashes)).astype(np.int64))], ["h", "n"])
 
 
-def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each shard that occurs, with the places where it does, in order; the work doesn't grow with the number of shards."""
-    order = np.argsort(shard, kind="stable")
-    cut = np.flatnonzero(np.concatenate([[True], np.diff(shard[order]) != 0, [True]])) if len(shard) else [0]
-    for a, b in zip(cut[:-1], cut[1:], strict=True):
-        yield int(shard[order[a]]), order[a:b]
-
-
 class Vocabulary:
     """Word ids: the rank of the hash among the sorted hashes. Unknown words have id -1."""
 
@@ -125,6 +76,14 @@ class Vocabulary:
                 out[at] = np.where(table[place] == hashes[at], place + self.first[k], -1)
         return out
 
+    def hot(self, ids: np.ndarray, limit: float) -> np.ndarray:
+        """Whether ids are of contexts that are spread over all shards: words counted more than ``limit`` times, and the
+        start mark, the id after the last."""
+        mark = ids == self.first[-1]
+        out = mark.copy()
+        out[~mark] = self.values(ids[~mark], "count") > limit
+        return out
+
     def values(self, ids: np.ndarray, key: str) -> np.ndarray:
         """Of known ids."""
         out = np.zeros(len(ids))
@@ -139,10 +98,9 @@ def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 
 def pair_shard(keys: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    """By context, so that a context's bigrams lie together - those of hot contexts by both words."""
+    """By context, so that a context's bigrams lie together - those of ``hot`` contexts (a flag for each key) by both words."""
     with np.errstate(over="ignore"):
-        context = keys >> np.uint64(32)
-        salt = np.where(np.isin(context, hot), keys, context)
+        salt = np.where(hot, keys, keys >> np.uint64(32))
         x = (salt ^ (salt >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
     return ((x >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
@@ -164,14 +122,21 @@ def bigrams(ids: np.ndarray, starts: np.ndarray, begin: int) -> np.ndarray:
     return before.astype(np.uint64) << np.uint64(32) | ids.astype(np.uint64)
 
 
-def _count_pairs(folder: str, sizes: list[int], hot: np.ndarray, shards: int):
+def flags(keys: np.ndarray, ids: np.ndarray, words: Vocabulary, limit: float) -> np.ndarray:
+    """For each bigram key whether its context, one of ``ids``, is hot."""
+    known = np.sort(ids[ids >= 0])
+    return words.hot(known, limit)[np.searchsorted(known, (keys >> np.uint64(32)).astype(np.int64))]
+
+
+def _count_pairs(folder: str, sizes: list[int], limit: float, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(folder, sizes)
         begin = int(words.first[-1])
         for batch in slices(batches, 0, COUNT_BYTES):
             hashes, codes, starts = tokens(byte_texts(batch.column(0)))
-            keys, n = np.unique(bigrams(words.ids(hashes)[codes], starts, begin), return_counts=True)
-            shard = pair_shard(keys, hot, shards)
+            ids = words.ids(hashes)
+            keys, n = np.unique(bigrams(ids[codes], starts, begin), return_counts=True)
+            shard = pair_shard(keys, flags(keys, np.append(ids, begin), words, limit), shards)
             order = np.argsort(shard, kind="stable")
             keys, n, shard = keys[order], n[order], shard[order]
             cut = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
@@ -207,14 +172,14 @@ def _merge_pairs(folder: str):
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                n = np.ascontiguousarray(np.frombuffer(c, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+                n = np.ascontiguousarray(np.frombuffer(c, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.uint64)
                 parts.append((expand(k), n))
                 while len(parts) > 1 and len(parts[-2][0]) < 2 * len(parts[-1][0]):  # few, of falling sizes
                     parts[-2:] = [_plus(*parts[-2:])]
         while len(parts) > 1:
             parts[-2:] = [_plus(*parts[-2:])]
         keys, n = parts[0]
-        save(folder, f"pairs-{key[0].as_py()}", {"key": keys, "count": n.astype(np.uint32)})
+        save(folder, f"pairs-{key[0].as_py()}", {"key": keys, "count": n.astype(np.min_scalar_type(n.max()))})
         context, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         own = [np.add.reduceat(x.astype(np.int64), heads) for x in (n, n == 1, n == 2, n >= 3)]
@@ -265,6 +230,8 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
     model = {"folder": folder, "v": total.v, "n": total.n, "sizes": [], "begin": 0}
     if not total.v:
         return model
+    if total.v >= MOST_WORDS:
+        raise ValueError(f"{total.v} distinct tokens: bigram keys hold ids below {MOST_WORDS}")
     shards = math.ceil(total.v / SHARD_WORDS)
     high = F.shiftrightunsigned("h", 32)
     by_shard = words.withColumn("shard", F.shiftright(high * shards, 32).cast("int")).groupBy("shard")
@@ -274,11 +241,8 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
     first = np.concatenate([[0], np.cumsum(sizes)]).tolist()
     model |= {"sizes": sizes, "begin": first[-1]}
     pair_shards = max(spark.sparkContext.defaultParallelism, math.ceil(total.n / SHARD_PAIRS))
-    # at most pair_shards / HOT_SHARE words can have so many occurrences; the start mark has one a text
-    hot_words = [r.h for r in words.filter(F.col("n") > HOT_SHARE * total.n / pair_shards).collect()]
-    vocabulary = Vocabulary(folder, sizes)
-    hot = np.append(vocabulary.ids(np.array(hot_words, np.int64).view(np.uint64)), first[-1]).astype(np.uint64)
-    rows = texts.mapInArrow(_count_pairs(folder, sizes, hot, pair_shards), "shard int, keys binary, counts binary")
+    limit = HOT_SHARE * total.n / pair_shards
+    rows = texts.mapInArrow(_count_pairs(folder, sizes, limit, pair_shards), "shard int, keys binary, counts binary")
     # a shard is a task's work: the hash above has dealt the bigrams evenly
     stats = rows.repartition(pair_shards, "shard").groupBy("shard").applyInArrow(_merge_pairs(folder), "id long, total long, n1 long, n2 long, n3 long, types long")
     summed = written(stats.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("total", "n1", "n2", "n3", "types"))), "stats")
@@ -291,8 +255,8 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
     t = own.groupBy("shard").applyInPandas(_finish(folder, first, d), '`t1` long, `t2` long, `t3` long, `t4` long, `more` long, `all` long, `kinds` long').agg(*(F.sum(c).alias(c) for c in ("t1", "t2", "t3", "t4", "more", "all", "kinds"))).first()
     e = discounts(t.t1, t.t2, t.t3, t.t4)
     mass = (e[1] * t.t1 + e[2] * t.t2 + e[3] * t.more) / t["all"]
-    model |= {"d": d, "e": e.tolist(), "types": t["all"], "uniform": float(mass / (total.v + 1)), "begin_total": begin.total, "begin_weight": float((d[1] * begin.n1 + d[2] * begin.n2 + d[3] * begin.n3) / begin.total), "hot": hot.tolist(), "pair_shards": pair_shards}
-    system, path = _open(folder)
+    model |= {"d": d, "e": e.tolist(), "types": t["all"], "uniform": float(mass / (total.v + 1)), "begin_total": begin.total, "begin_weight": float((d[1] * begin.n1 + d[2] * begin.n2 + d[3] * begin.n3) / begin.total), "limit": limit, "pair_shards": pair_shards}
+    system, path = opened(folder)
     if system is None:
         with open(f"{path}/model.json", "w") as f:
             json.dump(model, f)
@@ -306,7 +270,6 @@ class Scorer:
         self.m = model
         self.words = Vocabulary(model["folder"], model["sizes"])
         self.pairs: dict[int, tuple[np.ndarray, np.ndarray] | None] = {}
-        self.hot = np.array(model.get("hot", []), np.uint64)
 
     def _pairs(self, k: int) -> tuple[np.ndarray, np.ndarray] | None:
         if k not in self.pairs:
@@ -316,10 +279,10 @@ class Scorer:
                 self.pairs[k] = None
         return self.pairs[k]
 
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of sorted distinct keys."""
+    def pair_counts(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Counts of sorted distinct keys, whose contexts are among ``ids``."""
         out = np.zeros(len(keys), np.int64)
-        for k, at in by_shard(pair_shard(keys, self.hot, self.m["pair_shards"])):
+        for k, at in by_shard(pair_shard(keys, flags(keys, ids, self.words, self.m["limit"]), self.m["pair_shards"])):
             table = self._pairs(k)
             if table is not None:
                 place = np.minimum(np.searchsorted(table[0], keys[at]), len(table[0]) - 1)
@@ -352,7 +315,7 @@ class Scorer:
         p = weight[before] * low[codes]
         both = np.flatnonzero((ids2[before] >= 0) & (ids[codes] >= 0))
         keys, back = np.unique(ids2[before[both]].astype(np.uint64) << np.uint64(32) | ids[codes[both]].astype(np.uint64), return_inverse=True)
-        c = self.pair_counts(keys)[back]
+        c = self.pair_counts(keys, ids2)[back]
         d = np.array(m["d"])
         p[both] += np.where(c > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(total[before[both]], 1), 0)
         return size, per_doc((ids[codes] >= 0).astype(float), starts).round().astype(np.int64), per_doc(base[codes], starts), per_doc(np.log10(p), starts)

@@ -1,13 +1,15 @@
-"""Operator 7, line dedup: a sharded minimal perfect hash over line hashes, probed by the documents.
+"""Operator 7, line dedup: a sharded minimal perfect hash over all distinct line hashes, probed by the documents.
 
 1. Every document emits the 128-bit hashes of its distinct line keys; Spark counts documents per hash (partial
    aggregation first, so a line in a third of all documents costs one row a task).
-2. Hashes found in at least ``min_docs`` documents are dealt to shards of bounded size. Each shard gets a minimal
-   perfect hash: levels of bit arrays, a key that meets no other key at its level's position stays there, the rest go
-   down a level; the rank of the bit is the key's slot. Beside it lie an array of 64-bit fingerprints (the half of the
-   hash that the slots do not use) and an array of counts.
-3. Documents probe the arrays, with no join on lines. Shards travel to the workers in groups of at most ``group_mb``;
-   more shards mean more passes, each of which writes what it found, so memory is bounded at any size.
+2. All distinct hashes are dealt to shards of bounded size. Each shard gets a minimal perfect hash: levels of bit arrays,
+   a key that meets no other key at its level's position stays there, the rest go down a level; the rank of the bit is
+   the key's slot. Beside it lie an array of 32-bit fingerprints (of the half of the hash that the slots do not use) and
+   an array of counts, in the smallest type that holds them. Hashes whose slot half is that of another one (2^-64 a pair)
+   lie in a short list beside the arrays. Shards are ``.npy`` arrays in the shared folder.
+3. Documents probe the arrays, with no join on lines: workers map the shards that a batch's lines ask for into memory,
+   look counts up, and the threshold decides then. A line of the indexed documents is always a member, so its count is
+   exact; a line that no indexed document holds passes for a member with a chance of 2^-32.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_texts, ddl, fresh, slices, written
+from quern.llm.common import by_shard, byte_texts, ddl, discard, load, save, shared_dir, slices, written
 
 STRIP = b" \t\n\x0b\x0c\r"
-SHARD_KEYS = 250_000
+SHARD_KEYS = 500_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -39,6 +41,10 @@ def _mix(x: np.ndarray, level: int) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: Ones in each byte.
+ONES = np.bitwise_count(np.arange(256, dtype=np.uint8)).astype(np.int64)
+
+
 class PerfectHash:
     """Minimal perfect hash over distinct 64-bit keys: maps each to its own slot in 0..n-1.
 
@@ -46,11 +52,11 @@ class PerfectHash:
     [0, 1, 2]
     """
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray):
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, rank: np.ndarray | None = None):
         self.sizes, self.bits = sizes, bits
         self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        per_byte = np.unpackbits(bits[:, None], axis=1).sum(1) if len(bits) else np.zeros(0, np.int64)
-        self.rank = np.concatenate([[0], np.cumsum(per_byte)]).astype(np.uint32)
+        #: ones before each byte
+        self.rank = np.concatenate([[0], np.cumsum(ONES[bits])]).astype(np.uint32) if rank is None else rank
 
     @classmethod
     def build(cls, keys: np.ndarray, gamma: float = 1.5) -> PerfectHash:
@@ -76,7 +82,7 @@ class PerfectHash:
             at = (_mix(keys[todo], level) % np.uint64(size)).astype(np.int64) + self.offsets[level]
             byte, bit = at >> 3, at & 7
             hit = (self.bits[byte] >> (7 - bit).astype(np.uint8)) & 1 == 1
-            before = np.array([bin(i).count("1") for i in range(256)], np.uint8)[(self.bits[byte[hit]].astype(np.uint16) >> (8 - bit[hit]).astype(np.uint16)).astype(np.uint8)]
+            before = ONES[(self.bits[byte[hit]].astype(np.uint16) >> (8 - bit[hit]).astype(np.uint16)).astype(np.uint8)]
             out[todo[hit]] = self.rank[byte[hit]].astype(np.int64) + before
             todo = todo[~hit]
         return out
@@ -107,130 +113,128 @@ def _emit_keys(least: int):
     return run
 
 
-def _build_shard(group: pd.DataFrame) -> pd.DataFrame:
-    a, b, n = (group[c].to_numpy() for c in ("a", "b", "n"))
-    keys = a.view(np.uint64)
-    # equal first halves with other second halves: the later ones go to a short sorted list beside the arrays
-    order = np.lexsort((b, keys))
-    keys, b, n = keys[order], b[order], n[order]
-    first = np.concatenate([[True], keys[1:] != keys[:-1]])
-    table = PerfectHash.build(keys[first])
-    slot = table.slots(keys[first])
-    prints, counts = np.empty(len(slot), np.int64), np.empty(len(slot), np.uint32)
-    prints[slot], counts[slot] = b[first], np.minimum(n[first], 2**32 - 1)
-    rest = np.stack([keys[~first].view(np.int64), b[~first], n[~first]])
-    return pd.DataFrame({"shard": [group["shard"].iloc[0]], "sizes": [table.sizes.tobytes()], "bits": [table.bits.tobytes()], "prints": [prints.tobytes()], "counts": [counts.tobytes()], "rest": [rest.tobytes()]})
-
-
-def line_index(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> tuple[DataFrame, int]:
-    """The written index (one row a shard) of line keys found in at least ``min_docs`` documents, and the shard count."""
-    emitted = docs.select(F.col(text_col).alias("text")).mapInArrow(_emit_keys(min_chars), "a long, b long, n long")
-    common = written(emitted.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs), "lines")
-    shards = max(1, math.ceil(common.count() / SHARD_KEYS))
-    keyed = common.withColumn("shard", F.pmod(F.col("b"), F.lit(shards)).cast("int"))
-    schema = "shard int, sizes binary, bits binary, prints binary, counts binary, rest binary"
-    return written(keyed.groupBy("shard").applyInPandas(_build_shard, schema), "index"), shards
+def _build_shard(folder: str):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        a, b, n = (group[c].to_numpy() for c in ("a", "b", "n"))
+        keys = a.view(np.uint64)
+        order = np.lexsort((b, keys))
+        keys, b, n = keys[order], b[order], n[order]
+        first = np.concatenate([[True], keys[1:] != keys[:-1]])
+        table = PerfectHash.build(keys[first])
+        slot = table.slots(keys[first])
+        prints, counts = np.empty(len(slot), np.uint32), np.empty(len(slot), np.min_scalar_type(int(n.max())))
+        prints[slot], counts[slot] = b[first].view(np.uint64) >> np.uint64(32), n[first]
+        rest = np.stack([keys[~first].view(np.int64), b[~first], n[~first]])
+        shard = int(group["shard"].iloc[0])
+        save(folder, f"lines-{shard}", {"sizes": table.sizes, "bits": table.bits, "rank": table.rank, "prints": prints, "counts": counts, "rest": rest})
+        return pd.DataFrame({"shard": [shard], "keys": [len(keys)]})
 
+    return run
 
-class _Probe:
-    """The shards that a worker holds."""
 
-    def __init__(self, rows: list[tuple], shards: int):
-        self.shards = shards
-        self.tables = {r[0]: (PerfectHash(np.frombuffer(r[1], np.int64), np.frombuffer(r[2], np.uint8)), np.frombuffer(r[3], np.int64), np.frombuffer(r[4], np.uint32), {(int(x), int(y)): int(c) for x, y, c in np.frombuffer(r[5], np.int64).reshape(3, -1).T}) for r in rows}
+def line_index(docs: DataFrame, text_col: str = "text", min_chars: int = 1) -> tuple[str, int]:
+    """The folder of the index of all line keys of at least ``min_chars`` code points, and its number of shards."""
+    emitted = docs.select(F.col(text_col).alias("text")).mapInArrow(_emit_keys(min_chars), "a long, b long, n long")
+    lines = written(emitted.groupBy("a", "b").agg(F.sum("n").alias("n")), "lines")
+    shards = max(1, math.ceil(lines.count() / SHARD_KEYS))
+    folder = shared_dir(docs.sparkSession)
+    built = lines.withColumn("shard", F.pmod("b", F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(_build_shard(folder), "shard int, keys long")
+    built.agg(F.sum("keys")).collect()
+    discard(lines)
+    return folder, shards
+
+
+class Probe:
+    """Looks counts up in the mapped shards."""
+
+    def __init__(self, folder: str, shards: int):
+        self.folder, self.shards = folder, shards
+        self.tables: dict[int, tuple | None] = {}
+
+    def _table(self, shard: int) -> tuple | None:
+        if shard not in self.tables:
+            try:
+                sizes, bits, rank, prints, counts, rest = (load(self.folder, f"lines-{shard}", k) for k in ("sizes", "bits", "rank", "prints", "counts", "rest"))
+                self.tables[shard] = PerfectHash(sizes, bits, rank), prints, counts, {(int(x), int(y)): int(c) for x, y, c in rest.T}
+            except FileNotFoundError:  # no line fell there
+                self.tables[shard] = None
+        return self.tables[shard]
 
     def counts(self, halves: np.ndarray) -> np.ndarray:
-        """For each 128-bit hash its document count, 0 if the held shards lack it."""
-        a, b = halves[:, 0], halves[:, 1].view(np.int64)
-        shard, out = np.mod(b, self.shards), np.zeros(len(a), np.int64)
-        for s, (table, prints, counts, rest) in self.tables.items():
-            at = np.flatnonzero(shard == s)
-            slot = table.slots(a[at])
+        """For each 128-bit hash its count of documents, 0 if no document has it."""
+        a, b = np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+        out = np.zeros(len(a), np.int64)
+        for shard, at in by_shard(np.mod(b.view(np.int64), self.shards)):
+            table = self._table(shard)
+            if table is None:
+                continue
+            perfect, prints, counts, rest = table
+            slot = perfect.slots(a[at])
             at, slot = at[slot >= 0], slot[slot >= 0]
-            same = prints[slot] == b[at]
+            same = prints[slot] == b[at] >> np.uint64(32)
             out[at[same]] = counts[slot[same]]
-            for (x, y), c in rest.items():
-                out[(a.view(np.int64) == x) & (b == y)] = c
+            for (x, y), n in rest.items():
+                out[(a.view(np.int64) == x) & (b.view(np.int64) == y)] = n
         return out
 
 
-def _pass(held, shards: int, min_docs: int, at: int, last: bool, stats: bool, own: str):
-    """Adds what these shards mark to the column ``own`` (positions of cut lines); the last pass cuts them."""
-
+def _cut(folder: str, shards: int, min_docs: int, min_chars: int, at: int, stats: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        probe = _Probe(held.value, shards)
+        probe = Probe(folder, shards)
         for batch in slices(batches, at):
-            names = batch.schema.names
             texts = byte_texts(batch.column(at))
-            found = [set(x or ()) for x in batch.column(names.index(own)).to_pylist()]
             lines = [line_keys(t) for t in texts]
             size = np.cumsum([0, *map(len, lines)])
-            n = probe.counts(_halves([k for x in lines for k in x]))
-            for d, pos in ((int(np.searchsorted(size, p, "right")) - 1, int(p)) for p in np.flatnonzero(n >= min_docs)):
-                found[d].add(pos - int(size[d]))
-            columns = dict(zip(names, batch.columns, strict=True))
-            if not last:
-                columns[own] = pa.array([sorted(x) for x in found], pa.list_(pa.int32()))
-                yield pa.record_batch(list(columns.values()), list(columns))
-                continue
-            del columns[own]
-            kept = [b"\n".join(x for i, x in enumerate(t.split(b"\n")) if i not in cut) if cut else t for t, cut in zip(texts, found, strict=True)]
+            flat = [k for x in lines for k in x]
+            # equal keys of a batch are looked up once; keys that are too short are not in the index
+            known = {k: i for i, k in enumerate(dict.fromkeys(flat))}
+            n = probe.counts(_halves(list(known)))
+            n *= np.fromiter((_long_enough(k, min_chars) for k in known), bool, len(known))
+            common = n[np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))] >= min_docs
+            kept, dropped = [], []
+            for t, a, b in zip(texts, size[:-1], size[1:], strict=True):
+                gone = common[a:b]
+                dropped.append(int(gone.sum()))
+                kept.append(b"\n".join(x for x, c in zip(t.split(b"\n"), gone.tolist(), strict=True) if not c) if dropped[-1] else t)
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            valid = batch.column(at).is_valid().to_pylist()
+            columns[batch.schema.names[at]] = pa.array([k.decode("utf-8", "replace") if ok else None for k, ok in zip(kept, valid, strict=True)], pa.string())
+            arrays, names = list(columns.values()), list(columns)
             if stats:
-                columns |= {"_n_lines": pa.array([len(x) for x in lines], pa.int64()), "_n_dropped": pa.array([len(x) for x in found], pa.int64()), "_sha": pa.array([hashlib.sha256(x).hexdigest() for x in kept])}
-            whole = batch.column(at)
-            columns[names[at]] = pa.array([k.decode("utf-8", "replace") if ok else None for k, ok in zip(kept, whole.is_valid().to_pylist(), strict=True)] if whole.null_count else [k.decode("utf-8", "replace") for k in kept], pa.string())
-            yield pa.record_batch(list(columns.values()), list(columns))
+                arrays += [pa.array(np.diff(size), pa.int64()), pa.array(dropped, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
+                names += ["_n_lines", "_n_dropped", "_sha"]
+            yield pa.record_batch(arrays, names)
 
     return run
 
 
-def drop_common_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, group_mb: int = 64, stats: bool = False) -> DataFrame:
+def drop_common_lines(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, stats: bool = False) -> DataFrame:
     """``docs`` without the lines whose key is found in at least ``min_docs`` documents, in every document.
 
-    Other columns stay as they are, whatever their names. A null text stays null and counts as one empty line; a line whose key has fewer than
-    ``min_chars`` code points is never cut; repeated rows are documents of their own; an empty table gives an empty
-    table. With ``stats`` the columns ``_n_lines``, ``_n_dropped`` and ``_sha`` (SHA-256 of the kept text) follow.
+    Every row is a document, also where rows repeat an id or a text. Other columns stay as they are, whatever their names.
+    A null text stays null and counts as one empty line; a line whose key has fewer than ``min_chars`` code points is never
+    cut; an empty table gives an empty table. With ``stats`` the columns ``_n_lines``, ``_n_dropped`` and ``_sha`` (SHA-256
+    of the kept text) follow.
     """
-    spark = docs.sparkSession
-    index, shards = line_index(docs, text_col, min_docs, min_chars)
-    sizes = index.select("shard", sum(F.length(c) for c in ("sizes", "bits", "prints", "counts", "rest")).alias("n")).orderBy("shard").collect()
-    groups: list[list[int]] = [[]]
-    room = group_mb << 20
-    for r in sizes:
-        if r.n > room and groups[-1]:
-            groups.append([])
-            room = group_mb << 20
-        groups[-1].append(r.shard)
-        room -= r.n
-    own = fresh("_cut", docs.columns)
-    out = docs.withColumn(own, F.lit(None).cast("array<int>"))
-    at = docs.columns.index(text_col)
-    for k, group in enumerate(groups):
-        last = k == len(groups) - 1
-        held = spark.sparkContext.broadcast([(r[0], *map(bytes, r[1:])) for r in index.filter(F.col("shard").isin(group)).collect()] if group else [])
-        extra = ", _n_lines long, _n_dropped long, _sha string" if stats and last else ""
-        schema = ddl(docs) + (extra if last else f", `{own}` array<int>")
-        out = out.mapInArrow(_pass(held, shards, min_docs, at, last, stats, own), schema)
-        if not last:
-            out = written(out, "pass")
-    return out
+    folder, shards = line_index(docs, text_col, min_chars)
+    schema = ddl(docs) + (", _n_lines long, _n_dropped long, _sha string" if stats else "")
+    return docs.mapInArrow(_cut(folder, shards, min_docs, min_chars, docs.columns.index(text_col), stats), schema)
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10) -> DataFrame:
-    """Per document: doc_id, n_lines, n_dropped, kept_sha256."""
+    """Per document (row): doc_id, n_lines, n_dropped, kept_sha256."""
     cut = drop_common_lines(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), min_docs=min_docs, stats=True)
     return cut.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.col("_sha").alias("kept_sha256"))
 
 
 #: DuckDB over the view ``documents``.
 ORACLE_SQL = r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
-k AS (SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-c AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+WITH r AS (SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT row, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM r),
+k AS (SELECT row, doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT row) >= 10),
 m AS (SELECT k.*, c.key IS NOT NULL AS cut FROM k LEFT JOIN c ON k.key = c.key)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (cut) AS n_dropped,
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (cut) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT cut), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY row
 """

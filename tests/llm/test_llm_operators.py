@@ -70,11 +70,11 @@ def test_line_dedup(spark, corpus):
     assert line_dedup.line_report(empty(spark)).count() == 0
 
 
-def test_line_dedup_in_many_passes(spark, corpus, monkeypatch):
+def test_line_dedup_over_many_shards(spark, corpus, monkeypatch):
     df, _ = corpus
     want = {tuple(r) for r in line_dedup.line_report(df, min_docs=2).collect()}
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
-    many = line_dedup.drop_common_lines(df.select("doc_id", "text"), min_docs=2, group_mb=0, stats=True)
+    many = line_dedup.drop_common_lines(df.select("doc_id", "text"), min_docs=2, stats=True)
     assert {tuple(r) for r in many.select("doc_id", "_n_lines", "_n_dropped", "_sha").collect()} == want
 
 
