@@ -2,10 +2,10 @@
 
 Labels mark documents, so tokens get theirs first: a feature of a word (itself, its first four or five characters, its
 last four) marks toxic tokens if its share of toxic documents among the labelled ones is beyond chance (exact binomial
-tail, corrected for the number of features). Tokens with such a feature in toxic documents are labelled 1, the tokens of
-clean documents 0; toxic documents without any such token teach the tagger nothing.
+tail, corrected for the number of features). Tokens with such a feature in toxic documents are labelled 1, all other
+tokens 0. The field learns from every sentence of at most ``SAMPLE`` documents a class.
 
-The field runs over sentences (up to a newline or a token of ``.!?``) with two tags. Emissions are sums of feature
+The field runs over sentences (up to a newline or a token of ``.!?``, or ``LONGEST`` tokens) with two tags. Emissions are sums of feature
 weights of the token and of the words beside it. Forward-backward recursions run over many sentences at once, in log
 odds. A document's score is a logistic function, fitted on training documents, of the expected number of toxic tokens,
 of their density and of the chance that there is any.
@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import labelled
-from quern.llm.common import byte_texts, ddl, fold, give_back, slices, tokenised
+from quern.llm.common import by_shard, byte_texts, coded, ddl, fold, give_back, slices, tokenised
 
 TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[.!?\n]+")
 CACHE = 100_000
-#: Steps of training; sentences without a toxic token that train the field, per sentence with one.
-STEPS, PLAIN = 80, 3
+#: Labelled documents of each class that train the field, at most; steps of its training; tokens of a sentence.
+SAMPLE, STEPS, LONGEST = 1000, 80, 256
+STOPS = b".!?\n"
 
 
 def features(word: bytes) -> list[bytes]:
@@ -86,17 +87,29 @@ def toxic_features(docs: list[set[bytes]], ys: list[int], risk: float = 0.01, pr
     return {f for f, k in toxic.items() if k >= precision * every[f] and beyond_chance(k, every[f], share) * len(every) <= risk}
 
 
-def sentences(tokens: list[bytes]) -> list[tuple[int, int]]:
-    """Ranges of tokens between ends."""
-    out, start = [], 0
-    for i, t in enumerate(tokens):
-        if t[0] in b".!?\n":
-            if i > start:
-                out.append((start, i))
-            start = i + 1
-    if len(tokens) > start:
-        out.append((start, len(tokens)))
-    return out
+@dataclass
+class Laid:
+    """Words of many texts laid end to end, by sentence."""
+
+    words: list[bytes]  # distinct tokens
+    code: np.ndarray  # of each word, its place among them
+    start: np.ndarray  # of sentences, in the row of words
+    end: np.ndarray
+    doc: np.ndarray  # of each word, its text
+    place: np.ndarray  # and its number among the text's tokens
+
+
+def laid_out(token_lists: list[list[bytes]]) -> Laid:
+    words, codes, starts = coded(token_lists)
+    stop = np.fromiter((w[0] in STOPS for w in words), bool, len(words))
+    keep = np.flatnonzero(~stop[codes])
+    doc = np.repeat(np.arange(len(token_lists)), np.diff(starts))[keep]
+    head = np.ones(len(keep), bool)
+    head[1:] = (np.diff(keep) != 1) | (np.diff(doc) != 0)
+    heads = np.flatnonzero(head)
+    run = np.arange(len(keep)) - np.repeat(heads, np.diff(np.append(heads, len(keep))))
+    start = np.flatnonzero(run % LONGEST == 0)
+    return Laid(words, codes[keep], start, np.append(start, len(keep))[1:], doc, keep - starts[doc])
 
 
 def forward_backward(emit: np.ndarray, start: np.ndarray, end: np.ndarray, a: np.ndarray, first: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,23 +151,6 @@ class Model:
         return self.bias + sum(self.weights.get(f, 0.0) for f in features(word)), self.before.get(word, 0.0), self.after.get(word, 0.0)
 
 
-def _layout(token_lists: list[list[bytes]]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words by sentence laid end to end: the words, chain starts and ends, the document of each word, position in its tokens."""
-    words, start, end, doc, place = [], [], [], [], []
-    n = 0
-    for d, tokens in enumerate(token_lists):
-        for i, j in sentences(tokens):
-            words.append(tokens[i:j])
-            start.append(n)
-            n += j - i
-            end.append(n)
-            place.append(i)
-            doc.append(d)
-    size = np.array(end, np.int64) - np.array(start, np.int64)
-    places = np.repeat(np.array(place, np.int64) - np.array(start, np.int64), size) + np.arange(n)
-    return words, np.array(start, np.int64), np.array(end, np.int64), np.repeat(np.array(doc, np.int64), size), places
-
-
 class _Known(dict):
     """Emissions of words, with bounded memory."""
 
@@ -168,19 +164,21 @@ class _Known(dict):
         return out
 
 
-def marginals(model: Model, known: _Known, token_lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: its chance to be toxic, its document, its place among its document's tokens."""
-    words, start, end, doc, place = _layout(token_lists)
-    n = int(end[-1]) if len(end) else 0
-    e = np.fromiter((v for s in words for w in s for v in known[w]), np.float64, 3 * n).reshape(-1, 3)
-    emit = e[:, 0].copy()
-    inner = np.ones(n, bool)
-    inner[start] = False
-    emit[inner] += e[np.flatnonzero(inner) - 1, 1]
-    inner[:] = True
-    inner[end - 1] = False
-    emit[inner] += e[np.flatnonzero(inner) + 1, 2]
-    return forward_backward(emit, start, end, model.a, model.first)[0], doc, place
+def _neighbours(laid: Laid) -> tuple[np.ndarray, np.ndarray]:
+    """Places of words that have one before them in their sentence, and of those that have one behind them."""
+    inner, open_ = np.ones(len(laid.code), bool), np.ones(len(laid.code), bool)
+    inner[laid.start], open_[laid.end - 1] = False, False
+    return np.flatnonzero(inner), np.flatnonzero(open_)
+
+
+def marginals(model: Model, known: _Known, laid: Laid) -> np.ndarray:
+    """Of each word its chance to be toxic."""
+    table = np.array([known[w] for w in laid.words], np.float64).reshape(-1, 3)
+    inner, open_ = _neighbours(laid)
+    emit = table[laid.code, 0]
+    emit[inner] += table[laid.code[inner - 1], 1]
+    emit[open_] += table[laid.code[open_ + 1], 2]
+    return forward_backward(emit, laid.start, laid.end, model.a, model.first)[0]
 
 
 def document_features(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
@@ -191,34 +189,20 @@ def document_features(p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.log1p(expected), expected / np.maximum(size, 1) * 10, np.log(any_ / (1 - any_)) / 5, np.ones(n)], 1)
 
 
-def _fit_field(docs: list[list[bytes]], ys: list[int], marks: set[bytes]) -> Model:
-    toxic, plain = [], []
-    for tokens, y in zip(docs, ys, strict=True):
-        for i, j in sentences(tokens):
-            s = tokens[i:j]
-            hit = [any(f in marks for f in features(w)) for w in s] if y else None
-            if y and any(hit):
-                toxic.append((s, hit))
-            elif not y:
-                plain.append((s, None))
-    step = max(1, len(plain) // max(1, PLAIN * len(toxic) + 2000))
-    chosen = toxic + plain[::step]
-    size = np.array([len(s) for s, _ in chosen], np.int64)
-    end = np.cumsum(size)
-    start = end - size
-    label = np.array([bool(h and h[k]) for s, h in chosen for k in range(len(s))], float)
-    words: dict[bytes, int] = {}
-    code = np.array([words.setdefault(w, len(words)) for s, _ in chosen for w in s], np.int64)
+def _fit_field(laid: Laid, ys: np.ndarray, marks: set[bytes]) -> Model:
+    words, code, start, end = laid.words, laid.code, laid.start, laid.end
+    times = np.bincount(code, minlength=len(words))
+    own = [features(w) if n else [] for w, n in zip(words, times.tolist(), strict=True)]
+    marked = np.fromiter((any(f in marks for f in fs) for fs in own), bool, len(words))
+    label = (marked[code] & ys[laid.doc]).astype(float)
     # markers, words met at least three times, other features of at least three words
-    times = np.bincount(code)
-    count = Counter(f for w in words for f in features(w))
+    count = Counter(f for fs in own for f in fs)
     ids: dict[bytes, int] = {}
-    pairs = [(u, ids.setdefault(f, len(ids))) for w, u in words.items() for f in features(w) if f in marks or (times[u] if f[:1] == b"w" else count[f]) >= 3]
+    pairs = [(u, ids.setdefault(f, len(ids))) for u, fs in enumerate(own) for f in fs if f in marks or (times[u] if f[:1] == b"w" else count[f]) >= 3]
     pu, pf = (np.array(z, np.int64) for z in zip(*pairs, strict=True))
-    n_words, n = len(words), len(code)
-    inner, notlast = np.ones(n, bool), np.ones(n, bool)
-    inner[start], notlast[end - 1] = False, False
-    inner, notlast = np.flatnonzero(inner), np.flatnonzero(notlast)
+    del own, count, pairs
+    n_words = len(words)
+    inner, notlast = _neighbours(laid)
     sizes = [len(ids), n_words, n_words, 6]
     theta = np.zeros(sum(sizes))
     at = np.cumsum([0, *sizes])
@@ -272,14 +256,16 @@ def fit(texts: list[bytes], ys: list[int], hashes: list[int], weights: list[floa
     if not marks:
         share = min(max(share, 1e-4), 1 - 1e-4)
         return Model({}, {}, {}, -40.0, np.zeros((2, 2)), 0.0, np.array([0, 0, 0, math.log(share / (1 - share))]))
-    model = _fit_field(docs, ys, marks)
-    p, doc, _ = marginals(model, _Known(model), docs)
-    model.doc = _logistic(document_features(p, doc, len(docs)), np.array(ys, float), np.array(weights, float))
+    laid = laid_out(docs)
+    del docs
+    model = _fit_field(laid, np.array(ys, bool), marks)
+    p = marginals(model, _Known(model), laid)
+    model.doc = _logistic(document_features(p, laid.doc, len(texts)), np.array(ys, float), np.array(weights, float))
     return model
 
 
-def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", **bounds: int) -> Model:
-    model = fit(*labelled.sample(docs, labels, label, **bounds))
+def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE, **bounds: int) -> Model:
+    model = fit(*labelled.sample(docs, labels, label, per_class, **bounds))
     give_back()  # the driver keeps no trace of the sample
     return model
 
@@ -288,14 +274,16 @@ def _spans(text: bytes, tokens: np.ndarray, p: np.ndarray, least: float) -> list
     """Runs of neighbouring toxic words as code point offsets [start, end) with their highest marginal."""
     want = dict(zip(tokens.tolist(), p.tolist(), strict=True))
     out: list[dict] = []
-    last = -2
+    last, byte, char = -2, 0, 0
     for i, hit in enumerate(TOKEN.finditer(text)):
         if want.get(i, 0.0) >= least:
-            start, end = (len(text[:k].decode("utf-8", "replace")) for k in hit.span())
+            start = char + len(text[byte : hit.start()].decode("utf-8", "replace"))
+            char = start + len(hit[0].decode("utf-8", "replace"))
+            byte = hit.end()
             if i == last + 1:
-                out[-1] |= {"end": end, "score": max(out[-1]["score"], want[i])}
+                out[-1] |= {"end": char, "score": max(out[-1]["score"], want[i])}
             else:
-                out.append({"start": start, "end": end, "score": want[i]})
+                out.append({"start": start, "end": char, "score": want[i]})
             last = i
     return out
 
@@ -309,13 +297,13 @@ def _score(held, at: int, least: float):
         known = _Known(model)
         for batch in slices(batches, at):
             texts = byte_texts(batch.column(at))
-            p, doc, place = marginals(model, known, [TOKEN.findall(t.lower()) for t in texts])
-            z = document_features(p, doc, len(texts)) @ model.doc
+            laid = laid_out([TOKEN.findall(t.lower()) for t in texts])
+            p = marginals(model, known, laid)
+            z = document_features(p, laid.doc, len(texts)) @ model.doc
             spans: list[list[dict]] = [[] for _ in texts]
             hot = np.flatnonzero(p >= least)
-            for d in np.unique(doc[hot]):
-                own = hot[doc[hot] == d]
-                spans[d] = _spans(texts[d], place[own], p[own], least)
+            for d, own in by_shard(laid.doc[hot]):
+                spans[d] = _spans(texts[d], laid.place[hot[own]], p[hot[own]], least)
             yield pa.record_batch([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40)))), pa.array(spans, SPANS)], [*batch.schema.names, "_score", "_spans"])
 
     return run
@@ -332,6 +320,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", least: float =
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted, spans."""
+    """Per document: doc_id, held_out, score, predicted, spans. A null id is never held out; see :func:`scored` and
+    :func:`fit` for null and empty texts, repeated rows, and labels that are missing."""
     out = scored(docs.select("doc_id", "text"), trained(docs, labels))
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"), F.col("_spans").alias("spans"))
