@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import fixed
 from quern.functions import text as t
 from quern.operators.extract import articles, chunk_documents
-from quern.schema import TEXTS, conform, empty_if_null, first_full
+from quern.schema import TEXTS, conform, empty_if_null, first_full, order_key
 from quern.storage import written
 
 LEAST_WORDS = 30
@@ -19,13 +19,16 @@ def keep_types(df: DataFrame, col: str = "legal_type") -> DataFrame:
     return df.filter(F.col(col).isin(fixed.KEPT_TYPES))
 
 
-def join_metadata(content: DataFrame, metadata: DataFrame, inner: bool) -> DataFrame:
+def join_metadata(content: DataFrame, metadata: DataFrame, inner: bool, order: str | None = None) -> DataFrame:
     """J1, J2. Content with its document's metadata by id (numeric ids meet as numbers, whatever their type); without
-    ``inner``, rows without metadata stay with empty fields. Catalyst broadcasts the metadata if it is small."""
+    ``inner``, rows without metadata stay with empty fields. Of metadata that repeat an id the last row counts, in the order
+    of the column ``order``, or as the table is scanned. Catalyst broadcasts the metadata if it is small."""
     number = lambda c: F.coalesce(c.cast("string").try_cast("bigint").cast("string"), c.cast("string"))
-    meta = metadata.withColumn("_id", number(F.col("id"))).drop("id")
+    fields = [c for c in metadata.columns if c not in ("id", order)]
+    placed = metadata.withColumn("_id", number(F.col("id"))).withColumn("_at", F.col(order) if order else F.monotonically_increasing_id())
+    meta = placed.filter("_id IS NOT NULL").groupBy("_id").agg(F.max_by(F.struct(*fields), "_at").alias("_m")).select("_id", *(F.col(f"_m.`{c}`").alias(c) for c in fields))
     joined = content.withColumn("_id", number(F.col("id"))).join(meta, "_id", "inner" if inner else "left").drop("_id")
-    return joined if inner else joined.na.fill("", [f.name for f in meta.schema.fields if f.dataType.simpleString() == "string" and f.name != "_id"])
+    return joined if inner else joined.na.fill("", [c for c in fields if metadata.schema[c].dataType.simpleString() == "string"])
 
 
 def extract_documents(docs: DataFrame, source: str, least: int = 20, article_only: bool = False) -> DataFrame:
@@ -56,14 +59,18 @@ def dedup_key(df: DataFrame) -> DataFrame:
 
 
 def with_status(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """P4, W4, A10. ``status`` of each row: short (too few words; never registered), duplicate (a row of the same key has
-    a smaller ``seq``) or kept. The first of a key comes from a partial aggregation, so a common key is no hot task."""
+    """P4, W4, A10. ``status`` of each row: short (too few words; never registered), duplicate (a row of the same key comes
+    before it, by ``seq``) or kept. Rows without a key are no duplicates.
+
+    The rows are written once, with a number each. The first of a key comes from a partial aggregation, and meets the rows by
+    its number, so neither a common key nor the rows without one come together in a task.
+    """
     long = F.size(t.words(F.col("text"))) >= least_words
-    keyed = dedup_key(rows.withColumn("article_id", bare_article(F.col("article_id")))).withColumn("_long", long)
-    first = keyed.filter(F.col("_long") & F.col("key").isNotNull()).groupBy("key").agg(F.min("seq").alias("_first"))
-    joined = keyed.join(first, "key", "left")
-    status = F.when(~F.col("_long"), "short").when(F.col("key").isNotNull() & (F.col("seq") != F.col("_first")), "duplicate").otherwise("kept")
-    return joined.withColumn("status", status).drop("_long", "_first")
+    keyed = written(dedup_key(rows.withColumn("article_id", bare_article(F.col("article_id")))).withColumns({"_long": long, "_row": F.monotonically_increasing_id()}), "keyed")
+    first = keyed.filter(F.col("_long") & F.col("key").isNotNull()).groupBy("key").agg(F.min(F.struct("seq", "_row")).alias("_first")).select(F.col("_first._row").alias("_row"), F.lit(True).alias("_is_first"))
+    joined = keyed.join(first, "_row", "left")
+    status = F.when(~F.col("_long"), "short").when(F.col("key").isNotNull() & F.col("_is_first").isNull(), "duplicate").otherwise("kept")
+    return joined.withColumn("status", status).drop("_long", "_row", "_is_first")
 
 
 def first_wins(rows: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -85,16 +92,29 @@ def number_rows(rows: DataFrame, order: list[str]) -> DataFrame:
 
 
 def build_corpus(sources: list[DataFrame], least_words: int = LEAST_WORDS) -> DataFrame:
-    """U1. The sources in order of priority (each with corpus columns and an order column ``seq``), enriched, cut into
-    sections, filtered and deduplicated, with ``idx``."""
-    tagged = [conform(s, F.lit(k).alias("_source"), F.col("seq").cast("string").alias("_seq")) for k, s in enumerate(sources)]
+    """U1. The sources in order of priority (each with corpus columns and an order column ``seq``, made by
+    :func:`quern.schema.order_key` or of any type that it takes), enriched, cut into sections, filtered and deduplicated,
+    with ``idx``. Rows that are equal in all columns are told apart by nothing; one of them stays if they have a key."""
+    own = lambda s: F.col("seq") if s.schema["seq"].dataType.typeName() == "struct" else order_key(F.col("seq"))
+    tagged = [conform(s, F.lit(k).alias("_source"), own(s).alias("_seq")) for k, s in enumerate(sources)]
     union = tagged[0]
     for s in tagged[1:]:
         union = union.unionByName(s)
-    parts = chunk_documents(enrich_codes(union).withColumn("seq", F.struct("_source", F.lpad("_seq", 20, "0").alias("row"))).drop("_source", "_seq"))
-    ordered = parts.withColumn("seq", F.struct("seq._source", "seq.row", "part"))
-    kept = first_wins(ordered, least_words)
-    return number_rows(kept.withColumns({"_a": F.col("seq._source"), "_b": F.col("seq.row"), "_c": F.col("seq.part")}), ["_a", "_b", "_c"]).select("idx", *TEXTS)
+    parts = chunk_documents(enrich_codes(union).withColumn("seq", F.struct("_source", "_seq")).drop("_source", "_seq"))
+    # equal places happen where a source repeats a row: the text decides, so that the order is total
+    ordered = parts.withColumn("seq", F.struct("seq._source", "seq._seq", "part", F.md5("text").alias("hash")))
+    return number_rows(first_wins(ordered, least_words), ["seq"]).select("idx", *TEXTS)
+
+
+def counters(kept: DataFrame, content: DataFrame, metadata: DataFrame) -> DataFrame:
+    """A10. One row about an extraction: ``content`` (id) and ``metadata`` (id) that went in, ``kept`` (id, article_id) that
+    came out: documents without metadata, documents with metadata but without any article, articles."""
+    number = lambda c: F.coalesce(c.cast("string").try_cast("bigint").cast("string"), c.cast("string"))
+    known = metadata.select(number(F.col("id")).alias("_id"), F.lit(1).alias("_meta")).distinct()
+    out = kept.filter("article_id != ''").groupBy(number(F.col("id")).alias("_id")).agg(F.count("*").alias("_n"))
+    docs = content.select(number(F.col("id")).alias("_id")).join(known, "_id", "left").join(out, "_id", "left")
+    met = F.col("_meta").isNotNull()
+    return docs.agg(F.count("*").alias("n_docs"), F.count_if(~met).alias("no_meta"), F.count_if(met & F.col("_n").isNull()).alias("no_articles"), F.coalesce(F.sum(F.when(met, F.col("_n"))), F.lit(0)).alias("n_articles"))
 
 
 def statistics(corpus: DataFrame) -> DataFrame:

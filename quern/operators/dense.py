@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators.bm25 import ranked
+from quern.storage import shared_dir
 
 #: Queries that are sent to the workers at once.
 BLOCK = 1000
@@ -25,17 +27,14 @@ def hashed_vector(c: Column, dim: int = 64) -> Column:
     pattern = re.compile(r"\w{2,}")
 
     def run(texts: pd.Series) -> pd.Series:
-        known: dict[str, int] = {}
-        out = []
-        for text in texts:
-            v = np.zeros(dim)
-            for w in pattern.findall((text or "").lower()):
-                slot = known.get(w)
-                if slot is None:
-                    slot = known[w] = int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % dim
-                v[slot] += 1
-            out.append(v / (np.linalg.norm(v) or 1.0))
-        return pd.Series(out)
+        found = [pattern.findall((text or "").lower()) for text in texts]
+        known = {w: i for i, w in enumerate({w for ws in found for w in ws})}
+        slot = np.fromiter((int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % dim for w in known), np.int64, len(known))
+        rows = np.repeat(np.arange(len(found)), [len(ws) for ws in found])
+        codes = np.fromiter((known[w] for ws in found for w in ws), np.int64, len(rows))
+        counts = np.bincount(rows * dim + slot[codes], minlength=len(found) * dim).reshape(len(found), dim).astype(np.float64)
+        size = np.linalg.norm(counts, axis=1, keepdims=True)
+        return pd.Series(list(counts / np.where(size > 0, size, 1.0)))
 
     return F.pandas_udf(run, T.ArrayType(T.DoubleType()))(c)
 
@@ -61,7 +60,7 @@ def _top(held, k: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                v = np.array(part.column(1).to_pylist(), np.float64)
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
                 s = np.concatenate([best_s, np.round(matrix @ v.T, 12)], axis=1)
                 i = np.concatenate([best_i, np.broadcast_to(part.column(0).to_numpy(), (len(matrix), part.num_rows))], axis=1)
                 order = np.lexsort((i, -s), axis=1)[:, :k]
@@ -75,25 +74,29 @@ def _top(held, k: int):
 def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """V2, L1. ``vectors``: (idx long, embedding); ``queries``: (query_id, embedding). (query_id, idx, score, rank).
 
-    Queries go out in blocks of ``BLOCK``; every task keeps k rows a query, and a window picks the best of those.
+    Queries go out in blocks of ``BLOCK``; every task keeps k rows a query, and a window picks the best of those. With more
+    than one block, each writes its rows, so that neither the plan nor the driver grows with the queries.
     """
     spark = vectors.sparkSession
     own = vectors.filter(F.col("embedding").isNotNull()).select(F.col("idx").cast("long").alias("idx"), "embedding")
-    out = None
-    block: list = []
+    kind = queries.schema["query_id"].dataType.simpleString()
 
     def run(rows: list) -> DataFrame:
         held = spark.sparkContext.broadcast(np.array([r.embedding for r in rows], np.float64))
-        names = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(rows)], f"q long, query_id {queries.schema['query_id'].dataType.simpleString()}")
+        names = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(rows)], f"q long, query_id {kind}")
         partial = own.mapInArrow(_top(held, k), "q long, idx long, score double")
+        # at most BLOCK rows
         return ranked(partial, k, "q").join(F.broadcast(names), "q").select("query_id", "idx", "score", "rank")
 
-    for r in queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding").toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            out = run(block) if out is None else out.unionByName(run(block))
-            block = []
-    if block or out is None:
-        last = run(block) if block else spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, idx long, score double, rank long")
-        out = last if out is None else out.unionByName(last)
-    return out
+    rows = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding").toLocalIterator()
+    block, path = list(islice(rows, BLOCK)), None
+    if not block:
+        return spark.createDataFrame([], f"query_id {kind}, idx long, score double, rank long")
+    while more := list(islice(rows, BLOCK)):
+        path = path or f"{shared_dir(spark)}/found"
+        run(block).write.mode("append").parquet(path)
+        block = more
+    if path is None:
+        return run(block)
+    run(block).write.mode("append").parquet(path)
+    return spark.read.parquet(path)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions import fixed
 from quern.functions import text as t
@@ -31,13 +33,17 @@ def sections(c: Column) -> Column:
 def chunk_documents(docs: DataFrame) -> DataFrame:
     """E2. Long documents without an article become their sections; the others pass. ``docs`` has the corpus columns and
     an order column ``seq``; sections follow their document's place."""
-    cut = (F.col("article_id") == "") & (F.length("text") >= CHUNK_CHARS) & (F.size("_sections") > 1)
-    marked = docs.withColumn("_sections", F.when((F.col("article_id") == "") & (F.length("text") >= CHUNK_CHARS), sections(F.col("text"))).otherwise(F.array()))
-    whole = marked.filter(~cut).withColumn("part", F.lit(0)).drop("_sections")
-    parts = marked.filter(cut).select(*docs.columns, F.posexplode("_sections").alias("part", "s")).filter(F.length("s.content") >= SECTION_CHARS)
+    long = (F.col("article_id") == "") & (F.length("text") >= CHUNK_CHARS)
+    marked = docs.withColumn("_sections", F.when(long, sections(F.col("text"))).otherwise(F.array()))
+    whole = F.struct(F.lit(0).alias("part"), F.lit(False).alias("cut"), F.lit("").alias("title"), F.lit("").alias("article_id"), F.col("text").alias("content"))
+    numbered = F.transform("_sections", lambda s, i: F.struct(i.alias("part"), F.lit(True).alias("cut"), s["title"].alias("title"), s["article_id"].alias("article_id"), s["content"].alias("content")))
+    pieces = F.when(F.size("_sections") > 1, F.filter(numbered, lambda s: F.length(s["content"]) >= SECTION_CHARS)).otherwise(F.array(whole))
+    tall = marked.select(*docs.columns, F.explode(pieces).alias("s"))
+    cut = lambda new, old: F.when(F.col("s.cut"), new).otherwise(F.col(old))
     code = F.when(F.col("so_ky_hieu") != "", F.col("so_ky_hieu")).otherwise(t.doc_code(F.col("title")))
-    out = parts.withColumns({"text": F.col("s.content"), "so_ky_hieu": code, "chunk_id": F.concat("doc_id", F.lit("_art"), F.when(F.col("s.article_id") != "", F.col("s.article_id")).otherwise(F.col("part").cast("string"))), "title": F.when(F.col("s.title") != "", F.concat("title", F.lit(" - "), F.col("s.title"))).otherwise(F.col("title")), "article_id": F.col("s.article_id")})
-    return whole.unionByName(out.drop("s"))
+    chunk_id = F.concat("doc_id", F.lit("_art"), F.when(F.col("s.article_id") != "", F.col("s.article_id")).otherwise(F.col("s.part").cast("string")))
+    title = F.when(F.col("s.title") != "", F.concat("title", F.lit(" - "), F.col("s.title"))).otherwise(F.col("title"))
+    return tall.withColumns({"text": F.col("s.content"), "so_ky_hieu": cut(code, "so_ky_hieu"), "chunk_id": cut(chunk_id, "chunk_id"), "title": cut(title, "title"), "article_id": cut(F.col("s.article_id"), "article_id"), "part": F.col("s.part")}).drop("s")
 
 
 def articles(content: Column, title: Column, number: Column, least: int = 20) -> Column:
@@ -79,6 +85,40 @@ def windows(c: Column, size: int, overlap: int) -> Column:
     return F.when(F.size(w) <= size, F.array(c)).otherwise(F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, size), " ")))
 
 
+def _cut_at_sentences(words: list[str], size: int, overlap: int) -> list[str]:
+    out, at, n = [], 0, len(words)
+    while True:
+        end = min(at + size, n)
+        text = " ".join(words[at:end])
+        stop = text.rfind(".")
+        if end < n and text[-1] not in ".!?" and stop > len(text) // 2:
+            end = at + len(text[:stop].split(" ")) - (text[:stop].endswith(" ") or not text[:stop])
+            text = " ".join(words[at:end])
+        out.append(text)
+        if end >= n:
+            return out
+        at = max(end - overlap, at + 1)
+
+
+def sentence_windows(c: Column, size: int, overlap: int) -> Column:
+    """E6 with sentence ends. Like :func:`windows`, but a window that is not the last and does not end with a sentence goes
+    back to the last full stop in it, if that lies beyond its middle (in characters); the next one starts ``overlap`` words
+    before the end, and at least one word on. The last window is the first that reaches the last word.
+
+    Each window depends on the one before, so texts of more than one window go to Python.
+    """
+    if size == 0:
+        return F.array(c)
+    w = t.words(c)
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else _cut_at_sentences(list(x), size, overlap))
+
+    long = F.size(w) > size
+    cut = F.pandas_udf(run, T.ArrayType(T.StringType()))
+    return F.when(long, cut(F.when(long, w))).otherwise(F.array(c))
+
+
 def chunks(docs: DataFrame, size: int, overlap: int, hierarchical: bool) -> DataFrame:
     """E4. ``docs``: (doc_id, title, text). Chunks with section, article_id and chunk_id: per article with windows of
     articles that are half as long again as a window, or windows of the whole text."""

@@ -1,16 +1,22 @@
 """Names of laws: an index of titles, and the match of a given name.
 
-A name meets titles by code, else by shared core words (only titles that share two of them are compared), else by
-containment of normalised names. Earlier titles win ties.
+A name meets titles by code, else by shared core words, else by containment of normalised names. Earlier titles win ties.
+Neither of the last two compares all names with all titles: a title that has enough of a name's words has one of its
+rarest, and a text that contains another has the rarest run of ``GRAM`` characters of it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as t
 
+#: Words of a name that a title has to share: at least so many, and at least such a part of them.
+LEAST_HITS, LEAST_RATIO = 2, 0.6
+#: Names of fewer characters are never sought by containment.
+GRAM = 4
+
 
 def title_index(corpus: DataFrame) -> DataFrame:
     """F5, A12. Distinct titles in order of first appearance: (title, first_idx, code, kind, year, words, names)."""
@@ -24,6 +30,11 @@ def title_index(corpus: DataFrame) -> DataFrame:
     return first.select("title", "first_idx", code.alias("code"), t.law_kind(low).alias("kind"), t.year(low).alias("year"), words.alias("words"), names.alias("names"))
 
 
+def grams(c: Column) -> Column:
+    """Distinct runs of ``GRAM`` characters; none for a shorter text."""
+    return F.when(F.length(c) >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: F.substring(c, i, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+
+
 def match(names: DataFrame, titles: DataFrame) -> DataFrame:
     """F6. ``names``: (name_id, name). (name_id, title), null where nothing matches."""
     low = F.lower(t.strip(F.col("name")))
@@ -34,16 +45,29 @@ def match(names: DataFrame, titles: DataFrame) -> DataFrame:
 
     by_code = asked.filter("q_code != ''").join(titles.filter("code != ''"), F.col("q_code") == F.col("code")).groupBy("name_id").agg(F.max_by("title", F.struct(F.length("title"), -F.col("first_idx"))).alias("t1"))
 
-    # titles that share words: hits count the name's words with repetition
-    word_counts = asked.select("name_id", F.explode("q_words").alias("w")).groupBy("name_id", "w").agg(F.count("*").alias("times"))
+    # a title that has `need` of a name's n words has one of any n - need + 1 of them: of the rarest
     long_titles = titles.filter(F.length("title") >= 10)
-    hits = word_counts.join(long_titles.select("title", F.explode("words").alias("w")), "w").groupBy("name_id", "title").agg(F.sum("times").alias("hits")).filter("hits >= 2")
-    pairs = hits.join(asked, "name_id").join(long_titles, "title").withColumn("ratio", F.col("hits") / F.size("q_words")).filter((F.col("ratio") >= 0.6) & fits)
+    title_words = long_titles.select("title", F.explode("words").alias("w"))
+    often = title_words.groupBy("w").agg(F.count("*").alias("n"))
+    listed = asked.select("name_id", F.explode("q_words").alias("w")).join(often, "w", "left").groupBy("name_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))).alias("ws"))
+    need = F.greatest(F.lit(LEAST_HITS), F.ceil(F.round(LEAST_RATIO * F.size("ws"), 9))).cast("int")
+    rare = listed.withColumn("need", need).filter(F.size("ws") >= F.col("need")).select("name_id", F.explode(F.array_distinct(F.transform(F.slice("ws", F.lit(1), F.size("ws") - F.col("need") + 1), lambda x: x["w"]))).alias("w"))
+    hits = rare.join(title_words, "w").select("name_id", "title").distinct()
+    shared = F.size(F.filter("q_words", lambda w: F.array_contains("words", w)))
+    pairs = hits.join(asked, "name_id").join(long_titles, "title").withColumn("hits", shared).withColumn("ratio", F.col("hits") / F.size("q_words")).filter((F.col("hits") >= LEAST_HITS) & (F.col("ratio") >= LEAST_RATIO) & fits)
     years = F.when((F.col("q_year") != "") & (F.col("q_year") == F.col("year")), 0.2).when((F.col("q_year") != "") & (F.col("year") != ""), -0.1).otherwise(0.0)
     by_words = pairs.groupBy("name_id").agg(F.max_by("title", F.struct(F.round(F.col("ratio") + years, 9), -F.col("first_idx"))).alias("t2"))
 
-    # the last resort is a containment test of the names that nothing else has matched against all titles
+    # the last resort is a containment test, of the names that nothing else has matched
     matched = by_code.select("name_id").unionByName(by_words.select("name_id"))
-    rest = asked.filter(F.length("q_core") > 3).join(matched, "name_id", "left_anti").select("name_id", "q_kind", "q_core")
-    by_name = titles.select("title", "first_idx", "kind", F.posexplode("names").alias("pos", "n")).join(F.broadcast(rest), (F.contains("n", F.col("q_core")) | F.contains("q_core", F.col("n"))) & fits).groupBy("name_id").agg(F.min_by("title", F.struct("first_idx", "pos")).alias("t3"))
+    rest = asked.filter(F.length("q_core") >= GRAM).join(matched, "name_id", "left_anti").select("name_id", "q_kind", "q_core")
+    tall = titles.select("title", "first_idx", "kind", F.posexplode("names").alias("pos", "n"))
+    runs = tall.select("title", "pos", "n", F.explode(grams(F.col("n"))).alias("g"))
+    many = runs.groupBy("g").agg(F.count("*").alias("many"))
+    own = rest.select("name_id", F.explode(grams(F.col("q_core"))).alias("g"))
+    rarest = lambda df, *key: df.groupBy(*key).agg(F.min(F.struct("many", "g")).alias("m")).select(*key, "m.g")
+    inside = rarest(own.join(many, "g", "left").na.fill(0, ["many"]), "name_id").join(runs, "g").select("name_id", "title", "pos")
+    around = rarest(runs.join(many, "g"), "title", "pos", "n").join(own, "g").select("name_id", "title", "pos")
+    found = inside.unionByName(around).distinct().join(rest, "name_id").join(tall, ["title", "pos"]).filter((F.contains("n", F.col("q_core")) | F.contains("q_core", F.col("n"))) & fits)
+    by_name = found.groupBy("name_id").agg(F.min_by("title", F.struct("first_idx", "pos")).alias("t3"))
     return names.select("name_id").join(by_code, "name_id", "left").join(by_words, "name_id", "left").join(by_name, "name_id", "left").select("name_id", F.coalesce("t1", "t2", "t3").alias("title"))

@@ -23,6 +23,7 @@ from quern.functions import text as t
 from quern.operators import answer as assembly
 from quern.operators import fusion, lawmatch
 from quern.operators.rerank import overlap_logit, reconstruct, rerank
+from quern.plans import prompts
 from quern.plans import retrieval as plans
 from quern.storage import written
 
@@ -38,16 +39,10 @@ class RuleModel:
         task = prompt.split("\n", 1)[0]
         if task in ("ANALYSE", "ASSESS"):
             return '{"is_complete": true, "laws": [], "search_queries": []}'
-        if task == "CLASSIFY":
-            return "factual"
-        if task == "USEFUL?":
-            return "USEFUL"
-        if task == "CORRECT":
-            return "OK"
         if task == "ANSWER":
             found = re.search(r"^\[1\] (.*)\n(.*)", prompt, re.MULTILINE)
             return f"{found[1]}: {found[2][:400]}" if found else "No passage was found."
-        return prompt.split("\n", 1)[-1] if task == "EDIT" else ""
+        return prompts.part(prompt, "answer") if task == "EDIT" else {"CLASSIFY": "factual", "USEFUL?": "USEFUL", "CORRECT": "OK"}.get(task, "")
 
 
 def parsed(reply: str) -> dict:
@@ -87,6 +82,18 @@ class Engine:
         self.spark = retriever.corpus.sparkSession
         self.titles = lawmatch.title_index(retriever.corpus) if "title" in retriever.corpus.columns else None
 
+    def ask(self, task: str, **parts: object) -> str:
+        """The model's reply to the prompt of a task, at its temperature."""
+        return self.model.generate(prompts.prompt(task, **parts), prompts.temperature(task))
+
+    def choice(self, placed: DataFrame) -> DataFrame:
+        """R3. For :func:`quern.operators.rerank.rerank_by_choice`: the model picks from each batch of passages of a query."""
+        shown = F.concat(F.lit("["), (F.col("place") + 1).cast("string"), F.lit("] "), F.col("doc_title"), F.lit("\n"), F.substring("content", 1, 500))
+        batches = placed.groupBy("query_id", "query", "batch").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", shown.alias("s")))), lambda x: x["s"]), "\n\n").alias("passages"))
+        replies = [(r.query_id, r.batch, self.ask("RERANK", passages=r.passages, question=r.query)) for r in batches.toLocalIterator()]
+        kinds = {c: placed.schema[c].dataType.simpleString() for c in ("query_id", "batch")}
+        return self.spark.createDataFrame(replies, f"query_id {kinds['query_id']}, batch {kinds['batch']}, reply string")
+
     def _ordered(self, chunks: DataFrame, query: str) -> DataFrame:
         """One list in the order of (query, rank), for the reranker."""
         w = Window.partitionBy("query_id").orderBy(*(c for c in ("turn", "query_order", "rank") if c in chunks.columns))
@@ -111,17 +118,16 @@ class Engine:
         return assembly.context(assembly.context_gate(chunks, threshold, final=self.config.final_top_k))
 
     def _replied(self, query: str, context: str, self_correct: bool, rounds: int = 2) -> tuple[str, int]:
-        prompt = f"ANSWER\n{context}\n\nQUESTION\n{query}"
-        out = self.model.generate(prompt)
-        if len(out) < 30 or "NOT_USEFUL" in self.model.generate(f"USEFUL?\n{query}\n{out[:500]}", 0.0).upper():
-            out = self.model.generate(f"{prompt}\n\nBE SPECIFIC\n{out}")
+        out = self.ask("ANSWER", passages=context, question=query)
+        if len(out) < 30 or "NOT_USEFUL" in self.ask("USEFUL?", question=query, answer=out[:500]).upper():
+            out = self.ask("ANSWER", passages=context, question=query, note=f"Be more specific than this answer:\n{out}")
         done = 0
         for done in range(1, rounds + 1) if self_correct else ():
-            reply = self.model.generate(f"CORRECT\n{query}\n{context}\n{out}", 0.2).strip()
+            reply = self.ask("CORRECT", passages=context, question=query, answer=out).strip()
             if reply.upper().startswith("OK"):
                 break
             out = reply
-        return self.model.generate(f"EDIT\n{out}", 0.1).strip(), done
+        return self.ask("EDIT", answer=out).strip(), done
 
     def _finish(self, result: Result, chunks: DataFrame) -> Result:
         """R8, R9, A5 for one query."""
@@ -162,8 +168,8 @@ class Engine:
         asks = {r.query_id: r.s for r in own.select("query_id", fusion.situational_query(F.col("query")).alias("s")).collect()}
         more, laws = {}, {}
         for i, query in asked.items():
-            analysis = parsed(self.model.generate(f"ANALYSE\n{query}", 0.1))
-            hypothetical = self.model.generate(f"HYPOTHETICAL\n{query}", 0.7).strip() if asks[i] else ""
+            analysis = parsed(self.ask("ANALYSE", question=query))
+            hypothetical = self.ask("HYPOTHETICAL", question=query).strip() if asks[i] else ""
             laws[i] = self.laws(list(analysis.get("laws") or []))
             more[i] = [hypothetical, *(analysis.get("search_queries") or [])]
         named = [(i, x) for i in asked for x in laws[i]]
@@ -181,7 +187,7 @@ class Engine:
             summaries = {r.query_id: r.summary for r in assembly.summary(best).collect()}
             follow = {}
             for i in going:
-                assessed = parsed(self.model.generate(f"ASSESS\n{asked[i]}\n{summaries.get(i, '')}", 0.0))
+                assessed = parsed(self.ask("ASSESS", question=asked[i], found=summaries.get(i, "")))
                 next_queries = assessed.get("follow_up_queries") or []
                 if not assessed.get("is_complete", True) and next_queries:
                     follow[i] = (next_queries[0], list(next_queries[1:]))
@@ -209,20 +215,20 @@ class Engine:
         """G5, G6, P10. Classify, prepare, decompose, expand, retrieve, hypothetical answer, hops, rerank, reconstruct, and
         one answer or the answers of the parts put together."""
         c, began = self.config, time.time()
-        reply = self.model.generate(f"CLASSIFY\n{query}", 0.0)
+        reply = self.ask("CLASSIFY", question=query)
         row = self.spark.createDataFrame([(query, reply)], "q string, r string").select(t.prepare_query(F.col("q")).alias("q"), plans.query_kind(F.col("r")).alias("k")).first()
         query, kind = row.q, row.k
         wide, narrow, _, variations, hypothesise, dense_w, sparse_w = fixed.QUERY_PLANS[kind]
         parts = [query]
         if kind in ("multi_article", "comparison", "interpretation", "scenario"):
-            listed = self._bullets(self.model.generate(f"DECOMPOSE\n{query}", 0.1))
+            listed = self._bullets(self.ask("DECOMPOSE", question=query))
             parts = listed if len(listed) > 1 else parts
-        asked = [q for p in parts for q in (p, *self._bullets(self.model.generate(f"EXPAND {variations}\n{p}", 0.3))[:variations])]
+        asked = [q for p in parts for q in (p, *self._bullets(self.ask("EXPAND", number=variations, question=p))[:variations])]
         fan = self.spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
         fan = fan.withColumn("embedding", self.embed(F.col("query"))) if self.embed else fan
         found = self.retriever.retrieve(fan, wide, (dense_w, sparse_w)).withColumnRenamed("query_id", "query_order").withColumn("query_id", F.lit(0).cast("long"))
         every = fusion.first_seen(found)
-        text = self.model.generate(f"HYPOTHETICAL\n{query}", 0.7).strip() if hypothesise and self.embed else ""
+        text = self.ask("HYPOTHETICAL", question=query).strip() if hypothesise and self.embed else ""
         if text:
             probe = self.spark.createDataFrame([(0, text)], "query_id long, query string").withColumn("embedding", self.embed(F.col("query")))
             near = self.retriever.dense_search(probe, wide // 2).withColumns({"source": F.lit("hyde"), "query_order": F.lit(len(asked)).cast("long")})
@@ -237,7 +243,7 @@ class Engine:
         if len(parts) > 1:
             good = final.filter(F.col("score") > c.score_threshold * 0.9)
             answers = [f"{i + 1}. {p}\n{self.generate(p, good, False)[0]}" for i, p in enumerate(parts)]
-            text, corrections = self.model.generate("RECOMPOSE\n" + query + "\n\n" + "\n\n".join(answers), 0.1), 0
+            text, corrections = self.ask("RECOMPOSE", question=query, answers="\n\n".join(answers)), 0
         else:
             text, corrections = self.generate(query, final, self_correct, threshold=c.score_threshold)
         result = Result(query, kind, text, corrections=corrections, expanded_queries=asked[1:], retrieval_time=retrieved - began, rerank_time=ranked - retrieved, generation_time=time.time() - ranked)

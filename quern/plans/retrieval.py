@@ -13,6 +13,7 @@ from quern.functions import text as t
 from quern.operators import bm25, dense, fusion
 from quern.operators.extract import cross_references, fan_out
 from quern.operators.rerank import overlap_logit, reconstruct, rerank
+from quern.storage import complete, save
 
 
 @dataclass
@@ -24,10 +25,24 @@ class Retriever:
     vectors: DataFrame | None = None
 
     @classmethod
-    def over(cls, corpus: DataFrame, config: Config = DEFAULT, embed=None) -> Retriever:
-        """V3. ``embed``: a column function of the text; None leaves the dense side out."""
+    def over(cls, corpus: DataFrame, config: Config = DEFAULT, embed=None, path: str | None = None, force: bool = False) -> Retriever:
+        """V3, S16, S17. ``embed``: a column function of the text; None leaves the dense side out.
+
+        With a ``path`` each index is built and written there if it isn't there yet (or ``force`` says so), and loaded: searches
+        then read stored postings and vectors, and no text is tokenized or embedded again. Without one, every search does that.
+        """
+        spark = corpus.sparkSession
+        build = lambda: bm25.build(corpus, config.bm25_k1, config.bm25_b)
         vectors = corpus.select("idx", embed(F.col("text")).alias("embedding")) if embed else None
-        return cls(corpus, bm25.build(corpus, config.bm25_k1, config.bm25_b), vectors)
+        if path is None:
+            return cls(corpus, build(), vectors)
+        if force or not bm25.Index.exists(spark, f"{path}/sparse"):
+            build().save(f"{path}/sparse")
+        if vectors is not None:
+            if force or not complete(spark, f"{path}/dense"):
+                save(vectors, f"{path}/dense")
+            vectors = spark.read.parquet(f"{path}/dense")
+        return cls(corpus, bm25.Index.load(spark, f"{path}/sparse"), vectors)
 
     def ranked(self, queries: DataFrame, top_k: int = DEFAULT.retrieval_top_k, weights: tuple = (DEFAULT.hybrid_dense_weight, DEFAULT.hybrid_sparse_weight), cut: bool = True) -> DataFrame:
         """F3. ``queries``: (query_id, query) and, for the dense side, embedding; weights may be column expressions over

@@ -7,10 +7,10 @@ from itertools import islice
 from pyspark.sql import functions as F
 
 from quern.operators import answer as a
-from quern.operators import bm25, dense, fusion, lawmatch
+from quern.operators import bm25, dense, fusion
 from quern.operators.rerank import reconstruct, rerank
 from quern.plans import retrieval as plans
-from quern.queries.base import documents, fixture, query, table, terms, values
+from quern.queries.base import documents, fixture, query, table, terms
 from quern.storage import shared_dir
 
 
@@ -27,8 +27,19 @@ def _embedded(spark, sf_dir):
     return _queries(spark, sf_dir).withColumn("embedding", dense.hashed_vector(F.col("query")))
 
 
+#: Where the indexes of a table lie, by session and table: built by the first query that needs them, loaded by the others.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index_path(spark, sf_dir):
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        _INDEXES[key] = shared_dir(spark)
+    return _INDEXES[key]
+
+
 def _retriever(spark, sf_dir):
-    return plans.Retriever.over(_corpus(spark, sf_dir), embed=dense.hashed_vector)
+    return plans.Retriever.over(_corpus(spark, sf_dir), embed=dense.hashed_vector, path=_index_path(spark, sf_dir))
 
 
 _BM25 = f"""
@@ -79,15 +90,14 @@ _OUT = "SELECT query_id, idx, rank, round(score, 6) AS score FROM "
 
 @query(f"WITH {_BM25} SELECT term, df FROM df")
 def bm25_stats(spark, sf_dir):
-    index = bm25.build(_corpus(spark, sf_dir))
-    return index.postings.groupBy("term").agg(F.count("*").alias("df"))
+    return bm25.build(_corpus(spark, sf_dir)).terms
 
 
 @query(f"WITH {_BM25} SELECT t.query_id, t.idx, t.rank, round(score, 6) AS score, source FROM {_top('bm', 10)} t JOIN documents ON doc_id = t.idx")
 def bm25_topk(spark, sf_dir):
-    corpus = _corpus(spark, sf_dir)
-    top = _out(bm25.search(bm25.build(corpus), _queries(spark, sf_dir), 10))
-    return top.join(corpus.select("idx", F.col("title").alias("source")), "idx").select("query_id", "idx", "rank", "score", "source")
+    r = _retriever(spark, sf_dir)
+    top = _out(bm25.search(r.index, _queries(spark, sf_dir), 10))
+    return top.join(r.corpus.select("idx", F.col("title").alias("source")), "idx").select("query_id", "idx", "rank", "score", "source")
 
 
 @query(f"WITH d AS (SELECT q.vec_id AS query_id, v.vec_id AS idx, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 12) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) {_OUT}{_top('d', 20)}")
@@ -119,17 +129,6 @@ def hybrid_retrieve(spark, sf_dir):
     return found.select("query_id", "idx", "rank", F.round("score", 6).alias("score"), "doc_title")
 
 
-_KEYWORD = r"regexp_matches(lower(q.text), 'điều\s+\d+|luật\s+|nghị định\s+|thông tư\s+')"
-
-
-@query(f"WITH {_BM25}, {_DENSE}, a AS {_top('dn', 40)}, b AS {_top('bm', 40)}, ca AS {_cut('a', 40)}, cb AS {_cut('b', 40)}, f AS {_rrf('ca', 'cb', 0.7, 0.3, 20)} SELECT query_id, idx, round(score, 6) AS score FROM f")
-def multi_query(spark, sf_dir):
-    """Each query with a blank expansion, which is left out; no query names an article, so the dense weight is 0.7."""
-    q = _queries(spark, sf_dir).withColumn("expansions", F.array(F.lit(" ")))
-    found = plans.multi_query(_retriever(spark, sf_dir), q, 20, dense.hashed_vector)
-    return found.select("query_id", "idx", F.round("score", 6).alias("score"))
-
-
 _RERANK = f"""
 hd AS (SELECT f.*, d.source AS doc_title, d.lang AS article_id, d.text AS content, q.text AS query FROM fused f JOIN documents d ON d.doc_id = f.idx JOIN benchmark q ON q.item_id = f.query_id),
 tr AS (SELECT *, CASE WHEN length(content) <= 2048 THEN content WHEN strpos(content[1:2048], ' ') > 0 AND 2048 - strpos(reverse(content[1:2048]), ' ') > 1800 THEN content[1:2048 - strpos(reverse(content[1:2048]), ' ')] ELSE content[1:2048] END AS head, list_distinct({terms('query')}) AS qt FROM hd),
@@ -184,16 +183,6 @@ def predictions(spark, sf_dir):
     return rows.select("query_id", F.array_join("predicted_articles", ",").alias("predicted"))
 
 
-TITLES = [(0, "Luật Doanh nghiệp năm 2014", ""), (1, "Luật Doanh nghiệp năm 2020", ""), (2, "Nghị định về doanh nghiệp nhỏ", ""), (3, "Luật Bảo hiểm xã hội 58/2014/QH13 - Điều 3", "58/2014/QH13")]
-NAMES = [(1, "Luật Doanh nghiệp 2020", "Luật Doanh nghiệp năm 2020"), (2, "Luật Doanh nghiệp", "Luật Doanh nghiệp năm 2014"), (3, "Thông tư Doanh nghiệp", None), (4, "58/2014/QH13", "Luật Bảo hiểm xã hội 58/2014/QH13"), (5, "xx", None)]
-
-
-@query(f"SELECT name_id, title FROM {values(NAMES, 'name_id, name, title')}")
-def law_match(spark, sf_dir):
-    titles = lawmatch.title_index(fixture(spark, TITLES, "idx long, title string, so_ky_hieu string"))
-    return lawmatch.match(fixture(spark, NAMES, "name_id int, name string, want string").select("name_id", "name"), titles)
-
-
 @query()
 def multi_hop(spark, sf_dir):
     """Documents hold no cross-references, so the hop starts from two made-up chunks."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from quern.functions import fixed
@@ -49,20 +51,28 @@ def article_refs(spark, sf_dir):
     return structured(spark, sf_dir).select("doc_id", F.size(r).cast("long").alias("n"), F.md5(F.array_join(F.transform(r, lambda x: x["value"]), ",")).alias("refs"))
 
 
-REFS = [(1, "Điều 5 Khoản 2 và Điều 7", "article_clause,5,2|article,7,"), (2, "Khoản 3 Điều 9", "article_clause,9,3"), (3, "Điều 9, Khoản 3", "article,9,"), (4, "Điều 9 quy định chung về hợp đồng. Khoản 3 nêu rõ", "article_clause,9,3")]
+# line i names article i mod 5 and clause i mod 3; from line 16 on the pairs come again, and count as articles; a clause
+# that stands alone at the end belongs to the last of them
+@query('''
+WITH p AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM documents),
+r AS (SELECT doc_id, n, list_transform(generate_series(1, least(n, 15)), lambda i: 'article_clause,' || (i % 5) || ',' || (i % 3)) AS pairs FROM p)
+SELECT doc_id, array_to_string(CASE WHEN n > 15 THEN list_append(pairs, 'article_clause,' || (n % 5) || ',9') ELSE pairs END, '|') AS refs FROM r''')
+def structured_refs(spark, sf_dir):
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.concat(F.lit("Điều "), ((i + 1) % 5).cast("string"), F.lit(" Khoản "), ((i + 1) % 3).cast("string"), F.lit(" "), x))
+    text = F.concat(F.array_join(lines, "\n"), F.lit("\n" + "." * 30 + " Khoản 9"))
+    r = t.structured_references(text)
+    return documents(spark, sf_dir).select("doc_id", F.array_join(F.transform(r, lambda x: F.concat_ws(",", x["type"], x["article_id"], x["clause_id"])), "|").alias("refs"))
 
 
-@query(f"SELECT id, refs FROM {values(REFS, 'id, text, refs')}")
-def structured_refs(spark, sf_dir):
-    r = t.structured_references(F.col("text"))
-    return fixture(spark, REFS, "id int, text string, want string").select("id", F.array_join(F.transform(r, lambda x: F.concat_ws(",", x["type"], x["article_id"], x["clause_id"])), "|").alias("refs"))
+_PLAIN_TAG = t.TAG.replace("'", "''")
+_DECODED = reduce(lambda sql, e: f"replace({sql}, '&{e[0]};', chr({ord(e[1])}))", t.ENTITIES.items(), "t")
 
 
-@query(r"""
-WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)(?:<[^>]*>)+', chr(10), 'g') AS t FROM pages),
-b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), chr(160), ' ') AS t FROM a),
-c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '(Điều[ \t]+\d+)[ \t]*\n\s*([.:])', '\1\2', 'g'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g') AS t FROM b)
-SELECT page_id, md5(regexp_replace(regexp_replace(t, '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS body FROM c""")
+@query(rf'''
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '{t.HIDDEN}', '<x>', 'g'), '(?:{_PLAIN_TAG})+', chr(10), 'g') AS t FROM pages),
+b AS (SELECT page_id, {_DECODED} AS t FROM a),
+c AS (SELECT page_id, regexp_replace(replace(regexp_replace(t, '(Điều\s+\d+)\s*\n\s*([.:])', '\1\2', 'g'), chr(160), ' '), '[ \t]+', ' ', 'g') AS t FROM b)
+SELECT page_id, md5(regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS body FROM c''')
 def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(t.html_text(F.col("html"))).alias("body"))
 
@@ -84,13 +94,15 @@ def bullet_lines(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.size(b).cast("long").alias("n"), F.md5(F.array_join(b, "|")).alias("items"))
 
 
-REPLIES = [(1, '{"is_complete": true, "gaps": "x"}', "true", "x"), (2, 'text ```json\n{"is_complete": false, "gaps": "y"}\n``` more', "false", "y"), (3, 'so: {"is_complete": true} end', "true", None), (4, "nothing", None, None)]
+_JSON = '''('{"is_complete": ' || CASE WHEN lang = 'en' THEN 'true' ELSE 'false' END || ', "gaps": "' || source || '"}')'''
 
 
-@query(f"SELECT id, complete, gaps FROM {values(REPLIES, 'id, reply, complete, gaps')}")
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN NULL WHEN lang = 'en' THEN 'true' ELSE 'false' END AS complete, CASE WHEN doc_id % 5 = 4 THEN NULL ELSE source END AS gaps FROM documents")
 def parse_reply(spark, sf_dir):
-    p = t.parse_json(F.col("reply"), "is_complete boolean, gaps string")
-    return fixture(spark, REPLIES, "id int, reply string, c string, g string").select("id", p["is_complete"].cast("string").alias("complete"), p["gaps"].alias("gaps"))
+    """Replies: the object alone, in a fenced block, between words, in a fenced block without a name; and none."""
+    reply = F.expr(f"CASE doc_id % 5 WHEN 0 THEN {_JSON} WHEN 1 THEN 'so:\\n```json\\n' || {_JSON} || '\\n``` more' WHEN 2 THEN 'it is ' || {_JSON} || ' as said' WHEN 3 THEN '```\\n' || {_JSON} || '\\n```' ELSE 'nothing of use' END")
+    p = t.parse_json(reply, "is_complete boolean, gaps string")
+    return documents(spark, sf_dir).select("doc_id", p["is_complete"].cast("string").alias("complete"), p["gaps"].alias("gaps"))
 
 
 KINDS = [(1, "Factual."), (2, "It is a COMPARISON"), (3, "none of them"), (4, "yes_no"), (5, "multi_article or scenario")]
@@ -103,18 +115,73 @@ def adaptive_plan(spark, sf_dir):
     return plans.query_plan(fixture(spark, KINDS, "query_id int, reply string").select("query_id", plans.query_kind(F.col("reply")).alias("kind")))
 
 
-LAWS = [(1, "luật doanh nghiệp năm 2020", "luật", "doanh nghiệp năm", "2020"), (2, "bộ luật lao động 45/2019/qh14", "bộ luật", "lao động 45 qh14", "2019"), (3, "hướng dẫn thuế-gtgt", "", "hướng dẫn thuế gtgt", "")]
+_LETTERS = r"regexp_extract_all(text, '\p{L}{3,}')[1:3]"
+_KIND = "list_extract(['luật', 'bộ luật', 'nghị định', 'thông tư liên tịch', ''], (doc_id % 5 + 1)::INT)"
 
 
-@query(f"SELECT id, kind, core, year FROM {values(LAWS, 'id, name, kind, core, year')}")
+@query(f"SELECT doc_id, {_KIND} AS kind, array_to_string({_LETTERS}, ' ') || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' || (doc_id % 90 + 10) || ' qh14' ELSE ' và' END AS core, CASE doc_id % 3 WHEN 0 THEN (1990 + doc_id % 60)::VARCHAR WHEN 1 THEN '2019' ELSE '' END AS year FROM documents")
 def law_forms(spark, sf_dir):
-    name = F.col("name")
-    return fixture(spark, LAWS, "id int, name string, k string, c string, y string").select("id", t.law_kind(name).alias("kind"), t.core_name(name).alias("core"), t.year(name).alias("year"))
+    """T19, T21, T22. Names of a kind, some words of the document, and a year, a code or a sign."""
+    i = F.col("doc_id")
+    kind = F.element_at(F.array(*map(F.lit, ("luật", "bộ luật", "nghị định", "thông tư liên tịch", ""))), (i % 5 + 1).cast("int"))
+    words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"(\p{L}{3,})"), F.lit(1)), 1, 3), " ")
+    tail = F.when(i % 3 == 0, F.concat(F.lit(" "), (1990 + i % 60).cast("string"))).when(i % 3 == 1, F.concat(F.lit(" "), (i % 90 + 10).cast("string"), F.lit("/2019/qh14"))).otherwise(" - và")
+    name = F.concat(F.when(kind == "", "").otherwise(F.concat(kind, F.lit(" "))), words, tail)
+    return documents(spark, sf_dir).select("doc_id", t.law_kind(name).alias("kind"), t.core_name(name).alias("core"), t.year(name).alias("year"))
 
 
-ANSWERS = [(1, "theo Điều 12 và Điều 12, Khoản 3", "Điều 12|Khoản 3"), (2, "không có", "")]
+@query(rf"WITH {STRUCTURED} SELECT doc_id, md5(array_to_string(list_sort(list_distinct(regexp_extract_all(text, 'Điều\s+\d+'))), '|')) AS cited FROM s")
+def citations(spark, sf_dir):
+    return structured(spark, sf_dir).select("doc_id", F.md5(F.array_join(F.sort_array(assembly.citations(F.col("text"))), "|")).alias("cited"))
 
 
-@query(f"SELECT id, cited FROM {values(ANSWERS, 'id, answer, cited')}")
-def citations(spark, sf_dir):
-    return fixture(spark, ANSWERS, "id int, answer string, want string").select("id", F.array_join(assembly.citations(F.col("answer")), "|").alias("cited"))
+def _spaced(text: str) -> str:
+    return rf"regexp_replace(regexp_replace({text}, '\s+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+def _expanded(text: str) -> str:
+    return rf"array_to_string(list_transform(regexp_extract_all({text}, '{WORD}+|[^\p{{L}}\p{{N}}_]+'), lambda w: coalesce({_MAP}[lower(w)], w)), '')"
+
+
+_LOW = "lower(" + _spaced(r"regexp_replace(nfc_normalize(text), '[^\p{L}\p{N}_\s]', ' ', 'g')") + ")"
+_LIGHT = _spaced("nfc_normalize(text)")
+
+
+@query(f"SELECT doc_id, md5({_LOW}) AS plain, md5({_LIGHT}) AS light FROM documents")
+def normalize(spark, sf_dir):
+    """T2, T3. The documents hold no characters that have other compatibility forms than canonical ones."""
+    return documents(spark, sf_dir).select("doc_id", F.md5(t.normalize(F.col("text"))).alias("plain"), F.md5(t.normalize_light(F.col("text"))).alias("light"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, {_expanded('low')} AS p, {_expanded('light')} AS q FROM (SELECT doc_id, {_LOW} AS low, {_LIGHT} AS light FROM documents))
+SELECT doc_id, md5(p) AS prepared, md5(q) AS prepared_query, md5(array_to_string(list_filter({WORDS.format('p')}, lambda x: NOT list_contains({_list(fixed.STOP_WORDS)}, x)), ',')) AS tokens FROM p""")
+def tokenize(spark, sf_dir):
+    """T5, T6, T33."""
+    text = F.col("text")
+    return documents(spark, sf_dir).select("doc_id", F.md5(t.prepare_for_bm25(text)).alias("prepared"), F.md5(t.prepare_query(text)).alias("prepared_query"), F.md5(F.array_join(t.tokenize(text), ",")).alias("tokens"))
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([doc_id % 12 - 1, doc_id % 7 - 1, 2], lambda x: x >= 0 AND x < 10))), ',') AS picks FROM documents")
+def number_list(spark, sf_dir):
+    """T26. Replies name two places by the id, the third, one again, and something that is no number."""
+    reply = F.concat((F.col("doc_id") % 12).cast("string"), F.lit(", "), (F.col("doc_id") % 7).cast("string"), F.lit(",3, "), F.col("source"), F.lit(" , "), (F.col("doc_id") % 7).cast("string"))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(t.number_list(reply, 10), ",").alias("picks"))
+
+
+_SHORT, _FULL = list(fixed.LAW_NAME_TERMS), list(fixed.LAW_NAME_TERMS.values())
+
+
+@query(f"SELECT doc_id, 'luật ' || {_list(_FULL)}[(doc_id % {len(_FULL)} + 1)::INT] || ' ' || source || ' x' || {_list(_SHORT)}[(doc_id % {len(_FULL)} + 1)::INT] AS name FROM documents")
+def law_name_terms(spark, sf_dir):
+    """T18. An abbreviation as a word of its own, and in a longer word, where it stays."""
+    short = F.element_at(F.array(*map(F.lit, _SHORT)), (F.col("doc_id") % len(_SHORT) + 1).cast("int"))
+    name = F.concat(F.lit("luật "), short, F.lit(" "), F.col("source"), F.lit(" x"), short)
+    return documents(spark, sf_dir).select("doc_id", t.expand_law_names(name).alias("name"))
+
+
+@query("SELECT doc_id, split_part(source || '|' || lang, '|', 1) AS first_part, CASE WHEN lang <> 'en' THEN source || '#' || doc_id END AS corpus_id, 'Trả lời' || chr(10) || 'Truy vấn: ' || source AS asked, CASE WHEN lang = 'en' THEN '' WHEN lang = 'de' THEN 'Điều 4' ELSE 'Điều ' || doc_id END AS article FROM documents")
+def small_forms(spark, sf_dir):
+    """T15, T28, T29, T32."""
+    own, en = F.col("doc_id").cast("string"), F.col("lang") == "en"
+    article = F.when(en, "").when(F.col("lang") == "de", "Điều 4").otherwise(own)
+    return documents(spark, sf_dir).select("doc_id", t.key_part(F.concat("source", F.lit("|"), "lang")).alias("first_part"), t.corpus_id(F.col("source"), F.when(en, "").otherwise(own)).alias("corpus_id"), t.prompt_query(F.col("source"), "Trả lời").alias("asked"), t.format_article(article).alias("article"))

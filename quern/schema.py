@@ -25,6 +25,18 @@ def conform(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(*(empty_if_null(F.col(c).cast("string")).alias(c) if c in have else F.lit("").alias(c) for c in TEXTS), *extra)
 
 
+#: Where a row stands in its source: the id as a number (text ids after all numbers), as text, the part of the document,
+#: and what tells rows of one id apart.
+ORDER = "struct<number:bigint,id:string,part:int,sub:string>"
+
+
+def order_key(id_col: Column, part: Column | int = 0, sub: Column | str = "") -> Column:
+    """The value of ``seq``: typed parts of any length, which sort as numbers where they are numbers."""
+    text = id_col.cast("string")
+    number = F.coalesce(text.try_cast("bigint"), F.lit(2**63 - 1))
+    return F.struct(number.alias("number"), empty_if_null(text).alias("id"), (F.lit(part) if isinstance(part, int) else part).cast("int").alias("part"), (F.lit(sub) if isinstance(sub, str) else sub).alias("sub"))
+
+
 def existing(df: DataFrame, *candidates: str) -> str | None:
     """The first candidate that is a column of ``df``."""
     return next((c for c in candidates if c in df.columns), None)

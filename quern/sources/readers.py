@@ -1,20 +1,24 @@
 """Sources: readers that bring each source's columns to corpus rows (S1-S13), sinks, and the registry.
 
 Each function takes the raw DataFrames, so that any Spark source (Parquet, JSON, CSV, tables) can feed it; ``REGISTRY``
-maps a source's name to its function, in order of priority. Column names that differ between files are resolved by
+maps a source's name to its function, in order of priority; :func:`load_corpus` goes from paths to a corpus. Column names that differ between files are resolved by
 candidates. Every result carries ``seq``, a stable order of its rows.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
+from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as t
-from quern.operators.corpus import extract_documents, join_metadata, keep_types
-from quern.schema import conform, existing, first_full
+from quern.operators.corpus import build_corpus, extract_documents, join_metadata, keep_types
+from quern.schema import conform, existing, first_full, order_key
+from quern.storage import complete
 
 
 def read(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -32,9 +36,8 @@ def write(df: DataFrame, path: str, kind: str = "parquet") -> None:
 
 
 def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], force: bool = False) -> DataFrame:
-    """S15. What is at the path, built and written first if nothing is there or ``force`` says so."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if force or not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    """S15. What is at the path, built and written first if no whole table is there or ``force`` says so."""
+    if force or not complete(spark, path):
         write(build(), path)
     return spark.read.parquet(path)
 
@@ -48,11 +51,6 @@ def _long(c: str, least: int) -> Column:
     return F.length(t.strip(F.col(c))) >= least
 
 
-def _numbered(df: DataFrame, *order: str) -> DataFrame:
-    """``seq`` from the given order columns; it only has to sort as they do."""
-    return df.withColumn("seq", F.concat_ws("/", *(F.lpad(F.col(c).cast("string"), 20, "0") for c in order)))
-
-
 def phapdien(df: DataFrame) -> DataFrame:
     """S1, P5. Codified articles: code and type from the source note, article from the dotted id."""
     if not existing(df, "content_text", "text", "content"):
@@ -66,7 +64,7 @@ def phapdien(df: DataFrame) -> DataFrame:
     out = own.withColumns({"so_ky_hieu": code, "_k": kind, "article_id": F.element_at(parts, -1), "_h": heading})
     title = F.when((F.col("_k") != "") & (F.col("so_ky_hieu") != ""), F.concat("_k", F.lit(" "), "so_ky_hieu")).otherwise(first_full(F.col("so_ky_hieu"), F.col("_h"), F.concat(F.lit("Điều "), F.col("article_id"))))
     ready = out.withColumns({"title": title, "text": t.clean_text(F.col("text")), "doc_id": F.concat(F.lit("phapdien_"), first_full(F.col("_s"), F.col("_r"))), "source": F.lit("phapdien")})
-    return conform(_numbered(ready, "_r", "_a"), "seq")
+    return conform(ready, order_key(F.col("_r"), 0, F.col("_a")).alias("seq"))
 
 
 def vohuutridung(content: DataFrame, metadata: DataFrame, filtered: bool = True, article_only: bool = False, least: int = 20) -> DataFrame:
@@ -76,7 +74,7 @@ def vohuutridung(content: DataFrame, metadata: DataFrame, filtered: bool = True,
     body = content.select(F.col(content_id).alias("id"), _text(content, "content", "content_text", "text").alias("content")).filter(_long("content", 30))
     docs = join_metadata(body, meta, inner=filtered).withColumnRenamed("legal_type", "doc_type").withColumn("title", first_full(F.col("title"), F.concat(F.lit("VB "), F.col("id").cast("string"))))
     out = extract_documents(docs, "vohuutridung", least, article_only)
-    return conform(_numbered(out, "doc_id", "part"), "seq")
+    return conform(out, order_key(F.substring("doc_id", 6, 1_000_000), F.col("part")).alias("seq"))
 
 
 def th1nhng0(content: DataFrame, metadata: DataFrame, article_only: bool = True) -> DataFrame:
@@ -85,29 +83,31 @@ def th1nhng0(content: DataFrame, metadata: DataFrame, article_only: bool = True)
     body = content.select("id", t.html_text(_text(content, "content_html")).alias("content")).filter(_long("content", 30))
     docs = join_metadata(body, meta, inner=True).withColumn("title", first_full(F.col("title"), F.concat(F.lit("VB "), F.col("id").cast("string"))))
     out = extract_documents(docs, "th1nhng0", 20, article_only)
-    return conform(_numbered(out, "doc_id", "part"), "seq")
+    return conform(out, order_key(F.substring("doc_id", 6, 1_000_000), F.col("part")).alias("seq"))
 
 
 def uts_vlc(df: DataFrame) -> DataFrame:
     """S8."""
     out = df.select(F.col("id").cast("string").alias("_id"), _text(df, "title").alias("title"), _text(df, "content").alias("text")).filter(_long("text", 20))
     ready = out.withColumns({"text": t.clean_text(F.col("text")), "title": first_full(F.col("title"), F.concat(F.lit("VB "), F.col("_id"))), "doc_id": F.concat(F.lit("utsvlc_"), F.col("_id")), "source": F.lit("uts_vlc")})
-    return conform(_numbered(ready, "_id"), "seq")
+    return conform(ready, order_key(F.col("_id")).alias("seq"))
 
 
 def kiencute(df: DataFrame) -> DataFrame:
     """S9. Pretraining documents with nested metadata; too short and too long ones go."""
     meta = lambda c: F.coalesce(F.col(f"metadata.{c}").cast("string"), F.lit(""))
     out = df.select(_text(df, "doc_content").alias("text"), meta("DocName").alias("title"), meta("Id").alias("_id"), meta("OrganName").alias("issuing_authority")).filter(_long("text", 30) & (F.length("text") <= 500_000))
+    # a document without an id gets a number
+    out = out.withColumn("_id", first_full(F.col("_id"), F.concat(F.lit("n"), F.monotonically_increasing_id().cast("string"))))
     ready = out.withColumns({"text": t.clean_text(F.col("text")), "title": first_full(F.col("title"), F.concat(F.lit("VB "), F.col("_id"))), "doc_id": F.concat(F.lit("kiencute_"), F.col("_id")), "source": F.lit("kiencute")})
-    return conform(_numbered(ready, "_id"), "seq")
+    return conform(ready, order_key(F.col("_id")).alias("seq"))
 
 
 def pbgdpl(df: DataFrame) -> DataFrame:
     """S10. Questions and answers: the answer is the text, the question's first 200 characters the title."""
     out = df.select(F.col("item_id").cast("string").alias("_id"), _text(df, "question_text", "question").alias("question"), _text(df, "answer_text", "answer").alias("text")).filter(_long("text", 20))
     ready = out.withColumns({"text": t.clean_text(F.col("text")), "title": first_full(F.substring("question", 1, 200), F.concat(F.lit("QA "), F.col("_id"))), "doc_id": F.concat(F.lit("pbgdpl_"), F.col("_id")), "source": F.lit("pbgdpl")})
-    return conform(_numbered(ready, "_id"), "seq")
+    return conform(ready, order_key(F.col("_id")).alias("seq"))
 
 
 def relationships(df: DataFrame) -> DataFrame:
@@ -115,8 +115,63 @@ def relationships(df: DataFrame) -> DataFrame:
     return df
 
 
-#: Name -> function of the raw tables, in order of priority.
-REGISTRY: dict[str, Callable[..., DataFrame]] = {"phapdien": phapdien, "vohuutridung": vohuutridung, "th1nhng0": th1nhng0, "uts_vlc": uts_vlc, "kiencute": kiencute, "pbgdpl": pbgdpl}
+@dataclass(frozen=True)
+class Source:
+    """S11. A source: its reader, the tables that it takes, in order (the first is the one that ``max_docs`` cuts), how the
+    corpus build calls it, and how many documents it takes if nothing is said."""
+
+    reader: Callable[..., DataFrame]
+    tables: tuple[str, ...]
+    options: dict = field(default_factory=dict)
+    max_docs: int | None = None
+
+
+#: Name -> source, in order of priority.
+REGISTRY: dict[str, Source] = {
+    "phapdien": Source(phapdien, ("articles",)),
+    "vohuutridung": Source(vohuutridung, ("content", "metadata"), {"article_only": True, "least": 100}),
+    "th1nhng0": Source(th1nhng0, ("content", "metadata")),
+    "uts_vlc": Source(uts_vlc, ("documents",)),
+    "kiencute": Source(kiencute, ("documents",), max_docs=5000),
+    "pbgdpl": Source(pbgdpl, ("items",)),
+}
+
+
+def load_source(spark: SparkSession, name: str, paths: dict[str, str], max_docs: int | None = None) -> DataFrame:
+    """S1-S10, L9. The rows of a source whose tables lie at ``paths`` (table -> path, see :func:`read`). ``max_docs``: only so
+    many documents, the first that the scan gives."""
+    source = REGISTRY[name]
+    tables = [read(spark, paths[table]) for table in source.tables]
+    most = max_docs or source.max_docs
+    if most:
+        tables[0] = tables[0].limit(most)
+    return source.reader(*tables, **source.options)
+
+
+def load_sources(spark: SparkSession, paths: dict[str, dict[str, str]], names: list[str] | None = None, max_docs: int | None = None) -> list[DataFrame]:
+    """S11. The named sources (all with paths, if none are named) in order of priority. Unknown names, and sources whose
+    tables are missing or lack a column, are left out with a warning."""
+    out = []
+    for name in names or [n for n in REGISTRY if n in paths]:
+        try:
+            out.append((list(REGISTRY).index(name), load_source(spark, name, paths[name], max_docs)))
+        except (KeyError, ValueError, PySparkException) as e:
+            warnings.warn(f"source {name} is left out: {type(e).__name__} {str(e)[:200]}", stacklevel=2)
+    return [df for _, df in sorted(out, key=lambda x: x[0])]
+
+
+def load_corpus(spark: SparkSession, path: str, paths: dict[str, dict[str, str]] | None = None, names: list[str] | None = None, max_docs: int | None = None, max_chunks: int | None = None, force: bool = False) -> DataFrame:
+    """S12, S15. The corpus at ``path``, built there from the sources first if nothing is there or ``force`` says so.
+    ``max_chunks``: only the first so many rows. Rows are read when they are asked for (:func:`quern.operators.corpus.rows_at`)."""
+
+    def build() -> DataFrame:
+        sources = load_sources(spark, paths or {}, names, max_docs)
+        if not sources:
+            raise ValueError("no source could be loaded")
+        return build_corpus(sources)
+
+    corpus = cached(spark, path, build, force)
+    return corpus.filter(F.col("idx") < max_chunks) if max_chunks else corpus
 
 
 def evaluation_set(queries: DataFrame, qrels: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
 import uuid
@@ -50,8 +49,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of steps whose results are written: its cleaner follows the driver's garbage
-    collection, which on an idle driver may be half an hour away."""
-    gc.collect()
-    spark._jvm.System.gc()
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written there, to its end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+
+
+def save(df: DataFrame, path: str) -> None:
+    """``df`` as Parquet at the path, in place of what is there."""
+    df.write.mode("overwrite").parquet(path)
