@@ -133,14 +133,16 @@ def _confirm(width: int, percent: int):
     return run
 
 
-#: Members that meet their centre in one task; a centre with more is sent to as many tasks as it takes.
-MEMBERS = 200
+#: Members that meet their centre in one task; a centre with more is sent to as many tasks as it takes. How many such
+#: centres are broadcast; more meet the pairs by a shuffled join, which Spark splits.
+MEMBERS, BROADCAST = 200, 100_000
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) with ``linked``: whether 100 * intersection >= percent * union of the full sets."""
-    size = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
-    salted = pairs.join(size, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    large = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("parts")).filter("parts > 1"), "large")
+    few = large.limit(BROADCAST + 1).count() <= BROADCAST
+    salted = pairs.join(F.broadcast(large) if few else large, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
     members = salted.select(F.col("b").alias("id"), "a", "part", F.lit(True).alias("role"))
     centres = salted.select(F.col("a").alias("id"), "a", "part", F.lit(False).alias("role")).distinct()
     texts = members.unionByName(centres).join(docs, "id")
@@ -272,13 +274,13 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> tuple
     at = still_open(components(links))
     centre = at.groupBy("key").agg(F.min(F.when(F.col("root") == F.col("low"), F.struct(F.xxhash64("id"), "id"))).alias("c"))
     second = written(favourite(at.filter("root != low").join(centre, "key").select(F.col("c.id").alias("a"), F.col("id").alias("b"), "low"), "low"), "second")
-    links = links.unionByName(link(second.join(nearest, ["a", "b"], "left_anti")))
+    links = links.unionByName(link(written(second.join(nearest, ["a", "b"], "left_anti"), "pairs")))
     discard(at)
     at = still_open(components(links))
     few = at.filter(F.col("n") <= SMALL)
     pairs = few.join(few.select("key", F.col("id").alias("b"), F.col("root").alias("other")), "key").filter("id < b AND root != other").select(F.col("id").alias("a"), "b").distinct()
     tried = nearest.unionByName(second).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = links.unionByName(link(pairs.join(tried, ["a", "b"], "left_anti")))
+    links = links.unionByName(link(written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")))
     large = at.filter(F.col("n") > SMALL)
     if not large.isEmpty():
         links = links.unionByName(written(_group_links(large, texts, width, percent), "links"))

@@ -267,7 +267,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     base = max(histogram.values(), default=0) + 1
     # the runs are bounded by the capacity, not by the corpus
     held = spark.sparkContext.broadcast((table, base))
-    ranked = numbered.join(before.drop("_n"), (F.col("_part") == F.col("_p")) & (F.col("length") == F.col("_length"))).select(*names, (F.col("_row") + F.col("_before")).alias("_rank"))
+    # as many rows as there are tasks and lengths in them: joined by sorting, whatever its size
+    ranked = numbered.join(before.drop("_n").hint("merge"), (F.col("_part") == F.col("_p")) & (F.col("length") == F.col("_length"))).select(*names, (F.col("_row") + F.col("_before")).alias("_rank"))
     schema = ddl(cut) + ", _rank long, sequence_id long, offset long"
     return ranked.mapInArrow(_place(held, names.index("length"), len(names)), schema).drop("_rank")
 

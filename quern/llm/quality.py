@@ -24,7 +24,12 @@ from quern.llm import labelled
 from quern.llm.common import byte_texts, ddl, fold, give_back, slices, tokenised
 
 TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff\s]+")
-DIM, NONZERO, VOCABULARY, HIDDEN, WINDOW = 64, 6, 20_000, 24, 2
+#: Dimensions, entries of an index vector that are not 0, hidden units, tokens to each side that are context.
+DIM, NONZERO, HIDDEN, WINDOW = 64, 6, 24, 2
+#: Defaults of the vocabulary's parameters: types with vectors of their own, and labelled documents that hold a type at least.
+VOCABULARY, LEAST_DOCS = 20_000, 3
+#: Temperatures that are tried, and how finely; the best one is refined once.
+COLDEST, HOTTEST, TRIALS = 0.02, 50.0, 60
 CACHE = 300_000
 
 
@@ -56,13 +61,14 @@ def _index_vector(token: bytes) -> np.ndarray:
     return out
 
 
-def word_vectors(token_lists: list[list[bytes]], size: int = VOCABULARY) -> tuple[list[bytes], np.ndarray]:
-    """The vocabulary (entry 0: unknown) and its vectors from the contexts in these texts."""
+def word_vectors(token_lists: list[list[bytes]], size: int = VOCABULARY, least_docs: int = LEAST_DOCS) -> tuple[list[bytes], np.ndarray]:
+    """The vocabulary (entry 0: unknown; shapes; the ``size`` most frequent types of at least ``least_docs`` texts) and its
+    vectors from the contexts in these texts."""
     seen, docs_with = Counter(), Counter()
     for tokens in token_lists:
         seen.update(tokens)
         docs_with.update(set(tokens))
-    common = sorted((t for t, n in docs_with.items() if n >= 3), key=lambda t: (-seen[t], t))[:size]
+    common = sorted((t for t, n in docs_with.items() if n >= least_docs), key=lambda t: (-seen[t], t))[:size]
     shapes = sorted({_shape(t) for t in seen})
     vocabulary = [b"\0unknown", *shapes, *common]
     code = _Codes((t, i) for i, t in enumerate(vocabulary))
@@ -136,12 +142,12 @@ def _train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 600, r
     return p[0].astype(np.float32), p[1].astype(np.float32), p[2].astype(np.float32), float(p[3][0])
 
 
-def fit(texts: list[bytes], ys: list[int], hashes: list[int], weights: list[float]) -> Model:
+def fit(texts: list[bytes], ys: list[int], hashes: list[int], weights: list[float], vocabulary: int = VOCABULARY, least_docs: int = LEAST_DOCS) -> Model:
     """Without both classes the score is the share of 1 (or 0.5 without labels)."""
     tokens = tokenised(texts, TOKEN)
-    vocabulary, vectors = word_vectors(tokens)
+    names, vectors = word_vectors(tokens, vocabulary, least_docs)
     y, weight = np.array(ys, float), np.array(weights, float)
-    model = Model(vocabulary, vectors, np.zeros(1), np.ones(1), (), 1.0)
+    model = Model(names, vectors, np.zeros(1), np.ones(1), (), 1.0)
     if len(set(ys)) < 2:
         model.constant = float(y.mean()) if len(y) else 0.5
         return model
@@ -159,12 +165,15 @@ def fit(texts: list[bytes], ys: list[int], hashes: list[int], weights: list[floa
         p = np.clip(1 / (1 + np.exp(-np.clip(z[held] / t, -40, 40))), 1e-9, 1 - 1e-9)
         return float(-(weight[held] * (y[held] * np.log(p) + (1 - y[held]) * np.log(1 - p))).sum())
 
-    model.temperature = min(np.geomspace(0.5, 8, 60), key=loss)
+    grid = np.geomspace(COLDEST, HOTTEST, TRIALS)
+    best = int(np.argmin([loss(t) for t in grid]))
+    model.temperature = min(np.geomspace(grid[max(0, best - 1)], grid[min(TRIALS - 1, best + 1)], TRIALS), key=loss)
     return model
 
 
-def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", **bounds: int) -> Model:
-    model = fit(*labelled.sample(docs, labels, label, **bounds))
+def trained(docs: DataFrame, labels: DataFrame, label: str = "quality", vocabulary: int = VOCABULARY, least_docs: int = LEAST_DOCS, **bounds: int) -> Model:
+    """``bounds``: of :func:`quern.llm.labelled.sample`."""
+    model = fit(*labelled.sample(docs, labels, label, **bounds), vocabulary, least_docs)
     give_back()  # the driver keeps no trace of the sample
     return model
 
@@ -189,6 +198,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "_
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Per document: doc_id, held_out, score, predicted."""
+    """Per document: doc_id, held_out, score, predicted. A null id is never held out; see :func:`scored` and :func:`fit` for
+    null and empty texts, repeated rows, and labels that are missing."""
     out = scored(docs.select("doc_id", "text"), trained(docs, labels))
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
