@@ -48,7 +48,8 @@ LAW_NAME_TERMS = {
     "ntd": "người tiêu dùng",
 }
 
-# Forms of document codes, in order of priority. W stands for a word character.
+# Forms of document codes, in order of priority. W stands for a word character of any script, which Java
+# and DuckDB write as a class of their own ([\p{L}\p{N}_]); see quern.functions.text.WORD.
 DOC_CODES = [
     r"\d+/\d{4}/QH\d+",
     r"\d+/\d{4}/NĐ-W+",
@@ -121,3 +122,23 @@ CROSS_REFERENCES = [
     r"(Thông tư\s+\d+/\d+/TT-\w+[^.]*?Điều\s+\d+)",
     r"(Luật\s+\d+/\d+/QH\d+[^.]*?Điều\s+\d+)",
 ]
+
+# Marks of an article and of a chapter that sections start at, and the title in front of a section.
+ARTICLE_START = r"Điều\s+\d+[.\s]"
+CHAPTER_START = r"Chương\s+\w+[.\s]"
+SECTION_TITLE = r"^(Điều\s+\d+[^.]*?\.|Chương\s+\w+[^.]*?\.|Mục\s+\w+[^.]*?\.)"
+
+# The code and the type in the source note of a codified article.
+NOTE_CODE = r"số\s+(\d+/\d+/[\w-]+)"
+NOTE_TYPE = "(Luật|Bộ luật|Nghị định|Thông tư|Pháp lệnh|Nghị quyết|Hiến pháp)"
+
+# What marks a question about named articles or documents, and what a question about terms or rules.
+KEYWORD_QUESTION = r"điều\s+\d+|luật\s+|nghị định\s+|thông tư\s+"
+RULE_QUESTION = "điều kiện|tiêu chí|khái niệm|quy định|là gì|thế nào"
+
+# Lines in capitals that are no title.
+HEADINGS = "CỘNG HÒA|Số:|Căn cứ"
+
+# Types that a title may start with, and those that a lower-cased name may start with.
+TITLE_TYPES = ["Luật", "Bộ luật", "Nghị định", "Thông tư", "Quyết định", "Chỉ thị"]
+NAME_TYPES = ["bộ luật", "luật", "nghị định", "thông tư liên tịch", "thông tư", "quyết định", "chỉ thị", "nghị quyết", "pháp lệnh"]

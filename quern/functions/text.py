@@ -231,7 +231,7 @@ def html_text(c: Column) -> Column:
 def capital_title(c: Column) -> Column:
     """T13. The first all-capital line of more than 20 characters that is no heading; empty without one."""
     lines = F.transform(F.split(c, "\n"), strip)
-    ok = F.filter(lines, lambda x: (F.length(x) > 20) & (F.upper(x) == x) & (F.lower(x) != x) & ~x.rlike("CỘNG HÒA|Số:|Căn cứ"))
+    ok = F.filter(lines, lambda x: (F.length(x) > 20) & (F.upper(x) == x) & (F.lower(x) != x) & ~x.rlike(fixed.HEADINGS))
     return F.coalesce(F.try_element_at(ok, F.lit(1)), F.lit(""))
 
 
@@ -253,7 +253,7 @@ def format_article(c: Column) -> Column:
 def short_name(c: Column) -> Column:
     """T17. A title without its code and then its leading type."""
     t = strip(F.regexp_replace(c, r"\d+/\d{4}/\S+\s*", ""))
-    return strip(F.regexp_replace(t, r"^(Luật|Bộ luật|Nghị định|Thông tư|Quyết định|Chỉ thị)\s+", ""))
+    return strip(F.regexp_replace(t, rf"^({'|'.join(fixed.TITLE_TYPES)})\s+", ""))
 
 
 def expand_law_names(c: Column) -> Column:
@@ -276,8 +276,7 @@ def kinds_compatible(asked: Column, title: Column) -> Column:
 
 def core_name(c: Column) -> Column:
     """T21. A lower-cased name without kind, years, codes and punctuation."""
-    kinds = ["bộ luật", "luật", "nghị định", "thông tư liên tịch", "thông tư", "quyết định", "chỉ thị", "nghị quyết", "pháp lệnh"]
-    t = F.regexp_replace(c, rf"^\s*({'|'.join(kinds)})\s+", "")
+    t = F.regexp_replace(c, rf"^\s*({'|'.join(fixed.NAME_TYPES)})\s+", "")
     t = F.regexp_replace(t, rf"(?<!{WORD})\d{{4}}(?!{WORD})", "")
     t = F.regexp_replace(t, r"\d+/\d+/\S+", "")
     return clean_text(F.regexp_replace(t, r"(?U)[^\p{L}\p{N}_\s]+", " "))

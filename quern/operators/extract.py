@@ -10,8 +10,7 @@ from pyspark.sql import types as T
 from quern.functions import fixed
 from quern.functions import text as t
 
-ARTICLE_START, CHAPTER_START = r"(?U)Điều\s+\d+[.\s]", r"(?U)Chương\s+\w+[.\s]"
-SECTION_TITLE = r"(?U)^(Điều\s+\d+[^.]*?\.|Chương\s+\w+[^.]*?\.|Mục\s+\w+[^.]*?\.)"
+ARTICLE_START, CHAPTER_START, SECTION_TITLE = (f"(?U){p}" for p in (fixed.ARTICLE_START, fixed.CHAPTER_START, fixed.SECTION_TITLE))
 #: Documents at least so long are cut into sections; shorter sections are dropped.
 CHUNK_CHARS, SECTION_CHARS = 1800, 20
 #: Chunking tiers: words of a window, overlap, whether articles come first.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.config import DEFAULT
+from quern.functions import fixed
 
 
 def adaptive_cut(ranked: DataFrame, buffer: int = 5, ratio: float = 0.9, least: int = 3, most: int = 200) -> DataFrame:
@@ -38,12 +39,12 @@ def fuse_weighted(near: DataFrame, sparse: DataFrame, top_k: int) -> DataFrame:
 
 def keyword_query(query: Column) -> Column:
     """P14. Whether a query names articles or documents."""
-    return F.lower(query).rlike(r"(?U)điều\s+\d+|luật\s+|nghị định\s+|thông tư\s+")
+    return F.lower(query).rlike(f"(?U){fixed.KEYWORD_QUESTION}")
 
 
 def situational_query(query: Column) -> Column:
     """P13. Whether a query asks about a situation, not about a term or a rule."""
-    return ~F.lower(query).rlike("điều kiện|tiêu chí|khái niệm|quy định|là gì|thế nào")
+    return ~F.lower(query).rlike(fixed.RULE_QUESTION)
 
 
 def hydrate(ranked: DataFrame, corpus: DataFrame) -> DataFrame:

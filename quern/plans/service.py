@@ -1,15 +1,18 @@
-"""The service surface as plain functions (S24, P17, P18); an HTTP layer can call them."""
+"""The service surface as plain functions (S24, P17, P18); :mod:`quern.plans.server` puts them on HTTP."""
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quern.config import DEFAULT
+from quern.config import DEFAULT, Config
 from quern.functions import text as t
 from quern.operators.answer import api_rows
 from quern.operators.corpus import statistics
-from quern.plans.agent import Engine
-from quern.plans.retrieval import retrieve_only
+from quern.operators.rerank import overlap_logit
+from quern.plans.agent import Engine, Model
+from quern.plans.retrieval import Retriever, retrieve_only
+from quern.sources.readers import load_corpus
 
 
 def check_request(query: str, top_k: int = 20, most_turns: int = 0) -> None:
@@ -26,6 +29,14 @@ class Service:
     def __init__(self, engine: Engine):
         self.engine = engine
 
+    @classmethod
+    def open(cls, spark: SparkSession, config: Config = DEFAULT, sources: dict[str, dict[str, str]] | None = None, model: Model | None = None, embed=None, scorer=overlap_logit) -> Service:
+        """G9. The service of a configuration: its corpus (built from ``sources`` if it isn't there) and its indexes (built if
+        they aren't there), with the given models."""
+        corpus = load_corpus(spark, f"{config.data_dir}/{config.corpus_file}", sources)
+        retriever = Retriever.over(corpus, config, embed, config.index_dir)
+        return cls(Engine(retriever, model, embed, scorer, config))
+
     def health(self) -> dict:
         r = self.engine.retriever
         return {"status": "ready", "app": DEFAULT.app_name, "corpus_docs": r.corpus.count(), "dense_index_vectors": r.vectors.count() if r.vectors is not None else None, "sparse_index_docs": r.index.lengths.count()}

@@ -145,5 +145,5 @@ def stream_dedup(spark, sf_dir):
     docs = documents(spark, sf_dir)
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/documents.parquet*")
     rows = conform(stream.select(F.concat(F.lit("doc_"), "doc_id").alias("doc_id"), F.col("source").alias("so_ky_hieu"), F.md5("text").alias("article_id"), "text", "source", F.col("doc_id").alias("seq")), "seq")
-    dedup_stream(rows).select("seq", "so_ky_hieu", "article_id").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    dedup_stream(rows, all_keys=True).select("seq", "so_ky_hieu", "article_id").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{at}/out").groupBy("so_ky_hieu", "article_id").agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from quern.operators import answer as a
 from quern.operators import bm25, dense, fusion
 from quern.operators.rerank import reconstruct, rerank
 from quern.plans import retrieval as plans
-from quern.queries.base import documents, fixture, query, table, terms
+from quern.queries.base import documents, query, table, terms
 from quern.storage import shared_dir
 
 
@@ -183,11 +183,23 @@ def predictions(spark, sf_dir):
     return rows.select("query_id", F.array_join("predicted_articles", ",").alias("predicted"))
 
 
-@query()
+_HOPS = "bq AS (SELECT item_id * 2 + k AS item_id, 'Điều ' || n AS text FROM (SELECT item_id, 0 AS k, item_id % 50 AS n FROM benchmark UNION ALL SELECT item_id, 1, 7 FROM benchmark WHERE item_id % 50 <> 7))"
+
+
+def _of_hops(sql: str) -> str:
+    return sql.replace("FROM benchmark", "FROM bq")
+
+
+@query(f"""WITH {_HOPS}, {_of_hops(_BM25)}, {_of_hops(_DENSE)}, a AS {_top('dn', 20)}, b AS {_top('bm', 20)}, ca AS {_cut('a', 20)}, cb AS {_cut('b', 20)}, f AS {_rrf('ca', 'cb', 0.8, 0.2, 10)}
+SELECT query_id // 2 AS query_id, idx, round(score * 0.85, 6) AS score, 'multi_hop' AS source FROM f WHERE idx <> 3 QUALIFY row_number() OVER (PARTITION BY query_id // 2, idx ORDER BY query_id, rank) = 1""")
 def multi_hop(spark, sf_dir):
-    """Documents hold no cross-references, so the hop starts from two made-up chunks."""
-    chunks = fixture(spark, [(0, 1, "x1", "theo Điều 12 của Luật này và theo Điều 7 Luật kia"), (1, 1, "x2", "không có")], "query_id long, rank long, chunk_id string, content string")
-    return plans.multi_hop(_retriever(spark, sf_dir), chunks, 20, dense.hashed_vector).select("query_id", "idx", F.round("score", 6).alias("score"), "source")
+    """F8, E7. Documents hold no cross-references, so every question of the benchmark has a chunk that names two articles, and
+    one that has been seen."""
+    own = F.concat(F.lit("theo Điều "), (F.col("query_id") % 50).cast("string"), F.lit(" của Luật này và tại Điều 7 Luật kia"))
+    asked = _queries(spark, sf_dir)
+    chunks = asked.select("query_id", F.lit(1).cast("long").alias("rank"), F.lit("x").alias("chunk_id"), own.alias("content"))
+    seen = asked.select("query_id", F.lit(2).cast("long").alias("rank"), F.lit("3").alias("chunk_id"), F.lit("không có").alias("content"))
+    return plans.multi_hop(_retriever(spark, sf_dir), chunks.unionByName(seen), 20, dense.hashed_vector).select("query_id", "idx", F.round("score", 6).alias("score"), "source")
 
 
 @query()

@@ -15,6 +15,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import fixed
 from quern.functions import text as t
 from quern.operators.corpus import build_corpus, extract_documents, join_metadata, keep_types
 from quern.schema import conform, existing, first_full, order_key
@@ -58,8 +59,8 @@ def phapdien(df: DataFrame) -> DataFrame:
     own = df.select(_text(df, "content_text", "text", "content").alias("text"), _text(df, "article_id").alias("_a"), _text(df, "article_title").alias("_t"), _text(df, "record_id", "id").alias("_r"), _text(df, "source_note_text").alias("_n"), _text(df, "subject_id").alias("_s")).filter(_long("text", 20))
     parts = F.split(F.when(F.startswith("_a", F.lit("Điều ")), F.substring("_a", 6, 10_000)).otherwise(F.col("_a")), r"\.")
     dotted = F.size(parts) >= 2
-    code = first_full(F.regexp_extract("_n", r"(?U)số\s+(\d+/\d+/[\w-]+)", 1), F.when(dotted, F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), ".")))
-    kind = F.regexp_extract("_n", "(Luật|Bộ luật|Nghị định|Thông tư|Pháp lệnh|Nghị quyết|Hiến pháp)", 1)
+    code = first_full(F.regexp_extract("_n", f"(?U){fixed.NOTE_CODE}", 1), F.when(dotted, F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), ".")))
+    kind = F.regexp_extract("_n", fixed.NOTE_TYPE, 1)
     heading = F.when(F.startswith("_t", F.lit("Điều ")) & (F.locate(". ", F.col("_t"), 6) > 0), F.substring(F.col("_t"), F.locate(". ", F.col("_t"), 6) + 2, F.length("_t"))).otherwise(F.col("_t"))
     out = own.withColumns({"so_ky_hieu": code, "_k": kind, "article_id": F.element_at(parts, -1), "_h": heading})
     title = F.when((F.col("_k") != "") & (F.col("so_ky_hieu") != ""), F.concat("_k", F.lit(" "), "so_ky_hieu")).otherwise(first_full(F.col("so_ky_hieu"), F.col("_h"), F.concat(F.lit("Điều "), F.col("article_id"))))

@@ -9,9 +9,12 @@ from quern.functions import text as t
 from quern.operators.corpus import LEAST_WORDS, bare_article, dedup_key, enrich_codes
 
 
-def dedup_stream(rows: DataFrame, least_words: int = LEAST_WORDS, time_col: str | None = None, watermark: str | None = None) -> DataFrame:
+def dedup_stream(rows: DataFrame, least_words: int = LEAST_WORDS, time_col: str | None = None, watermark: str | None = None, all_keys: bool = False) -> DataFrame:
     """A stream of corpus rows without short ones and without rows of a key seen before: the first arrival wins. Rows
-    without a key pass. With a watermark the state of old keys is dropped."""
+    without a key pass. The state of keys is dropped when they are older than the watermark; ``all_keys`` keeps the state
+    of every key for ever, which a stream without an end has to be given room for."""
+    if not (time_col and watermark) and not all_keys:
+        raise ValueError("a watermark on a time column bounds the state; all_keys says that it may grow with the keys")
     own = enrich_codes(rows).withColumn("article_id", bare_article(F.col("article_id")))
     keyed = dedup_key(own.filter(F.size(t.words(F.col("text"))) >= least_words))
     # rows without a key are duplicates of nothing: their document id and text stand for them

@@ -82,7 +82,7 @@ def test_streams(spark, tmp_path):
     schema = "seq long, so_ky_hieu string, article_id string, chunk_id string, text string, doc_id string"
     spark.createDataFrame(rows, schema).withColumn("doc_number", F.lit("")).withColumn("title", F.lit("")).coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
-    dedup_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    dedup_stream(stream, all_keys=True).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert len({r.seq for r in spark.read.parquet(f"{tmp_path}/out").collect()} & {1, 2}) == 1 and spark.read.parquet(f"{tmp_path}/out").count() == 2
     upsert_results(stream.select(F.col("seq").alias("query_id"), "text"), f"{tmp_path}/results", f"{tmp_path}/state2").trigger(availableNow=True).start().awaitTermination()
     assert last_results(spark.read.parquet(f"{tmp_path}/results"), "seen").count() == 4
