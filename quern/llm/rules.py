@@ -100,11 +100,16 @@ def certified(n: int, failing: list[int], alpha: float, delta: float) -> int:
     return len(failing)
 
 
+def _cutoffs_below(value: Column, grid: list[float]) -> Column:
+    """How many cutoffs of a grid the value is beyond."""
+    return F.size(F.filter(F.array(*map(F.lit, map(float, grid))), lambda c: value > c))
+
+
 def cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[tuple[str, str], float]:
     """(stratum, rule) -> certified cutoff. Labels other than 1 don't count; a document labelled twice counts once."""
     clean = labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
     passing = features.filter(~F.col("base_failed")).join(clean, F.col("doc_id") == F.col("_id"), "left_semi")
-    beyond = [F.size(F.filter(F.array(*map(F.lit, map(float, grid))), lambda c, v=_value(rule): v > c)).alias(rule) for rule, grid in GRIDS.items()]
+    beyond = [_cutoffs_below(_value(rule), grid).alias(rule) for rule, grid in GRIDS.items()]
     tall = passing.select("stratum", F.explode(F.create_map(*(x for b, rule in zip(beyond, GRIDS, strict=True) for x in (F.lit(rule), b)))).alias("rule", "first"))
     # first: how many cutoffs of the grid reject the document - the last of the grid reject most
     counts = tall.groupBy("stratum", "rule", "first").agg(F.count("*").alias("n"))

@@ -277,6 +277,55 @@ def test_rules(spark, corpus):
     assert rules.verdicts(empty(spark), labels_of(spark, [])).count() == 0
 
 
+def test_verdicts_by_brute_force(spark):
+    """Cutoffs and verdicts from sums of binomial probabilities, document by document."""
+    from fractions import Fraction
+
+    rng = random.Random(31)
+    texts, langs, known = [], [], []
+    for i in range(2100):
+        lang = "en" if i % 7 else "de"
+        good = i % 3 > 0
+        w = [f"w{rng.randrange(900)}" for _ in range(rng.randint(55, 90))] + ["#"] * (rng.randrange(0, 4) if good else rng.randrange(0, 60))
+        rng.shuffle(w)
+        texts.append(" ".join(w[:40]) + "\n" + " ".join(w[40:]))
+        langs.append(lang)
+        known.append((i, int(good), 0))
+    df = frame(spark, texts, langs=langs)
+    got = rules.verdicts(df, labels_of(spark, known)).collect()
+    features = {r.doc_id: r for r in got}
+    n_lines = {i: sum(1 for x in t.split("\n") if x.split()) for i, t in enumerate(texts)}
+    value = {
+        "symbols_per_word": lambda r: r.n_symbols / max(1, r.n_words), "dup_line_share": lambda r: r.n_dup_lines / n_lines[r.doc_id],
+        "repeat_word_share": lambda r: r.n_repeat_words / max(1, r.n_words), "mean_word_length": lambda r: r.word_chars / max(1, r.n_words),
+    }
+
+    def low_tail(k, n, p):
+        return float(sum(Fraction(math.comb(n, i)) * Fraction(p) ** i * (1 - Fraction(p)) ** (n - i) for i in range(k + 1)))
+
+    cleans = {s: [r for r in got if langs[r.doc_id] == s and known[r.doc_id][1] and not r.base_failed] for s in set(langs)}
+    # strata in which not even a cutoff that rejects no clean document could be certified don't count
+    p, few = rules.ALPHA / len(rules.GRIDS), rules.DELTA / len(rules.GRIDS)
+    strata = [s for s, clean in cleans.items() if low_tail(0, len(clean), p) <= few]
+    assert strata == ["en"]
+    fails: dict[int, set] = {i: set() for i in features}
+    for stratum in strata:
+        clean = cleans[stratum]
+        for rule, grid in rules.GRIDS.items():
+            cut = None
+            for c in sorted(grid, reverse=True):
+                k = sum(value[rule](r) > c for r in clean)
+                if k > p * len(clean) or low_tail(k, len(clean), p) > few / len(strata):
+                    break
+                cut = c
+            for r in got:
+                if cut is not None and langs[r.doc_id] == stratum and value[rule](r) > cut:
+                    fails[r.doc_id].add(rule)
+    wrong = [(r.doc_id, r.failed_rules, fails[r.doc_id], r.base_failed, r.kept) for r in got if set(r.failed_rules) != fails[r.doc_id] or r.kept != (not r.base_failed and not fails[r.doc_id])]
+    assert not wrong
+    assert any(fails.values())
+
+
 def test_rules_control_risk(spark):
     rng = random.Random(2)
     good = [" ".join(f"w{rng.randrange(10**5)}" for _ in range(60)) for _ in range(3000)]
