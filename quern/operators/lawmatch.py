@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import text as t
+from quern.storage import written
 
 #: Words of a name that a title has to share: at least so many, and at least such a part of them.
 LEAST_HITS, LEAST_RATIO = 2, 0.6
@@ -36,11 +37,13 @@ def grams(c: Column) -> Column:
 
 
 def match(names: DataFrame, titles: DataFrame) -> DataFrame:
-    """F6. ``names``: (name_id, name). (name_id, title), null where nothing matches."""
+    """F6. ``names``: (name_id, name); ``titles``: a :func:`title_index`, best a written one, as it is read several times.
+    (name_id, title), null where nothing matches."""
     low = F.lower(t.strip(F.col("name")))
     core = F.filter(t.words(t.core_name(low)), lambda w: F.length(w) > 2)
     stripped = t.strip(F.regexp_replace(t.strip(F.regexp_replace(low, r"^(bộ luật|luật|nghị định|thông tư|quyết định|chỉ thị)\s+", "")), r"\s*\d{4}\s*$", ""))
-    asked = names.filter(F.length("name") >= 3).select("name_id", t.doc_code(F.col("name")).alias("q_code"), t.law_kind(low).alias("q_kind"), t.year(low).alias("q_year"), core.alias("q_words"), stripped.alias("q_core"))
+    # the steps below start from these columns; the texts are taken apart once
+    asked = written(names.filter(F.length("name") >= 3).select("name_id", t.doc_code(F.col("name")).alias("q_code"), t.law_kind(low).alias("q_kind"), t.year(low).alias("q_year"), core.alias("q_words"), stripped.alias("q_core")), "names")
     fits = (F.col("q_kind") == "") | t.kinds_compatible(F.col("q_kind"), F.col("kind"))
 
     by_code = asked.filter("q_code != ''").join(titles.filter("code != ''"), F.col("q_code") == F.col("code")).groupBy("name_id").agg(F.max_by("title", F.struct(F.length("title"), -F.col("first_idx"))).alias("t1"))

@@ -80,7 +80,7 @@ class Engine:
     def __init__(self, retriever: plans.Retriever, model: Model | None = None, embed=None, scorer=overlap_logit, config: Config = DEFAULT):
         self.retriever, self.model, self.embed, self.scorer, self.config = retriever, model or RuleModel(), embed, scorer, config
         self.spark = retriever.corpus.sparkSession
-        self.titles = lawmatch.title_index(retriever.corpus) if "title" in retriever.corpus.columns else None
+        self.titles = written(lawmatch.title_index(retriever.corpus), "titles") if "title" in retriever.corpus.columns else None
 
     def ask(self, task: str, **parts: object) -> str:
         """The model's reply to the prompt of a task, at its temperature."""

@@ -9,6 +9,7 @@ from quern.operators import extract as x
 from quern.operators import lawmatch
 from quern.queries.base import STRIP, STRUCTURED, WORDS, documents, query, structured, table
 from quern.sources import readers
+from quern.storage import written
 
 _SPACED = r"regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '^ | $', '', 'g')"
 
@@ -122,7 +123,7 @@ def law_match(spark, sf_dir):
     titles = own.filter(F.size("w") >= 4).select(F.col("doc_id").alias("idx"), F.concat_ws(" ", kind, F.slice("w", 1, 4)).alias("title"), F.lit("").alias("so_ky_hieu"))
     i = F.col("doc_id") % 4
     name = F.when(i == 0, F.concat_ws(" ", F.lit("luật"), word(2), word(1), word(4))).when(i == 1, F.concat_ws(" ", word(3), word(2), word(9))).when(i == 2, F.concat_ws(" ", F.lit("luật"), word(3))).otherwise(F.concat_ws(" ", F.slice("w", 1, 5)))
-    return lawmatch.match(own.filter(F.size("w") >= 9).select(F.col("doc_id").alias("name_id"), name.alias("name")), lawmatch.title_index(titles))
+    return lawmatch.match(own.filter(F.size("w") >= 9).select(F.col("doc_id").alias("name_id"), name.alias("name")), written(lawmatch.title_index(titles), "titles"))
 
 
 @query("WITH t AS (SELECT 'Luật ' || source || ' ' || (doc_id % 50) || '/2020/QH14' AS title, (doc_id % 50) || '/2020/QH14' AS code, min(doc_id) AS first FROM documents GROUP BY ALL) SELECT doc_id AS name_id, (SELECT arg_max(title, length(title) * 1000000 - first) FROM t WHERE code = (d.doc_id % 60) || '/2020/QH14') AS title FROM documents d")
@@ -131,7 +132,7 @@ def law_code_match(spark, sf_dir):
     code = lambda n: F.concat((F.col("doc_id") % n).cast("string"), F.lit("/2020/QH14"))
     docs = documents(spark, sf_dir)
     titles = docs.select(F.col("doc_id").alias("idx"), F.concat_ws(" ", F.lit("Luật"), "source", code(50)).alias("title"), F.lit("").alias("so_ky_hieu"))
-    return lawmatch.match(docs.select(F.col("doc_id").alias("name_id"), code(60).alias("name")), lawmatch.title_index(titles))
+    return lawmatch.match(docs.select(F.col("doc_id").alias("name_id"), code(60).alias("name")), written(lawmatch.title_index(titles), "titles"))
 
 
 # where a window ends: behind its last full stop, if it goes back
