@@ -74,7 +74,6 @@ def test_stages_on_odd_input(spark, odd):
         assert r.offset == ends.get(r.sequence_id, 0)
         ends[r.sequence_id] = r.offset + r.length
     assert max(ends.values()) <= packing.CAPACITY
-    assert corpus_pipeline.run(spark, odd).count() > 0
 
 
 def test_stages_on_empty_tables(spark, odd):
