@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chroma, kneser_ney, line_dedup, mixing, near_dedup, packing, quality, rules, substring_dedup, toxicity
+from quern.llm import bwt_dedup, chroma, kneser_ney, lexical, line_dedup, mixing, near_dedup, packing, quality, rules, substring_dedup, toxicity, vector_codes
 
 
 #: Target weights of the mixing query, by language.
@@ -62,8 +62,20 @@ def op2_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chroma.report(_table(spark, sf_dir, "conversations"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.report(_docs(spark, sf_dir))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.report(_docs(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_line_dedup, op8_quality, op10_toxicity, op5_quality_rules, op6_best_fit_packing, op4_near_dedup, op1_kneser_ney, op9_substring_dedup, op3_mixing, op2_chroma)}
+    return {f.__name__: f for f in (op7_line_dedup, op8_quality, op10_toxicity, op5_quality_rules, op6_best_fit_packing, op4_near_dedup, op1_kneser_ney, op9_substring_dedup, op3_mixing, op2_chroma, op11_suffix_dedup, op12_vector_codes, op13_lexical_search)}
 
 
 #: DuckDB over the view ``documents``: all pairs of documents that share a shingle, and components by propagation.
@@ -81,4 +93,4 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(root, doc_id) AS compone
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_dedup": NEAR_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op4_near_dedup": NEAR_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL, "op11_suffix_dedup": bwt_dedup.ORACLE_SQL, "op12_vector_codes": vector_codes.ORACLE_SQL, "op13_lexical_search": lexical.ORACLE_SQL}
