@@ -86,16 +86,6 @@ KEPT_TYPES = [
     "Điều ước quốc tế", "Điều ước", "Điều lệ",
 ]
 
-# Types of documents that are dropped by name.
-DROPPED_TYPES = [
-    "Công văn", "Kế hoạch", "Thông báo", "Công điện", "Báo cáo",
-    "WTO_Văn bản", "WTO_Cam kết VN",
-    "Công ước", "Hiệp định", "Thoả thuận", "Nghị định thư",
-    "Sắc lệnh", "Sắc luật", "Lệnh",
-    "Tiêu chuẩn Việt Nam", "Tiêu chuẩn ngành", "Tiêu chuẩn XDVN",
-    "Thông tri", "Văn bản WTO",
-]
-
 # Kinds of laws at the start of a name, in order of trial.
 LAW_KINDS = ["bộ luật", "thông tư liên tịch", "nghị định", "thông tư", "quyết định", "chỉ thị", "nghị quyết", "pháp lệnh", "luật"]
 

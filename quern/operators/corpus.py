@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import fixed
@@ -19,27 +22,38 @@ def keep_types(df: DataFrame, col: str = "legal_type") -> DataFrame:
     return df.filter(F.col(col).isin(fixed.KEPT_TYPES))
 
 
+def _meeting(c: Column) -> Column:
+    """Ids as they meet: numeric ones as numbers, whatever their type."""
+    return F.coalesce(c.cast("string").try_cast("bigint").cast("string"), c.cast("string"))
+
+
+def last_by_id(metadata: DataFrame, order: str | None = None) -> DataFrame:
+    """W10. Of rows that repeat an id the last, in the order of the column ``order`` (or as the table is scanned, which only a
+    table of one file fixes); ids as text. ``order`` goes."""
+    fields = [c for c in metadata.columns if c not in ("id", order)]
+    placed = metadata.withColumn("_id", _meeting(F.col("id"))).withColumn("_at", F.col(order) if order else F.monotonically_increasing_id())
+    last = placed.filter("_id IS NOT NULL").groupBy("_id").agg(F.max_by(F.struct(*fields), "_at").alias("_m"))
+    return last.select(F.col("_id").alias("id"), *(F.col(f"_m.`{c}`").alias(c) for c in fields))
+
+
 def join_metadata(content: DataFrame, metadata: DataFrame, inner: bool, order: str | None = None) -> DataFrame:
-    """J1, J2. Content with its document's metadata by id (numeric ids meet as numbers, whatever their type); without
-    ``inner``, rows without metadata stay with empty fields. Of metadata that repeat an id the last row counts, in the order
-    of the column ``order``, or as the table is scanned. Catalyst broadcasts the metadata if it is small."""
-    number = lambda c: F.coalesce(c.cast("string").try_cast("bigint").cast("string"), c.cast("string"))
+    """J1, J2. Content with its document's metadata by id; without ``inner``, rows without metadata stay with empty fields. Of
+    metadata that repeat an id the last row counts (:func:`last_by_id`). Catalyst broadcasts the metadata if it is small."""
     fields = [c for c in metadata.columns if c not in ("id", order)]
-    placed = metadata.withColumn("_id", number(F.col("id"))).withColumn("_at", F.col(order) if order else F.monotonically_increasing_id())
-    meta = placed.filter("_id IS NOT NULL").groupBy("_id").agg(F.max_by(F.struct(*fields), "_at").alias("_m")).select("_id", *(F.col(f"_m.`{c}`").alias(c) for c in fields))
-    joined = content.withColumn("_id", number(F.col("id"))).join(meta, "_id", "inner" if inner else "left").drop("_id")
+    meta = last_by_id(metadata, order).withColumnRenamed("id", "_id")
+    joined = content.withColumn("_id", _meeting(F.col("id"))).join(meta, "_id", "inner" if inner else "left").drop("_id")
     return joined if inner else joined.na.fill("", [c for c in fields if metadata.schema[c].dataType.simpleString() == "string"])
 
 
-def extract_documents(docs: DataFrame, source: str, least: int = 20, article_only: bool = False) -> DataFrame:
+def extract_documents(docs: DataFrame, source: str, least: int = 20, article_only: bool = False, also: list[str] | None = None) -> DataFrame:
     """E3, P8. ``docs``: (id, title, content, doc_type, doc_number, issuing_authority, issuance_date). One row an article;
-    with ``article_only`` documents without any article go."""
+    with ``article_only`` documents without any article go. Columns named in ``also`` stay."""
     rows = articles(F.col("content"), F.col("title"), F.col("doc_number"), least)
     kept = docs.withColumn("_rows", rows)
     if article_only:
         kept = kept.filter(F.exists("_rows", lambda r: r["article_id"] != ""))
-    tall = kept.select(F.concat(F.lit("tvpl_"), F.col("id").cast("string")).alias("doc_id"), F.lit(source).alias("source"), "doc_type", "doc_number", "issuing_authority", "issuance_date", F.posexplode("_rows").alias("part", "r"))
-    return tall.select("r.*", "doc_id", "source", "doc_type", "doc_number", "issuing_authority", "issuance_date", "part")
+    tall = kept.select(F.concat(F.lit("tvpl_"), F.col("id").cast("string")).alias("doc_id"), F.lit(source).alias("source"), "doc_type", "doc_number", "issuing_authority", "issuance_date", *(also or []), F.posexplode("_rows").alias("part", "r"))
+    return tall.select("r.*", "doc_id", "source", "doc_type", "doc_number", "issuing_authority", "issuance_date", "part", *(also or []))
 
 
 def enrich_codes(df: DataFrame) -> DataFrame:
@@ -91,16 +105,19 @@ def number_rows(rows: DataFrame, order: list[str]) -> DataFrame:
     return placed.join(F.broadcast(before), "_range").withColumn("idx", F.col("_before") + F.col("_place")).drop("_at", "_range", "_place", "_before")
 
 
-def build_corpus(sources: list[DataFrame], least_words: int = LEAST_WORDS) -> DataFrame:
+def build_corpus(sources: list[DataFrame], least_words: int = LEAST_WORDS, codes: list[bool] | None = None, sections: list[bool] | None = None) -> DataFrame:
     """U1. The sources in order of priority (each with corpus columns and an order column ``seq``, made by
     :func:`quern.schema.order_key` or of any type that it takes), enriched, cut into sections, filtered and deduplicated,
-    with ``idx``. Rows that are equal in all columns are told apart by nothing; one of them stays if they have a key."""
+    with ``idx``. ``codes`` and ``sections`` say which sources are enriched and cut (all, if nothing is said). Rows that are
+    equal in all columns are told apart by nothing; one of them stays if they have a key."""
     own = lambda s: F.col("seq") if s.schema["seq"].dataType.typeName() == "struct" else order_key(F.col("seq"))
-    tagged = [conform(s, F.lit(k).alias("_source"), own(s).alias("_seq")) for k, s in enumerate(sources)]
-    union = tagged[0]
-    for s in tagged[1:]:
-        union = union.unionByName(s)
-    parts = chunk_documents(enrich_codes(union).withColumn("seq", F.struct("_source", "_seq")).drop("_source", "_seq"))
+    yes = [True] * len(sources)
+    parts = None
+    for k, (source, enriched, cut) in enumerate(zip(sources, codes or yes, sections or yes, strict=True)):
+        rows = conform(source, F.struct(F.lit(k).alias("_source"), own(source).alias("_seq")).alias("seq"))
+        rows = enrich_codes(rows) if enriched else rows
+        rows = chunk_documents(rows) if cut else rows.withColumn("part", F.lit(0))
+        parts = rows if parts is None else parts.unionByName(rows)
     # equal places happen where a source repeats a row: the text decides, so that the order is total
     ordered = parts.withColumn("seq", F.struct("seq._source", "seq._seq", "part", F.md5("text").alias("hash")))
     return number_rows(first_wins(ordered, least_words), ["seq"]).select("idx", *TEXTS)
@@ -109,10 +126,9 @@ def build_corpus(sources: list[DataFrame], least_words: int = LEAST_WORDS) -> Da
 def counters(kept: DataFrame, content: DataFrame, metadata: DataFrame) -> DataFrame:
     """A10. One row about an extraction: ``content`` (id) and ``metadata`` (id) that went in, ``kept`` (id, article_id) that
     came out: documents without metadata, documents with metadata but without any article, articles."""
-    number = lambda c: F.coalesce(c.cast("string").try_cast("bigint").cast("string"), c.cast("string"))
-    known = metadata.select(number(F.col("id")).alias("_id"), F.lit(1).alias("_meta")).distinct()
-    out = kept.filter("article_id != ''").groupBy(number(F.col("id")).alias("_id")).agg(F.count("*").alias("_n"))
-    docs = content.select(number(F.col("id")).alias("_id")).join(known, "_id", "left").join(out, "_id", "left")
+    known = metadata.select(_meeting(F.col("id")).alias("_id"), F.lit(1).alias("_meta")).distinct()
+    out = kept.filter("article_id != ''").groupBy(_meeting(F.col("id")).alias("_id")).agg(F.count("*").alias("_n"))
+    docs = content.select(_meeting(F.col("id")).alias("_id")).join(known, "_id", "left").join(out, "_id", "left")
     met = F.col("_meta").isNotNull()
     return docs.agg(F.count("*").alias("n_docs"), F.count_if(~met).alias("no_meta"), F.count_if(met & F.col("_n").isNull()).alias("no_articles"), F.coalesce(F.sum(F.when(met, F.col("_n"))), F.lit(0)).alias("n_articles"))
 
@@ -140,6 +156,58 @@ def rows_at(corpus: DataFrame, positions: list[int]) -> DataFrame:
     return corpus.filter(F.col("idx").isin([p if p >= 0 else n + 1 + p for p in positions]))
 
 
+@dataclass
+class Store:
+    """S13. A corpus on disk by position: a folder for each range of ``width`` positions, and a manifest with the rows and the
+    range. Rows, slices and the length open the folders that hold them only, and no row is held in memory."""
+
+    spark: SparkSession
+    path: str
+
+    @classmethod
+    def save(cls, corpus: DataFrame, path: str, width: int = 100_000) -> Store:
+        """``corpus``: with ``idx``, 0, 1, 2, ... The manifest comes last."""
+        spark = corpus.sparkSession
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        ranged = corpus.withColumn("_range", F.floor(F.col("idx") / width)).repartitionByRange(parts, "idx").sortWithinPartitions("idx")
+        ranged.write.mode("overwrite").partitionBy("_range").parquet(f"{path}/rows")
+        count = spark.read.parquet(f"{path}/rows").count()
+        spark.createDataFrame([(count, width)], "n long, width long").coalesce(1).write.mode("overwrite").parquet(f"{path}/size")
+        return cls(spark, path)
+
+    def _size(self) -> tuple[int, int]:
+        r = self.spark.read.parquet(f"{self.path}/size").first()
+        return r.n, r.width
+
+    def __len__(self) -> int:
+        return self._size()[0]
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/rows")
+
+    def __getitem__(self, at: int | slice | list[int]) -> DataFrame:
+        """The rows at a position, in a slice or in a list of positions, as a table with ``idx``; negative positions count from
+        the end. A position that isn't there raises IndexError; of a slice what is there counts."""
+        n, width = self._size()
+        if isinstance(at, slice):
+            places = range(*at.indices(n))
+            if not len(places):
+                return self.rows().drop("_range").limit(0)
+            low, high = min(places[0], places[-1]), max(places[0], places[-1])
+            own = self.rows().filter(F.col("_range").between(low // width, high // width) & F.col("idx").between(low, high))
+            return (own if abs(places.step) == 1 else own.filter((F.col("idx") - low) % abs(places.step) == 0)).drop("_range")
+        places = [p if p >= 0 else n + p for p in (at if isinstance(at, list) else [at])]
+        if any(not 0 <= p < n for p in places):
+            raise IndexError(f"{at} of {n} rows")
+        return self.rows().filter(F.col("_range").isin(sorted({p // width for p in places})) & F.col("idx").isin(places)).drop("_range")
+
+    def __iter__(self) -> Iterator[Row]:
+        """All rows in order, a range of positions in memory at a time."""
+        n, width = self._size()
+        for low in range(0, n, width):
+            yield from self[low : low + width].orderBy("idx").toLocalIterator()
+
+
 def batch(queries: DataFrame, number: int, size: int, key: str = "query_id") -> DataFrame:
     """L10. The rows of one batch in the order of ``key``."""
     return number_rows(queries, [key]).filter(F.col("idx").between(number * size, (number + 1) * size - 1)).drop("idx")

@@ -5,17 +5,18 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators.bm25 import ranked
-from quern.storage import shared_dir
+from quern.storage import discard, shared_dir, written
 
 #: Queries that are sent to the workers at once.
 BLOCK = 1000
@@ -54,39 +55,161 @@ def embed(df: DataFrame, text_col: str, model: Callable[[list[str]], np.ndarray]
 
 
 def _top(held, k: int):
+    """Rows (idx, embedding, cell) to the best ``k`` of each query of the block; ``held``: the queries as a matrix, and for
+    each cell the queries that ask for it (None: all do)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = held.value
-        best_s, best_i = np.zeros((len(matrix), 0)), np.zeros((len(matrix), 0), np.int64)
+        matrix, asked = held.value
+        best_s, best_i = np.full((len(matrix), k), -np.inf), np.zeros((len(matrix), k), np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            cells = batch.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), batch.num_rows]
+            # a batch at a time of one cell, as far as rows lie by cell
+            edges = [(a, min(a + 4096, b)) for c, b in zip(cuts[:-1], cuts[1:], strict=True) for a in range(c, b, 4096)]
+            for a, b in edges:
+                who = slice(None) if asked is None else asked.get(int(cells[a]))
+                if who is None:
+                    continue
+                part = batch.slice(a, b - a)
                 v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                s = np.concatenate([best_s, np.round(matrix @ v.T, 12)], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(part.column(0).to_numpy(), (len(matrix), part.num_rows))], axis=1)
+                old_s, old_i = best_s[who], best_i[who]
+                s = np.concatenate([old_s, np.round(matrix[who] @ v.T, 12)], axis=1)
+                i = np.concatenate([old_i, np.broadcast_to(part.column(0).to_numpy(), (len(old_s), part.num_rows))], axis=1)
                 order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        n = best_s.shape[1]
-        yield pa.record_batch([pa.array(np.repeat(np.arange(len(matrix)), n)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], ["q", "idx", "score"])
+                best_s[who], best_i[who] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        q, at = np.nonzero(best_s > -np.inf)
+        yield pa.record_batch([pa.array(q), pa.array(best_i[q, at]), pa.array(best_s[q, at])], ["q", "idx", "score"])
+
+    return run
+
+
+#: Vectors that a cell has on average, cells at most, and sampled vectors a cell that the centres are fitted on.
+PER_CELL, MOST_CELLS, SAMPLE = 4096, 1024, 50
+#: Cells of the highest bounds that a search reads first.
+FIRST_CELLS = 4
+
+
+@dataclass
+class Cells:
+    """Stored vectors: ``vectors`` (cell, idx, embedding), a folder a cell, and ``cells`` (cell, centre, radius, n)."""
+
+    vectors: DataFrame
+    cells: DataFrame
+
+    @staticmethod
+    def save(vectors: DataFrame, path: str, per_cell: int = PER_CELL, most: int = MOST_CELLS) -> None:
+        """V3, S16. Centres are fitted on a bounded sample (``SAMPLE`` vectors a cell, those of the smallest hashes of their
+        idx); every vector goes to its nearest centre, and the radius of a cell covers all that it got."""
+        spark = vectors.sparkSession
+        own = written(_own(vectors), "vectors")
+        count = own.count()
+        wanted = int(min(most, max(1, count // per_cell)))
+        sample = np.array([r.embedding for r in own.orderBy(F.xxhash64("idx"), "idx").limit(SAMPLE * wanted).collect()], np.float64)
+        centres = _centres(sample, wanted) if len(sample) else np.zeros((1, 0))
+        held = spark.sparkContext.broadcast(centres)
+        placed = own.mapInArrow(_placed(held), "idx long, embedding array<double>, cell int, apart double")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        kept = written(placed, "placed")
+        kept.select("idx", "embedding", "cell").repartitionByRange(parts, "cell", "idx").sortWithinPartitions("cell", "idx").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+        radius = kept.groupBy("cell").agg(F.max("apart").alias("radius"), F.count("*").alias("n"))
+        # a row a cell
+        table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>")
+        table.join(radius, "cell").coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
+        discard(own, kept)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Cells:
+        kind = "idx long, embedding array<double>, cell int"
+        return cls(spark.read.schema(kind).parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/cells"))
+
+
+def _centres(sample: np.ndarray, wanted: int) -> np.ndarray:
+    """Lloyd's rounds from evenly spread rows of the sample."""
+    centres = sample[np.linspace(0, len(sample) - 1, min(wanted, len(sample))).astype(int)]
+    for _ in range(8 if len(centres) > 1 else 1):
+        code = _nearest(sample, centres)[0]
+        total, n = np.zeros_like(centres), np.bincount(code, minlength=len(centres))
+        np.add.at(total, code, sample)
+        centres = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
+def _nearest(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    code = ((centres**2).sum(1) - 2 * rows @ centres.T).argmin(1)
+    return code, np.linalg.norm(rows - centres[code], axis=1)
+
+
+def _placed(held):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            code, apart = _nearest(v, held.value)
+            yield pa.record_batch([*batch.columns, pa.array(code.astype(np.int32)), pa.array(apart)], ["idx", "embedding", "cell", "apart"])
 
     return run
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """V2, L1. ``vectors``: (idx long, embedding); ``queries``: (query_id, embedding). (query_id, idx, score, rank).
+def _own(vectors: DataFrame) -> DataFrame:
+    return vectors.filter(F.col("embedding").isNotNull()).select(F.col("idx").cast("long").alias("idx"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def _names(spark: SparkSession, queries: DataFrame, rows: list) -> DataFrame:
+    """The ids of a block's queries by their place; at most ``BLOCK`` rows."""
+    return F.broadcast(spark.createDataFrame([(i, r.query_id) for i, r in enumerate(rows)], f"q long, query_id {queries.schema['query_id'].dataType.simpleString()}"))
+
+
+def _of_cells(index: Cells, matrix: np.ndarray, asked: dict[int, np.ndarray], k: int) -> DataFrame:
+    held = index.vectors.sparkSession.sparkContext.broadcast((matrix, asked))
+    return index.vectors.filter(F.col("cell").isin(list(asked))).select("idx", "embedding", "cell").mapInArrow(_top(held, k), "q long, idx long, score double")
+
+
+def bounded_block(index: Cells, matrix: np.ndarray, k: int, first: int = FIRST_CELLS) -> tuple[DataFrame, float]:
+    """The best ``k`` (q, idx, score, rank) of a block of queries, and the share of pairs of query and cell left unread.
+
+    No vector of a cell has a product above that of its centre plus radius times the query's length. The ``first`` cells of
+    the highest bounds give each query k scores (or all cells are read); of the other cells those that can reach the k-th.
+    """
+    cells = sorted(index.cells.collect(), key=lambda r: r.cell)
+    if not cells:
+        return index.vectors.sparkSession.createDataFrame([], "q long, idx long, score double, rank long"), 0.0
+    number = np.array([r.cell for r in cells])
+    centre, radius = np.array([r.centre for r in cells], np.float64), np.array([r.radius for r in cells])
+    bound = matrix @ centre.T + radius * np.linalg.norm(matrix, axis=1, keepdims=True)
+    order = np.argsort(-bound, axis=1, kind="stable")[:, :first]
+    begun = np.zeros(bound.shape, bool)
+    np.put_along_axis(begun, order, True, 1)
+    by_cell = lambda mask: {int(number[c]): np.flatnonzero(mask[:, c]) for c in np.flatnonzero(mask.any(0))}
+    if begun.all():
+        return ranked(_of_cells(index, matrix, by_cell(begun), k), k, "q"), 0.0
+    found = written(ranked(_of_cells(index, matrix, by_cell(begun), k), k, "q"), "first_cells")
+    least = np.full((len(matrix), 1), -np.inf)
+    for r in found.filter(F.col("rank") == k).select("q", "score").collect():  # one of each query of the block
+        least[r.q] = r.score
+    rest = ~begun & (bound >= least - 1e-9)
+    skipped = 1 - (begun.sum() + rest.sum()) / bound.size
+    if not rest.any():
+        return found, skipped
+    return ranked(found.drop("rank").unionByName(_of_cells(index, matrix, by_cell(rest), k)), k, "q"), skipped
+
+
+def search(vectors: DataFrame | Cells, queries: DataFrame, k: int) -> DataFrame:
+    """V2, L1. ``vectors``: (idx long, embedding), or stored cells; ``queries``: (query_id, embedding). (query_id, idx, score,
+    rank).
 
     Queries go out in blocks of ``BLOCK``; every task keeps k rows a query, and a window picks the best of those. With more
     than one block, each writes its rows, so that neither the plan nor the driver grows with the queries.
     """
-    spark = vectors.sparkSession
-    own = vectors.filter(F.col("embedding").isNotNull()).select(F.col("idx").cast("long").alias("idx"), "embedding")
+    spark = queries.sparkSession
     kind = queries.schema["query_id"].dataType.simpleString()
 
     def run(rows: list) -> DataFrame:
-        held = spark.sparkContext.broadcast(np.array([r.embedding for r in rows], np.float64))
-        names = spark.createDataFrame([(i, r.query_id) for i, r in enumerate(rows)], f"q long, query_id {kind}")
-        partial = own.mapInArrow(_top(held, k), "q long, idx long, score double")
-        # at most BLOCK rows
-        return ranked(partial, k, "q").join(F.broadcast(names), "q").select("query_id", "idx", "score", "rank")
+        matrix = np.array([r.embedding for r in rows], np.float64)
+        if isinstance(vectors, Cells):
+            top = bounded_block(vectors, matrix, k)[0]
+        else:
+            held = spark.sparkContext.broadcast((matrix, None))
+            top = ranked(_own(vectors).withColumn("cell", F.lit(0)).mapInArrow(_top(held, k), "q long, idx long, score double"), k, "q")
+        return top.join(_names(spark, queries, rows), "q").select("query_id", "idx", "score", "rank")
 
     rows = queries.filter(F.col("embedding").isNotNull()).select("query_id", "embedding").toLocalIterator()
     block, path = list(islice(rows, BLOCK)), None

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as t
+from quern.operators.models import PairModel, score_pairs
 
 
 def overlap_logit(query: Column, content: Column) -> Column:
@@ -22,14 +23,19 @@ def _by_rank(chunks: DataFrame, k: int) -> DataFrame:
     return chunks.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k).drop("_old")
 
 
-def rerank(chunks: DataFrame, k: int = 50, scorer: Callable[[Column, Column], Column] = overlap_logit) -> DataFrame:
+def rerank(chunks: DataFrame, k: int = 50, scorer: Callable[[Column, Column], Column] | PairModel = overlap_logit) -> DataFrame:
     """R1, R2, W6, L4. The scorer's logits over (query, truncated content), as probabilities stretched to 0..1 within each
-    query; a single candidate keeps its probability, equal ones become 0. Ties keep their order."""
-    p = 1 / (1 + F.exp(-scorer(F.col("query"), t.truncate_at_word(F.col("content")))))
+    query; a single candidate keeps its probability, equal ones become 0. Ties keep their order. A scorer is an expression, or
+    a model that takes batches of pairs."""
+    if isinstance(scorer, PairModel):
+        chunks, logit = score_pairs(chunks, scorer, out="_logit"), F.col("_logit")
+    else:
+        logit = scorer(F.col("query"), t.truncate_at_word(F.col("content")))
+    p = 1 / (1 + F.exp(-logit))
     w = Window.partitionBy("query_id")
     low, high, n = F.min("_p").over(w), F.max("_p").over(w), F.count("*").over(w)
     score = F.when(n == 1, F.col("_p")).when(high - low > 1e-12, (F.col("_p") - low) / (high - low)).otherwise(0.0)
-    return _by_rank(chunks.withColumn("_p", p).withColumn("score", score).withColumns({"rerank_score": F.col("score"), "_old": F.col("rank")}).drop("_p"), k)
+    return _by_rank(chunks.withColumn("_p", p).withColumn("score", score).withColumns({"rerank_score": F.col("score"), "_old": F.col("rank")}).drop("_p", "_logit"), k)
 
 
 def rerank_by_choice(chunks: DataFrame, chosen: Callable[[DataFrame], DataFrame], k: int = 30, batch: int = 15) -> DataFrame:

@@ -13,36 +13,45 @@ from quern.functions import text as t
 from quern.operators import bm25, dense, fusion
 from quern.operators.extract import cross_references, fan_out
 from quern.operators.rerank import overlap_logit, reconstruct, rerank
-from quern.storage import complete, save
+from quern.storage import current, fingerprint, forget, note
 
 
 @dataclass
 class Retriever:
-    """A corpus (idx, text, ...), its BM25 index, and vectors (idx, embedding) if there are any."""
+    """A corpus (idx, text, ...), its BM25 index, and vectors (idx, embedding; or stored cells of them) if there are any."""
 
     corpus: DataFrame
     index: bm25.Index
-    vectors: DataFrame | None = None
+    vectors: DataFrame | dense.Cells | None = None
 
     @classmethod
     def over(cls, corpus: DataFrame, config: Config = DEFAULT, embed=None, path: str | None = None, force: bool = False) -> Retriever:
-        """V3, S16, S17. ``embed``: a column function of the text; None leaves the dense side out.
+        """V3, S15-S17. ``embed``: a column function of the text; None leaves the dense side out.
 
         With a ``path`` each index is built and written there if it isn't there yet (or ``force`` says so), and loaded: searches
-        then read stored postings and vectors, and no text is tokenized or embedded again. Without one, every search does that.
+        then read stored postings and vectors, and no text is tokenized or embedded again. A manifest tells what an index was
+        built from - the corpus' plan and files, the parameters, the model's name - and another corpus, parameter or model
+        builds it anew. Without a path, every search does that.
         """
         spark = corpus.sparkSession
-        build = lambda: bm25.build(corpus, config.bm25_k1, config.bm25_b)
-        vectors = corpus.select("idx", embed(F.col("text")).alias("embedding")) if embed else None
+        own = corpus.select("idx", "text")
+        vectors = own.select("idx", embed(F.col("text")).alias("embedding")) if embed else None
         if path is None:
-            return cls(corpus, build(), vectors)
-        if force or not bm25.Index.exists(spark, f"{path}/sparse"):
-            build().save(f"{path}/sparse")
+            return cls(corpus, bm25.build(corpus, config.bm25_k1, config.bm25_b), vectors)
+
+        def kept(part: str, build, **settings) -> str:
+            place, mark = f"{path}/{part}", fingerprint(own, **settings)
+            if force or not current(spark, place, mark):
+                forget(spark, place)
+                build(place)
+                note(spark, place, mark)
+            return place
+
+        sparse = kept("sparse", lambda place: bm25.build(corpus, config.bm25_k1, config.bm25_b).save(place), k1=config.bm25_k1, b=config.bm25_b, layout=(bm25.BUCKETS, bm25.WIDTH))
         if vectors is not None:
-            if force or not complete(spark, f"{path}/dense"):
-                save(vectors, f"{path}/dense")
-            vectors = spark.read.parquet(f"{path}/dense")
-        return cls(corpus, bm25.Index.load(spark, f"{path}/sparse"), vectors)
+            model = f"{getattr(embed, '__module__', '')}.{getattr(embed, '__qualname__', repr(embed))}"
+            vectors = dense.Cells.load(spark, kept("dense", lambda place: dense.Cells.save(vectors, place), model=model, layout=(dense.PER_CELL, dense.MOST_CELLS)))
+        return cls(corpus, bm25.Index.load(spark, sparse), vectors)
 
     def ranked(self, queries: DataFrame, top_k: int = DEFAULT.retrieval_top_k, weights: tuple = (DEFAULT.hybrid_dense_weight, DEFAULT.hybrid_sparse_weight), cut: bool = True) -> DataFrame:
         """F3. ``queries``: (query_id, query) and, for the dense side, embedding; weights may be column expressions over

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from itertools import islice
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quern.operators import answer as a
 from quern.operators import bm25, dense, fusion
+from quern.operators.models import PairModel, TokenModel, embed_texts
 from quern.operators.rerank import reconstruct, rerank
 from quern.plans import retrieval as plans
 from quern.queries.base import documents, query, table, terms
@@ -93,6 +97,21 @@ def bm25_stats(spark, sf_dir):
     return bm25.build(_corpus(spark, sf_dir)).terms
 
 
+@query(f"WITH {_BM25} SELECT tf.term, count(*) AS df, count(DISTINCT tf.idx // 4096) AS n_blocks, round(max(tf / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS top FROM tf JOIN dl USING (idx), st GROUP BY tf.term")
+def build_index(spark, sf_dir):
+    """S16, S17, V3. Builds the indexes of the table if they aren't current; the blocks of each term."""
+    blocks = _retriever(spark, sf_dir).index.blocks
+    return blocks.groupBy("term").agg(F.sum("n").alias("df"), F.count("*").alias("n_blocks"), F.round(F.max("top"), 9).alias("top"))
+
+
+@query(f"WITH {_BM25} {_OUT}{_top('bm', 10)}")
+def bm25_block_max(spark, sf_dir):
+    """B3, L2. Short blocks and few seeds, so that blocks are skipped on small tables too."""
+    path = f"{shared_dir(spark)}/short"
+    bm25.build(_corpus(spark, sf_dir)).save(path, width=32)
+    return _out(bm25.block_max(bm25.Index.load(spark, path), _queries(spark, sf_dir), 10, seeds=3)[0])
+
+
 @query(f"WITH {_BM25} SELECT t.query_id, t.idx, t.rank, round(score, 6) AS score, source FROM {_top('bm', 10)} t JOIN documents ON doc_id = t.idx")
 def bm25_topk(spark, sf_dir):
     r = _retriever(spark, sf_dir)
@@ -107,6 +126,15 @@ def dense_topk(spark, sf_dir):
     return _out(dense.search(v.select(F.col("vec_id").alias("idx"), "embedding"), queries, 20))
 
 
+@query(f"WITH d AS (SELECT q.vec_id AS query_id, v.vec_id AS idx, round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 12) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0) {_OUT}{_top('d', 20)}")
+def dense_cells(spark, sf_dir):
+    """V2, J12. The same rows as ``dense_topk`` from stored cells; those that can't hold a result are left unread."""
+    v, path = table(spark, sf_dir, "embeddings"), f"{shared_dir(spark)}/cells"
+    dense.Cells.save(v.select(F.col("vec_id").alias("idx"), "embedding"), path, per_cell=20)
+    queries = v.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return _out(dense.search(dense.Cells.load(spark, path), queries, 20))
+
+
 @query(f"WITH {_BM25}, {_DENSE}, t AS {_top('dn', 40)} {_OUT}{_cut('t', 40)}")
 def adaptive_k(spark, sf_dir):
     r = _retriever(spark, sf_dir)
@@ -147,6 +175,56 @@ def rerank_minmax(spark, sf_dir):
     return _out(_reranked(spark, sf_dir, 50))
 
 
+def _words_of(text: str) -> list[str]:
+    return re.findall(r"\w{2,}", text.lower())
+
+
+def _pair_tokens(pairs: list[tuple[str, str]]) -> list[list[int]]:
+    """A stand-in for a tokenizer: ids by first appearance in the batch, the query's distinct words, 0, the content's."""
+    known: dict[str, int] = {}
+    code = lambda words: [known.setdefault(w, len(known) + 1) for w in words]
+    return [[*code(dict.fromkeys(_words_of(q))), 0, *code(_words_of(c))] for q, c in pairs]
+
+
+def _pair_logits(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Four times the share of the query's words that the content has, minus two."""
+    out = []
+    for row, on in zip(ids, mask, strict=True):
+        own = row[on == 1]
+        cut = int(np.flatnonzero(own == 0)[0])
+        out.append(4 * np.isin(own[:cut], own[cut + 1 :]).sum() / max(1, cut) - 2)
+    return np.array(out)
+
+
+@query(f"WITH {_HYBRID}, {_RERANK} SELECT query_id, idx, rank, round(score, 6) AS score FROM rk WHERE rank <= 50")
+def rerank_pairs(spark, sf_dir):
+    """R1. A model that takes batches of tokenized pairs, padded by length."""
+    found = _retriever(spark, sf_dir).retrieve(_embedded(spark, sf_dir), 200, (0.7, 0.3))
+    return _out(rerank(found.join(_queries(spark, sf_dir), "query_id"), 50, PairModel(_pair_tokens, _pair_logits)))
+
+
+def _slots(texts: list[str]) -> list[list[int]]:
+    """A stand-in for a tokenizer: a token of each search term."""
+    return [[int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 16 + 1 for w in _words_of(x)] for x in texts]
+
+
+def _running(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """A causal stand-in: the state at a token counts the tokens up to it; states of padding are noise."""
+    counts = np.cumsum((ids[:, :, None] == np.arange(1, 17)) * mask[:, :, None], axis=1).astype(np.float64)
+    return np.where(mask[:, :, None] == 1, counts, -7.0)
+
+
+_POOLED = f"SELECT doc_id, slot, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 9) AS v FROM (SELECT doc_id, ('0x' || md5(term)[1:4])::INT % 16 AS slot, count(*)::DOUBLE AS c FROM (SELECT doc_id, unnest({terms('text')}[1:512]) AS term FROM documents) GROUP BY ALL)"
+
+
+@query(_POOLED)
+def embed_pooled(spark, sf_dir):
+    """V1. Last-token pooling over padded batches of similar length, of at most 512 tokens a text; slots that aren't zero."""
+    model = TokenModel(_slots, _running, 512)
+    vectors = embed_texts(documents(spark, sf_dir).select("doc_id", "text"), "text", model)
+    return vectors.select("doc_id", F.posexplode("embedding").alias("slot", "v")).filter("v > 0").withColumn("v", F.round("v", 9))
+
+
 _MERGED = """
 mg AS (SELECT query_id, doc_title, article_id, CASE WHEN length(string_agg(content, chr(10) ORDER BY rank)) < 50 THEN min_by(content, rank) ELSE string_agg(content, chr(10) ORDER BY rank) END AS content, max(score) AS score, min(rank) AS old FROM rk WHERE rank <= 20 GROUP BY query_id, doc_title, article_id),
 rc AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, old) AS rank FROM mg)"""

@@ -10,7 +10,7 @@ from quern.functions import fixed
 from quern.functions import text as t
 from quern.operators import answer as assembly
 from quern.plans import retrieval as plans
-from quern.queries.base import STRIP, STRUCTURED, WORD, WORDS, documents, fixture, query, structured, table, values
+from quern.queries.base import STRIP, STRUCTURED, WORD, WORDS, documents, query, structured, table, values
 
 
 def _list(items) -> str:
@@ -37,12 +37,20 @@ def expand_abbrev(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.md5(t.expand_abbreviations(F.col("text"))).alias("expanded"))
 
 
-CODES = [(1, "Luật Doanh nghiệp 59/2020/QH14"), (2, "Quyết định 15/QĐ-TTg"), (3, "Nghị định 12/2022/NĐ-CP sửa đổi 45/2019/QH14"), (4, "Thông tư 05/2020/TT-BTC-BNV"), (5, "Thông tư liên tịch 01/2020/TTLT-BTC"), (6, "")]
+#: Codes in titles, by form: what stands before the number, what behind it, and what is found ({0}: the number).
+_CODES = [("Luật Doanh nghiệp ", "/2020/QH14", "{0}/2020/QH14"), ("Quyết định ", "/QĐ-TTg", "{0}/QĐ-TTg"), ("Nghị định ", "/2022/NĐ-CP sửa đổi 45/2019/QH14", "45/2019/QH14"), ("Thông tư ", "/2020/TT-BTC-BNV", "{0}/2020/TT-BTC"), ("Thông tư liên tịch ", "/2020/TTLT-BTC", ""), ("số", "", "")]
 
 
-@query("SELECT id, coalesce(" + ", ".join(f"nullif(regexp_extract(title, '({p.replace('W', WORD)})', 1), '')" for p in fixed.DOC_CODES) + f", '') AS code FROM {values(CODES, 'id, title')}")
+def _found(code: str) -> str:
+    return "''" if not code else "'" + code.replace("{0}", "' || (doc_id % 90 + 10) || '") + "'"
+
+
+@query("SELECT doc_id, CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {_found(found)}" for i, (_, _, found) in enumerate(_CODES)) + " END AS code FROM documents")
 def doc_code(spark, sf_dir):
-    return fixture(spark, CODES, "id int, title string").select("id", t.doc_code(F.col("title")).alias("code"))
+    """T9. Titles: the text's first forty characters, then a code of one of six forms."""
+    form = lambda k: F.element_at(F.array(*(F.lit(c[k]) for c in _CODES)), (F.col("doc_id") % 6 + 1).cast("int"))
+    title = F.concat(F.regexp_replace(F.substring("text", 1, 40), "[0-9/]", " "), F.lit(" "), form(0), (F.col("doc_id") % 90 + 10).cast("string"), form(1))
+    return documents(spark, sf_dir).select("doc_id", t.doc_code(title).alias("code"))
 
 
 @query(rf"WITH {STRUCTURED} SELECT doc_id, len(r) AS n, md5(array_to_string(r, ',')) AS refs FROM (SELECT doc_id, regexp_extract_all(text, 'Điều\s+(\d+)', 1) AS r FROM s)")
@@ -68,11 +76,15 @@ _PLAIN_TAG = t.TAG.replace("'", "''")
 _DECODED = reduce(lambda sql, e: f"replace({sql}, '&{e[0]};', chr({ord(e[1])}))", t.ENTITIES.items(), "t")
 
 
-@query(rf'''
+#: SQL: text of the pages (h: page_id, body).
+HTML_CTES = rf"""
 WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '{t.HIDDEN}', '<x>', 'g'), '(?:{_PLAIN_TAG})+', chr(10), 'g') AS t FROM pages),
 b AS (SELECT page_id, {_DECODED} AS t FROM a),
-c AS (SELECT page_id, regexp_replace(replace(regexp_replace(t, '(Điều\s+\d+)\s*\n\s*([.:])', '\1\2', 'g'), chr(160), ' '), '[ \t]+', ' ', 'g') AS t FROM b)
-SELECT page_id, md5(regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS body FROM c''')
+c AS (SELECT page_id, regexp_replace(replace(regexp_replace(t, '(Điều\s+\d+)\s*\n\s*([.:])', '\1\2', 'g'), chr(160), ' '), '[ \t]+', ' ', 'g') AS t FROM b),
+h AS (SELECT page_id, regexp_replace(regexp_replace(t, '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM c)"""
+
+
+@query(f"{HTML_CTES} SELECT page_id, md5(body) AS body FROM h")
 def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(t.html_text(F.col("html"))).alias("body"))
 
@@ -105,14 +117,16 @@ def parse_reply(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", p["is_complete"].cast("string").alias("complete"), p["gaps"].alias("gaps"))
 
 
-KINDS = [(1, "Factual."), (2, "It is a COMPARISON"), (3, "none of them"), (4, "yes_no"), (5, "multi_article or scenario")]
-_CASE = "CASE " + " ".join(f"WHEN contains(lower(reply), '{k}') THEN '{k}'" for k in fixed.QUERY_KINDS) + " ELSE 'factual' END"
+_REPLIES = ["Factual.", "It is a COMPARISON", "none of them", "yes_no", "multi_article or scenario"]
+_CASE = "CASE " + " ".join(f"WHEN contains(reply, '{k}') THEN '{k}'" for k in fixed.QUERY_KINDS) + " ELSE 'factual' END"
 _PLAN = values([(k, *(int(x) if isinstance(x, bool) else x for x in p)) for k, p in fixed.QUERY_PLANS.items()], "kind, top_k_retrieval, top_k_rerank, top_k_final, num_query_variations, hyde, dense_weight, sparse_weight")
 
 
-@query(f"SELECT query_id, p.kind, top_k_retrieval, top_k_rerank, top_k_final, num_query_variations, hyde = 1 AS use_hyde, dense_weight::DOUBLE AS dense_weight, sparse_weight::DOUBLE AS sparse_weight FROM (SELECT query_id, {_CASE} AS kind FROM {values(KINDS, 'query_id, reply')}) q JOIN (SELECT * FROM {_PLAN}) p ON q.kind = p.kind")
+@query(f"SELECT doc_id AS query_id, p.kind, top_k_retrieval, top_k_rerank, top_k_final, num_query_variations, hyde = 1 AS use_hyde, dense_weight::DOUBLE AS dense_weight, sparse_weight::DOUBLE AS sparse_weight FROM (SELECT doc_id, {_CASE} AS kind FROM (SELECT doc_id, lower({_list(_REPLIES)}[(doc_id % 5 + 1)::INT] || ' ' || text) AS reply FROM documents)) q JOIN (SELECT * FROM {_PLAN}) p ON q.kind = p.kind")
 def adaptive_plan(spark, sf_dir):
-    return plans.query_plan(fixture(spark, KINDS, "query_id int, reply string").select("query_id", plans.query_kind(F.col("reply")).alias("kind")))
+    """T25, F9. A classifier's replies: one of five forms, and the document's text as its reason."""
+    reply = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, _REPLIES)), (F.col("doc_id") % 5 + 1).cast("int")), "text")
+    return plans.query_plan(documents(spark, sf_dir).select(F.col("doc_id").alias("query_id"), plans.query_kind(reply).alias("kind")))
 
 
 _LETTERS = r"regexp_extract_all(text, '\p{L}{3,}')[1:3]"

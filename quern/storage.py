@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tempfile
 import uuid
@@ -55,6 +56,35 @@ def complete(spark: SparkSession, path: str) -> bool:
     return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
+def fingerprint(df: DataFrame, **settings) -> str:
+    """What tells a table's state apart: its plan, the names, sizes and times of the files that it reads, and ``settings``."""
+    spark = df.sparkSession
+    found = []
+    for name in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        found.append((name, status.getLen(), status.getModificationTime()))
+    plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().analyzed().toString())
+    told = repr((plan, sorted(found), sorted((k, str(v)) for k, v in settings.items())))
+    return hashlib.sha256(told.encode()).hexdigest()
+
+
+def current(spark: SparkSession, path: str, mark: str) -> bool:
+    """Whether what lies at the path was built from what ``mark`` (a :func:`fingerprint`) says."""
+    return complete(spark, f"{path}/manifest") and spark.read.parquet(f"{path}/manifest").first()["mark"] == mark
+
+
+def note(spark: SparkSession, path: str, mark: str) -> None:
+    """Writes the manifest that :func:`current` reads; it comes last."""
+    save(spark.createDataFrame([(mark,)], "mark string").coalesce(1), f"{path}/manifest")
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Removes the manifest, before what it speaks of changes."""
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def save(df: DataFrame, path: str) -> None:
     """``df`` as Parquet at the path, in place of what is there."""
     df.write.mode("overwrite").parquet(path)

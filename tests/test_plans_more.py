@@ -123,11 +123,11 @@ def test_loaders(spark, tmp_path):
     spark.createDataFrame([(f"q{i}", "Hỏi?", f"{long} {i}") for i in range(6)], "item_id string, question string, answer string").coalesce(1).write.parquet(at("qa"))
     spark.createDataFrame([(1, "T", f"{long} luật"), (2, "", f"{long} khác")], "id int, title string, content string").write.parquet(at("uts"))
     spark.createDataFrame([(long, (None, None, "CQ"))], "doc_content string, metadata struct<DocName:string,Id:string,OrganName:string>").write.parquet(at("kc"))
-    paths = {"pbgdpl": {"items": at("qa")}, "uts_vlc": {"documents": at("uts")}, "kiencute": {"documents": at("kc")}, "phapdien": {"articles": at("missing")}}
+    paths = {"pbgdpl": {"items": at("qa")}, "utslvc": {"documents": at("uts")}, "kiencute": {"documents": at("kc")}, "phapdien": {"articles": at("missing")}}
     with pytest.warns(UserWarning, match="phapdien"):
         built = readers.load_corpus(spark, f"file://{tmp_path}/corpus", paths)
     rows = built.orderBy("idx").collect()
-    assert [r.source for r in rows] == ["uts_vlc"] * 2 + ["kiencute"] + ["pbgdpl"] * 6 and rows[2].doc_id.startswith("kiencute_n")
+    assert [r.source for r in rows] == ["utslvc"] * 2 + ["kiencute"] + ["pbgdpl"] * 6 and rows[2].doc_id == "kiencute_1"
     assert readers.load_corpus(spark, f"file://{tmp_path}/corpus", max_chunks=4).count() == 4
     assert readers.load_source(spark, "pbgdpl", paths["pbgdpl"], max_docs=2).count() == 2
     with pytest.raises(ValueError), pytest.warns(UserWarning):
