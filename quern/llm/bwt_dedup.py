@@ -5,8 +5,8 @@ one of smallest hash (the first of equal ones) is its anchor; equal windows have
 windows with one anchor is a *fragment* (at most 84 bytes). Anchors are grouped with partial aggregates:
 
 * an anchor of one document only says that its windows are not repeated elsewhere;
-* an anchor whose fragments are all equal is settled by the smallest document that holds it;
-* the distinct fragments of the other anchors, each with the smallest document that holds it, come together by anchor.
+* of equal fragments (by anchor and a 64-bit digest) all but those in the smallest document that holds them go whole;
+* the distinct fragments of an anchor that has more than one come together, each with that document.
 
 There shards of fragments, each sorted by the first bytes of its suffixes, are merged: the interleave of the shards is refined
 by one symbol in an iteration - the symbols before the suffixes (the transform), read in the order of the interleave and
@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import byte_texts, discard, slices, written
+from quern.llm.common import byte_texts, discard, give_back, slices, written
 
 #: Bytes of a string that counts as repeated, of an anchor; anchors in a window.
 DEPTH, ANCHOR = 50, 16
@@ -43,6 +44,8 @@ START, SHARD = 8, 1 << 16
 BATCH, GROUP = 4 << 20, 10_000
 #: Window starts whose anchors are found at once.
 BLOCK = 1 << 18
+#: Bytes of text whose occurrences a task gets, in four buckets; about twice as many bytes.
+PER_PART = 16 << 20
 #: Stands for a null id.
 LAST = 2**63 - 1
 _TABLE = np.random.default_rng(20240911).integers(0, 2**63, 256, dtype=np.uint64)
@@ -58,42 +61,135 @@ def anchors(data: np.ndarray) -> np.ndarray:
     return h * np.uint64(_ODD[0])
 
 
-def fragments(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The runs of windows with one anchor: the hash of the anchor, the first window, the number of windows."""
-    n = len(text) - DEPTH + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    data = np.frombuffer(text, np.uint8)
-    found, starts, before = [], [], -1
-    for a in range(0, n, BLOCK):
-        b = min(n, a + BLOCK)
+def fragments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of windows with one anchor: how many each text has; the hash of the anchor, the first window, the number of
+    windows and a digest of the bytes of each. Texts are hashed together, a block of window starts at a time."""
+    data = np.frombuffer(b"".join(texts) + bytes(2 * DEPTH), np.uint8)
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    end = np.cumsum(length)
+    begin = end - length
+    found, starts, before = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], -1
+    for a in range(0, len(data) - 2 * DEPTH, BLOCK):
+        b = min(len(data) - 2 * DEPTH, a + BLOCK)
+        inside = np.ones(b - a, bool)
+        for text in range(int(np.searchsorted(end, a, side="right")), int(np.searchsorted(begin, b, side="left"))):
+            inside[max(0, max(begin[text], end[text] - DEPTH + 1) - a) : max(0, end[text] - a)] = False
+        valid = np.flatnonzero(inside)
+        if not len(valid):
+            continue
         h = anchors(data[a : b + DEPTH - 1])
         low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
         # the least of 32 places by doubling, then of 35
         for k in (1, 2, 4, 8, 16):
             low = np.minimum(low[:-k], low[k:])
         least = np.minimum(low[: 32 - WIDTH], low[WIDTH - 32 :])
-        place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        place = (least[valid] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         new = np.flatnonzero(np.diff(place + a, prepend=before))
         found.append(h[place[new]].view(np.int64))
-        starts.append(new + a)
+        starts.append(valid[new] + a)
         before = int(place[-1]) + a
-    start = np.concatenate(starts)
-    return np.concatenate(found), start, np.diff(start, append=n)
+    anchor, start = np.concatenate(found), np.concatenate(starts)
+    text = np.searchsorted(end, start, side="right")
+    size = np.minimum(np.append(start[1:], len(data)), end[text] - DEPTH + 1) - start
+    return np.bincount(text, minlength=len(texts)), anchor, start - begin[text], size, _digests(data, start, size)
+
+
+def _digests(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each fragment, from the hashes of 16-byte strings that cover it: 48 bytes from either end."""
+    out = np.zeros(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        upto = int(np.searchsorted(start, start[at] + BLOCK))
+        base = start[at]
+        h = anchors(data[base : start[upto - 1] + size[upto - 1] + DEPTH])
+        first, last = start[at:upto] - base, start[at:upto] - base + size[at:upto] + DEPTH - 1
+        own = size[at:upto].astype(np.uint64)
+        for k, odd in zip((0, 16, 32), _ODD, strict=False):
+            own = (own ^ h[first + k]) * np.uint64(odd)
+            own ^= own >> np.uint64(29)
+            own = (own ^ h[last - 16 - k]) * np.uint64(odd)
+            own ^= own >> np.uint64(31)
+        out[at:upto] = own
+        at = upto
+    return out.view(np.int64)
+
+
+#: An occurrence of a fragment: columns of a packed row, one behind the other.
+_COLUMNS = (("anchor", "<i8"), ("digest", "<i8"), ("doc", "<i8"), ("check", "<i4"), ("at", "<i4"), ("size", "<i4"))
+_BYTES = sum(np.dtype(t).itemsize for _, t in _COLUMNS)
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    return b"".join(c.astype(t).tobytes() for c, (_, t) in zip(columns, _COLUMNS, strict=True))
+
+
+def _unpacked(rows: list[bytes]) -> list[np.ndarray]:
+    out: list[list[np.ndarray]] = [[] for _ in _COLUMNS]
+    for row in rows:
+        n, at = len(row) // _BYTES, 0
+        for column, (_, t) in zip(out, _COLUMNS, strict=True):
+            column.append(np.frombuffer(row, t, n, at))
+            at += n * np.dtype(t).itemsize
+    return [np.concatenate(c) for c in out]
+
+
+def _listed(buckets: int):
+    """Rows (doc, check, text) to packed occurrences of their fragments, a row a bucket of anchors and slice of texts."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            counts, anchor, at, size, digest = fragments(byte_texts(batch.column(2)))
+            doc, check = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), counts) for k in (0, 1))
+            bucket = (anchor.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            columns = [c[order] for c in (anchor, digest, doc, check, at, size)]
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+            rows = [_packed([c[a:b] for c in columns]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.record_batch([pa.array(bucket[order][cuts[:-1]].astype(np.int32)), pa.array(rows, pa.binary())], ["bucket", "rows"])
+
+    return listed
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed rows, sorted by bucket, to the occurrences of anchors that more than one document holds. They are let through
+    once an anchor's second document has come; what waits are the anchors of one document in the bucket."""
+    known, waiting, held, size, bucket = np.zeros(0, np.int64), None, [], 0, -1
+
+    def through(last: bool) -> pa.RecordBatch:
+        nonlocal known, waiting, held, size
+        columns = _unpacked(held)
+        met = np.isin(columns[0], known)
+        found = [c[met] for c in columns]
+        rest = [c[~met] for c in columns]
+        if waiting is not None:
+            rest = [np.concatenate(x) for x in zip(waiting, rest, strict=True)]
+        order = np.argsort(rest[0], kind="stable")
+        rest = [c[order] for c in rest]
+        heads = np.flatnonzero(np.diff(rest[0], prepend=rest[0][:1] - 1))
+        if len(heads):
+            two = np.minimum.reduceat(rest[2], heads) < np.maximum.reduceat(rest[2], heads)
+            own = np.repeat(two, np.diff(heads, append=len(rest[0])))
+            known = np.union1d(known, rest[0][heads[two]])
+            found = [np.concatenate([f, c[own]]) for f, c in zip(found, rest, strict=True)]
+            waiting = [c[~own] for c in rest]
+        held, size = [], 0
+        if last:
+            known, waiting = np.zeros(0, np.int64), None
+        return pa.record_batch([pa.array(c) for c in found], [n for n, _ in _COLUMNS])
 
-
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 2, BLOCK):
-        counts, columns = [], ([], [], [], [])
-        for text in byte_texts(batch.column(2)):
-            anchor, start, size = fragments(text)
-            digest = [xxhash.xxh3_64_intdigest(text[a : a + s + DEPTH - 1]) for a, s in zip(start.tolist(), size.tolist(), strict=True)]
-            counts.append(len(start))
-            for column, values in zip(columns, (anchor, start, size, np.array(digest, np.uint64).view(np.int64)), strict=True):
-                column.append(values)
-        edges = pa.array(np.cumsum([0, *counts]).astype(np.int32))
-        flat = [pa.array(np.concatenate(c).astype(t)) for c, t in zip(columns, (np.int64, np.int32, np.int32, np.int64), strict=True)]
-        yield pa.record_batch([batch.column(0), batch.column(1), *(pa.ListArray.from_arrays(edges, f) for f in flat)], ["doc", "check", "anchor", "at", "size", "digest"])
+    for batch in batches:
+        for number, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if number != bucket or size >= BATCH:
+                if held:
+                    yield through(number != bucket)
+                elif number != bucket:
+                    known, waiting = np.zeros(0, np.int64), None
+                bucket = number
+            held.append(row)
+            size += len(row)
+    if held:
+        yield through(True)
+    give_back()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -102,10 +198,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.hash(text).alias("check"), text.alias("text"), "doc_id")
 
 
-def listed(docs: DataFrame) -> DataFrame:
-    """A row for each fragment of each row: doc, check, anchor, at, size, digest."""
-    lists = _keyed(docs).select("doc", "check", "text").mapInArrow(_listed, "doc long, check int, anchor array<long>, at array<int>, size array<int>, digest array<long>")
-    return lists.select("doc", "check", F.explode(F.arrays_zip("anchor", "at", "size", "digest")).alias("f")).select("doc", "check", "f.*")
+def shared(docs: DataFrame) -> DataFrame:
+    """The occurrences of fragments whose anchor more than one document holds: anchor, digest, doc, check, at, size. One
+    shuffle of packed rows; buckets are as many as the bytes of the texts ask for."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PER_PART)
+    packed = _keyed(docs).select("doc", "check", "text").mapInArrow(_listed(4 * parts), "bucket int, rows binary")
+    kind = "anchor long, digest long, doc long, check int, at int, size int"
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, kind)
 
 
 def transform(frags: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,8 +227,9 @@ def transform(frags: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 def merged(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Shards of :func:`transform` merged: the starts of the repeated windows in their order (places in the shards' joined
-    bytes), the number of their interval, and for every window start (0 elsewhere) the length of the longest prefix that it
-    shares with another window, of ``DEPTH`` bytes at most and ``START`` at least (less counts as 0)."""
+    bytes), the number of their interval, and for every place the common prefix of its suffix: the greatest depth at which it
+    was in an iteration and shared so many bytes with another suffix there (0: never; a suffix is in the iteration of a depth
+    if it ends a window that starts ``DEPTH`` minus so many bytes before it)."""
     text = np.concatenate([s[0] for s in shards])
     offset = np.cumsum([0, *(len(s[0]) for s in shards)])
     keys = np.concatenate([s[1] for s in shards])
@@ -144,7 +245,7 @@ def merged(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]])
         border[1:-1] |= symbol[1:] != symbol[:-1]
         shared = ~(border[:-1] & border[1:])
         place, block = place[shared], np.cumsum(border[:-1])[shared]
-        common[place - (DEPTH - depth)] = depth
+        common[place] = depth
         if depth == DEPTH or not len(place):
             break
         place = place - 1
@@ -154,69 +255,90 @@ def merged(shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]])
     return place, block, common
 
 
-def lost(frags: list[bytes], first: np.ndarray) -> list[list[tuple[int, int]]]:
-    """Of each fragment the runs (first window, number) that occur in a fragment with a smaller ``first``."""
+def lost(frags: list[bytes], first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of windows that occur in a fragment with a smaller ``first``: fragment, first window, number."""
     shards, at, windows = [], 0, 0
     for i, f in enumerate(frags):
         windows += len(f) - DEPTH + 1
         if windows >= SHARD or i + 1 == len(frags):
             shards.append(transform(frags[at : i + 1]))
             at, windows = i + 1, 0
-    out: list[list[tuple[int, int]]] = [[] for _ in frags]
     place, block, _ = merged(shards)
     if not len(place):
-        return out
-    counts = np.cumsum([0, *(int(s[3][-1]) + 1 for s in shards)])
-    owner = np.concatenate([s[3] + c for s, c in zip(shards, counts, strict=False)])
+        return (np.zeros(0, np.int64),) * 3
     begin = np.cumsum([0, *map(len, frags)])
+    owner = np.repeat(np.arange(len(frags)), np.diff(begin))
     frag = owner[place]
     heads = np.flatnonzero(np.diff(block, prepend=-1))
     least = np.repeat(np.minimum.reduceat(first[frag], heads), np.diff(heads, append=len(place)))
     gone = np.sort(place[least < first[frag]])
     cuts = np.flatnonzero((np.diff(gone, prepend=-2) != 1) | (np.diff(owner[gone], prepend=-1) != 0))
-    for a, n in zip(gone[cuts].tolist(), np.diff(cuts, append=len(gone)).tolist(), strict=True):
-        out[owner[a]].append((a - int(begin[owner[a]]), n))
-    return out
+    own = owner[gone[cuts]]
+    return own, gone[cuts] - begin[own], np.diff(cuts, append=len(gone))
 
 
-_LOST = "key long, digest long, at array<int>, n array<int>"
+_LOST = "key long, digest long, at int, n int"
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, digest, first, data), sorted by key, to what their fragments lose."""
-    held: list[tuple] = []
+    """Rows (key, digest, first, data), sorted by key and digest, to what their fragments lose."""
+    numbers: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
+    data: list[bytes] = []
     size = 0
 
-    def done(rows: list[tuple]) -> pa.RecordBatch:
-        runs = lost([r[3] for r in rows], np.array([r[2] for r in rows], np.int64))
-        hit = [i for i, r in enumerate(runs) if r]
-        columns = [[rows[i][0] for i in hit], [rows[i][1] for i in hit], [[a for a, _ in runs[i]] for i in hit], [[n for _, n in runs[i]] for i in hit]]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], ["key", "digest", "at", "n"])
+    def done(upto: int) -> pa.RecordBatch:
+        nonlocal numbers, data, size
+        key, digest, first = rows = np.concatenate(numbers, axis=1)
+        own, at, n = lost(data[:upto], first[:upto])
+        numbers, data = [rows[:, upto:]], data[upto:]
+        size = sum(map(len, data))
+        return pa.record_batch([pa.array(key[own]), pa.array(digest[own]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "digest", "at", "n"])
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if size >= BATCH and row[0] != held[-1][0]:
-                yield done(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[3])
-    if held:
-        yield done(held)
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
+        # rows of one id that hold the same fragment follow each other
+        before = numbers[-1][:2, -1:] if numbers[-1].shape[1] else rows[:2, :1] - 1
+        new = np.flatnonzero((np.diff(rows[:2], prepend=before, axis=1) != 0).any(0))
+        if not len(new):
+            continue
+        numbers.append(rows[:, new])
+        own = pc.take(batch.column(3), pa.array(new)).to_pylist()
+        data += own
+        size += sum(map(len, own))
+        if size >= BATCH:
+            # whole groups: up to the last key, whose rows may go on
+            key = np.concatenate(numbers, axis=1)[0]
+            upto = int(np.searchsorted(key, key[-1]))
+            if upto:
+                yield done(upto)
+    if data:
+        yield done(len(data))
+    give_back()
 
 
 def _losses(frags: DataFrame) -> DataFrame:
-    """``frags``: (key, digest, first, data), distinct. What is lost, by key and digest."""
+    """``frags``: (key, digest, first, data). What is lost, by key and digest."""
     parts = int(frags.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return frags.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_merge, _LOST)
+    return frags.repartition(parts, "key").sortWithinPartitions("key", "digest").mapInArrow(_merge, _LOST)
 
 
 def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text, list of fragments with anchor, digest, at, size) to the fragments with their bytes."""
+    """Rows (doc, text, list of fragments with anchor, digest, at, size, many) to the fragments with their bytes, each once a
+    batch."""
     for batch in batches:
-        for text, frags in zip(byte_texts(batch.column(0)), batch.column(1), strict=True):
-            rows = frags.values.to_pylist() if isinstance(frags, pa.ListScalar) else []
-            own = [text[r["at"] : r["at"] + r["size"] + DEPTH - 1] for r in rows]
-            yield pa.record_batch([pa.array([r["anchor"] for r in rows], pa.int64()), pa.array([r["digest"] for r in rows], pa.int64()), pa.array([r["first"] for r in rows], pa.int64()), pa.array(own, pa.binary())], ["key", "digest", "first", "data"])
+        lists = batch.column(2)
+        edges = lists.offsets.to_numpy()
+        flat = lists.flatten()
+        key, digest, at, size = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("anchor", "digest", "at", "size"))
+        row = np.repeat(np.arange(batch.num_rows), np.diff(edges))
+        first = np.sort(np.unique(np.stack([key, digest], 1), axis=0, return_index=True)[1])
+        texts = byte_texts(batch.column(1))
+        begin, end = at[first].tolist(), (at + size + (DEPTH - 1))[first].tolist()
+        own = [texts[r][a:b] for r, a, b in zip(row[first].tolist(), begin, end, strict=True)]
+        doc = batch.column(0).to_numpy(zero_copy_only=False)[row[first]]
+        yield pa.record_batch([pa.array(key[first]), pa.array(digest[first]), pa.array(doc), flat.field("many").take(pa.array(first)), pa.array(own, pa.binary())], ["key", "digest", "first", "many", "data"])
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,13 +346,12 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: tuple[list, ...] = ([], [], [], [], [], [], [])
         for key, digest, first, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            anchor, start, size = fragments(data)
             # the anchor's place in the fragment: windows are paired by their distance to it
-            h = anchors(np.frombuffer(data, np.uint8))
-            place = int(np.flatnonzero(h.view(np.int64) == anchor[0])[0])
-            for a in range(-(place & 1), int(size[0]), 2):
-                begin, end = max(a, 0), min(a + 2, int(size[0]))
-                both = data[a + 1 : a + DEPTH]
+            place = int(np.flatnonzero(anchors(np.frombuffer(data, np.uint8)).view(np.int64) == key)[0])
+            windows = len(data) - DEPTH + 1
+            for a in range(-(place & 1), windows, 2):
+                begin, end = max(a, 0), min(a + 2, windows)
+                both = data[a + 1 : a + DEPTH]  # at a fragment's edge, too, they are in its only window of the two
                 piece = data[begin : end + DEPTH - 1]
                 values = (np.uint64(xxhash.xxh3_64_intdigest(both, seed=(key ^ (place - a)) & 0xFFFFFFFFFFFFFFFF)).view(np.int64), np.uint64(xxhash.xxh3_64_intdigest(piece)).view(np.int64), first, piece, key, digest, begin)
                 for column, value in zip(out, values, strict=True):
@@ -243,49 +364,48 @@ def _of_pieces(hot: DataFrame) -> DataFrame:
     """What the fragments of very common anchors lose, from their pieces."""
     pieces = written(hot.mapInArrow(_pieces, "key long, digest long, first long, data binary, anchor long, whole long, begin int"), "pieces")
     once = pieces.groupBy("key", "digest").agg(F.min("first").alias("first"), F.min("data").alias("data"))
-    runs = _losses(once).select("key", "digest", F.explode(F.arrays_zip("at", "n")).alias("r"))
+    runs = _losses(once).withColumnRenamed("at", "_from")
     # a piece whose first document is another's is lost whole
     firsts = once.select("key", "digest", F.col("first").alias("_least"))
     whole = pieces.join(firsts, ["key", "digest"]).filter(F.col("first") > F.col("_least")).select("anchor", "whole", F.col("begin").alias("at"), (F.length("data") - (DEPTH - 1)).alias("n"))
-    part = pieces.join(runs, ["key", "digest"]).select("anchor", "whole", (F.col("begin") + F.col("r.at")).alias("at"), F.col("r.n").alias("n"))
-    both = whole.unionByName(part).groupBy("anchor", "whole").agg(F.collect_set(F.struct("at", "n")).alias("r"))
-    return both.select(F.col("anchor").alias("key"), F.col("whole").alias("digest"), F.col("r.at").alias("at"), F.col("r.n").alias("n"))
+    part = pieces.join(runs, ["key", "digest"]).select("anchor", "whole", (F.col("begin") + F.col("_from")).alias("at"), "n")
+    return whole.unionByName(part).distinct().select(F.col("anchor").alias("key"), F.col("whole").alias("digest"), "at", "n")
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc, check, at, n): runs of windows that a row loses. ``docs``: a scan or a written table."""
-    occurrences = written(listed(docs), "occurrences")
-    by_anchor = occurrences.groupBy("anchor").agg(F.min("doc").alias("first"), F.max("doc").alias("_last"), F.min("digest").alias("_a"), F.max("digest").alias("_b"))
-    shared = written(by_anchor.filter(F.col("first") < F.col("_last")).select("anchor", "first", (F.col("_a") != F.col("_b")).alias("mixed")), "shared")
-    met = written(occurrences.join(shared, "anchor").filter(F.col("mixed") | (F.col("first") < F.col("doc"))), "met")
-    discard(occurrences, shared)
-
-    mixed = met.filter("mixed").drop("mixed", "first")
-    distinct = written(mixed.groupBy("anchor", "digest").agg(F.min(F.struct("doc", "check", "at", "size")).alias("f")).select("anchor", "digest", "f.*"), "distinct")
-    holders = distinct.groupBy("doc", "check").agg(F.collect_list(F.struct("anchor", "digest", F.col("doc").alias("first"), "at", "size")).alias("frags"))
+    """(doc, check, at, n): runs of windows that a row loses. ``docs``: a scan or a written table (it is read three times)."""
+    met = written(shared(docs), "met")
+    firsts = written(met.groupBy("anchor", "digest").agg(F.min("doc").alias("first")), "firsts")
+    fragments_of = firsts.groupBy("anchor").agg(F.count("*").alias("_n"))
+    judged = written(firsts.join(fragments_of, "anchor").withColumn("many", F.when(F.col("_n") > 1, F.col("_n") > GROUP)).drop("_n"), "judged")
+    discard(firsts)
+    later = F.col("first") < F.col("doc")
+    own = ~later & F.col("many").isNotNull()
+    if_own = lambda c: F.when(own, F.col(c)).alias(c)
+    held = written(met.join(judged.hint("shuffle_hash"), ["anchor", "digest"]).filter(later | own).select("doc", "check", "at", "size", if_own("anchor"), if_own("digest"), if_own("many")), "held")
+    discard(met, judged)
+
+    whole = held.filter("anchor IS NULL").select("doc", "check", "at", F.col("size").alias("n"))
+    wanted = held.filter("anchor IS NOT NULL")
+    holders = wanted.groupBy("doc", "check").agg(F.collect_set(F.struct("anchor", "digest", "at", "size", "many")).alias("frags"))
     texts = _keyed(docs).select("doc", "check", "text").join(holders, ["doc", "check"])
-    frags = written(texts.select("text", "frags").mapInArrow(_take, "key long, digest long, first long, data binary").dropDuplicates(["key", "digest"]), "fragments")
-    many = written(frags.groupBy("key").count().filter(F.col("count") > GROUP).select("key"), "many")
-    losses = _losses(frags.join(many, "key", "left_anti")).unionByName(_of_pieces(frags.join(many, "key", "left_semi")))
-    runs = distinct.select("anchor", "digest", F.col("doc").alias("first")).join(losses.withColumnRenamed("key", "anchor").withColumn("_runs", F.arrays_zip("at", "n")).drop("at", "n"), ["anchor", "digest"], "left")
-    verdicts = written(runs, "verdicts")
-
-    settled = met.filter("NOT mixed").select("doc", "check", "at", F.col("size").alias("n"))
-    judged = mixed.join(verdicts, ["anchor", "digest"])
-    later = judged.filter(F.col("first") < F.col("doc")).select("doc", "check", "at", F.col("size").alias("n"))
-    own = judged.filter(F.col("first") == F.col("doc")).select("doc", "check", "at", F.explode("_runs").alias("r")).select("doc", "check", (F.col("at") + F.col("r.at")).alias("at"), F.col("r.n").alias("n"))
-    return settled.unionByName(later).unionByName(own)
+    frags = written(texts.select("doc", "text", "frags").mapInArrow(_take, "key long, digest long, first long, many boolean, data binary"), "fragments")
+    losses = _losses(frags.filter("NOT many").drop("many")).unionByName(_of_pieces(frags.filter("many").drop("many")))
+    runs = written(losses.withColumnsRenamed({"key": "anchor", "at": "_from"}), "runs")
+    part = wanted.select("anchor", "digest", "doc", "check", "at").join(runs, ["anchor", "digest"]).select("doc", "check", (F.col("at") + F.col("_from")).alias("at"), "n")
+    return whole.unionByName(part)
 
 
 def without(text: bytes, at: np.ndarray, n: np.ndarray) -> tuple[int, int, bytes]:
     """Bytes removed, removed runs, and what stays, where the windows of each run (first window, number) go."""
     if not len(at):
         return 0, 0, text
-    edge = np.zeros(len(text) + 1, np.int32)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + n + DEPTH - 1, -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    return int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), np.frombuffer(text, np.uint8)[~gone].tobytes()
+    order = np.argsort(at, kind="stable")
+    begin, end = at[order], np.maximum.accumulate((at + n + DEPTH - 1)[order])
+    heads = np.flatnonzero(np.append(True, begin[1:] > end[:-1]))
+    begin, end = begin[heads], np.append(end[heads[1:] - 1], end[-1])
+    stays = [text[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(text)], strict=True)]
+    return int((end - begin).sum()), len(heads), b"".join(stays)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +432,8 @@ def report(docs: DataFrame) -> DataFrame:
 #: DuckDB over the view ``documents``: every window of every document (its hexadecimal digits, by a 128-bit digest).
 ORACLE_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT r, doc_id, i, md5_number(substr(h, 2 * i - 1, {2 * DEPTH})) AS s FROM (SELECT r, doc_id, h, unnest(range(1, length(h) // 2 - {DEPTH - 2})) AS i FROM d)),
+c AS (SELECT r, doc_id, k, substr(h, 400 * k + 1, 400 + {2 * DEPTH - 2}) AS p FROM (SELECT r, doc_id, h, unnest(range(length(h) // 400 + 1)) AS k FROM d)),
+w AS (SELECT r, doc_id, 200 * k + i AS i, md5_number(substr(p, 2 * i - 1, {2 * DEPTH})) AS s FROM (SELECT r, doc_id, k, p, unnest(range(1, least(200, length(p) // 2 - {DEPTH - 1}) + 1)) AS i FROM c)),
 f AS (SELECT s, min(doc_id) AS first, max(doc_id) AS last FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
 l AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS gap FROM w JOIN f USING (s) WHERE doc_id > first),
 g AS (SELECT r, i, sum(CASE WHEN gap <= {DEPTH} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS span FROM l),
