@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ctypes
 import io
+import json
 import os
 import tempfile
 from collections import OrderedDict
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quern.storage import discard, shared_dir, written
 
-__all__ = ["byte_texts", "by_shard", "coded", "ddl", "discard", "fold", "fresh", "load", "per_doc", "save", "shared_dir", "slices", "tokenised", "written"]
+__all__ = ["byte_texts", "by_shard", "coded", "ddl", "discard", "fold", "fresh", "load", "load_whole", "per_doc", "save", "save_whole", "shared_dir", "slices", "tokenised", "written"]
 
 #: ASCII white space, the only separators of words.
 SPACE = " \t\n\x0b\x0c\r"
@@ -156,6 +157,32 @@ def load(folder: str, name: str, key: str) -> np.ndarray:
     return _held[where]
 
 
+def save_whole(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
+    """The arrays in one file, each at an offset that a header tells: a shard is one file to list, to open and to map."""
+    head, at, parts = {}, 0, []
+    for key, a in arrays.items():
+        a = np.ascontiguousarray(a)
+        head[key] = (a.dtype.str, a.shape, at)
+        parts.append(a.tobytes() + bytes(-a.nbytes % 16))
+        at += len(parts[-1])
+    told = json.dumps(head).encode()
+    told += b" " * (-len(told) % 16)
+    save(folder, name, {"whole": np.frombuffer(len(told).to_bytes(16, "little") + told + b"".join(parts), np.uint8)})
+
+
+def load_whole(folder: str, name: str) -> dict[str, np.ndarray]:
+    """Views of the arrays of :func:`save_whole`; what is not asked for again is not kept."""
+    data = load(folder, name, "whole")
+    size = int.from_bytes(data[:16].tobytes(), "little")
+    head, body = json.loads(data[16 : 16 + size].tobytes()), data[16 + size :]
+    return {key: body[at : at + int(np.prod(shape)) * np.dtype(kind).itemsize].view(kind).reshape(shape) for key, (kind, shape, at) in head.items()}
+
+
+def held_bytes() -> int:
+    """Bytes of arrays that this worker holds of a store which can't be mapped."""
+    return sum(a.nbytes for a in _held.values())
+
+
 def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each shard that occurs, with the places where it does, in order; the work doesn't grow with the number of shards."""
     order = np.argsort(shard, kind="stable")

@@ -56,12 +56,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Vocabulary:
-    """Word ids: the rank of the hash among the sorted hashes. Unknown words have id -1."""
+    """Word ids: the rank of the hash among the sorted hashes. Unknown words have id -1. Shards are opened when a batch asks
+    for them and not kept."""
 
     def __init__(self, folder: str, sizes: list[int]):
         self.folder, self.sizes = folder, sizes
         self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.hashes = [load(folder, f"words-{k}", "hash") if n else np.zeros(0, np.uint64) for k, n in enumerate(sizes)]
 
     def shard(self, hashes: np.ndarray) -> np.ndarray:
         return shard_of(hashes, len(self.sizes))
@@ -70,8 +70,8 @@ class Vocabulary:
         out = np.full(len(hashes), -1, np.int64)
         order = np.argsort(hashes)
         for k, place in by_shard(self.shard(hashes[order])):
-            at, table = order[place], self.hashes[k]
-            if len(table):
+            if self.sizes[k]:
+                at, table = order[place], load(self.folder, f"words-{k}", "hash")
                 place = np.minimum(np.searchsorted(table, hashes[at]), len(table) - 1)
                 out[at] = np.where(table[place] == hashes[at], place + self.first[k], -1)
         return out
@@ -165,8 +165,9 @@ def _plus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) ->
     return keys[heads], np.add.reduceat(n, heads) if len(keys) else n
 
 
-def _merge_pairs(folder: str):
-    """Merges a shard's rows, writes its arrays, and returns for each word id of the shard what its arrays add to it."""
+def _merge_pairs(folder: str, first: list[int]):
+    """Merges a shard's rows, writes its arrays, and returns for each word id of the shard what its arrays add to it, with the
+    word's own shard."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
@@ -188,8 +189,9 @@ def _merge_pairs(folder: str):
         cc = [int((n == k).sum()) for k in (1, 2, 3, 4)]
         zero = np.zeros(len(ids), np.int64)
         rows = [np.concatenate([context[heads], ids, [-1]]), *(np.concatenate([a, zero, [c]]) for a, c in zip(own, cc, strict=True)), np.concatenate([np.zeros(len(heads), np.int64), types, [0]])]
+        rows.append(np.searchsorted(np.array(first), rows[0], side="right") - 1)
         for at in range(0, len(rows[0]), 50_000):
-            yield pa.record_batch([pa.array(r[at : at + 50_000]) for r in rows], ["id", "total", "n1", "n2", "n3", "types"])
+            yield pa.record_batch([pa.array(r[at : at + 50_000]) for r in rows], ["id", "total", "n1", "n2", "n3", "types", "shard"])
 
     return run
 
@@ -244,14 +246,12 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
     limit = HOT_SHARE * total.n / pair_shards
     rows = texts.mapInArrow(_count_pairs(folder, sizes, limit, pair_shards), "shard int, keys binary, counts binary")
     # a shard is a task's work: the hash above has dealt the bigrams evenly
-    stats = rows.repartition(pair_shards, "shard").groupBy("shard").applyInArrow(_merge_pairs(folder), "id long, total long, n1 long, n2 long, n3 long, types long")
-    summed = written(stats.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("total", "n1", "n2", "n3", "types"))), "stats")
+    stats = rows.repartition(pair_shards, "shard").groupBy("shard").applyInArrow(_merge_pairs(folder, first), "id long, total long, n1 long, n2 long, n3 long, types long, shard long")
+    summed = written(stats.groupBy("id", "shard").agg(*(F.sum(c).alias(c) for c in ("total", "n1", "n2", "n3", "types"))), "stats")
     ends = {r.id: r for r in summed.filter(F.col("id").isin(-1, first[-1])).collect()}
     counts, begin = ends[-1], ends[first[-1]]
     d = discounts(counts.total, counts.n1, counts.n2, counts.n3).tolist()
-    edges = F.array(*map(F.lit, first[1:]))
-    shard = F.size(F.filter(edges, lambda e: e <= F.col("id")))
-    own = summed.filter((F.col("id") >= 0) & (F.col("id") < first[-1])).withColumn("shard", shard)
+    own = summed.filter((F.col("id") >= 0) & (F.col("id") < first[-1]))
     t = own.groupBy("shard").applyInPandas(_finish(folder, first, d), '`t1` long, `t2` long, `t3` long, `t4` long, `more` long, `all` long, `kinds` long').agg(*(F.sum(c).alias(c) for c in ("t1", "t2", "t3", "t4", "more", "all", "kinds"))).first()
     e = discounts(t.t1, t.t2, t.t3, t.t4)
     mass = (e[1] * t.t1 + e[2] * t.t2 + e[3] * t.more) / t["all"]
@@ -264,20 +264,21 @@ def train(docs: DataFrame, text_col: str = "text") -> dict:
 
 
 class Scorer:
-    """Looks tokens up in the mapped arrays."""
+    """Looks tokens up in the mapped arrays, of which none is kept; shards without bigrams are remembered by number."""
 
     def __init__(self, model: dict):
         self.m = model
         self.words = Vocabulary(model["folder"], model["sizes"])
-        self.pairs: dict[int, tuple[np.ndarray, np.ndarray] | None] = {}
+        self.none: set[int] = set()
 
     def _pairs(self, k: int) -> tuple[np.ndarray, np.ndarray] | None:
-        if k not in self.pairs:
-            try:
-                self.pairs[k] = load(self.m["folder"], f"pairs-{k}", "key"), load(self.m["folder"], f"pairs-{k}", "count")
-            except FileNotFoundError:  # no bigram fell there
-                self.pairs[k] = None
-        return self.pairs[k]
+        if k in self.none:
+            return None
+        try:
+            return load(self.m["folder"], f"pairs-{k}", "key"), load(self.m["folder"], f"pairs-{k}", "count")
+        except FileNotFoundError:  # no bigram fell there
+            self.none.add(k)
+            return None
 
     def pair_counts(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Counts of sorted distinct keys, whose contexts are among ``ids``."""

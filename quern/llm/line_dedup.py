@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import by_shard, byte_texts, ddl, discard, load, save, shared_dir, slices, written
+from quern.llm.common import by_shard, byte_texts, ddl, discard, load_whole, save_whole, shared_dir, slices, written
 
 STRIP = b" \t\n\x0b\x0c\r"
 SHARD_KEYS = 500_000
@@ -126,7 +126,7 @@ def _build_shard(folder: str):
         prints[slot], counts[slot] = b[first].view(np.uint64) >> np.uint64(32), n[first]
         rest = np.stack([keys[~first].view(np.int64), b[~first], n[~first]])
         shard = int(group["shard"].iloc[0])
-        save(folder, f"lines-{shard}", {"sizes": table.sizes, "bits": table.bits, "rank": table.rank, "prints": prints, "counts": counts, "rest": rest})
+        save_whole(folder, f"lines-{shard}", {"sizes": table.sizes, "bits": table.bits, "rank": table.rank, "prints": prints, "counts": counts, "rest": rest})
         return pd.DataFrame({"shard": [shard], "keys": [len(keys)]})
 
     return run
@@ -145,20 +145,21 @@ def line_index(docs: DataFrame, text_col: str = "text", min_chars: int = 1) -> t
 
 
 class Probe:
-    """Looks counts up in the mapped shards."""
+    """Looks counts up in the mapped shards. A shard is opened when a batch asks for it and not kept: a store that can't be
+    mapped holds as much as :func:`quern.llm.common.load` bounds. Shards without lines are remembered by number."""
 
     def __init__(self, folder: str, shards: int):
         self.folder, self.shards = folder, shards
-        self.tables: dict[int, tuple | None] = {}
+        self.none: set[int] = set()
 
-    def _table(self, shard: int) -> tuple | None:
-        if shard not in self.tables:
-            try:
-                sizes, bits, rank, prints, counts, rest = (load(self.folder, f"lines-{shard}", k) for k in ("sizes", "bits", "rank", "prints", "counts", "rest"))
-                self.tables[shard] = PerfectHash(sizes, bits, rank), prints, counts, {(int(x), int(y)): int(c) for x, y, c in rest.T}
-            except FileNotFoundError:  # no line fell there
-                self.tables[shard] = None
-        return self.tables[shard]
+    def _table(self, shard: int) -> dict[str, np.ndarray] | None:
+        if shard in self.none:
+            return None
+        try:
+            return load_whole(self.folder, f"lines-{shard}")
+        except FileNotFoundError:  # no line fell there
+            self.none.add(shard)
+            return None
 
     def counts(self, halves: np.ndarray) -> np.ndarray:
         """For each 128-bit hash its count of documents, 0 if no document has it."""
@@ -168,12 +169,11 @@ class Probe:
             table = self._table(shard)
             if table is None:
                 continue
-            perfect, prints, counts, rest = table
-            slot = perfect.slots(a[at])
+            slot = PerfectHash(table["sizes"], table["bits"], table["rank"]).slots(a[at])
             at, slot = at[slot >= 0], slot[slot >= 0]
-            same = prints[slot] == b[at] >> np.uint64(32)
-            out[at[same]] = counts[slot[same]]
-            for (x, y), n in rest.items():
+            same = table["prints"][slot] == b[at] >> np.uint64(32)
+            out[at[same]] = table["counts"][slot[same]]
+            for x, y, n in table["rest"].T.tolist():
                 out[(a.view(np.int64) == x) & (b.view(np.int64) == y)] = n
         return out
 
