@@ -160,21 +160,40 @@ def copies(rate: Column, id_col: Column) -> Column:
     return (F.floor(rate) + (part < rate - F.floor(rate)).cast("long")).cast("int")
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, most: float = 1e9) -> DataFrame:
-    """``docs`` with each row as often as its document's rate says. Rows with a null id stay as they are."""
+#: Copies of a row that a task makes at once; a rarer domain's documents may come far more often.
+COPIES = 1000
+
+
+def expanded(rows: DataFrame, times: str, largest: int) -> DataFrame:
+    """``rows`` as often as the column ``times`` says, which goes. Rows that come more than ``COPIES`` times (there are some if
+    ``largest`` is above it) are first dealt as blocks of copies, which other tasks expand."""
+    names = [c for c in rows.columns if c != times]
+    copied = lambda df: df.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*names)
+    if largest <= COPIES:
+        return copied(rows)
+    block = fresh("_block", rows.columns)
+    blocks = rows.filter(F.col(times) > COPIES).withColumn(block, F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / COPIES))))
+    dealt = blocks.withColumn(times, F.least(F.lit(COPIES), F.col(times) - F.col(block) * COPIES).cast("int")).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return copied(rows.filter(F.col(times) <= COPIES)).unionByName(copied(dealt.drop(block)))
+
+
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, most: float = 1e9, **model: int) -> DataFrame:
+    """``docs`` with each row as often as its document's rate says. Rows with a null id stay as they are. ``model``: the
+    classifier's parameters. Warns of what the fit did not reach; :func:`fitted` tells it."""
     names = docs.columns
     key, times = fresh("_key", names), fresh("_times", names)
-    rate = rates(docs, labelled, targets, least=least, most=most).select(F.col("_id").alias(key), copies(F.col("rate"), F.col("_id")).alias(times))
+    rate = rates(docs, labelled, targets, least=least, most=most, **model).select(F.col("_id").alias(key), copies(F.col("rate"), F.col("_id")).alias(times))
+    largest = rate.agg(F.max(times)).first()[0] or 0
     joined = docs.join(rate, F.col("doc_id") == F.col(key), "left").withColumn(times, F.coalesce(times, F.lit(1))).filter(F.col(times) > 0)
-    return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*names)
+    return expanded(joined.drop(key), times, largest).select(*names)
 
 
-def report(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain_col: str = "lang") -> DataFrame:
+def report(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain_col: str = "lang", **model: int) -> DataFrame:
     """Per document: doc_id, n_tokens, posterior of each domain, rate, copies, and of the whole fit the share of tokens that
     each domain reached and whether the fit converged. The labelled table: the domain of the documents that ``labels``
     covers. For nulls, repeated ids and empty tables see :func:`fitted`."""
     covered = docs.select(F.col("doc_id").alias("_id"), F.col(domain_col).alias("domain")).join(labels.select(F.col("doc_id").alias("_id")).distinct(), "_id", "left_semi")
-    out, fit = fitted(docs, covered, targets)
+    out, fit = fitted(docs, covered, targets, **model)
     named = [F.round(F.col(f"p{k}"), 9).alias(f"p_{d}") for k, d in enumerate(sorted(targets))]
     reached = [F.lit(x).alias(f"reached_{d}") for x, d in zip(fit.reached, sorted(targets), strict=True)]
     return out.select(F.col("_id").alias("doc_id"), "n_tokens", *named, "rate", copies(F.col("rate"), F.col("_id")).alias("copies"), *reached, F.lit(fit.converged).alias("converged"))
