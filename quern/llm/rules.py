@@ -12,6 +12,7 @@ labels gets no cutoff, and nothing of it is rejected.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,14 +56,33 @@ def repeat_words(codes: np.ndarray) -> int:
     return int(covered.sum())
 
 
+#: Bytes of a text whose words are listed at once.
+BLOCK = 1 << 20
+_GAP = re.compile(rb"[ \t\n\x0b\x0c\r]")
+
+
+def _codes(text: bytes) -> np.ndarray:
+    """A number for each word, equal for equal ones. The words of a block are listed at once; the distinct ones stay."""
+    known: dict[bytes, int] = {}
+    parts, at = [], 0
+    while at < len(text):
+        end = at + BLOCK
+        if end < len(text):
+            gap = _GAP.search(text, end)
+            end = gap.start() if gap else len(text)
+        words = text[at:end].split()
+        parts.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words)))
+        at = end
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def measures(text: bytes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
-    words = text.split()
-    chars = text.decode("utf-8", "replace")
-    known: dict[bytes, int] = {}
-    codes = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+    codes = _codes(text)
+    # code points: bytes that don't go on a character
+    chars = sum(int(np.count_nonzero((np.frombuffer(text, np.uint8, min(BLOCK, len(text) - a), a) & 0xC0) != 0x80)) for a in range(0, len(text), BLOCK))
     lines = [x for x in text.split(b"\n") if x.strip(b" \t\n\x0b\x0c\r")] if b"\n" in text else ()
-    return len(words), len(chars) - sum(map(chars.count, SPACE)), sum(map(chars.count, SYMBOLS)), len(lines) - len(set(lines)), repeat_words(codes)
+    return len(codes), chars - sum(text.count(c.encode()) for c in SPACE), sum(text.count(c.encode()) for c in SYMBOLS), len(lines) - len(set(lines)), repeat_words(codes)
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
