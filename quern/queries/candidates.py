@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.operators import answer as a
-from quern.operators import dense, fusion, metrics, rerank
+from quern.operators import bm25, dense, fusion, metrics, rerank
 from quern.plans import retrieval as plans
 from quern.queries.base import query, table
 from quern.queries.search import _BM25, _DENSE, _corpus, _cut, _embedded, _queries, _retriever, _rrf, _top
@@ -132,14 +132,15 @@ def _weighed(k: int, near: str, sparse: str) -> str:
 
 @query(f"""WITH {_BOTH}, {_both(_BM25)}, {_both(_DENSE)}, a AS {_top('dn', 40)}, b AS {_top('bm', 40)}, ca AS {_cut('a', 40)}, cb AS {_cut('b', 40)},
 f AS (SELECT * FROM {_weighed(0, 'ca', 'cb')} UNION ALL SELECT * FROM {_weighed(1, 'ca', 'cb')}),
-u AS (SELECT query_id // 2 AS own, query_id % 2 AS k, idx, score FROM f WHERE idx % 10 <> 3 QUALIFY row_number() OVER (PARTITION BY query_id // 2, idx ORDER BY query_id % 2, rank) = 1)
+sn AS (SELECT query_id // 2 AS own, idx FROM {_top('bm', 7)} WHERE query_id % 2 = 0),
+u AS (SELECT query_id // 2 AS own, query_id % 2 AS k, f.idx, score FROM f ANTI JOIN sn ON sn.own = f.query_id // 2 AND sn.idx = f.idx QUALIFY row_number() OVER (PARTITION BY query_id // 2, f.idx ORDER BY query_id % 2, rank) = 1)
 SELECT own AS query_id, idx, k AS query_order, round(CASE WHEN source = 'src1' THEN score * 1.2 ELSE score END, 6) AS score FROM u JOIN documents ON doc_id = idx""")
 def multi_query(spark, sf_dir):
     """F7, E8, P14, J8, J9, U2. Each query, a blank expansion that is left out, and one that names an article and so weighs the
-    sparse side; chunks that have been seen go, those of a matched title are boosted."""
+    sparse side; chunks that have been seen (the first seven of a plain sparse search) go, those of a matched title are
+    boosted."""
     asked = _queries(spark, sf_dir).withColumn("expansions", F.array(F.lit(" "), F.concat(F.lit("điều 5 "), F.col("query"))))
-    seen = _corpus(spark, sf_dir).filter(F.col("idx") % 10 == 3).select(F.col("idx").cast("string").alias("chunk_id"))
-    ids = asked.select("query_id").withColumn("_one", F.lit(1))
-    pairs = ids.join(seen.withColumn("_one", F.lit(1)), "_one").select("query_id", "chunk_id")
-    found = plans.multi_query(_retriever(spark, sf_dir), asked, 20, dense.hashed_vector, ids.select("query_id", F.lit("src1").alias("title")), pairs)
+    r = _retriever(spark, sf_dir)
+    seen = bm25.search(r.index, asked, 7).select("query_id", F.col("idx").cast("string").alias("chunk_id"))
+    found = plans.multi_query(r, asked, 20, dense.hashed_vector, asked.select("query_id", F.lit("src1").alias("title")), seen)
     return _score(found, F.col("query_order").cast("long").alias("query_order"))

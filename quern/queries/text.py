@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import fixed
 from quern.functions import text as t
 from quern.operators import answer as assembly
+from quern.operators import segment
 from quern.plans import retrieval as plans
 from quern.queries.base import STRIP, STRUCTURED, WORD, WORDS, documents, query, structured, table, values
+from quern.storage import written
 
 
 def _list(items) -> str:
@@ -199,3 +202,44 @@ def small_forms(spark, sf_dir):
     own, en = F.col("doc_id").cast("string"), F.col("lang") == "en"
     article = F.when(en, "").when(F.col("lang") == "de", "Điều 4").otherwise(own)
     return documents(spark, sf_dir).select("doc_id", t.key_part(F.concat("source", F.lit("|"), "lang")).alias("first_part"), t.corpus_id(F.col("source"), F.when(en, "").otherwise(own)).alias("corpus_id"), t.prompt_query(F.col("source"), "Trả lời").alias("asked"), t.format_article(article).alias("article"))
+
+
+_RUN = "SELECT doc_id, array_to_string(w[i:i + {0} - 1], ' ') AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) - {0} + 2)) AS i FROM sw)"
+_LEXICON = f"""
+sw AS (SELECT doc_id, {WORDS.format('lower(text)')} AS w FROM documents),
+c1 AS (SELECT word, count(*) AS n FROM ({_RUN.format(1)}) GROUP BY word HAVING count(*) >= 5), c2 AS (SELECT word, count(*) AS n FROM ({_RUN.format(2)}) GROUP BY word HAVING count(*) >= 5), c3 AS (SELECT word, count(*) AS n FROM ({_RUN.format(3)}) GROUP BY word HAVING count(*) >= 5),
+tn AS (SELECT sum(n) AS total FROM c1),
+lx0 AS (SELECT word, 1 AS size, n FROM c1
+  UNION ALL SELECT x.word, 2, x.n FROM c2 x JOIN c1 h ON h.word = split_part(x.word, ' ', 1) JOIN c1 t ON t.word = split_part(x.word, ' ', 2), tn WHERE x.n::DOUBLE * total >= 8 * h.n::DOUBLE * t.n
+  UNION ALL SELECT x.word, 3, x.n FROM c3 x JOIN c2 h ON h.word = split_part(x.word, ' ', 1) || ' ' || split_part(x.word, ' ', 2) JOIN c1 t ON t.word = split_part(x.word, ' ', 3), tn WHERE x.n::DOUBLE * total >= 8 * h.n::DOUBLE * t.n),
+lx AS (SELECT word, size, n, round(-1000 * ln(n / total::DOUBLE))::BIGINT AS cost FROM lx0, tn ORDER BY n DESC, word LIMIT 50000)"""
+
+
+@query(f"WITH {_LEXICON} SELECT word, size, n, cost FROM lx")
+def lexicon(spark, sf_dir):
+    """T8. The words that the documents' syllables form."""
+    return segment.lexicon(documents(spark, sf_dir)).select("word", "size", "n", "cost")
+
+
+@query(rf"""WITH RECURSIVE {_LEXICON},
+li AS (SELECT doc_id, generate_subscripts(l, 1) AS line, unnest(l) AS text FROM (SELECT doc_id, string_split(lower(text), chr(10)) AS l FROM documents)),
+lw AS (SELECT doc_id, line, {WORDS.format('text')} AS w FROM li),
+po AS (SELECT doc_id, line, w, unnest(range(1, len(w) + 1)) AS i FROM lw),
+pc AS (SELECT po.doc_id, po.line, i, coalesce(a.cost, (SELECT max(cost) + 1000 FROM lx)) AS u, b.cost AS b, c.cost AS c FROM po LEFT JOIN lx a ON a.word = w[i] LEFT JOIN lx b ON i >= 2 AND b.word = w[i - 1] || ' ' || w[i] LEFT JOIN lx c ON i >= 3 AND c.word = w[i - 2] || ' ' || w[i - 1] || ' ' || w[i]),
+co AS (SELECT doc_id, line, list(u ORDER BY i) AS us, list(b ORDER BY i) AS bs, list(c ORDER BY i) AS cs FROM pc GROUP BY doc_id, line),
+r AS (
+  SELECT doc_id, line, us, bs, cs, 0 AS i, 0::BIGINT AS c1, 0::BIGINT AS k1, 0::BIGINT AS d1, NULL::BIGINT AS c2, NULL::BIGINT AS k2, NULL::BIGINT AS d2, NULL::BIGINT AS c3, NULL::BIGINT AS k3, NULL::BIGINT AS d3 FROM co
+  UNION ALL
+  SELECT doc_id, line, us, bs, cs, i + 1, m // 131072, (m // 4) % 32768, CASE m % 4 WHEN 2 THEN d1 + (i + 1) WHEN 1 THEN d2 + 4 * (i + 1) ELSE d3 + 9 * (i + 1) END, c1, k1, d1, c2, k2, d2
+  FROM (SELECT *, least(((c1 + us[i + 1]) * 32768 + k1 + 1) * 4 + 2, ((c2 + bs[i + 1]) * 32768 + k2 + 1) * 4 + 1, ((c3 + cs[i + 1]) * 32768 + k3 + 1) * 4) AS m FROM r WHERE i < len(us)))
+SELECT doc_id, line, c1 AS cost, k1 AS n_words, d1 AS cuts FROM r WHERE i = len(us)""")
+def segment_words(spark, sf_dir):
+    """T8. Lines of the documents cut into words of the lexicon: the cost, the words, and a sum that tells where they end."""
+    entries = written(segment.lexicon(documents(spark, sf_dir)), "lexicon")
+    unknown = (entries.agg(F.max("cost")).first()[0] or 0) + 1000
+    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split(F.lower("text"), "\n")).alias("line", "text")).withColumn("w", segment.segmented(F.col("text"), entries)).filter(F.size("w") > 0)
+    sized = lines.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), F.transform("w", lambda x: F.struct(x.alias("word"), F.size(F.split(x, " ")).cast("long").alias("size"))).alias("w"))
+    tall = sized.select("doc_id", "line", F.posexplode("w").alias("pos", "x")).select("doc_id", "line", "pos", F.col("x.word").alias("word"), F.col("x.size").alias("size"))
+    place = F.sum("size").over(Window.partitionBy("doc_id", "line").orderBy("pos"))
+    known = tall.withColumn("end", place).join(entries.select("word", "cost"), "word", "left")
+    return known.groupBy("doc_id", "line").agg(F.sum(F.coalesce("cost", F.lit(unknown))).alias("cost"), F.count("*").alias("n_words"), F.sum(F.col("size") * F.col("size") * F.col("end")).alias("cuts"))
