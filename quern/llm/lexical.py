@@ -1,18 +1,20 @@
 r"""Operator 13, ranked lexical search: three-phase uniform thresholds (TPUT) over term-partitioned postings.
 
-Postings (term, impact, row, doc_id) lie in ranges of (term, impact falling): a list of a common term takes several tasks,
-and its head is where it starts. A list's value for a query item is the term's weight times the impact, all in 64-bit
-integers. The phases, for all items at once:
+Postings lie in ranges of documents (a slice of a task's rows, at most ``RANGE`` bytes of text), and within a range by term: a
+list holds the documents of the range by falling impact, so its head is where it starts. Lists of a common term are spread
+over all ranges, and no posting is shuffled. A list's value for a query item is the term's weight times the impact, all in
+64-bit integers. The phases, for all items of a block at once, each a pass over the ranges whose tasks return at most ``k``
+rows an item and range:
 
 1. The heads - the ``k`` highest impacts of each list - give partial sums; the k-th best of an item is a lower bound.
 2. The bound divided by the item's number of lists is the threshold: from every list all values from the threshold up are
-   fetched. Their sums give a better bound; a document stays a candidate if its sum, with less than the threshold (or the
-   list's head, if that is lower) for each list that it was not fetched from, can reach it. Equal scores stay.
-3. What candidates have below the threshold is looked up in the lists, and exact scores are ranked.
+   fetched, the same for each list. Their sums give a better bound.
+3. A document stays a candidate if its sum, with less than the threshold (or the list's head, if that is lower) for each list
+   that it was not fetched from, can reach the better bound; equal scores stay. What candidates have below the threshold is
+   looked up in the lists, and exact scores are ranked.
 
-No list is fetched whole unless its values call for it, and no document is scored that can't be in the result. A very short
-list of items with fewer than ``k`` documents has the threshold 1, which fetches all. The lists are built for the terms that
-the items ask for; :func:`postings` without terms takes all.
+Items with fewer than ``k`` documents have the threshold 1, which fetches all. Items go out in blocks of ``ITEMS``; the lists
+are built for the terms that items ask for, if these are at most ``TERMS``, else for all terms.
 
 Terms are the runs of letters, digits and characters beyond ASCII, lower-cased in A-Z. Rows are documents: repeated rows
 count, and are ranked, each time; null texts have no terms and are not among the N documents; null ids are ranked after
@@ -21,21 +23,25 @@ others of equal score. Repeated items are answered each; an item without known t
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quern.llm.common import byte_texts, discard, slices, written
+from quern.llm.common import byte_texts, shared_dir, slices, written
 
-#: Highest-scoring documents of an item.
-K = 50
-#: Rows of three numbers that are broadcast at most; more meet by a shuffle.
-SMALL = 200_000
+#: Highest-scoring documents of an item; items of a block; terms up to which an index holds those that are asked for only.
+K, ITEMS, TERMS = 50, 1000, 1_000_000
+#: Bytes of text whose postings are one range.
+RANGE = 16 << 20
 #: Each byte as part of a lower-cased term, or a blank.
 _TERM_BYTES = bytes(i if i >= 0x80 else ord(chr(i).lower()) if chr(i).isalnum() else 0x20 for i in range(256))
 
@@ -57,109 +63,208 @@ def totals(docs: DataFrame) -> tuple[int, int]:
     return r[0] or 0, r[1] or 0
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (row, id, text) to (row, id, n, distinct terms, occurrences)."""
-    for batch in slices(batches, 2):
-        counts = [Counter(terms_of(t)) for t in byte_texts(batch.column(2))]
-        n = pa.array([sum(c.values()) for c in counts], pa.int64())
-        edges = pa.array(np.cumsum([0, *map(len, counts)]).astype(np.int32))
-        words = pa.array([w for c in counts for w in c], pa.binary()).cast(pa.string())
-        times = pa.array([x for c in counts for x in c.values()], pa.int32())
-        yield pa.record_batch([batch.column(0), batch.column(1), n, pa.ListArray.from_arrays(edges, words), pa.ListArray.from_arrays(edges, times)], ["row", "id", "n", "terms", "tfs"])
-
-
-def counted(docs: DataFrame, id_col: str) -> DataFrame:
-    """A row for each row and distinct term: (row, id, n, term, tf)."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), "text")
-    arrays = own.mapInArrow(_counted, f"row long, id {kind}, n long, terms array<string>, tfs array<int>")
-    return arrays.select("row", "id", "n", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("row", "id", "n", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
-
-
-def maybe_broadcast(df: DataFrame) -> DataFrame:
-    """``df``, a small written table, marked for broadcast if it has at most ``SMALL`` rows."""
-    return F.broadcast(df) if df.count() <= SMALL else df
+def _range(texts: list[bytes], asked: frozenset[bytes] | None, n_docs: int, n_terms: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The lists of a range: terms, sizes, and rows and impacts, list by list, by falling impact."""
+    known: dict[bytes, int] = {}
+    code, row, tf, n = [], [], [], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        words = terms_of(text)
+        n[i] = len(words)
+        counts = Counter(words if asked is None else filter(asked.__contains__, words))
+        code += [known.setdefault(w, len(known)) for w in counts]
+        tf += counts.values()
+        row += [i] * len(counts)
+    term, at, times = (np.array(x, np.int64) for x in (code, row, tf))
+    m = 50 + (50 * n * n_docs) // max(1, n_terms)
+    impact = (1_000_000_000 * times) // (1000 * times + 20 * m[at])
+    order = np.lexsort((at, -impact, term))
+    return list(known), np.bincount(term, minlength=len(known)), at[order].astype("<i4"), impact[order].astype("<i4")
+
+
+def _indexed(asked: frozenset[bytes] | None, n_docs: int, n_terms: int):
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in slices(batches, 1, RANGE):
+            terms, sizes, rows, impacts = _range(byte_texts(batch.column(1)), asked, n_docs, n_terms)
+            one = pa.array([0, batch.num_rows], pa.int32()), pa.array([0, len(terms)], pa.int32())
+            yield pa.record_batch(
+                [pa.array([number]), pa.ListArray.from_arrays(one[0], batch.column(0)), pa.ListArray.from_arrays(one[1], pa.array(terms, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(one[1], pa.array(sizes.astype(np.int32))), pa.array([rows.tobytes()], pa.binary()), pa.array([impacts.tobytes()], pa.binary())],
+                ["range", "ids", "terms", "sizes", "rows", "impacts"],
+            )
+            number += 1
+
+    return indexed
 
 
 @dataclass
 class Postings:
-    """``lists`` (term, impact, row, id), sorted, and ``terms`` (term, df, top: its highest impact); written tables."""
+    """``ranges`` (range, ids, terms, sizes, rows, impacts), a written table with a row a range; and the N documents."""
 
-    lists: DataFrame
-    terms: DataFrame
+    ranges: DataFrame
     n_docs: int
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None, id_col: str = "doc_id") -> Postings:
-    """The lists of ``terms`` (term; distinct), or of all. ``docs``: a scan or a written table (it is read more than once)."""
+def postings(docs: DataFrame, terms: frozenset[bytes] | None = None, id_col: str = "doc_id") -> Postings:
+    """The lists of ``terms``, or of all."""
     n_docs, n_terms = totals(docs)
-    rows = counted(docs, id_col)
-    if terms is not None:
-        rows = rows.join(maybe_broadcast(terms), "term", "left_semi")
-    m = F.lit(50) + F.expr(f"(50 * n * {n_docs}L) div {max(1, n_terms)}L")
-    found = written(rows.withColumn("m", m).select("term", F.expr("(1000000000L * tf) div (1000L * tf + 20L * m)").alias("impact"), "row", "id"), "found")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["term", F.desc("impact"), "row"]
-    lists = written(found.repartitionByRange(parts, *order).sortWithinPartitions(*order), "lists")
-    discard(found)
-    return Postings(lists, written(lists.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("top")), "terms"), n_docs)
-
-
-def asked(items: DataFrame, id_col: str = "item_id") -> DataFrame:
-    """A row for each item row and distinct term: (item, item_id, term); ``item`` numbers the rows. Written."""
-    return written(counted(items, id_col).select(F.col("row").alias("item"), F.col("id").alias("item_id"), "term"), "asked")
+    kind = docs.schema[id_col].dataType.simpleString()
+    ranges = docs.select(F.col(id_col).alias("id"), "text").mapInArrow(_indexed(terms, n_docs, n_terms), f"range long, ids array<{kind}>, terms array<string>, sizes array<int>, rows binary, impacts binary")
+    return Postings(written(ranges, "postings"), n_docs)
 
 
-def _kth(sums: DataFrame, k: int) -> DataFrame:
-    """(item, bound): the k-th highest ``score`` of each item that has so many."""
+@dataclass
+class Item:
+    """An item of a block: its terms' weights."""
+
+    weights: dict[str, int]
+
+
+class Lists:
+    """The lists of a range."""
+
+    def __init__(self, row: dict):
+        self.docs = len(row["ids"])
+        self.place = {t: i for i, t in enumerate(row["terms"])}
+        self.end = np.cumsum([0, *row["sizes"]])
+        self.rows, self.impacts = np.frombuffer(row["rows"], "<i4"), np.frombuffer(row["impacts"], "<i4")
+
+    def of(self, item: Item) -> list[tuple[int, int, int]]:
+        """The item's lists here: weight, start, end."""
+        at = ((w, self.place.get(t)) for t, w in item.weights.items())
+        return [(w, int(self.end[i]), int(self.end[i + 1])) for w, i in at if i is not None]
+
+    def sums(self, parts: list[tuple[int, int, int]], only: np.ndarray | None = None) -> np.ndarray:
+        """By document the summed values of the parts of lists (of the documents in ``only``). Sums are below 2**53."""
+        total = np.zeros(self.docs)
+        for w, a, b in parts:
+            rows, impacts = self.rows[a:b], self.impacts[a:b]
+            if only is not None:
+                met = only[rows]
+                rows, impacts = rows[met], impacts[met]
+            total[rows] += w * impacts.astype(np.int64)  # a list holds a document once
+        return total
+
+    def above(self, part: tuple[int, int, int], least: int) -> int:
+        """Where the values of a list fall below ``least``."""
+        w, a, b = part
+        return a + int(np.searchsorted(-self.impacts[a:b], -(-(-least // w)), side="right"))
+
+
+def _highest(total: np.ndarray, k: int, least: float) -> np.ndarray:
+    """The documents of the k highest sums, and their equals, of at least ``least`` and above 0."""
+    own = np.flatnonzero(total >= max(least, 1))
+    if len(own) > k:
+        own = own[total[own] >= np.partition(total[own], -k)[-k]]
+    return own
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _bounds(items: list[Item], k: int, bounds: list[int] | None):
+    """A pass for lower bounds: (item, score), the k highest sums of heads, or, with ``bounds``, of what the threshold
+    fetches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _ranges(batches):
+            lists, out = Lists(row), []
+            for i, item in enumerate(items):
+                parts = lists.of(item)
+                if bounds is None:
+                    fetched = [(w, a, min(b, a + k)) for w, a, b in parts]
+                else:
+                    least = threshold(bounds[i], item)
+                    fetched = [(p[0], p[1], lists.above(p, least)) for p in parts]
+                total = lists.sums(fetched)
+                best = np.sort(total[_highest(total, k, 0)])[-k:]
+                out.append(np.stack([np.full(len(best), i), best.astype(np.int64)]))
+            both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+            yield pa.record_batch([pa.array(both[0].astype(np.int32)), pa.array(both[1])], ["item", "score"])
+
+    return run
+
+
+def threshold(bound: int, item: Item) -> int:
+    """The value from which on every list is fetched."""
+    return max(1, -(-bound // max(1, len(item.weights))))
+
+
+def _exact(items: list[Item], k: int, first: list[int], better: list[int], kind: pa.DataType):
+    """The last pass: (item, score, id, range, row), the k best candidates of the range by exact scores, and their equals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _ranges(batches):
+            lists, out, ids = Lists(row), ([], [], []), row["ids"]
+            for i, item in enumerate(items):
+                parts, least = lists.of(item), threshold(first[i], item)
+                cut = [(w, a, lists.above((w, a, b), least)) for w, a, b in parts]
+                total = lists.sums(cut)
+                # what the lists may still give to documents that were not fetched from them
+                rest = [min(least - 1, w * int(lists.impacts[a])) for w, a, _ in parts]
+                spare = np.full(lists.docs, float(sum(rest)))
+                for (_, a, b), r in zip(cut, rest, strict=True):
+                    spare[lists.rows[a:b]] -= r
+                open_ = total + spare >= max(1, better[i])
+                exact = np.where(open_, total, 0) + lists.sums([(w, c, b) for (w, _, b), (_, _, c) in zip(parts, cut, strict=True)], open_)
+                best = _highest(exact, k, better[i])
+                for column, values in zip(out, (np.full(len(best), i), exact[best].astype(np.int64), best), strict=True):
+                    column.append(values)
+            item_no, score, place = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
+            yield pa.record_batch([pa.array(item_no.astype(np.int32)), pa.array(score), pa.array([ids[x] for x in place.tolist()], kind), pa.array(np.full(len(place), row["range"])), pa.array(place.astype(np.int32))], ["item", "score", "id", "range", "row"])
+
+    return run
+
+
+def _kth(sums: DataFrame, k: int, items: int) -> list[int]:
+    """Of each item of the block the k-th highest score, 0 without so many."""
     w = Window.partitionBy("item").orderBy(F.desc("score"))
-    return sums.select("item", "score", F.row_number().over(w).alias("_n")).filter(F.col("_n") <= k).filter(F.col("_n") == k).select("item", F.col("score").alias("bound"))
-
-
-def search(index: Postings, wanted: DataFrame, k: int = K) -> DataFrame:
-    """``wanted``: (item, item_id, term), written. Per item its ``k`` best documents: item, item_id, rank, id, score."""
-    weight = F.floor(1000 * F.log((2 * F.lit(index.n_docs) + 2) / (2 * F.col("df") + 1))).cast("long")
-    lists = written(wanted.join(index.terms.withColumn("w", weight).filter("w > 0"), "term").select("item", "term", "w", "top"), "asked_lists")
-    known = maybe_broadcast(written(lists.select("term").distinct(), "known"))
-
-    by_impact = Window.partitionBy("term").orderBy(F.desc("impact"), "row")
-    first = index.lists.select("term", "impact", "row").join(known, "term", "left_semi").withColumn("_n", F.row_number().over(by_impact)).filter(F.col("_n") <= k)
-    heads = written(first.drop("_n"), "heads")
-    head_sums = heads.join(lists, "term").groupBy("item", "row").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
-    lower = _kth(head_sums, k)
-    m = lists.groupBy("item").agg(F.count("*").alias("m"))
-    threshold = F.greatest(F.lit(1).cast("long"), F.ceil(F.coalesce("bound", F.lit(0)) / F.col("m")).cast("long"))
-    from_on = m.join(lower, "item", "left").select("item", threshold.alias("least"))
-    # what a list may still give to a document that it was not fetched from
-    rest = F.least(F.col("least") - 1, F.col("w") * F.col("top"))
-    needs = written(lists.join(from_on, "item").select("item", "term", "w", "least", rest.alias("rest")), "needs")
-
-    few = maybe_broadcast(needs)
-    value = F.col("w") * F.col("impact")
-    fetched = index.lists.join(few, "term").filter(value >= F.col("least")).groupBy("item", "row").agg(F.sum(value).alias("score"), F.sum("rest").alias("_seen"))
-    sums = written(fetched, "fetched")
-    bounds = _kth(sums, k).select("item", F.col("bound").alias("better"))
-    spare = needs.groupBy("item").agg(F.sum("rest").alias("_all"))
-    open_ = sums.join(spare, "item").join(bounds, "item", "left").filter(F.col("score") + F.col("_all") - F.col("_seen") >= F.coalesce("better", F.lit(1)))
-    candidates = written(open_.select("item", "row", "score"), "candidates")
-
-    rows = maybe_broadcast(written(candidates.select("row").distinct(), "candidate_rows"))
-    near = index.lists.join(rows, "row", "left_semi").select("term", "row", "impact", "id")
-    asked_for = candidates.join(needs, "item").select("item", "row", "term", "w", "least")
-    below = F.sum(F.when(value < F.col("least"), value).otherwise(0))
-    looked = near.join(asked_for, ["term", "row"]).groupBy("item", "row").agg(below.alias("_below"), F.first("id").alias("id"))
-    exact = candidates.join(looked, ["item", "row"]).select("item", "row", "id", (F.col("score") + F.col("_below")).alias("score"))
-    w = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"), "row")
-    best = exact.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    names = wanted.select("item", "item_id").distinct()
-    return best.join(names, "item").select("item", "item_id", "rank", "id", "score")
+    found = sums.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).filter(F.col("_n") == k).select("item", "score").collect()
+    out = [0] * items
+    for r in found:
+        out[r["item"]] = r.score
+    return out
+
+
+def search(index: Postings, asked: list[set[str]], k: int = K) -> DataFrame:
+    """Of each of at most ``ITEMS`` sets of terms the ``k`` best documents: item (its place), rank, id, score."""
+    words = index.ranges.select(F.explode(F.arrays_zip("terms", "sizes")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.sizes").alias("df"))
+    wanted = index.ranges.sparkSession.createDataFrame([(t,) for t in sorted(set().union(*asked))], "term string")
+    # at most the terms of a block
+    df = {r.term: r.df for r in words.join(F.broadcast(wanted), "term", "left_semi").collect()}
+    weight = {t: math.floor(1000 * math.log((2 * index.n_docs + 2) / (2 * n + 1))) for t, n in df.items()}
+    items = [Item({t: weight[t] for t in sorted(own) if weight.get(t, 0) > 0}) for own in asked]
+    first = _kth(index.ranges.mapInArrow(_bounds(items, k, None), "item int, score long"), k, len(items))
+    better = [max(x) for x in zip(first, _kth(index.ranges.mapInArrow(_bounds(items, k, first), "item int, score long"), k, len(items)), strict=True)]
+    of_ids = index.ranges.schema["ids"].dataType.elementType
+    kind = of_ids.simpleString()
+    exact = index.ranges.mapInArrow(_exact(items, k, first, better, to_arrow_type(of_ids)), f"item int, score long, id {kind}, range long, row int")
+    w = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("id"), "range", "row")
+    return exact.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("item", "rank", "id", "score")
 
 
 def report(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     """Per item row its best documents: item_id, rank, doc_id, score."""
-    wanted = asked(items)
-    found = search(postings(docs, written(wanted.select("term").distinct(), "asked_terms")), wanted, k)
-    return found.select("item_id", "rank", F.col("id").alias("doc_id"), "score")
+    spark = docs.sparkSession
+    kind, own = items.schema["item_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
+    rows = lambda: items.select("item_id", "text").toLocalIterator()
+    terms: set[bytes] | None = set()
+    for r in rows():
+        terms |= set(terms_of((r.text or "").encode()))
+        if len(terms) > TERMS:
+            terms = None
+            break
+    index = postings(docs, None if terms is None else frozenset(terms))
+    left, path = rows(), None
+    schema = f"item_id {kind}, rank int, doc_id {own}, score long"
+    while block := list(islice(left, ITEMS)):
+        found = search(index, [{t.decode() for t in terms_of((r.text or "").encode())} for r in block], k)
+        names = spark.createDataFrame([(i, r.item_id) for i, r in enumerate(block)], f"item int, item_id {kind}")
+        path = path or f"{shared_dir(spark)}/ranked"
+        found.join(F.broadcast(names), "item").select("item_id", "rank", F.col("id").alias("doc_id"), "score").write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
 
 
 #: DuckDB over the views ``documents`` and ``benchmark``: every document scored for every item.
