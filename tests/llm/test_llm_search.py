@@ -210,10 +210,11 @@ def collection(seed=8):
     return docs, items
 
 
-@pytest.mark.parametrize("small,k", [(200_000, 50), (0, 5), (200_000, 1)])
-def test_lexical_search(spark, monkeypatch, small, k):
-    """Ties, repeated and null rows; with nothing broadcast; with thresholds that cut."""
-    monkeypatch.setattr(lexical, "SMALL", small)
+@pytest.mark.parametrize("changed,k", [({}, 50), ({"RANGE": 300, "ITEMS": 3}, 5), ({"RANGE": 2000, "TERMS": 4}, 1)])
+def test_lexical_search(spark, monkeypatch, changed, k):
+    """Ties, repeated and null rows; many ranges, blocks of items, lists of all terms; thresholds that cut."""
+    for name, value in changed.items():
+        monkeypatch.setattr(lexical, name, value)
     docs, items = collection()
     own = spark.createDataFrame([(i, t, 1, "a", 0) for i, t in docs], "doc_id long, text string, row long, term string, n int").repartition(4)
     asked = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, item long")
@@ -230,14 +231,18 @@ def test_lexical_search_without_rows(spark):
     assert [(r.item_id, r["rank"], r.doc_id) for r in one] == [(1, 1, 1)]
 
 
-def test_index_of_all_terms(spark):
-    """An index of all terms answers as one of the asked terms does."""
+def test_thresholds_leave_postings_unread(spark):
+    """A few documents hold a rare term: of the common list only what reaches the threshold is fetched, and an index of all
+    terms answers as one of the asked terms does."""
     rng = random.Random(1)
     docs = [(i, " ".join(["common"] * rng.randint(1, 3) + [f"w{rng.randrange(40)}" for _ in range(rng.randint(1, 30))])) for i in range(400)]
     docs += [(1000 + i, "needle common " + f"w{i}") for i in range(20)]
-    own = spark.createDataFrame(docs, "doc_id long, text string")
-    index = lexical.postings(own)
-    assert {r.term: r.df for r in index.terms.filter("term IN ('needle', 'common')").collect()} == {"needle": 20, "common": 420}
-    wanted = lexical.asked(spark.createDataFrame([(1, "needle common")], "item_id long, text string"))
-    got = [(r["rank"], r.id, r.score) for r in lexical.search(index, wanted, 10).orderBy("rank").collect()]
+    index = lexical.postings(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = [(r["rank"], r.id, r.score) for r in lexical.search(index, [{"needle", "common", "none"}], 10).orderBy("rank").collect()]
     assert got == [(r, i, s) for _, r, i, s in sorted(ranked(docs, [(1, "needle common")], 10), key=lambda x: x[1])]
+    terms_, sizes, rows, impacts = lexical._range([t.encode() for _, t in docs], None, 420, 5000)
+    lists = lexical.Lists({"ids": list(range(420)), "terms": [t.decode() for t in terms_], "sizes": sizes.tolist(), "rows": rows.tobytes(), "impacts": impacts.tobytes()})
+    item = lexical.Item({"common": 1, "needle": 3000})
+    (w, a, b), needle = lists.of(item)
+    least = lexical.threshold(int(np.sort(lists.sums([needle]))[-10]), item)
+    assert lists.above((w, a, b), least) == a and lists.above(needle, least) == needle[2] and b - a == 420
