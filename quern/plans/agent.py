@@ -57,6 +57,25 @@ def parsed(reply: str) -> dict:
     return {}
 
 
+def ask(model: Model, task: str, **parts: object) -> str:
+    """A model's reply to the prompt of a task, at its temperature."""
+    return model.generate(prompts.prompt(task, **parts), prompts.temperature(task))
+
+
+def replied(model: Model, query: str, context: str, self_correct: bool, rounds: int = 2) -> tuple[str, int]:
+    """G1, G2 from a context: an answer, one retry if it is short or judged useless, corrections, the final edit."""
+    out = ask(model, "ANSWER", passages=context, question=query)
+    if len(out) < 30 or "NOT_USEFUL" in ask(model, "USEFUL?", question=query, answer=out[:500]).upper():
+        out = ask(model, "ANSWER", passages=context, question=query, note=f"Be more specific than this answer:\n{out}")
+    done = 0
+    for done in range(1, rounds + 1) if self_correct else ():
+        reply = ask(model, "CORRECT", passages=context, question=query, answer=out).strip()
+        if reply.upper().startswith("OK"):
+            break
+        out = reply
+    return ask(model, "EDIT", answer=out).strip(), done
+
+
 @dataclass
 class Result:
     query: str
@@ -84,7 +103,7 @@ class Engine:
 
     def ask(self, task: str, **parts: object) -> str:
         """The model's reply to the prompt of a task, at its temperature."""
-        return self.model.generate(prompts.prompt(task, **parts), prompts.temperature(task))
+        return ask(self.model, task, **parts)
 
     def choice(self, placed: DataFrame) -> DataFrame:
         """R3. For :func:`quern.operators.rerank.rerank_by_choice`: the model picks from each batch of passages of a query."""
@@ -118,16 +137,7 @@ class Engine:
         return assembly.context(assembly.context_gate(chunks, threshold, final=self.config.final_top_k))
 
     def _replied(self, query: str, context: str, self_correct: bool, rounds: int = 2) -> tuple[str, int]:
-        out = self.ask("ANSWER", passages=context, question=query)
-        if len(out) < 30 or "NOT_USEFUL" in self.ask("USEFUL?", question=query, answer=out[:500]).upper():
-            out = self.ask("ANSWER", passages=context, question=query, note=f"Be more specific than this answer:\n{out}")
-        done = 0
-        for done in range(1, rounds + 1) if self_correct else ():
-            reply = self.ask("CORRECT", passages=context, question=query, answer=out).strip()
-            if reply.upper().startswith("OK"):
-                break
-            out = reply
-        return self.ask("EDIT", answer=out).strip(), done
+        return replied(self.model, query, context, self_correct, rounds)
 
     def _finish(self, result: Result, chunks: DataFrame) -> Result:
         """R8, R9, A5 for one query."""
