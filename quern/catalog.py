@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.queries import candidates, etl, evaluation, legal, search, sources, text  # noqa: F401  they register themselves
+from quern.queries import answers, candidates, etl, evaluation, legal, search, sources, text  # noqa: F401  they register themselves
 from quern.queries.base import ORACLES, QUERIES
 
 FLAGSHIP = "hybrid_retrieve"
