@@ -30,7 +30,8 @@ from quern.llm.common import by_shard, byte_texts, coded, ddl, fold, give_back,
 
 TOKEN = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[.!?\n]+")
 CACHE = 100_000
-#: Labelled documents of each class that train the field, at most; steps of its training; tokens of a sentence.
+#: Labelled documents of each class that train the field, at most; steps of its training; tokens of a sentence in the sample,
+#: whose longer sentences are trained on in parts. Documents are scored by whole sentences, of any length.
 SAMPLE, STEPS, LONGEST = 1000, 80, 256
 STOPS = b".!?\n"
 
@@ -99,7 +100,8 @@ class Laid:
     place: np.ndarray  # and its number among the text's tokens
 
 
-def laid_out(token_lists: list[list[bytes]]) -> Laid:
+def laid_out(token_lists: list[list[bytes]], longest: int | None = None) -> Laid:
+    """The texts' words by sentence; with ``longest`` sentences of more tokens are cut."""
     words, codes, starts = coded(token_lists)
     stop = np.fromiter((w[0] in STOPS for w in words), bool, len(words))
     keep = np.flatnonzero(~stop[codes])
@@ -108,7 +110,7 @@ def laid_out(token_lists: list[list[bytes]]) -> Laid:
     head[1:] = (np.diff(keep) != 1) | (np.diff(doc) != 0)
     heads = np.flatnonzero(head)
     run = np.arange(len(keep)) - np.repeat(heads, np.diff(np.append(heads, len(keep))))
-    start = np.flatnonzero(run % LONGEST == 0)
+    start = heads if longest is None else np.flatnonzero(run % longest == 0)
     return Laid(words, codes[keep], start, np.append(start, len(keep))[1:], doc, keep - starts[doc])
 
 
@@ -256,7 +258,7 @@ def fit(texts: list[bytes], ys: list[int], hashes: list[int], weights: list[floa
     if not marks:
         share = min(max(share, 1e-4), 1 - 1e-4)
         return Model({}, {}, {}, -40.0, np.zeros((2, 2)), 0.0, np.array([0, 0, 0, math.log(share / (1 - share))]))
-    laid = laid_out(docs)
+    laid = laid_out(docs, LONGEST)
     del docs
     model = _fit_field(laid, np.array(ys, bool), marks)
     p = marginals(model, _Known(model), laid)
