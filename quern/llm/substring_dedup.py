@@ -294,8 +294,3 @@ def cut_spans(docs: DataFrame, planned: DataFrame, id_col: str = "doc_id", text_
     ends = F.concat(F.col("_spans.start"), F.array(F.length(text)))
     kept = F.array_join(F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s: F.substring(text, s["a"] + 1, s["b"] - s["a"])), "")
     return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), text).otherwise(kept)).drop("_id", "_spans")
-
-
-def report(docs: DataFrame) -> DataFrame:
-    """:func:`plan` of the documents that lose a passage which another document keeps, under the name doc_id."""
-    return plan(docs).filter(F.size("first_ids") > 0).withColumnRenamed("id", "doc_id")

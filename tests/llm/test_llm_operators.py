@@ -379,15 +379,16 @@ def test_toxicity(spark, corpus):
     assert all(0 <= r.score < 0.5 for r in toxicity.report(df, labels_of(spark, [])).collect())
 
 
-def test_sentences_and_spans():
+@pytest.mark.parametrize("longest", [None, 256])
+def test_sentences_and_spans(longest):
     rng = random.Random(4)
     lists = [[rng.choice([b"a", b"b", b".", b"\n", b"!"]) for _ in range(rng.randrange(60))] for _ in range(50)] + [[b"x"] * 700, []]
-    laid = toxicity.laid_out(lists)
+    laid = toxicity.laid_out(lists, longest)
     want = []
     for d, tokens in enumerate(lists):
         run = []
         for i, t in enumerate([*tokens, b"."]):
-            if t[:1] in (b".", b"\n", b"!") or len(run) == toxicity.LONGEST:
+            if t[:1] in (b".", b"\n", b"!") or len(run) == longest:
                 want += [(d, run)] if run else []
                 run = []
             if t[:1] not in (b".", b"\n", b"!"):
@@ -437,8 +438,8 @@ def test_substring_dedup(spark, corpus):
             assert sum(s.end - s.start for s in got[i].spans) > len(passage) // 2
             assert all(t[s.start : s.end] in passage for s in got[i].spans)
     odd, _ = corpus
-    assert {r.doc_id: set(r.first_ids) for r in substring_dedup.report(df).collect()} == {i: {0} for i in range(1, 6)}
-    assert substring_dedup.plan(odd).count() == odd.count() and substring_dedup.report(empty(spark)).count() == 0
+    assert {r.id: set(r.first_ids) for r in got.values() if r.first_ids} == {i: {0} for i in range(1, 6)}
+    assert substring_dedup.plan(odd).count() == odd.count() and substring_dedup.plan(empty(spark)).count() == 0
 
 
 def test_substring_dedup_finds_short_passages(spark):
