@@ -53,6 +53,12 @@ class Retriever:
             vectors = dense.Cells.load(spark, kept("dense", lambda place: dense.Cells.save(vectors, place), model=model, layout=(dense.PER_CELL, dense.MOST_CELLS)))
         return cls(corpus, bm25.Index.load(spark, sparse), vectors)
 
+    @classmethod
+    def stored(cls, corpus: DataFrame, path: str, dense_side: bool = True) -> Retriever:
+        """The indexes at the path as they are, whatever they were built from."""
+        spark = corpus.sparkSession
+        return cls(corpus, bm25.Index.load(spark, f"{path}/sparse"), dense.Cells.load(spark, f"{path}/dense") if dense_side else None)
+
     def ranked(self, queries: DataFrame, top_k: int = DEFAULT.retrieval_top_k, weights: tuple = (DEFAULT.hybrid_dense_weight, DEFAULT.hybrid_sparse_weight), cut: bool = True) -> DataFrame:
         """F3. ``queries``: (query_id, query) and, for the dense side, embedding; weights may be column expressions over
         the queries' columns. (query_id, idx, score, rank)."""

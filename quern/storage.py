@@ -57,7 +57,8 @@ def complete(spark: SparkSession, path: str) -> bool:
 
 
 def fingerprint(df: DataFrame, **settings) -> str:
-    """What tells a table's state apart: its plan, the names, sizes and times of the files that it reads, and ``settings``."""
+    """What tells a table's state apart: its plan, the names, sizes and times of the files that it reads, and ``settings``.
+    Rows that lie in no file (a frame made in a session) are told apart within the session."""
     spark = df.sparkSession
     found = []
     for name in df.inputFiles():
@@ -65,7 +66,8 @@ def fingerprint(df: DataFrame, **settings) -> str:
         status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
         found.append((name, status.getLen(), status.getModificationTime()))
     plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().analyzed().toString())
-    told = repr((plan, sorted(found), sorted((k, str(v)) for k, v in settings.items())))
+    memory = df.semanticHash() if not found or re.search("LogicalRDD|LocalRelation|ExternalRDD", plan) else 0
+    told = repr((plan, memory, sorted(found), sorted((k, str(v)) for k, v in settings.items())))
     return hashlib.sha256(told.encode()).hexdigest()
 
 

@@ -98,10 +98,12 @@ def test_stored_index(spark, tmp_path):
     docs = spark.createDataFrame(rows, "idx long, text string, title string, article_id string, so_ky_hieu string")
     path = f"file://{tmp_path}/index"
     stored = Retriever.over(docs, embed=hashed_vector, path=path)
-    again = Retriever.over(docs.limit(0), embed=hashed_vector, path=path)
+    built = spark.read.parquet(f"{path}/sparse/manifest").inputFiles()
+    again = Retriever.stored(docs.limit(0), path)
     asked = spark.createDataFrame([(0, "word7 beta"), (1, "gamma alpha3")], "query_id long, query string").withColumn("embedding", hashed_vector(F.col("query")))
     best = lambda r: [tuple(x) for x in r.ranked(asked, 5).orderBy("query_id", "rank").collect()]
-    assert best(stored) == best(Retriever.over(docs, embed=hashed_vector)) == best(again)
+    assert best(stored) == best(Retriever.over(docs, embed=hashed_vector)) == best(again) == best(Retriever.over(docs, embed=hashed_vector, path=path))
+    assert spark.read.parquet(f"{path}/sparse/manifest").inputFiles() == built  # the same corpus builds nothing anew
     plan = _plain(again.ranked(asked, 5))
     assert plan.count("regexp_extract_all") == 0
 
