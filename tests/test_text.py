@@ -64,3 +64,9 @@ def test_replies(spark):
 def test_html(spark):
     html = "<html><style>p {}</style><script>var x='</p>';</script><p>Điều 1</p><p>. Phạm&nbsp;vi</p><b>a &amp; b</b></html>"
     assert one(spark, html, t.html_text) == "Điều 1. Phạm vi\na & b"
+
+
+def test_unclosed_entities(spark):
+    html = "<title>a&amp;&amp b&amp</title><p>c &lt; d &copy&#65; &eacute;</p>"
+    assert one(spark, html, t.html_text) == "a&& b&\nc < d ©A é"
+    assert one(spark, html, lambda c: t.html_text(c, unclosed=False)) == "a&&amp b&amp\nc < d &copyA é"
