@@ -34,3 +34,13 @@ def test_query(spark, name):
     assert sorted(head) == names
     want = sorted(repr(tuple(_plain(r[head.index(c)]) for c in names)) for r in out.fetchall())
     assert got == want
+
+
+def test_law_forms_without_words(spark, tmp_path):
+    spark.createDataFrame([(i, x) for i, x in enumerate(("", "a b", "", "eins zwei drei vier", "", "- -"))], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.doc_id, r.kind, r.core, r.year) for r in catalog.queries()["law_forms"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    cur = con.execute(catalog.oracle_sql()["law_forms"])
+    head = [d[0] for d in cur.description]
+    assert got == sorted(tuple(r[head.index(c)] for c in ("doc_id", "kind", "core", "year")) for r in cur.fetchall())
