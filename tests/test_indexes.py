@@ -1,5 +1,6 @@
 """Stored indexes, readers by place, the positional store and token models."""
 
+import math
 import random
 
 import numpy as np
@@ -189,3 +190,10 @@ def test_pair_scores(spark):
     assert [r.logit for r in models.score_pairs(df, pair).orderBy("query_id", "rank").collect()] == pytest.approx([-0.6, 0.2, -0.9, -0.5])
     best = rerank(df, 2, pair).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r["rank"], r.content) for r in best] == [(1, 1, "dddddd eeeee"), (1, 2, "a bb"), (2, 1, "x")] and best[0].score == 1.0
+
+
+def test_exact_sum_has_no_order(spark):
+    parts = [0.1, 7.3, 1e-9, 2.7, 0.30000000000000004, 11.1, 0.0]
+    rows = [(g, float(x)) for g, order in enumerate((parts, parts[::-1], sorted(parts))) for x in order]
+    got = {r.s for r in spark.createDataFrame(rows, "g int, x double").coalesce(1).groupBy("g").agg(bm25.exact_sum(F.col("x")).alias("s")).collect()}
+    assert len(got) == 1 and abs(got.pop() - math.fsum(parts)) < 1e-14
