@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quern import catalog
 
@@ -44,3 +45,14 @@ def test_law_forms_without_words(spark, tmp_path):
     cur = con.execute(catalog.oracle_sql()["law_forms"])
     head = [d[0] for d in cur.description]
     assert got == sorted(tuple(r[head.index(c)] for c in ("doc_id", "kind", "core", "year")) for r in cur.fetchall())
+
+
+def test_stored_tables_are_written_by_several_tasks_in_order(spark, tmp_path):
+    from quern.queries.sources import stored
+    from quern.sources import readers
+
+    rows = spark.range(1000).select(F.col("id").alias("_key"), (F.col("id") * 2).alias("x"))
+    path = stored(f"file://{tmp_path}", "t", "_key", rows.filter("_key % 2 = 0").orderBy(F.desc("_key")), rows.filter("_key % 2 = 1"))
+    back = readers.numbered(readers.read(spark, path))
+    assert back.inputFiles() and len(back.inputFiles()) > 2
+    assert [r.x for r in back.orderBy(readers.NUMBER).collect()] == [2 * i for i in (*range(0, 1000, 2), *range(1, 1000, 2))]
