@@ -2,9 +2,10 @@
 
 Which suffixes have to be compared is settled first, by content. Of the ``WIDTH`` 16-byte strings inside a 50-byte window the
 one of smallest hash (the first of equal ones) is its anchor; equal windows have equal anchors at equal places. A run of
-windows with one anchor is a *fragment* (at most 84 bytes). Anchors are grouped with partial aggregates:
+windows with one anchor is a *fragment* (at most 84 bytes). Anchors are grouped:
 
-* an anchor of one document only says that its windows are not repeated elsewhere;
+* an anchor of one document only says that its windows are not repeated elsewhere (the task that gets an anchor's occurrences
+  sees that, and the next; those of very common anchors are joined instead);
 * of equal fragments (by anchor and a 64-bit digest) all but those in the smallest document that holds them go whole;
 * the distinct fragments of an anchor that has more than one come together, each with that document.
 
@@ -15,8 +16,9 @@ first shows gives the common prefix of neighbours; suffixes that share less than
 (what is before them can't be shared either), and what is left after depth 50 are the repeated intervals. The smallest
 document of an interval keeps the window, the other fragments lose it.
 
-An anchor of more than ``GROUP`` distinct fragments (the edge of a very common passage) is split into pieces of two windows,
-grouped by the 49 bytes that both share: at most 65,536 distinct pieces can have these. Nothing else grows in a task but a
+Fragments of an anchor that has more than ``GROUP`` distinct ones (the edge of a very common passage) are cut into pieces of 18
+windows, grouped by the 33 bytes that these share; groups that are still too large into pieces of 9, 4, and 2 windows, which
+share 49 bytes: at most 65,536 distinct pieces can have these. Nothing else grows in a task but a
 document. Rows of one id don't take bytes from each other; null ids come after all others; null and empty texts have a row
 with nothing removed; rows that repeat id and text have equal results; other columns are not read.
 """
@@ -42,6 +44,10 @@ WIDTH = DEPTH - ANCHOR + 1
 START, SHARD = 8, 1 << 16
 #: Bytes of fragments that are merged at once (whole groups), and distinct fragments that a group has at most.
 BATCH, GROUP = 4 << 20, 10_000
+#: Windows of the pieces of fragments that a group has too many of, one after the other.
+PIECES = (18, 9, 4, 2)
+#: Bytes of a bucket's occurrences that wait for its end at most (on average a quarter of ``PER_PART`` and its double).
+WAITING = 64 << 20
 #: Window starts whose anchors are found at once.
 BLOCK = 1 << 18
 #: Bytes of text whose occurrences a task gets, in four buckets; about twice as many bytes.
@@ -115,21 +121,30 @@ def _digests(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
 
 
 #: An occurrence of a fragment: columns of a packed row, one behind the other.
-_COLUMNS = (("anchor", "<i8"), ("digest", "<i8"), ("doc", "<i8"), ("check", "<i4"), ("at", "<i4"), ("size", "<i4"))
+_COLUMNS = (("anchor", "<i8"), ("digest", "<i8"), ("doc", "<i8"), ("check", "<i4"), ("at", "<i4"), ("size", "u1"))
 _BYTES = sum(np.dtype(t).itemsize for _, t in _COLUMNS)
+#: A judged occurrence, and what becomes of it.
+_FATES = (("doc", "long"), ("check", "int"), ("at", "int"), ("size", "int"), ("anchor", "long"), ("digest", "long"), ("fate", "byte"))
+WHOLE, FEW, MANY, OPEN = range(4)
 
 
 def _packed(columns: list[np.ndarray]) -> bytes:
-    return b"".join(c.astype(t).tobytes() for c, (_, t) in zip(columns, _COLUMNS, strict=True))
+    """Their number, then the columns, compressed; documents as differences. The bytes of a place in a number lie together."""
+    columns = [*columns[:2], np.diff(columns[2], prepend=0), *columns[3:]]
+    planes = b"".join(np.ascontiguousarray(c.astype(t)).view(np.uint8).reshape(len(c), -1).T.tobytes() for c, (_, t) in zip(columns, _COLUMNS, strict=True))
+    return len(columns[0]).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpacked(rows: list[bytes]) -> list[np.ndarray]:
     out: list[list[np.ndarray]] = [[] for _ in _COLUMNS]
     for row in rows:
-        n, at = len(row) // _BYTES, 0
+        n, at = int.from_bytes(row[:4], "little"), 0
+        planes = np.frombuffer(pa.decompress(row[4:], n * _BYTES, codec="zstd"), np.uint8)
         for column, (_, t) in zip(out, _COLUMNS, strict=True):
-            column.append(np.frombuffer(row, t, n, at))
-            at += n * np.dtype(t).itemsize
+            width = np.dtype(t).itemsize
+            column.append(np.ascontiguousarray(planes[at : at + n * width].reshape(width, n).T).view(t).ravel())
+            at += n * width
+        out[2][-1] = np.cumsum(out[2][-1])
     return [np.concatenate(c) for c in out]
 
 
@@ -150,46 +165,84 @@ def _listed(buckets: int):
     return listed
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed rows, sorted by bucket, to the occurrences of anchors that more than one document holds. They are let through
-    once an anchor's second document has come; what waits are the anchors of one document in the bucket."""
-    known, waiting, held, size, bucket = np.zeros(0, np.int64), None, [], 0, -1
-
-    def through(last: bool) -> pa.RecordBatch:
-        nonlocal known, waiting, held, size
-        columns = _unpacked(held)
-        met = np.isin(columns[0], known)
-        found = [c[met] for c in columns]
-        rest = [c[~met] for c in columns]
-        if waiting is not None:
-            rest = [np.concatenate(x) for x in zip(waiting, rest, strict=True)]
-        order = np.argsort(rest[0], kind="stable")
-        rest = [c[order] for c in rest]
-        heads = np.flatnonzero(np.diff(rest[0], prepend=rest[0][:1] - 1))
-        if len(heads):
-            two = np.minimum.reduceat(rest[2], heads) < np.maximum.reduceat(rest[2], heads)
-            own = np.repeat(two, np.diff(heads, append=len(rest[0])))
-            known = np.union1d(known, rest[0][heads[two]])
-            found = [np.concatenate([f, c[own]]) for f, c in zip(found, rest, strict=True)]
-            waiting = [c[~own] for c in rest]
-        held, size = [], 0
-        if last:
-            known, waiting = np.zeros(0, np.int64), None
-        return pa.record_batch([pa.array(c) for c in found], [n for n, _ in _COLUMNS])
-
-    for batch in batches:
-        for number, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if number != bucket or size >= BATCH:
-                if held:
-                    yield through(number != bucket)
-                elif number != bucket:
-                    known, waiting = np.zeros(0, np.int64), None
-                bucket = number
-            held.append(row)
-            size += len(row)
-    if held:
-        yield through(True)
-    give_back()
+def _judged(columns: list[np.ndarray], group_size: int) -> list[np.ndarray]:
+    """All occurrences of some anchors to those that can lose bytes: doc, check, at, size, anchor, digest, what becomes of them:
+    ``WHOLE`` (the fragment occurs in a smaller document; its name is not needed any more), else whether the anchor has more than ``group_size`` distinct ones (``MANY``, ``FEW``)."""
+    order = np.lexsort((columns[1], columns[0]))
+    anchor, digest, doc, check, at, size = (c[order] for c in columns)
+    new_anchor = np.diff(anchor, prepend=anchor[:1] - 1) != 0
+    new = new_anchor | (np.diff(digest, prepend=digest[:1]) != 0)
+    heads, groups = np.flatnonzero(new), np.flatnonzero(new_anchor)
+    if not len(heads):
+        return [doc, check, at, size, anchor, digest, np.zeros(0, np.int8)]
+    later = np.minimum.reduceat(doc, heads)[np.cumsum(new) - 1] < doc
+    distinct = np.add.reduceat(new.astype(np.int64), groups)
+    meets = (np.minimum.reduceat(doc, groups) < np.maximum.reduceat(doc, groups)) & (distinct > 1)
+    group = np.cumsum(new_anchor) - 1
+    fate = np.where(later, WHOLE, np.where(distinct > group_size, MANY, FEW)[group]).astype(np.int8)
+    kept = later | meets[group]
+    return [c[kept] for c in (doc, check, at, size, np.where(later, 0, anchor), np.where(later, 0, digest), fate)]
+
+
+def _shared(group: int, most: int):
+    """Packed rows, sorted by bucket, to what :func:`_judged` says of each bucket. If more than ``most`` bytes of occurrences
+    wait for the bucket's end, those of its commonest anchors are let through as they are (``OPEN``), the later ones too: what
+    waits is then the rest of the bucket's anchors."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, waiting, held, size, bucket = np.zeros(0, np.int64), [], [], 0, -1
+
+        def batch_of(columns: list[np.ndarray]) -> pa.RecordBatch:
+            kinds = (np.int64, np.int32, np.int32, np.int32, np.int64, np.int64, np.int8)
+            return pa.record_batch([pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], [n for n, _ in _FATES])
+
+        def as_they_are(columns: list[np.ndarray]) -> pa.RecordBatch:
+            anchor, digest, doc, check, at, n = columns
+            return batch_of([doc, check, at, n, anchor, digest, np.full(len(doc), OPEN)])
+
+        def added() -> Iterator[pa.RecordBatch]:
+            """Takes what is held to what waits."""
+            nonlocal known, waiting, held, size
+            columns = _unpacked(held)
+            if len(known):
+                met = np.isin(columns[0], known)
+                yield as_they_are([c[met] for c in columns])
+                columns = [c[~met] for c in columns]
+            waiting = [np.concatenate(x) for x in zip(waiting, columns, strict=True)] if waiting else columns
+            held, size = [], 0
+            if len(waiting[0]) * _BYTES > most:
+                found, n = np.unique(waiting[0], return_counts=True)
+                order = np.argsort(-n, kind="stable")
+                # the fewest anchors without which half as much waits
+                common = order[: int(np.searchsorted(np.cumsum(n[order]), len(waiting[0]) - most // 2 // _BYTES)) + 1]
+                known = np.union1d(known, found[common])
+                met = np.isin(waiting[0], found[common])
+                yield as_they_are([c[met] for c in waiting])
+                waiting = [c[~met] for c in waiting]
+
+        def ended() -> pa.RecordBatch:
+            nonlocal known, waiting
+            out = batch_of(_judged(waiting, group))
+            known, waiting = np.zeros(0, np.int64), []
+            return out
+
+        for batch in batches:
+            for number, row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held and (number != bucket or size >= BATCH):
+                    yield from added()
+                if number != bucket:
+                    if waiting:
+                        yield ended()
+                    known, bucket = np.zeros(0, np.int64), number
+                held.append(row)
+                size += int.from_bytes(row[:4], "little") * _BYTES
+        if held:
+            yield from added()
+        if waiting:
+            yield ended()
+        give_back()
+
+    return shared
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -198,14 +251,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.hash(text).alias("check"), text.alias("text"), "doc_id")
 
 
-def shared(docs: DataFrame) -> DataFrame:
-    """The occurrences of fragments whose anchor more than one document holds: anchor, digest, doc, check, at, size. One
-    shuffle of packed rows; buckets are as many as the bytes of the texts ask for."""
+def judged(docs: DataFrame) -> DataFrame:
+    """The occurrences of fragments that can lose bytes, and those of anchors that are too common for their bucket to judge.
+    One shuffle of packed rows; buckets are as many as the bytes of the texts ask for."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // PER_PART)
     packed = _keyed(docs).select("doc", "check", "text").mapInArrow(_listed(4 * parts), "bucket int, rows binary")
-    kind = "anchor long, digest long, doc long, check int, at int, size int"
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, kind)
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared(GROUP, WAITING), ", ".join(map(" ".join, _FATES)))
+
+
+def _of_common(met: DataFrame) -> DataFrame:
+    """What :func:`_judged` says, of all occurrences of very common anchors, by partial aggregates and a join."""
+    firsts = written(met.groupBy("anchor", "digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "firsts")
+    of_anchor = firsts.groupBy("anchor").agg(F.count("*").alias("_n"), (F.min("first") < F.max("last")).alias("_two"))
+    own = F.when(F.col("_two") & (F.col("_n") > 1), F.when(F.col("_n") > GROUP, MANY).otherwise(FEW))
+    told = firsts.join(of_anchor, "anchor").select("anchor", "digest", "first", own.alias("_own"))
+    fate = F.when(F.col("first") < F.col("doc"), WHOLE).otherwise(F.col("_own")).cast("byte")
+    return met.drop("fate").join(told.hint("shuffle_hash"), ["anchor", "digest"]).withColumn("fate", fate).filter("fate IS NOT NULL").select(*(n for n, _ in _FATES))
 
 
 def transform(frags: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -341,56 +403,70 @@ def _take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(key[first]), pa.array(digest[first]), pa.array(doc), flat.field("many").take(pa.array(first)), pa.array(own, pa.binary())], ["key", "digest", "first", "many", "data"])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, digest, first, data) to pieces of at most two windows: (key, digest, first, data, anchor, whole, at)."""
-    for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [], [], [], [])
-        for key, digest, first, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            # the anchor's place in the fragment: windows are paired by their distance to it
-            place = int(np.flatnonzero(anchors(np.frombuffer(data, np.uint8)).view(np.int64) == key)[0])
-            windows = len(data) - DEPTH + 1
-            for a in range(-(place & 1), windows, 2):
-                begin, end = max(a, 0), min(a + 2, windows)
-                both = data[a + 1 : a + DEPTH]  # at a fragment's edge, too, they are in its only window of the two
-                piece = data[begin : end + DEPTH - 1]
-                values = (np.uint64(xxhash.xxh3_64_intdigest(both, seed=(key ^ (place - a)) & 0xFFFFFFFFFFFFFFFF)).view(np.int64), np.uint64(xxhash.xxh3_64_intdigest(piece)).view(np.int64), first, piece, key, digest, begin)
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["key", "digest", "first", "data", "anchor", "whole", "begin"])
-
-
-def _of_pieces(hot: DataFrame) -> DataFrame:
-    """What the fragments of very common anchors lose, from their pieces."""
-    pieces = written(hot.mapInArrow(_pieces, "key long, digest long, first long, data binary, anchor long, whole long, begin int"), "pieces")
-    once = pieces.groupBy("key", "digest").agg(F.min("first").alias("first"), F.min("data").alias("data"))
-    runs = _losses(once).withColumnRenamed("at", "_from")
-    # a piece whose first document is another's is lost whole
-    firsts = once.select("key", "digest", F.col("first").alias("_least"))
-    whole = pieces.join(firsts, ["key", "digest"]).filter(F.col("first") > F.col("_least")).select("anchor", "whole", F.col("begin").alias("at"), (F.length("data") - (DEPTH - 1)).alias("n"))
-    part = pieces.join(runs, ["key", "digest"]).select("anchor", "whole", (F.col("begin") + F.col("_from")).alias("at"), "n")
-    return whole.unionByName(part).distinct().select(F.col("anchor").alias("key"), F.col("whole").alias("digest"), "at", "n")
+def _pieces(width: int):
+    """Rows (anchor, whole, begin, first, data) to pieces of at most ``width`` windows: (key, digest, first, data, anchor, whole,
+    begin). Windows are dealt by their distance to the anchor, and the key tells the bytes that all windows of a deal share."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            for anchor, whole, since, first, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place = int(np.flatnonzero(anchors(np.frombuffer(data, np.uint8)).view(np.int64) == anchor)[0])
+                windows = len(data) - DEPTH + 1
+                for deal in range(max(0, place - windows + 1) // width, place // width + 1):
+                    # also at a fragment's edge, where some windows of the deal are missing
+                    both = data[place - deal * width : place - deal * width + DEPTH - width + 1]
+                    begin, end = max(place - deal * width - width + 1, 0), min(place - deal * width + 1, windows)
+                    piece = data[begin : end + DEPTH - 1]
+                    values = (np.uint64(xxhash.xxh3_64_intdigest(both, seed=(anchor ^ deal) & 0xFFFFFFFFFFFFFFFF)).view(np.int64), np.uint64(xxhash.xxh3_64_intdigest(piece)).view(np.int64), first, piece, anchor, whole, since + begin)
+                    for column, value in zip(out, values, strict=True):
+                        column.append(value)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["key", "digest", "first", "data", "anchor", "whole", "begin"])
+
+    return pieces
+
+
+def _of_pieces(hot: DataFrame) -> DataFrame | None:
+    """What the fragments of very common anchors lose, from their pieces; None if there are no such fragments. Pieces of half a
+    fragment tell most of them apart; only groups that are too large still are cut further."""
+    hot = written(hot.select(F.col("key").alias("anchor"), F.col("digest").alias("whole"), F.lit(0).alias("begin"), "first", "data"), "hot")
+    out = None
+    for width in PIECES:
+        if hot.isEmpty():
+            break
+        pieces = written(hot.mapInArrow(_pieces(width), "key long, digest long, first long, data binary, anchor long, whole long, begin int"), "pieces")
+        discard(hot)
+        once = written(pieces.groupBy("key", "digest").agg(F.min("first").alias("least"), F.min("data").alias("data")), "once")
+        sizes = once.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
+        many = F.col("_n") > (GROUP if width > PIECES[-1] else LAST)
+        judged_ = written(once.join(sizes, "key", "left").withColumn("many", many), "judged")
+        runs = _losses(judged_.filter("NOT many").select("key", "digest", F.col("least").alias("first"), "data"))
+        met = written(pieces.join(judged_.select("key", "digest", "least", "many"), ["key", "digest"]).filter("first > least OR many IS NOT NULL"), "met")
+        discard(pieces, once)
+        # a piece whose first document is another's is lost whole
+        whole = met.filter(F.col("first") > F.col("least")).select("anchor", "whole", F.col("begin").alias("at"), (F.length("data") - (DEPTH - 1)).alias("n"))
+        own = met.filter(F.col("first") <= F.col("least"))
+        part = own.filter("NOT many").select("key", "digest", "anchor", "whole", "begin").join(runs.withColumnRenamed("at", "_from"), ["key", "digest"]).select("anchor", "whole", (F.col("begin") + F.col("_from")).alias("at"), "n")
+        lost_ = written(whole.unionByName(part).distinct().select(F.col("anchor").alias("key"), F.col("whole").alias("digest"), "at", "n"), "lost")
+        out = lost_ if out is None else out.unionByName(lost_)
+        hot = written(own.filter("many").select("anchor", "whole", "begin", "first", "data"), "hot")
+        discard(met, judged_)
+    return out
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """(doc, check, at, n): runs of windows that a row loses. ``docs``: a scan or a written table (it is read three times)."""
-    met = written(shared(docs), "met")
-    firsts = written(met.groupBy("anchor", "digest").agg(F.min("doc").alias("first")), "firsts")
-    fragments_of = firsts.groupBy("anchor").agg(F.count("*").alias("_n"))
-    judged = written(firsts.join(fragments_of, "anchor").withColumn("many", F.when(F.col("_n") > 1, F.col("_n") > GROUP)).drop("_n"), "judged")
-    discard(firsts)
-    later = F.col("first") < F.col("doc")
-    own = ~later & F.col("many").isNotNull()
-    if_own = lambda c: F.when(own, F.col(c)).alias(c)
-    held = written(met.join(judged.hint("shuffle_hash"), ["anchor", "digest"]).filter(later | own).select("doc", "check", "at", "size", if_own("anchor"), if_own("digest"), if_own("many")), "held")
-    discard(met, judged)
-
-    whole = held.filter("anchor IS NULL").select("doc", "check", "at", F.col("size").alias("n"))
-    wanted = held.filter("anchor IS NOT NULL")
+    held = written(judged(docs), "held")
+    common = written(_of_common(held.filter(F.col("fate") == OPEN)), "common")
+    held = held.filter(F.col("fate") != OPEN).unionByName(common)
+    whole = held.filter(F.col("fate") == WHOLE).select("doc", "check", "at", F.col("size").alias("n"))
+    wanted = held.filter(F.col("fate") != WHOLE).withColumn("many", F.col("fate") == MANY)
     holders = wanted.groupBy("doc", "check").agg(F.collect_set(F.struct("anchor", "digest", "at", "size", "many")).alias("frags"))
     texts = _keyed(docs).select("doc", "check", "text").join(holders, ["doc", "check"])
     frags = written(texts.select("doc", "text", "frags").mapInArrow(_take, "key long, digest long, first long, many boolean, data binary"), "fragments")
-    losses = _losses(frags.filter("NOT many").drop("many")).unionByName(_of_pieces(frags.filter("many").drop("many")))
+    losses, of_pieces = _losses(frags.filter("NOT many").drop("many")), _of_pieces(frags.filter("many").drop("many"))
+    losses = losses if of_pieces is None else losses.unionByName(of_pieces)
     runs = written(losses.withColumnsRenamed({"key": "anchor", "at": "_from"}), "runs")
     part = wanted.select("anchor", "digest", "doc", "check", "at").join(runs, ["anchor", "digest"]).select("doc", "check", (F.col("at") + F.col("_from")).alias("at"), "n")
     return whole.unionByName(part)

@@ -69,6 +69,41 @@ def test_suffix_dedup(spark, monkeypatch, small):
     assert cut(spark, rows) == removed(rows)
 
 
+def test_suffix_dedup_judges_where_occurrences_meet(spark, monkeypatch):
+    """What can lose bytes comes out of the one shuffle; occurrences of anchors too common for their bucket are joined."""
+    rng = random.Random(12)
+    rows = passages(rng, 60) + [(500 + i, "a passage that comes again and again, in every document, without an end %d" % (i % 3)) for i in range(80)]
+    docs = frame(spark, rows)
+    plain = bwt_dedup.judged(docs).collect()
+    assert plain and not [r for r in plain if r.fate == bwt_dedup.OPEN]
+    monkeypatch.setattr(bwt_dedup, "WAITING", 3000)
+    monkeypatch.setattr(bwt_dedup, "BATCH", 500)
+    few = bwt_dedup.judged(docs)
+    common = bwt_dedup._of_common(few.filter(few.fate == bwt_dedup.OPEN)).collect()
+    told = lambda rs: sorted((r.doc, r.check, r.at, r.size, r.fate) for r in rs)
+    assert len(common) > 80 and told([*common, *few.filter(few.fate != bwt_dedup.OPEN).collect()]) == told(plain)
+    assert cut(spark, rows) == removed(rows)
+
+
+def test_suffix_dedup_cuts_large_groups_as_far_as_needed(spark, monkeypatch):
+    """Fragments at the edge of a common passage come apart as halves; not all of their windows are written as pairs."""
+    rng = random.Random(13)
+    rows = [(i, "".join(rng.choice("abcdefgh") for _ in range(60)) + "a passage that very many of the documents hold, each behind its own words") for i in range(60)]
+    rows += [(100 + i, rows[i][1][30:]) for i in range(20)]
+    written, sizes = bwt_dedup.written, []
+
+    def noted(df, name):
+        out = written(df, name)
+        if name == "pieces":
+            sizes.append(out.selectExpr("sum(length(data))").first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(bwt_dedup, "written", noted)
+    monkeypatch.setattr(bwt_dedup, "GROUP", 10)
+    assert cut(spark, rows) == removed(rows)
+    assert 0 < sum(sizes) and max(sizes) < 60 * 6 * 300
+
+
 def test_suffix_dedup_of_long_and_no_texts(spark):
     rng = random.Random(2)
     long = "".join(rng.choice("abcdefgh ") for _ in range(600_000))
