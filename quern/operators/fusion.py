@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from quern.config import DEFAULT
 from quern.functions import fixed
+from quern.storage import written
+
+#: Ranked rows up to which they are sent to all workers, to meet the corpus there.
+BROADCAST = 500_000
 
 
 def adaptive_cut(ranked: DataFrame, buffer: int = 5, ratio: float = 0.9, least: int = 3, most: int = 200) -> DataFrame:
@@ -52,7 +56,11 @@ def hydrate(ranked: DataFrame, corpus: DataFrame) -> DataFrame:
     have = set(corpus.columns)
     col = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")
     rows = corpus.select("idx", F.coalesce(F.nullif(col("chunk_id"), F.lit("")), F.col("idx").cast("string")).alias("chunk_id"), F.coalesce(F.nullif(col("doc_id"), F.lit("")), F.col("idx").cast("string")).alias("doc_id"), col("article_id").alias("article_id"), col("title").alias("doc_title"), col("text").alias("content"), col("so_ky_hieu").alias("so_ky_hieu"))
-    return ranked.join(rows, "idx").withColumns({"retrieval_score": F.col("score"), "source": F.lit("hybrid")})
+    # few rows are found: they go to the corpus, whose texts then stay where they are
+    found = written(ranked, "ranked")
+    if found.limit(BROADCAST + 1).count() <= BROADCAST:
+        found = F.broadcast(found)
+    return found.join(rows, "idx").withColumns({"retrieval_score": F.col("score"), "source": F.lit("hybrid")})
 
 
 def first_seen(chunks: DataFrame, seen: DataFrame | None = None) -> DataFrame:
