@@ -8,13 +8,12 @@ of fewer words counts, then the one whose last word is longer. Without a lexicon
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quern.functions import text as t
-from quern.storage import written
+from quern.storage import pieces, written
 
 #: Entries of a lexicon at most (the most frequent): it is sent to all workers. Occurrences of an entry, and how many times
 #: more often than by chance its parts meet, at least. Syllables of a word at most.
@@ -27,7 +26,7 @@ def lexicon(texts: DataFrame, text_col: str = "text", most: int = MOST, least: i
     own = written(texts.select(t.words(F.lower(F.col(text_col))).alias("w")).filter(F.size("w") > 0), "syllables")
     counts = None
     for size in range(1, longest + 1):
-        run = F.expr(f"transform(sequence(1, size(w) - {size - 1}), i -> array_join(slice(w, i, {size}), ' '))")
+        run = F.expr(f"transform(slice(w, 1, size(w) - {size - 1}), (x, i) -> concat_ws(' ', x{''.join(f', w[i + {k}]' for k in range(1, size))}))") if size > 1 else F.col("w")
         runs = own.filter(F.size("w") >= size).select(F.explode(run).alias("word")).groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least).withColumn("size", F.lit(size))
         counts = runs if counts is None else counts.unionByName(runs)
     counts = written(counts, "runs")
@@ -56,6 +55,10 @@ class Trie:
 
     def cut(self, syllables: list[str]) -> list[str]:
         """The words of the cheapest cut."""
+        return self.cut_at(syllables)[0]
+
+    def cut_at(self, syllables: list[str]) -> tuple[list[str], int]:
+        """The words of the cheapest cut, and its cost."""
         n = len(syllables)
         best: list[tuple[int, int]] = [(0, 0)] + [(1 << 62, 0)] * n
         back = [0] * (n + 1)
@@ -73,23 +76,38 @@ class Trie:
         while n:
             out.append(" ".join(syllables[back[n] : n]))
             n = back[n]
-        return out[::-1]
+        return out[::-1], best[len(syllables)][0]
 
 
 def segmenter(entries: DataFrame | None):
     """A column function for :func:`quern.functions.text.tokenize`: texts to words. ``entries``: a :func:`lexicon`, of bounded
     size; None, or one without entries, cuts at blanks."""
+    trie = _trie(entries)
+    return (lambda c: _cut(c, trie)["words"]) if trie else t.words
+
+
+def _trie(entries: DataFrame | None) -> Trie | None:
     costs = {r.word: r.cost for r in entries.select("word", "cost").collect()} if entries is not None else {}
-    if not costs:
-        return t.words
-    trie = Trie(costs)
+    return Trie(costs) if costs else None
+
 
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if w is None else trie.cut(list(w)) for w in texts])
+def _cut(c: Column, trie: Trie) -> Column:
+    """struct<words, cost> of a text. Syllables are listed a text at a time."""
+    kind = pa.struct([("words", pa.list_(pa.string())), ("cost", pa.int64())])
 
-    return lambda c: F.pandas_udf(run, T.ArrayType(T.StringType()))(t.words(c))
+    def run(texts: pa.Array) -> pa.Array:
+        found = ([None if x is None else dict(zip(("words", "cost"), trie.cut_at(x.split(" ") if x else []), strict=True)) for x in part.to_pylist()] for part in pieces(texts))
+        return pa.chunked_array([pa.array(rows, kind) for rows in found], kind).combine_chunks()
+
+    return F.arrow_udf(run, "words array<string>, cost long")(F.array_join(t.words(c), " "))
 
 
 def segmented(c: Column, entries: DataFrame | None) -> Column:
     """The words of a text; null stays null."""
     return segmenter(entries)(c)
+
+
+def segmented_at(c: Column, entries: DataFrame) -> Column:
+    """struct<words, cost>: the words of a text, and what its cut costs (without a lexicon: 1000 a word)."""
+    trie = _trie(entries) or Trie({})
+    return _cut(c, trie)
