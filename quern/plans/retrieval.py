@@ -47,7 +47,7 @@ class Retriever:
                 note(spark, place, mark)
             return place
 
-        sparse = kept("sparse", lambda place: bm25.build(corpus, config.bm25_k1, config.bm25_b).save(place), k1=config.bm25_k1, b=config.bm25_b, layout=(bm25.BUCKETS, bm25.WIDTH))
+        sparse = kept("sparse", lambda place: bm25.build(corpus, config.bm25_k1, config.bm25_b).save(place), k1=config.bm25_k1, b=config.bm25_b, layout=("ats", bm25.BUCKETS, bm25.WIDTH))
         if vectors is not None:
             model = f"{getattr(embed, '__module__', '')}.{getattr(embed, '__qualname__', repr(embed))}"
             vectors = dense.Cells.load(spark, kept("dense", lambda place: dense.Cells.save(vectors, place), model=model, layout=(dense.PER_CELL, dense.MOST_CELLS)))

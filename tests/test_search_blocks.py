@@ -52,3 +52,42 @@ def test_hashed_vectors_of_long_texts(spark):
     rows = [(1, "one two two"), (2, ""), (3, None), (4, "one two two " * 200_000), (5, "x")]
     got = {r.i: r.v for r in spark.createDataFrame(rows, "i int, t string").select("i", dense.hashed_vector(F.col("t")).alias("v")).collect()}
     assert all(len(v) == 64 for v in got.values()) and np.allclose(got[1], got[4]) and not any(got[2] + got[3] + got[5])
+
+
+def test_texts_are_tokenized_once(spark, tmp_path):
+    """Building a stored index takes the tokens of a document once, not once for its length and once for its postings."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<string>")
+    def tokens(text):
+        calls.add(1)
+        return text.split()
+
+    corpus = spark.range(50).select(F.col("id").alias("idx"), F.concat(F.lit("a b a w"), F.col("id").cast("string")).alias("text"))
+    built = bm25.build(corpus, tokens=tokens("text"))
+    built.save(str(tmp_path / "i"), width=16)
+    assert calls.value == 50
+    stored = bm25.Index.load(spark, str(tmp_path / "i"))
+    assert {r.dl for r in stored.lengths.collect()} == {4} and stored.lengths.count() == 50
+    assert {r.term: r.df for r in stored.terms.filter("term IN ('a', 'b', 'w7')").collect()} == {"a": 50, "b": 50, "w7": 1}
+
+
+def test_stored_index_of_odd_texts(spark, tmp_path, monkeypatch):
+    """Lengths, counts and postings are those of the terms in the JVM: letters that only a newer Unicode knows, capitals that
+    grow when they are lowered, texts without terms, null texts, blocks that are listed together or alone."""
+    odd = ["Điều 5 ĐIỀU", "\u0870\u0871 ab\u0872cd", "İstanbul ẞtraße ΣΊΣΥΦΟΣ", "", None, "a b", "\U0001f600 x1 \U00010570\U00010571", "中文字 字字", "ﬁn ²³ ⅷ_ __", "e\u0301te\u0301", "ab ab ab"]
+    rows = [(i * 3 - 6, odd[i % len(odd)]) for i in range(200)]
+    corpus = spark.createDataFrame(rows, "idx long, text string").repartition(7)
+    built = bm25.build(corpus)
+    for listed in (1, 1 << 18):
+        monkeypatch.setattr(bm25, "LISTED", listed)
+        monkeypatch.setattr(bm25, "WORDS", 40)
+        path = str(tmp_path / f"i{listed}")
+        built.save(path, width=16)
+        stored = bm25.Index.load(spark, path)
+        told = lambda df: sorted(map(repr, df.collect()))
+        assert told(stored.lengths.select("idx", "dl")) == told(built.lengths.select("idx", "dl"))
+        assert told(stored.terms.select("term", "df")) == told(built.terms.select("term", "df"))
+        tall = stored.blocks.select("block", "term", F.explode(F.arrays_zip("ats", "tfs", "dls")).alias("p"))
+        assert told(tall.select("term", (F.col("block") * 16 + F.col("p.ats")).alias("idx"), F.col("p.tfs").cast("long").alias("tf"), F.col("p.dls").cast("long").alias("dl"))) == told(built.postings.select("term", "idx", "tf", "dl"))
+        assert stored.stats.first().n_docs == 200
