@@ -91,3 +91,10 @@ def test_stored_index_of_odd_texts(spark, tmp_path, monkeypatch):
         tall = stored.blocks.select("block", "term", F.explode(F.arrays_zip("ats", "tfs", "dls")).alias("p"))
         assert told(tall.select("term", (F.col("block") * 16 + F.col("p.ats")).alias("idx"), F.col("p.tfs").cast("long").alias("tf"), F.col("p.dls").cast("long").alias("dl"))) == told(built.postings.select("term", "idx", "tf", "dl"))
         assert stored.stats.first().n_docs == 200
+
+
+def test_slots_are_forgotten_and_found_again(spark, monkeypatch):
+    monkeypatch.setattr(dense, "KEPT", 3)
+    slots = dense._Slots(64)
+    words = [f"w{i % 7}" for i in range(50)]
+    assert [slots[w] for w in words] == [dense._Slots(64)[w] for w in words] and len(slots) <= 3
