@@ -139,3 +139,20 @@ def test_law_names_meet_titles_in_place(spark):
     got = {r.name_id: r.title for r in lawmatch.match(names, table).collect()}
     assert got == want and sum(x is None for x in want.values()) < 200
     assert _shuffled(spark) - before < 150_000
+
+
+def test_block_max_sums_in_place(spark, tmp_path):
+    """Bounds and scores are summed where a block's postings meet: no row is shuffled for each query and document, and a query
+    gets nothing from blocks that only another asks for."""
+    rows = [(i, " ".join([f"u{i % 50}", *(["vw"] * (1 + i % 7)), "xy"])) for i in range(600)]
+    asked = [(f"q{i}", f"vw xy u{i}") for i in range(60)]
+    built = bm25.build(spark.createDataFrame(rows, "idx long, text string").repartition(4))
+    queries = spark.createDataFrame(asked, "query_id string, query string").repartition(2)
+    built.save(str(tmp_path / "i"), width=32)
+    told = lambda df: sorted((r.query_id, r.rank, r.idx, r.score) for r in df.collect())
+    want = told(bm25.ranked(bm25.scores(built, queries), 5))
+    before = _shuffled(spark)
+    top, counts = bm25.block_max(bm25.Index.load(spark, str(tmp_path / "i")), queries, 5, seeds=3)
+    assert told(top) == want
+    assert _shuffled(spark) - before < 20_000
+    assert all(r.decoded <= r.asked for r in counts.collect()) and counts.count() == 60
